@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .language import op7_language_id
+from .packing import op10_packing
 from .quality import op6_quality_rules
+from .tokenfile import op3_token_file
 
 QUERIES = {
+    "op3_token_file": op3_token_file,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
+    "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
