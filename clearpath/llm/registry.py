@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, warc
 from .language import op7_language_id
 from .mixing import op1_mixing
 from .neardup import op9_near_duplicates
 from .packing import op10_packing
 from .quality import op6_quality_rules
 from .tokenfile import op3_token_file
+from .warc import op5_warc
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_token_file": op3_token_file,
+    "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
     "op9_near_duplicates": op9_near_duplicates,
@@ -20,4 +22,5 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
+    "op5_warc": warc.ORACLE,
 }
