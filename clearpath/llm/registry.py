@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing, warc
+from . import chat, mixing, warc
+from .chat import op2_chat_formatting
 from .language import op7_language_id
 from .mixing import op1_mixing
 from .neardup import op9_near_duplicates
@@ -13,6 +14,7 @@ from .warc import op5_warc
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_token_file": op3_token_file,
     "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
@@ -22,5 +24,6 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
+    "op2_chat_formatting": chat.ORACLE,
     "op5_warc": warc.ORACLE,
 }
