@@ -7,6 +7,7 @@ from .chat import op2_chat_formatting
 from .language import op7_language_id
 from .mixing import op1_mixing
 from .neardup import op9_near_duplicates
+from .neighbours import op8_nearest_neighbours
 from .packing import op10_packing
 from .quality import op6_quality_rules
 from .tokenfile import op3_token_file
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_packing": op10_packing,
 }
