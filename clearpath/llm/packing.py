@@ -96,8 +96,8 @@ def pack(documents: DataFrame, vocabulary_path: str, end_id: int = END_ID, capac
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 64):
-                for doc_id, ids in zip(doc_ids[at : at + 64], words.encode([t or "" for t in texts[at : at + 64]]), strict=True):
+            for at in range(0, len(texts), 2048):
+                for doc_id, ids in zip(doc_ids[at : at + 2048], words.encode([t or "" for t in texts[at : at + 2048]]), strict=True):
                     ids += end
                     n = len(ids) // 4
                     held.append((doc_id, 0, ids, n))

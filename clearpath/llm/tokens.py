@@ -1,10 +1,12 @@
 """Token ids of whole texts from a ``tokenizers`` vocabulary file.
 
-Byte-pair vocabularies split a text into pieces and encode each piece by itself, so
-a worker keeps the ids of pieces that it has met; the library encodes the others in
-batches. Texts with characters outside ``SIMPLE`` (where normalisation or character
-classes could differ between libraries) are encoded whole by the library. Vocabulary
-files are read where tasks run, from the path that is a parameter.
+Byte-pair vocabularies split a text into pieces and encode each piece by itself. A
+batch of texts is cut at spaces and dictionary-encoded by Arrow, only the distinct
+chunks are split into pieces, and a worker remembers the ids of pieces it has met; the
+library encodes the others in batches. Texts with characters that ``NOT_SIMPLE``
+finds (where normalisation or character classes could differ between libraries)
+are encoded whole by the library. Vocabulary files are read where tasks run, from the
+path that is a parameter.
 """
 
 from __future__ import annotations
@@ -12,19 +14,62 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
-import regex
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import slices
 
 #: Any character for which only the library itself is asked.
 NOT_SIMPLE = re.compile("[^\t\n\r -~\xa1-įı-ɏ]")
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t\n\r "
 #: How the two kinds of vocabulary split text that has simple characters only.
-BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\t\n\r \p{L}\p{N}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
-WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t\n\r \p{L}\p{N}]+")
-MAX_PIECES, MAX_PIECE_CHARS = 500_000, 64
+BYTE_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+WORD_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+#: A space inside a piece of white space: such a text is not cut at spaces.
+INNER_SPACE = re.compile(f"(?<=[{_S}]) (?=[{_S}]|\\Z)")
+MAX_PIECES, MAX_CHARS = 800_000, 32
 
 _encoders: dict[str, Encoder] = {}
 
 
+class Numbered(dict):
+    """Numbers strings as they come; ``new`` lists those met first since it was emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+
+class Known:
+    """Numbered strings with their ids. ``find`` encodes those that are new. What is
+    remembered is bounded: past ``limit`` strings, or MAX_CHARS characters for each,
+    it begins anew."""
+
+    def __init__(self, limit: int, find):
+        self.limit, self.find = limit, find
+        self.numbers, self.ids, self.chars = Numbered(), [], 0
+
+    def encode(self, rows: list[list[str]]) -> list[bytes]:
+        """Joined ids of each row of strings."""
+        if len(self.ids) > self.limit or self.chars > MAX_CHARS * self.limit:
+            self.numbers, self.ids, self.chars = Numbered(), [], 0
+        number = self.numbers.__getitem__
+        at = [list(map(number, row)) for row in rows]
+        if self.numbers.new:
+            self.ids += self.find(self.numbers.new)
+            new, self.numbers.new = self.numbers.new, []
+            self.chars += sum(map(len, new))
+        return [b"".join(map(self.ids.__getitem__, x)) for x in at]
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
@@ -40,35 +85,52 @@ class Encoder:
             self.pieces = BYTE_PIECES
         elif before.get("type") == "Sequence" and config["model"].get("end_of_word_suffix") and [x["type"] for x in normal["normalizers"]] == ["NFC", "Replace", "Lowercase"]:
             self.pieces, self.lower = WORD_PIECES, True
-        self.known: dict[str, bytes] = {}
+        self.known = Known(MAX_PIECES, self._library)
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
+        return self.known.encode([self.pieces.findall(t) for t in texts])
+
+    def _by_chunks(self, texts: list[str]) -> list[bytes]:
+        """Simple texts, cut at spaces that stand between pieces."""
+        whole = pa.array(texts, pa.string())
+        lists = pc.utf8_split_whitespace(whole) if self.lower else pc.split_pattern(whole, " ")
+        coded = lists.values.dictionary_encode()
+        at, code = lists.offsets.to_numpy(), coded.indices.to_numpy()
+        distinct = coded.dictionary.to_pylist()
+        if not self.lower:  # a space goes to the chunk after it; a text's first chunk has none
+            first = [t[: t.index(" ")] if " " in t else t for t in texts]
+            code = code.copy()
+            code[at[:-1]] = np.arange(len(distinct), len(distinct) + len(texts))
+            distinct = [" " + x for x in distinct] + first
+        ids = self._by_pieces(distinct)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        own = size[code]
+        end = np.cumsum(own)
+        place = np.arange(end[-1] if len(end) else 0) + np.repeat(start[code] - (end - own), own)
+        flat = np.frombuffer(b"".join(ids), "<u4")[place].tobytes()
+        cut = (4 * np.append(0, end)[at]).tolist()
+        return [flat[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if self.pieces is None:
-            return self._library(texts)
-        out: list[bytes | None] = [None] * len(texts)
-        split: list[list[str] | None] = []
-        for t in texts:
-            split.append(None if NOT_SIMPLE.search(t) else self.pieces.findall(t.lower() if self.lower else t))
-        whole = [i for i, p in enumerate(split) if p is None]
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        known = self.known
-        new = list(set().union(*(p for p in split if p)) - known.keys())
-        known.update(zip(new, self._library(new), strict=True))
-        for i, p in enumerate(split):
-            if p is not None:
-                out[i] = b"".join(map(known.__getitem__, p))
-        for piece in new:
-            if len(piece) > MAX_PIECE_CHARS:
-                del known[piece]
-        if len(known) > MAX_PIECES:
-            known.clear()
+        out: list[bytes] = [b""] * len(texts)
+        ways: dict = {self._library: [], self._by_pieces: [], self._by_chunks: []}
+        for i, t in enumerate(texts):
+            if self.pieces is None or NOT_SIMPLE.search(t):
+                ways[self._library].append(i)
+            elif not self.lower and INNER_SPACE.search(t):
+                ways[self._by_pieces].append(i)
+            elif t:
+                ways[self._by_chunks].append(i)
+        for way, own in ways.items():
+            chosen = [texts[i].lower() if self.lower and way != self._library else texts[i] for i in own]
+            for a, z in slices(chosen, 8_000_000):
+                for i, ids in zip(own[a:z], way(chosen[a:z]), strict=True):
+                    out[i] = ids
         return out
 
 
