@@ -11,12 +11,14 @@ from .neighbours import op8_nearest_neighbours
 from .packing import op10_packing
 from .quality import op6_quality_rules
 from .tokenfile import op3_token_file
+from .toxicity import op4_toxicity
 from .warc import op5_warc
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_token_file": op3_token_file,
+    "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clearpath.llm.common import materialize, table
 from clearpath.llm.language import filter_language
+from clearpath.llm.mixing import mixed_documents
+from clearpath.llm.neardup import drop_near_duplicates
+from clearpath.llm.packing import pack
 from clearpath.llm.quality import filter_quality
+from clearpath.llm.tokens import vocabulary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,16 +23,40 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return filter_quality(docs, table(spark, sf_dir, "labels"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of smallest id goes on."""
+    return drop_near_duplicates(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed stream: every document at least once, small sources at most twice."""
+    return mixed_documents(docs, max_repetition=MAX_REPETITION)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens, in the order of the stream's chunks."""
+    return pack(docs, vocabulary("word_bpe_49k.json"))
+
+
+#: How often the mixing stage repeats a document at most.
+MAX_REPETITION = 2.0
+
 STAGES = [
     ("language_id", language_id),
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("mixing", mixing),
+    ("packing", packing),
 ]
 
+#: The language and quality stages are trained models and packing needs a tokenizer:
+#: not in SQL. tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again."""
+    """All stages over ``documents``; each result is written and read again, so what a
+    stage rests on is on disk before the next begins."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
