@@ -95,9 +95,10 @@ def pack(documents: DataFrame, vocabulary_path: str, end_id: int = END_ID, capac
             return pa.RecordBatch.from_arrays(arrays, names=[*_COLUMNS, *(["ids"] if with_ids else [])])
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 2048):
-                for doc_id, ids in zip(doc_ids[at : at + 2048], words.encode([t or "" for t in texts[at : at + 2048]]), strict=True):
+            for at in range(0, len(batch), 2048):
+                part = batch.slice(at, 2048)
+                doc_ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                for doc_id, ids in zip(doc_ids, words.encode([t or "" for t in texts]), strict=True):
                     ids += end
                     n = len(ids) // 4
                     held.append((doc_id, 0, ids, n))

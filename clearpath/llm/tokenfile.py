@@ -166,9 +166,10 @@ def write_tokens(documents: DataFrame, vocabulary_path: str, end_id: int = END_I
             return row
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 2048):
-                for doc_id, x in zip(doc_ids[at : at + 2048], words.encode([t or "" for t in texts[at : at + 2048]]), strict=True):
+            for at in range(0, len(batch), 2048):
+                some = batch.slice(at, 2048)
+                doc_ids, texts = some.column(0).to_pylist(), some.column(1).to_pylist()
+                for doc_id, x in zip(doc_ids, words.encode([t or "" for t in texts]), strict=True):
                     ids.append(doc_id)
                     held.append(x + end)
                     tokens += len(held[-1]) // 4

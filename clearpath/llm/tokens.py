@@ -1,12 +1,11 @@
 """Token ids of whole texts from a ``tokenizers`` vocabulary file.
 
-Byte-pair vocabularies split a text into pieces and encode each piece by itself. A
-batch of texts is cut at spaces and dictionary-encoded by Arrow, only the distinct
-chunks are split into pieces, and a worker remembers the ids of pieces it has met; the
-library encodes the others in batches. Texts with characters that ``NOT_SIMPLE``
-finds (where normalisation or character classes could differ between libraries)
-are encoded whole by the library. Vocabulary files are read where tasks run, from the
-path that is a parameter.
+Byte-pair vocabularies split a text into pieces and encode each piece by itself. No
+piece holds white space but at its beginning, so a batch of texts is cut at spaces and
+dictionary-encoded by Arrow, and the library encodes the distinct chunks that a worker
+does not remember. Texts with characters that ``NOT_SIMPLE`` finds (where normalisation
+or character classes could make cuts matter), or with longer white space, are encoded
+whole. Vocabulary files are read where tasks run, from the path that is a parameter.
 """
 
 from __future__ import annotations
@@ -22,54 +21,16 @@ import pyarrow.compute as pc
 
 from .common import slices
 
-#: Any character for which only the library itself is asked.
+#: Any character for which texts are encoded whole.
 NOT_SIMPLE = re.compile("[^\t\n\r -~\xa1-įı-ɏ]")
-_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t\n\r "
-#: How the two kinds of vocabulary split text that has simple characters only.
-BYTE_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-WORD_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
-#: A space inside a piece of white space: such a text is not cut at spaces.
-INNER_SPACE = re.compile(f"(?<=[{_S}]) (?=[{_S}]|\\Z)")
-MAX_PIECES, MAX_CHARS = 800_000, 32
+#: A space after white space: it may stand inside a piece of white space.
+INNER_SPACE = re.compile("[\t\n\r ] ")
+MAX_CHUNKS, MAX_CHARS = 500_000, 32
+PUNCTUATION = ".,;:!?%&$*#|"
 
 _encoders: dict[str, Encoder] = {}
 
 
-class Numbered(dict):
-    """Numbers strings as they come; ``new`` lists those met first since it was emptied."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        self.new.append(key)
-        return n
-
-
-class Known:
-    """Numbered strings with their ids. ``find`` encodes those that are new. What is
-    remembered is bounded: past ``limit`` strings, or MAX_CHARS characters for each,
-    it begins anew."""
-
-    def __init__(self, limit: int, find):
-        self.limit, self.find = limit, find
-        self.numbers, self.ids, self.chars = Numbered(), [], 0
-
-    def encode(self, rows: list[list[str]]) -> list[bytes]:
-        """Joined ids of each row of strings."""
-        if len(self.ids) > self.limit or self.chars > MAX_CHARS * self.limit:
-            self.numbers, self.ids, self.chars = Numbered(), [], 0
-        number = self.numbers.__getitem__
-        at = [list(map(number, row)) for row in rows]
-        if self.numbers.new:
-            self.ids += self.find(self.numbers.new)
-            new, self.numbers.new = self.numbers.new, []
-            self.chars += sum(map(len, new))
-        return [b"".join(map(self.ids.__getitem__, x)) for x in at]
-
-
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
@@ -79,33 +40,61 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
-        self.pieces, self.lower = None, False
         before, normal = config["pre_tokenizer"] or {}, config["normalizer"]
-        if before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and normal is None:
-            self.pieces = BYTE_PIECES
-        elif before.get("type") == "Sequence" and config["model"].get("end_of_word_suffix") and [x["type"] for x in normal["normalizers"]] == ["NFC", "Replace", "Lowercase"]:
-            self.pieces, self.lower = WORD_PIECES, True
-        self.known = Known(MAX_PIECES, self._library)
+        #: Cut at single spaces, which stay with the chunk behind them; or at any white space, which is dropped.
+        self.by_space = before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and normal is None
+        self.by_white = before.get("type") == "Sequence" and bool(config["model"].get("end_of_word_suffix")) and [x["type"] for x in normal["normalizers"]] == ["NFC", "Replace", "Lowercase"]
+        self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _by_pieces(self, texts: list[str]) -> list[bytes]:
-        return self.known.encode([self.pieces.findall(t) for t in texts])
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, many words a call (much cheaper than a call's result each)."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 1000):
+            e = self.tokenizer.encode(words[at : at + 1000], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(e.ids, "<u4").tobytes()
+            cut = 4 * np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=min(1000, len(words) - at)))
+            out += [ids[a:z] for a, z in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)]
+        return out
+
+    def _remembered(self, chunks: list[str]) -> list[bytes]:
+        if len(self.known) > MAX_CHUNKS:
+            self.known = {}
+        known = self.known
+        known[""] = b""
+        ids = list(map(known.get, chunks))
+        # A letter or digit ends a piece where punctuation follows: both parts are pieces of many chunks.
+        parts = {}
+        for x, i in zip(chunks, ids, strict=True):
+            if i is None:
+                core = x.rstrip(PUNCTUATION)
+                parts[x] = (core, x[len(core) :]) if len(core) < len(x) and core and core[-1].isalnum() else (x, "")
+        new = [x for x in dict.fromkeys(y for pair in parts.values() for y in pair) if x and x not in known]
+        long = [x for x in new if len(x) > MAX_CHARS]
+        known.update(zip(new, self._words(new), strict=True))
+        for x, (core, rest) in parts.items():
+            if rest:
+                known[x] = known[core] + known[rest]
+        out = [known[x] if i is None else i for x, i in zip(chunks, ids, strict=True)] if parts else ids
+        for x in {*long, *(x for x in parts if len(x) > MAX_CHARS)}:
+            known.pop(x, None)
+        return out
 
     def _by_chunks(self, texts: list[str]) -> list[bytes]:
-        """Simple texts, cut at spaces that stand between pieces."""
+        """Ids of simple texts, cut at spaces."""
         whole = pa.array(texts, pa.string())
-        lists = pc.utf8_split_whitespace(whole) if self.lower else pc.split_pattern(whole, " ")
+        lists = pc.utf8_split_whitespace(whole) if self.by_white else pc.split_pattern(whole, " ")
         coded = lists.values.dictionary_encode()
         at, code = lists.offsets.to_numpy(), coded.indices.to_numpy()
         distinct = coded.dictionary.to_pylist()
-        if not self.lower:  # a space goes to the chunk after it; a text's first chunk has none
-            first = [t[: t.index(" ")] if " " in t else t for t in texts]
+        if self.by_space:  # a space goes to the chunk after it; a text's first chunk has none
+            first = [t.split(" ", 1)[0] for t in texts]
             code = code.copy()
             code[at[:-1]] = np.arange(len(distinct), len(distinct) + len(texts))
             distinct = [" " + x for x in distinct] + first
-        ids = self._by_pieces(distinct)
+        ids = self._remembered(distinct)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         start = np.cumsum(size) - size
         own = size[code]
@@ -118,17 +107,14 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
-        ways: dict = {self._library: [], self._by_pieces: [], self._by_chunks: []}
+        whole, cut = [], []
         for i, t in enumerate(texts):
-            if self.pieces is None or NOT_SIMPLE.search(t):
-                ways[self._library].append(i)
-            elif not self.lower and INNER_SPACE.search(t):
-                ways[self._by_pieces].append(i)
-            elif t:
-                ways[self._by_chunks].append(i)
-        for way, own in ways.items():
-            chosen = [texts[i].lower() if self.lower and way != self._library else texts[i] for i in own]
-            for a, z in slices(chosen, 8_000_000):
+            simple = (self.by_space or self.by_white) and not NOT_SIMPLE.search(t) and not (self.by_space and INNER_SPACE.search(t))
+            if t:
+                (cut if simple else whole).append(i)
+        for own, way in ((whole, self._library), (cut, self._by_chunks)):
+            chosen = [texts[i].lower() if self.by_white and own is cut else texts[i] for i in own]
+            for a, z in slices(chosen, 3_000_000):
                 for i, ids in zip(own[a:z], way(chosen[a:z]), strict=True):
                     out[i] = ids
         return out

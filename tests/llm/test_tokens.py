@@ -16,7 +16,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long, star
 def test_pieces_give_the_ids_of_whole_texts(spark, name):
     own = Encoder(vocabulary(name))
     texts = [t or "" for t in EDGE] + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    assert own.pieces is not None
+    assert own.by_space or own.by_white
     for _ in range(2):  # cold, then from known pieces
         got = own.encode(texts)
         want = [np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
