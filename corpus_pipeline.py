@@ -34,7 +34,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens, in the order of the stream's chunks."""
+    """Pieces of sequences of 2048 tokens, in the order of the stream's chunks. Texts go
+    to Python workers a thousand at a time, since workers hold a vocabulary besides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return pack(docs, vocabulary("word_bpe_49k.json"))
 
 
