@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import joined_bytes, slices, table
 
 DIMS = 1 << 14
+#: Rows whose dense vectors are made at a time.
+ROWS = 64
 CLUSTERS, ROUNDS, SAMPLE_PER_LANG = 4, 8, 400
 #: A text is rejected under this share of the 1 in 1000 lowest training cosine.
 REJECT_SHARE = 0.5
@@ -100,8 +102,8 @@ class Model:
         if not self.langs:
             return langs, score, rejected
         for a, z in slices(texts, 1_000_000):
-            for at in range(a, z, 256):
-                to = min(at + 256, z)
+            for at in range(a, z, ROWS):
+                to = min(at + ROWS, z)
                 cosine = vectors(texts[at:to], self.idf) @ self.centres.T
                 best = cosine.argmax(axis=1)
                 for i, j in enumerate(best):
@@ -117,8 +119,8 @@ def _frequencies(batches):
         texts = [letters(t) for t in batch["text"]]
         n += len(texts)
         for a, z in slices(texts, 1_000_000):
-            for at in range(a, z, 256):
-                df += (gram_counts(texts[at : min(at + 256, z)]) > 0).sum(axis=0)
+            for at in range(a, z, ROWS):
+                df += (gram_counts(texts[at : min(at + ROWS, z)]) > 0).sum(axis=0)
     at = np.flatnonzero(df)
     yield pd.DataFrame({"gram": np.append(at, -1).astype(np.int32), "n": np.append(df[at], n)})
 

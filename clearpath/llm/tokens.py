@@ -25,7 +25,7 @@ from .common import slices
 NOT_SIMPLE = re.compile("[^\t\n\r -~\xa1-įı-ɏ]")
 #: A space after white space: it may stand inside a piece of white space.
 INNER_SPACE = re.compile("[\t\n\r ] ")
-MAX_CHUNKS, MAX_CHARS = 500_000, 32
+MAX_CHUNKS, MAX_CHARS = 350_000, 32
 PUNCTUATION = ".,;:!?%&$*#|"
 
 _encoders: dict[str, Encoder] = {}

@@ -14,7 +14,10 @@ from clearpath.llm.tokens import vocabulary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a recognised language go on, with the language found."""
+    """Documents in a recognised language go on, with the language found. From here on
+    texts go to Python workers a thousand at a time: the same workers run all stages,
+    and later ones hold a vocabulary besides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return filter_language(docs)
 
 
@@ -34,9 +37,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens, in the order of the stream's chunks. Texts go
-    to Python workers a thousand at a time, since workers hold a vocabulary besides."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Pieces of sequences of 2048 tokens, in the order of the stream's chunks."""
     return pack(docs, vocabulary("word_bpe_49k.json"))
 
 
