@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 _own_roots: dict[str, str] = {}
+_scratch: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -28,21 +29,24 @@ def scratch_root(spark: SparkSession) -> str:
     return _own_roots[app]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and return a scan of it.
 
     This cuts the lineage: a lost executor costs a re-read of committed files, and
     what reads the table later sees columns pruned and filters pushed down."""
     path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not keep:
+        _scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release_scratch(spark: SparkSession) -> None:
-    """Delete this application's scratch tables. Call it only when every result
-    that was built on them has been written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the scratch tables made so far (not those made with ``keep``). Call it only
+    when every result that was built on them has been written."""
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clearpath.llm.common import materialize, table
+from clearpath.llm.common import materialize, release_scratch, table
 from clearpath.llm.language import filter_language
 from clearpath.llm.mixing import mixed_documents
 from clearpath.llm.neardup import drop_near_duplicates
@@ -32,7 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed stream: every document at least once, small sources at most twice."""
+    """The mixed stream: every document at least once, small sources at most twice. The
+    stages before are written by now, so what they had on disk besides goes."""
+    release_scratch(spark)
     return mixed_documents(docs, max_repetition=MAX_REPETITION)
 
 
@@ -62,5 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage rests on is on disk before the next begins."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return docs
