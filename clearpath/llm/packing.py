@@ -64,9 +64,10 @@ def assign(lengths: list[int], capacity: int, bins: int, linear: float = LINEAR,
     return out
 
 
-def pack(documents: DataFrame, vocabulary_path: str, end_id: int = END_ID, capacity: int = SEQUENCE, chunk_sequences: int = CHUNK_SEQUENCES, with_ids: bool = False) -> DataFrame:
+def pack(documents: DataFrame, vocabulary_path: str, end_id: int = END_ID, capacity: int = SEQUENCE, chunk_sequences: int = CHUNK_SEQUENCES, with_ids: bool = False, remember: bool = True) -> DataFrame:
     """Pieces of all documents; with_ids adds each piece's ids as little-endian
-    unsigned 32-bit integers (column ``ids``)."""
+    unsigned 32-bit integers (column ``ids``). Without ``remember`` a worker forgets the
+    chunks of text that it has met when its task ends, for jobs with more to do after."""
 
     def run(batches):
         words = encoder(vocabulary_path)
@@ -108,6 +109,8 @@ def pack(documents: DataFrame, vocabulary_path: str, end_id: int = END_ID, capac
                         yield flush(False)
         while tokens:
             yield flush(tokens < capacity * chunk_sequences)
+        if not remember:
+            words.known = {}
 
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA + (", ids binary" if with_ids else ""))
 
