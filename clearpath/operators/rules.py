@@ -137,6 +137,10 @@ for args in [
     ("semantics/heading-class-on-nonheading", "1.3.1", "warning", lambda: some_class("^(h[1-6]|display-[1-6])$") & ~tag(*HEADINGS) & ~(roles("heading") & has("aria-level")), "Text looks like a heading and is none."),
     ("semantics/label-in-name", "2.5.3", "error", lambda: interactive() & ~blank(attr("aria-label")) & ~blank(F.col("text")) & ~tag("select") & ~F.contains(F.lower(F.regexp_replace(attr("aria-label"), r"\s+", " ")), F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))), "The name does not hold the visible text.", "guidance"),
     ("semantics/visual-disabled-non-control", "4.1.2", "warning", lambda: (tag("div", "span", "li") | (tag("a") & ~has("href"))) & (F.array_contains("classes", "disabled") | lower("style").rlike("cursor:\\s*not-allowed|pointer-events:\\s*none")) & ~has("aria-disabled") & ~roles(*INTERACTIVE_ROLES), "It looks disabled but does not say so."),
+    ("aria/icon-font-hidden", "4.1.2 1.3.1", "info", lambda: tag("i", "span") & some_class(r"^(fa|fas|far|fab|bi|icon|glyphicon|material-icons)([-_]|$)") & blank(F.col("text")) & ~hidden() & F.col("role").isNull() & ~named(), "An icon is not hidden from readers of text."),
+    ("aria/expanded-on-disclosure", "4.1.2", "warning", lambda: (lower("data-toggle").isin("collapse", "dropdown", "accordion", "offcanvas") | lower("data-bs-toggle").isin("collapse", "dropdown", "accordion", "offcanvas")) & (~has("aria-expanded") | ~has("aria-controls")), "A control that opens content does not say whether it is open."),
+    ("aria/role-from-class-only", "1.3.3 1.4.1 4.1.2", "warning", lambda: some_class("^(alert|callout|admonition)(-|$)") & F.col("role").isNull() & ~F.col("text").rlike("(?i)^(warning|error|danger|note|info|success|tip|caution|important)"), "Only a class says what kind of message this is."),
+    ("forms/select-onchange-context-change", "3.2.2", "error", lambda: tag("select") & lower("onchange").rlike(r"location|submit\(|window\.open|navigate"), "Choosing an option leaves the page.", "guidance"),
     ("tooltip/dismissable", "1.4.13", "warning", lambda: ~blank(attr("title")) & interactive() & (~blank(F.col("text")) | has("aria-label")) & (F.trim(attr("title")) != F.trim("text")), "A title tooltip cannot be dismissed.", "runtime-only"),
 ]:
     element_rule(*args)
@@ -497,6 +501,41 @@ def layout_tables(t: Tables) -> DataFrame:
     return found(tables(t).filter((F.col("th") + F.col("thead") + F.col("tfoot") + F.col("caption") == 0) & ~F.col("tied") & ~named() & F.col("role").isNull()), "A table for layout does not say so.")
 
 
+@rule("semantics/table-th-scope-missing", "1.3.1", "warning")
+def header_scopes(t: Tables) -> DataFrame:
+    parts = ancestors(t, t.nodes.filter(tag("tr", "th", "td")), tag("table")).groupBy("file_id", "node_id", "tag", "parent_id", "line", "col").agg(F.max("above").alias("table_id"), F.first("attrs").alias("attrs"))
+    columns = parts.filter("tag <> 'tr'").groupBy("file_id", "table_id", "parent_id").agg(F.count("*").alias("columns")).groupBy("file_id", "table_id").agg(F.max("columns").alias("columns"), F.count("*").alias("rows")).filter("columns >= 2 and rows >= 2")
+    return found(parts.filter((F.col("tag") == "th") & ~lower("scope").isin("row", "col", "rowgroup", "colgroup")).join(columns, ["file_id", "table_id"]), "A header cell does not say what it heads.")
+
+
+@rule("media/img-empty-alt-in-clickable-group", "1.1.1 4.1.2", "warning")
+def silent_pictures(t: Tables) -> DataFrame:
+    silent = ((tag("a") & has("href")) | tag("button")) & blank(F.col("text")) & ~named()
+    return found(ancestors(t, t.nodes.filter(tag("img") & has("alt") & blank(attr("alt"))), silent).select("file_id", "node_id", "line", "col").distinct(), "The only content of a control is a picture without text.")
+
+
+@rule("media/svg-accessible-name", "1.1.1", "error")
+def control_drawings(t: Tables) -> DataFrame:
+    titled_ = t.nodes.filter(tag("title") & ~blank(F.col("text"))).select("file_id", F.col("parent_id").alias("node_id")).distinct()
+    silent = interactive() & blank(F.col("text")) & ~named()
+    rows = ancestors(t, t.nodes.filter(tag("svg") & ~hidden() & ~named()), silent).select("file_id", "node_id", "line", "col").distinct()
+    return found(rows.join(titled_, ["file_id", "node_id"], "left_anti"), "A control's only content is a drawing without a name.")
+
+
+@rule("forms/asterisk-required-marker", "1.3.1 3.3.2", "warning")
+def starred_labels(t: Tables) -> DataFrame:
+    labels = t.nodes.filter(tag("label") & F.col("text").rlike(r"\*\s*$") & (attr("for") != "")).select("file_id", "line", "col", attr("for").alias("id"))
+    fields = t.nodes.filter(tag("input", "select", "textarea") & ~has("required") & (lower("aria-required") != "true")).select("file_id", "id")
+    return found(labels.join(fields, ["file_id", "id"], "left_semi"), "An asterisk alone says that a field is required.")
+
+
+@rule("pointer/drag-alternative", "2.5.7", "warning")
+def drag_only(t: Tables) -> DataFrame:
+    drags = t.nodes.filter((lower("draggable") == "true") | any_of(["ondragstart", "ondrag", "ondragend"]))
+    other = t.nodes.filter(any_of([CLICK, *KEY_HANDLERS])).select("file_id").distinct()
+    return found(drags.join(other, "file_id", "left_anti"), "Nothing but dragging does this.")
+
+
 @rule("pointer/stretched-link-multiple-in-container", "2.4.4", "error")
 def stretched(t: Tables) -> DataFrame:
     rows = ancestors(t, t.nodes.filter(F.array_contains("classes", "stretched-link")), some_class("^(position-relative|card)$")).groupBy("file_id", "node_id", "line", "col").agg(F.max("above").alias("box"))

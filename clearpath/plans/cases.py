@@ -87,6 +87,15 @@ CASES: dict[str, tuple[str, str, int, str]] = {
     "semantics/table-headers": ("html", "<table><tr><td><table><tr><th>x</th></tr></table></td></tr></table>", 1, "<table><tr><th>x</th><td>y</td></tr></table>"),
     "semantics/visual-disabled-non-control": ("html", '<span class="disabled">x</span>', 1, '<span class="disabled" aria-disabled="true">x</span>'),
     "tooltip/dismissable": ("html", '<button title="Save the file">Save</button>', 1, '<button title="Save">Save</button><p title="x">y</p>'),
+    "aria/icon-font-hidden": ("html", '<i class="fa fa-home"></i>', 1, '<i class="fa fa-home" aria-hidden="true"></i><i>fa</i>'),
+    "aria/expanded-on-disclosure": ("html", '<button data-bs-toggle="collapse">x</button>', 1, '<button data-bs-toggle="collapse" aria-expanded="false" aria-controls="c">x</button>'),
+    "aria/role-from-class-only": ("html", '<div class="alert alert-danger">Disk full</div>', 1, '<div class="alert alert-danger" role="alert">Disk full</div><div class="alert">Error: disk full</div>'),
+    "forms/select-onchange-context-change": ("html", '<select onchange="location.href=this.value"></select>', 1, '<select onchange="show(this.value)"></select>'),
+    "semantics/table-th-scope-missing": ("html", "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>", 2, '<table><tr><th scope="col">a</th><th scope="col">b</th></tr><tr><td>1</td><td>2</td></tr></table><table><tr><th>a</th></tr><tr><td>1</td></tr></table>'),
+    "media/img-empty-alt-in-clickable-group": ("html", '<a href="/x"><img alt=""></a>', 1, '<a href="/x"><img alt="">Home</a>'),
+    "media/svg-accessible-name": ("html", "<button><svg></svg></button>", 1, '<button><svg><title>Save</title></svg></button><button aria-label="x"><svg></svg></button>'),
+    "forms/asterisk-required-marker": ("html", '<label for="a">Name *</label><input id="a">', 1, '<label for="a">Name *</label><input id="a" required>'),
+    "pointer/drag-alternative": ("html", '<p draggable="true">x</p>', 1, '<p draggable="true">x</p><button onclick="f()">Move</button>'),
     "color/state-class-color-only": ("css", ".is-error { color: red }", 1, ".is-error { color: red; font-weight: bold }"),
     "contrast/minimum": ("css", "p { color: #777777; background: #fff }", 1, "p { color: #767676; background: #fff } h1 { color: #777; background: #fff; font-size: 24px }"),
     "contrast/enhanced": ("css", ":root { --c: #666 } p { color: var(--c); background: #fff }", 1, "p { color: #595959; background: #fff }"),
