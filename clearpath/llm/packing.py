@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .tokens import encoder, vocabulary
+from .tokens import MAX_CHUNKS, encoder, vocabulary
 
 SEQUENCE, END_ID, CHUNK_SEQUENCES = 2048, 1, 512
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
@@ -64,13 +64,15 @@ def assign(lengths: list[int], capacity: int, bins: int, linear: float = LINEAR,
     return out
 
 
-def pack(documents: DataFrame, vocabulary_path: str, end_id: int = END_ID, capacity: int = SEQUENCE, chunk_sequences: int = CHUNK_SEQUENCES, with_ids: bool = False, remember: bool = True) -> DataFrame:
+def pack(documents: DataFrame, vocabulary_path: str, end_id: int = END_ID, capacity: int = SEQUENCE, chunk_sequences: int = CHUNK_SEQUENCES, with_ids: bool = False, remember: int = MAX_CHUNKS) -> DataFrame:
     """Pieces of all documents; with_ids adds each piece's ids as little-endian
-    unsigned 32-bit integers (column ``ids``). Without ``remember`` a worker forgets the
-    chunks of text that it has met when its task ends, for jobs with more to do after."""
+    unsigned 32-bit integers (column ``ids``). A worker remembers up to ``remember``
+    chunks of text and their ids, within a task only if that is below the default: less
+    memory for more time, which changes no result."""
 
     def run(batches):
         words = encoder(vocabulary_path)
+        words.limit = remember
         end = np.array([end_id], "<u4").tobytes()
         base, made = TaskContext.get().partitionId() << 32, 0
         held: list[tuple[int | None, int, bytes, int]] = []  # id, start, ids, tokens of the document
@@ -109,7 +111,7 @@ def pack(documents: DataFrame, vocabulary_path: str, end_id: int = END_ID, capac
                         yield flush(False)
         while tokens:
             yield flush(tokens < capacity * chunk_sequences)
-        if not remember:
+        if remember < MAX_CHUNKS:
             words.known = {}
 
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA + (", ids binary" if with_ids else ""))

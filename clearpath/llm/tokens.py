@@ -45,6 +45,7 @@ class Encoder:
         self.by_space = before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and normal is None
         self.by_white = before.get("type") == "Sequence" and bool(config["model"].get("end_of_word_suffix")) and [x["type"] for x in normal["normalizers"]] == ["NFC", "Replace", "Lowercase"]
         self.known: dict[str, bytes] = {}
+        self.limit = MAX_CHUNKS
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -60,7 +61,7 @@ class Encoder:
         return out
 
     def _remembered(self, chunks: list[str]) -> list[bytes]:
-        if len(self.known) > MAX_CHUNKS:
+        if len(self.known) > self.limit:
             self.known = {}
         known = self.known
         known[""] = b""

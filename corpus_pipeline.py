@@ -40,7 +40,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens, in the order of the stream's chunks."""
-    return pack(docs, vocabulary("word_bpe_49k.json"), remember=False)
+    return pack(docs, vocabulary("word_bpe_49k.json"), remember=60_000)
 
 
 #: How often the mixing stage repeats a document at most.
