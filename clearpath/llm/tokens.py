@@ -25,7 +25,7 @@ from .common import slices
 NOT_SIMPLE = re.compile("[^\t\n\r -~\xa1-įı-ɏ]")
 #: A space after white space: it may stand inside a piece of white space.
 INNER_SPACE = re.compile("[\t\n\r ] ")
-MAX_CHUNKS, MAX_CHARS = 350_000, 32
+MAX_CHUNKS, MAX_CHARS = 500_000, 32
 PUNCTUATION = ".,;:!?%&$*#|"
 
 _encoders: dict[str, Encoder] = {}
@@ -115,7 +115,7 @@ class Encoder:
                 (cut if simple else whole).append(i)
         for own, way in ((whole, self._library), (cut, self._by_chunks)):
             chosen = [texts[i].lower() if self.by_white and own is cut else texts[i] for i in own]
-            for a, z in slices(chosen, 3_000_000):
+            for a, z in slices(chosen, max(2_000_000, 10 * self.limit)):
                 for i, ids in zip(own[a:z], way(chosen[a:z]), strict=True):
                     out[i] = ids
         return out
