@@ -41,10 +41,15 @@ def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far (not those made with ``keep``). Call it only
-    when every result that was built on them has been written."""
-    while _scratch:
+def scratch_count() -> int:
+    """How many scratch tables there are, for ``release_scratch``."""
+    return len(_scratch)
+
+
+def release_scratch(spark: SparkSession, before: int = 0) -> None:
+    """Delete the scratch tables made so far (not those made with ``keep``, nor the first
+    ``before``). Call it only when every result that was built on them has been written."""
+    while len(_scratch) > before:
         path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -1,8 +1,8 @@
 """Near-duplicate documents: MinHash bands, odd sketches, exact confirmation.
 
-1. Each whole text becomes a set of 3-word shingles; rows with equal sets share a
+1. Each whole text becomes a set of shingles of so many words; rows with equal sets share a
    *node* (128 bits of the set), so copies are grouped once and never paired.
-2. A node has 192 minima in 32 bands and an *odd sketch*: the parities of its
+2. A node has 192 minima in bands (of 6 at 85 %, of 5 at 80 %) and an *odd sketch*: the parities of its
    (place, minimum) samples folded into 1024 bits. The population count of two
    sketches' XOR estimates how many samples differ.
 3. Nodes that share a band key are candidates. The *centre* of a bucket is its most
@@ -28,42 +28,48 @@ are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import materialize, release_scratch, scratch_count, slices, table
 from .components import connected_components
-from .shingles import SKETCH_LONGS, bands, intersections, minhash, odd_sketch, set_key, shingle_sets, sketch_limit
+from .shingles import SKETCH_LONGS, band_rows, bands, intersections, minhash, odd_sketch, set_key, shingle_sets, sketch_limit
 
-PERCENT = 85
+SIZE, PERCENT = 3, 85
+#: What a stage that drops copies calls one: five words and 80 % find a block put in or
+#: cut off, three words and 85 % find scattered changes.
+DROP_MEASURES = ((3, 85), (5, 80))
 #: Sketches that agree with a centre at least to this similarity make one cluster.
 ROUGH = 0.55
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 400_000
 
 
-def _signatures(batches):
-    for batch in batches:
-        ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-        for a, z in slices(texts, 1_000_000):
-            sets = shingle_sets(texts[a:z])
-            nodes, keys, sketches = [], [], []
-            for s in sets:
-                m = minhash(s) if len(s) else None
-                nodes.append(set_key(s) if len(s) else None)
-                keys.append(None if m is None else bands(m))
-                sketches.append(None if m is None else odd_sketch(m))
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(a, z - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "bands", "sketch"],
-            )
-
-
-def signatures(documents: DataFrame) -> DataFrame:
+def signatures(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, node (null for empty sets), band keys and sketch of each row."""
-    return documents.select("doc_id", "text").mapInArrow(_signatures, "doc_id long, n_shingles long, node binary, bands array<long>, sketch array<long>")
+    rows = band_rows(percent / 100)
+
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            for a, z in slices(texts, 1_000_000):
+                sets = shingle_sets(texts[a:z], size)
+                nodes, keys, sketches = [], [], []
+                for s in sets:
+                    m = minhash(s) if len(s) else None
+                    nodes.append(set_key(s) if len(s) else None)
+                    keys.append(None if m is None else bands(m, rows))
+                    sketches.append(None if m is None else odd_sketch(m))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(a, z - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "node", "bands", "sketch"],
+                )
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, bands array<long>, sketch array<long>")
 
 
 def differing(a: str, b: str) -> F.Column:
@@ -74,13 +80,16 @@ def differing(a: str, b: str) -> F.Column:
     return total
 
 
-def _shingles(batches):
-    for batch in batches:
-        node, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-        for a, z in slices(texts, 1_000_000):
-            sets = shingle_sets(texts[a:z])
-            keep = [(n, s.tobytes()) for n, s in zip(node[a:z], sets, strict=True) if len(s) and set_key(s) == n]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.binary()), pa.array([k[1] for k in keep], pa.binary())], names=["node", "shingles"])
+def _shingles(size: int):
+    def run(batches):
+        for batch in batches:
+            node, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for a, z in slices(texts, 1_000_000):
+                sets = shingle_sets(texts[a:z], size)
+                keep = [(n, s.tobytes()) for n, s in zip(node[a:z], sets, strict=True) if len(s) and set_key(s) == n]
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.binary()), pa.array([k[1] for k in keep], pa.binary())], names=["node", "shingles"])
+
+    return run
 
 
 def _jaccard(batches):
@@ -156,7 +165,7 @@ def candidate_buckets(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialize(keys.join(size, "key").select("key", "node", "size"), "buckets"), size
 
 
-def links(documents: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+def links(documents: DataFrame, nodes: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
     """Exact links (a, b) between nodes that give their components. ``nodes``: node,
     rep (an id of one of its rows), n_shingles, bands, sketch."""
     bucket, _ = candidate_buckets(nodes)
@@ -182,7 +191,7 @@ def links(documents: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> Dat
     asked = star.unionByName(apart)
     asked = asked.select(F.col("a").alias("node")).unionByName(asked.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "rep"), "node")
     texts = documents.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-    sets = materialize(texts.mapInArrow(_shingles, "node binary, shingles binary").dropDuplicates(["node"]), "sets")
+    sets = materialize(texts.mapInArrow(_shingles(size), "node binary, shingles binary").dropDuplicates(["node"]), "sets")
 
     exact = lambda pairs: compare(pairs, sets).withColumn("linked", 100 * F.col("both") >= percent * F.col("either")).select("a", "b", "linked")
     stars = materialize(exact(star), "stars")
@@ -193,11 +202,11 @@ def links(documents: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> Dat
     return found
 
 
-def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(documents: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``documents``."""
-    signed = materialize(signatures(documents), "signatures")
+    signed = materialize(signatures(documents, size, percent), "signatures")
     nodes = materialize(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "nodes")
-    root = connected_components(links(documents, nodes, percent))
+    root = connected_components(links(documents, nodes, percent, size))
     own = nodes.select("node", "rep").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = own.groupBy("root").agg(F.min("rep").alias("component"))
     component = own.join(least, "root").select("node", "component")
@@ -206,12 +215,18 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one of smallest id, with its own columns.
-    Rows without an id cannot be named by a decision and stay; of rows equal in id
-    and text one stays."""
-    gone = near_duplicates(documents, percent).filter("not kept").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*documents.columns)
+def drop_near_duplicates(documents: DataFrame, measures: tuple[tuple[int, int], ...] = DROP_MEASURES) -> DataFrame:
+    """The documents that are no copy of one with a smaller id by any of the ``measures``
+    (words of a shingle, percent), with their own columns. Each measure is taken on all
+    of ``documents``, and its scratch tables go before the next. Rows without an id
+    cannot be named by a decision and stay; of rows equal in id and text one stays."""
+    spark, gone = documents.sparkSession, []
+    for size, percent in measures:
+        before = scratch_count()
+        gone.append(materialize(near_duplicates(documents, percent, size).filter("not kept").select("doc_id").distinct(), "gone", keep=True))
+        release_scratch(spark, before)
+    ids = reduce(DataFrame.unionByName, gone).distinct()
+    return documents.join(ids, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*documents.columns)
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

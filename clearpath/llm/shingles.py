@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SIZE = 3
-BANDS, ROWS = 32, 6
-HASHES = BANDS * ROWS
+HASHES = 192
 SKETCH_BITS = 1024
 SKETCH_LONGS = SKETCH_BITS // 64
 
@@ -15,6 +13,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _P = _U(0x9E3779B97F4A7C15)
 _A, _B, _C = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0xD6E8FEB86659FD93)
+#: Chance that a pair at the limit shares no band.
+MISSED = 3e-7
 _rng = np.random.default_rng(20240229)
 _MULT = _rng.integers(1, 2**32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -27,9 +27,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """For each text the sorted distinct 64-bit hashes of its 3-word shingles (A-Z
-    lower-cased); one hash of the whole sequence if it has one or two words."""
+def multipliers(size: int) -> list[np.uint64]:
+    """An odd factor for each word of a shingle."""
+    return ([_A, _B, _C] + [_U(int(x) | 1) for x in mix(np.arange(3, max(3, size), dtype=np.uint64) * _P)])[:size]
+
+
+def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles of ``size`` words
+    (A-Z lower-cased); one hash of the whole sequence if it has fewer words."""
     parts = [t.encode("utf-8", "surrogatepass").lower() for t in texts]  # bytes.lower changes A-Z only
     b = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     text_starts = np.cumsum([0] + [len(p) + 1 for p in parts])
@@ -45,15 +50,15 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     powers = np.cumprod(np.full(int(lengths.max()), _P))
     h = mix(np.add.reduceat((b[~space].astype(np.uint64) + _U(1)) * powers[place], offsets) + lengths.astype(np.uint64))
     first = np.searchsorted(starts, text_starts)
-    triple = mix(h[:-2] * _A + h[1:-1] * _B + h[2:] * _C) if len(h) > 2 else none
+    factors = multipliers(size)
+    total = lambda x, n, count: sum((x[i : i + count] * factors[i] for i in range(n)), np.zeros(count, np.uint64))
+    shingle = mix(total(h, size, len(h) - size + 1)) if len(h) >= size else none
     out = []
     for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if z - a >= SIZE:
-            out.append(np.unique(triple[a : z - 2]))
-        elif z - a == 2:
-            out.append(mix(h[a : a + 1] * _A + h[a + 1 : z] * _B + _U(2)))
+        if z - a >= size:
+            out.append(np.unique(shingle[a : z - size + 1]))
         else:
-            out.append(mix(h[a:z] * _A + _U(1)))
+            out.append(mix(total(h[a:z], z - a, 1) + _U(z - a)) if z > a else none)
     return out
 
 
@@ -71,12 +76,19 @@ def minhash(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(m: np.ndarray) -> np.ndarray:
-    """One 64-bit key a band; keys of different bands differ."""
-    rows = m.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for i in range(ROWS):
-        key = mix(key * _P + rows[:, i])
+def band_rows(similarity: float) -> int:
+    """Minima a band: as many as leave a pair of this similarity without a shared band
+    with probability MISSED at most."""
+    return max([1, *(r for r in range(1, HASHES + 1) if (1 - similarity**r) ** (HASHES // r) <= MISSED)])
+
+
+def bands(m: np.ndarray, rows: int) -> np.ndarray:
+    """One 64-bit key a band of ``rows`` minima; keys of different bands differ."""
+    n = len(m) // rows
+    x = m[: n * rows].reshape(n, rows).astype(np.uint64)
+    key = np.arange(n, dtype=np.uint64)
+    for i in range(rows):
+        key = mix(key * _P + x[:, i])
     return key.view(np.int64)
 
 

@@ -27,7 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of smallest id goes on."""
+    """Documents that are no near-duplicate of one with a smaller id go on, by shingles of
+    three words and 85 % and by shingles of five words and 80 %."""
     return drop_near_duplicates(docs)
 
 
