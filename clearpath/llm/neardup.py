@@ -49,8 +49,14 @@ ROUGH = 0.55
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 400_000
 
 
+def text_key(text: F.Column | str) -> F.Column:
+    """Names a text: with the id, the rows that a decision is about."""
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
 def signatures(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, node (null for empty sets), band keys and sketch of each row."""
+    """doc_id, a key of the text, n_shingles, node (null for empty sets), band keys and
+    sketch of each row."""
     rows = band_rows(percent / 100)
 
     def run(batches):
@@ -65,11 +71,11 @@ def signatures(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -
                     keys.append(None if m is None else bands(m, rows))
                     sketches.append(None if m is None else odd_sketch(m))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, z - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "node", "bands", "sketch"],
+                    [ids.slice(a, z - a), batch.column(2).slice(a, z - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                    names=["doc_id", "text_key", "n_shingles", "node", "bands", "sketch"],
                 )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node binary, bands array<long>, sketch array<long>")
+    return documents.select("doc_id", "text", text_key("text")).mapInArrow(run, "doc_id long, text_key string, n_shingles long, node binary, bands array<long>, sketch array<long>")
 
 
 def differing(a: str, b: str) -> F.Column:
@@ -202,31 +208,38 @@ def links(documents: DataFrame, nodes: DataFrame, percent: int = PERCENT, size:
     return found
 
 
-def near_duplicates(documents: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``documents``."""
+def decisions(documents: DataFrame, percent: int, size: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id and kept of every row of ``documents``."""
     signed = materialize(signatures(documents, size, percent), "signatures")
     nodes = materialize(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "nodes")
     root = connected_components(links(documents, nodes, percent, size))
     own = nodes.select("node", "rep").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = own.groupBy("root").agg(F.min("rep").alias("component"))
     component = own.join(least, "root").select("node", "component")
-    out = signed.select("doc_id", "n_shingles", "node").join(component, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    out = signed.select("doc_id", "text_key", "n_shingles", "node").join(component, "node", "left")
+    out = out.select("doc_id", "text_key", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def near_duplicates(documents: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``documents``."""
+    return decisions(documents, percent, size).drop("text_key")
+
+
 def drop_near_duplicates(documents: DataFrame, measures: tuple[tuple[int, int], ...] = DROP_MEASURES) -> DataFrame:
     """The documents that are no copy of one with a smaller id by any of the ``measures``
     (words of a shingle, percent), with their own columns. Each measure is taken on all
-    of ``documents``, and its scratch tables go before the next. Rows without an id
+    of ``documents``, and its scratch tables go before the next. A decision is about an
+    id and a text, so another text under the same id has its own. Rows without an id
     cannot be named by a decision and stay; of rows equal in id and text one stays."""
     spark, gone = documents.sparkSession, []
     for size, percent in measures:
         before = scratch_count()
-        gone.append(materialize(near_duplicates(documents, percent, size).filter("not kept").select("doc_id").distinct(), "gone", keep=True))
+        gone.append(materialize(decisions(documents, percent, size).filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "gone", keep=True))
         release_scratch(spark, before)
-    ids = reduce(DataFrame.unionByName, gone).distinct()
-    return documents.join(ids, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*documents.columns)
+    rows = reduce(DataFrame.unionByName, gone).distinct()
+    same = (documents["doc_id"] == rows["gone_id"]) & (text_key(documents["text"]) == rows["gone_key"])
+    return documents.join(rows, same, "left_anti").dropDuplicates(["doc_id", "text"]).select(*documents.columns)
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,3 +67,10 @@ def test_a_pair_at_the_limit_shares_a_band():
     for percent in (50, 70, 80, 85, 95):
         r = band_rows(percent / 100)
         assert (1 - (percent / 100) ** r) ** (HASHES // r) <= 3e-7
+
+
+def test_another_text_under_the_id_of_a_copy_stays(spark):
+    rows = [(1, "a b c d e f g"), (2, "A b  c d e f g"), (2, "no other row has this text"), (3, "a b c d e f g"), (3, None), (3, ""), (4, "no other row has this text")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, gone_id string")
+    got = sorted(((r.doc_id, r.text) for r in drop_near_duplicates(df).collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
