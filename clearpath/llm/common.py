@@ -6,23 +6,28 @@ import re
 import tempfile
 import uuid
 import zlib
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 _own_roots: dict[str, str] = {}
-_scratch: list[str] = []
+_made: ContextVar[list[str] | None] = ContextVar("scratch tables of the innermost scope", default=None)
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where it
-    is set; otherwise (local runs and tests) a temporary folder of this application."""
+    is set; otherwise, in local mode only, a temporary folder of this application."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/") + "/clearpath"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_roots:
         _own_roots[app] = tempfile.mkdtemp(prefix="clearpath-")
@@ -33,25 +38,46 @@ def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and return a scan of it.
 
     This cuts the lineage: a lost executor costs a re-read of committed files, and
-    what reads the table later sees columns pruned and filters pushed down."""
+    what reads the table later sees columns pruned and filters pushed down. Within
+    ``scratch_tables`` the table goes at the end of the scope, unless it is to be kept."""
     path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not keep:
-        _scratch.append(path)
+    made = _made.get()
+    if made is not None and not keep:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def scratch_count() -> int:
-    """How many scratch tables there are, for ``release_scratch``."""
-    return len(_scratch)
-
-
-def release_scratch(spark: SparkSession, before: int = 0) -> None:
-    """Delete the scratch tables made so far (not those made with ``keep``, nor the first
-    ``before``). Call it only when every result that was built on them has been written."""
-    while len(_scratch) > before:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def scratch_tables(spark: SparkSession):
+    """Scratch tables made inside, and by no other caller, are deleted at the end: write
+    every result that rests on them before."""
+    made: list[str] = []
+    outer = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(outer)
+        for name in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def text_key(text: Column | str) -> Column:
+    """Names a text, for decisions and samples that are about rows rather than ids."""
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def hash_sample(rows: DataFrame, key: str, by: str, limit: int) -> DataFrame:
+    """``rows`` with the ``limit`` smallest ``key`` (lower-case hex of a uniform hash, no
+    two alike) of each value of ``by``; null is no value. A share of the keys that holds
+    a little more than ``limit`` rows, by the rows counted, is taken before the ranks, so
+    the ranking tasks get no more than that however many tasks read the table."""
+    count = rows.filter(F.col(by).isNotNull()).groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
+    place = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / 2.0**32
+    some = rows.join(count, F.col(by) == F.col("_by")).filter(place < (limit + 8 * limit**0.5 + 50) / F.col("_n"))
+    order = Window.partitionBy("_by").orderBy(key)
+    return some.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit).drop("_by", "_n", "_rank")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

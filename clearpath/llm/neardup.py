@@ -11,8 +11,8 @@
    their centre. Members that are not linked to it are compared exactly with the
    whole cluster, in blocks: products of 0/1 matrices, of which only links that join
    parts leave the block. So a group of copies makes one comparison a member.
-4. Nodes of different clusters that share a bucket are compared if their sketches
-   allow the similarity.
+4. In buckets of several clusters, nodes of different ones are compared if their
+   sketches allow the similarity; nodes of one cluster are never paired there.
 5. Links (100 * intersection >= percent * union, on full sets) give components.
 
 A pair at the limit shares no band with probability 3e-7, and fails the sketch test
@@ -28,15 +28,13 @@ are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release_scratch, scratch_count, slices, table
+from .common import materialize, scratch_tables, slices, table, text_key
 from .components import connected_components
 from .shingles import SKETCH_LONGS, band_rows, bands, intersections, minhash, odd_sketch, set_key, shingle_sets, sketch_limit
 
@@ -47,11 +45,8 @@ DROP_MEASURES = ((3, 85), (5, 80))
 #: Sketches that agree with a centre at least to this similarity make one cluster.
 ROUGH = 0.55
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 400_000
-
-
-def text_key(text: F.Column | str) -> F.Column:
-    """Names a text: with the id, the rows that a decision is about."""
-    return F.md5(F.coalesce(text, F.lit("")))
+#: Characters of text that a worker takes at a time.
+SLICE = 300_000
 
 
 def signatures(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -62,7 +57,7 @@ def signatures(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for a, z in slices(texts, 1_000_000):
+            for a, z in slices(texts, SLICE):
                 sets = shingle_sets(texts[a:z], size)
                 nodes, keys, sketches = [], [], []
                 for s in sets:
@@ -90,7 +85,7 @@ def _shingles(size: int):
     def run(batches):
         for batch in batches:
             node, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, z in slices(texts, 1_000_000):
+            for a, z in slices(texts, SLICE):
                 sets = shingle_sets(texts[a:z], size)
                 keep = [(n, s.tobytes()) for n, s in zip(node[a:z], sets, strict=True) if len(s) and set_key(s) == n]
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.binary()), pa.array([k[1] for k in keep], pa.binary())], names=["node", "shingles"])
@@ -111,10 +106,13 @@ def _jaccard(batches):
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact sizes of intersection and union for pairs (a, b) of nodes."""
+    """Exact sizes of intersection and union for pairs (a, b) of nodes. Where many pairs
+    have one b, its set goes to a group of BLOCK_ROWS of them at a time."""
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts")).filter("parts > 1")
+    dealt = pairs.select("a", "b").join(many, "b", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.abs(F.xxhash64("a") % 1_000_003) % F.col("parts")).cast("int"))
+    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(many, "b", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    rows = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    rows = dealt.join(x, "a").join(y, ["b", "part"]).select("a", "b", "x", "y")
     return rows.mapInArrow(_jaccard, "a binary, b binary, both long, either long")
 
 
@@ -137,19 +135,20 @@ def forest(left: list, right: list, linked: np.ndarray) -> list[tuple]:
     return out
 
 
-def blocks(members: DataFrame, percent: int) -> DataFrame:
-    """``members`` (cluster, node, shingles, linked): links between members that are
-    not linked to their centre and all members of their cluster."""
+def blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``members`` (cluster, node, n_shingles, linked): links between members that are
+    not linked to their centre and all members of their cluster. Slim rows are dealt
+    into blocks; sets join them only then, by node."""
+    odd_only = lambda x: F.sum(F.when(~F.col("linked"), x).otherwise(0))
     size = members.groupBy("cluster").agg(
-        F.sum(F.when(~F.col("linked"), 1).otherwise(0)).alias("odd"), F.sum(F.when(~F.col("linked"), F.octet_length("shingles") / 8).otherwise(0)).alias("odd_size"),
-        F.count("*").alias("all"), F.sum(F.octet_length("shingles") / 8).alias("all_size"),
+        odd_only(F.lit(1)).alias("odd"), odd_only(F.col("n_shingles")).alias("odd_size"), F.count("*").alias("all"), F.sum("n_shingles").alias("all_size"),
     ).filter("odd > 0")
     parts = lambda n, s: F.greatest(F.ceil(F.col(n) / BLOCK_ROWS), F.ceil(F.col(s) / BLOCK_SHINGLES)).cast("int")
     size = size.select("cluster", parts("odd", "odd_size").alias("odd_parts"), parts("all", "all_size").alias("all_parts"))
     m = members.join(size, "cluster").withColumn("h", F.abs(F.xxhash64("node") % 1_000_003))
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    odd = m.filter("not linked").select("cluster", (F.col("h") % F.col("odd_parts")).cast("int").alias("i"), span("all_parts").alias("j"), "node", "shingles", F.lit(True).alias("is_odd"))
-    every = m.select("cluster", span("odd_parts").alias("i"), (F.col("h") % F.col("all_parts")).cast("int").alias("j"), "node", "shingles", F.lit(False).alias("is_odd"))
+    odd = m.filter("not linked").select("cluster", (F.col("h") % F.col("odd_parts")).cast("int").alias("i"), span("all_parts").alias("j"), "node", F.lit(True).alias("is_odd"))
+    every = m.select("cluster", span("odd_parts").alias("i"), (F.col("h") % F.col("all_parts")).cast("int").alias("j"), "node", F.lit(False).alias("is_odd"))
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows["is_odd"]], rows[~rows["is_odd"]]
@@ -161,7 +160,7 @@ def blocks(members: DataFrame, percent: int) -> DataFrame:
         links = forest(left["node"].tolist(), right["node"].tolist(), 100 * both >= percent * either)
         return pd.DataFrame(links, columns=["a", "b"])
 
-    return odd.unionByName(every).groupBy("cluster", "i", "j").applyInPandas(block, "a binary, b binary")
+    return odd.unionByName(every).join(sets, "node").groupBy("cluster", "i", "j").applyInPandas(block, "a binary, b binary")
 
 
 def candidate_buckets(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -186,60 +185,80 @@ def links(documents: DataFrame, nodes: DataFrame, percent: int = PERCENT, size:
     # A node without a near centre is a cluster of its own.
     clusters = materialize(popular.select("node", "sketch", "n_shingles").join(best, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")), "clusters")
 
+    # Pairs of different clusters: within a bucket its clusters are paired first, so
+    # members of one cluster never meet here, and most buckets have one cluster only.
     limit = sketch_limit(percent / 100, 5)
-    side = lambda p: bucket.select("key", "node").join(clusters, "node").select("key", *(F.col(x).alias(f"{p}_{x}") for x in ("node", "cluster", "sketch", "n_shingles")))
-    alike = (F.col("a_cluster") != F.col("b_cluster")) & (F.col("a_node") < F.col("b_node")) & (100 * F.least("a_n_shingles", "b_n_shingles") >= percent * F.greatest("a_n_shingles", "b_n_shingles"))
-    apart = side("a").join(side("b"), "key").filter(alike & (differing("a_sketch", "b_sketch") <= limit))
+    placed = bucket.select("key", "node").join(clusters.select("node", "cluster"), "node")
+    mixed = placed.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).filter("low <> high").select("key")
+    placed = materialize(placed.join(mixed, "key"), "mixed-buckets")
+    kinds = placed.select("key", "cluster").distinct()
+    both = kinds.withColumnRenamed("cluster", "a_cluster").join(kinds.withColumnRenamed("cluster", "b_cluster"), "key").filter("a_cluster < b_cluster")
+    about = clusters.select("node", "sketch", "n_shingles")
+    side = lambda p: placed.join(about, "node").select("key", F.col("cluster").alias(f"{p}_cluster"), *(F.col(x).alias(f"{p}_{x}") for x in ("node", "sketch", "n_shingles")))
+    alike = 100 * F.least("a_n_shingles", "b_n_shingles") >= percent * F.greatest("a_n_shingles", "b_n_shingles")
+    apart = both.join(side("a"), ["key", "a_cluster"]).join(side("b"), ["key", "b_cluster"]).filter(alike & (differing("a_sketch", "b_sketch") <= limit))
     apart = materialize(apart.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "apart")
     star = clusters.filter("node <> cluster").select(F.col("node").alias("a"), F.col("cluster").alias("b"))
 
     # Whole sets of the nodes in question, from their representatives' whole texts.
     asked = star.unionByName(apart)
     asked = asked.select(F.col("a").alias("node")).unionByName(asked.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "rep"), "node")
-    texts = documents.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+    texts = documents.select("doc_id", "text", text_key("text").alias("key")).join(asked, F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("key") == F.col("rep.text_key"))).select("node", "text")
     sets = materialize(texts.mapInArrow(_shingles(size), "node binary, shingles binary").dropDuplicates(["node"]), "sets")
 
     exact = lambda pairs: compare(pairs, sets).withColumn("linked", 100 * F.col("both") >= percent * F.col("either")).select("a", "b", "linked")
     stars = materialize(exact(star), "stars")
     members = stars.select(F.col("b").alias("cluster"), F.col("a").alias("node"), "linked")
     centres = members.groupBy("cluster").agg(F.bool_and("linked").alias("done")).filter("not done").select("cluster")
-    open_ = members.unionByName(centres.select("cluster", F.col("cluster").alias("node"), F.lit(True).alias("linked"))).join(centres, "cluster", "left_semi").join(sets, "node")
-    found = stars.filter("linked").select("a", "b").unionByName(exact(apart).filter("linked").select("a", "b")).unionByName(blocks(open_, percent))
-    return found
+    open_ = members.unionByName(centres.select("cluster", F.col("cluster").alias("node"), F.lit(True).alias("linked"))).join(centres, "cluster", "left_semi").join(nodes.select("node", "n_shingles"), "node")
+    return stars.filter("linked").select("a", "b").unionByName(exact(apart).filter("linked").select("a", "b")).unionByName(blocks(open_, sets, percent))
+
+
+def without(rows: DataFrame, gone: DataFrame | None, key: str = "text_key") -> DataFrame:
+    """``rows`` (doc_id, ``key``) that are not in ``gone`` (_gone_id, _gone_key)."""
+    if gone is None:
+        return rows
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col(key) == F.col("_gone_key")), "left_anti")
 
 
-def decisions(documents: DataFrame, percent: int, size: int) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id and kept of every row of ``documents``."""
-    signed = materialize(signatures(documents, size, percent), "signatures")
-    nodes = materialize(signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "nodes")
+def decisions(documents: DataFrame, percent: int, size: int, gone: DataFrame | None = None) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id, kept and first (the component's row
+    that sorts first by id, nulls last, and text) of every row of ``documents`` that is
+    not ``gone``. Those leave after their signatures are made: slim rows meet then."""
+    signed = materialize(without(signatures(documents, size, percent), gone), "signatures")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    nodes = materialize(signed.filter("node is not null").groupBy("node").agg(F.min(row).alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "nodes")
     root = connected_components(links(documents, nodes, percent, size))
     own = nodes.select("node", "rep").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = own.groupBy("root").agg(F.min("rep").alias("component"))
-    component = own.join(least, "root").select("node", "component")
+    least = own.groupBy("root").agg(F.min("rep").alias("first"))
+    component = own.join(least, "root").select("node", "first")
     out = signed.select("doc_id", "text_key", "n_shingles", "node").join(component, "node", "left")
-    out = out.select("doc_id", "text_key", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    out = out.select("doc_id", "text_key", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), "first")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_duplicates(documents: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``documents``."""
-    return decisions(documents, percent, size).drop("text_key")
+    return decisions(documents, percent, size).drop("text_key", "first")
 
 
 def drop_near_duplicates(documents: DataFrame, measures: tuple[tuple[int, int], ...] = DROP_MEASURES) -> DataFrame:
-    """The documents that are no copy of one with a smaller id by any of the ``measures``
-    (words of a shingle, percent), with their own columns. Each measure is taken on all
-    of ``documents``, and its scratch tables go before the next. A decision is about an
-    id and a text, so another text under the same id has its own. Rows without an id
-    cannot be named by a decision and stay; of rows equal in id and text one stays."""
-    spark, gone = documents.sparkSession, []
+    """One document of each group of near-duplicates, with its own columns: the first by
+    id (nulls last) and text. The ``measures`` (words of a shingle, percent) are taken one
+    after the other, each on what the ones before left; the scratch tables of one go
+    before the next. A decision is about an id and a text, so another text under the same
+    id has its own. Rows without an id cannot be named by a decision and stay, but of rows
+    equal in id and text one stays. Empty texts are no copies, unless they have one id.
+    Columns of ``documents`` must not begin with an underscore as the internal ones do."""
+    spark, gone = documents.sparkSession, None
     for size, percent in measures:
-        before = scratch_count()
-        gone.append(materialize(decisions(documents, percent, size).filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "gone", keep=True))
-        release_scratch(spark, before)
-    rows = reduce(DataFrame.unionByName, gone).distinct()
-    same = (documents["doc_id"] == rows["gone_id"]) & (text_key(documents["text"]) == rows["gone_key"])
-    return documents.join(rows, same, "left_anti").dropDuplicates(["doc_id", "text"]).select(*documents.columns)
+        with scratch_tables(spark):
+            rows = decisions(documents, percent, size, gone).filter("doc_id is not null and first is not null and not (doc_id <=> first.doc_id and text_key = first.text_key)")
+            rows = rows.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+            gone = materialize(rows if gone is None else rows.unionByName(gone), "gone", keep=True)
+    # The anti-join leaves rows by id and text, so the last step needs no shuffle of its own.
+    left = without(documents.withColumn("_text_key", text_key("text")), gone, "_text_key")
+    return left.dropDuplicates(["doc_id", "_text_key"]).select(*documents.columns)
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

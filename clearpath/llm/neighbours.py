@@ -2,18 +2,23 @@
 
 The nearness is the largest inner product. Vectors get one more coordinate that makes
 all lengths equal (the longest vector's; a query's is zero), and are padded to a power
-of two, so that nearness is an angle. Each of ``tables`` applies a pseudo-rotation,
-three rounds of random signs and a fast Hadamard transform, and hashes a vector to the
-signed axis nearest to it. In each table a query probes the axes nearest to it: at
-least ``probes``, and on until their cells hold ``reach`` vectors. The vectors there
-are reranked exactly, in double precision, on the original components.
-
-Scale: vectors meet only the queries that probe their cell, by an equi-join on (table,
-cell); a cell's vectors and queries are dealt into groups of at most ``GROUP`` of each,
-by the sizes counted before, so a cell with a third of all vectors spreads over many
-tasks. A group is a product of two small matrices, of which each query's ``k`` best
-leave. The driver sees the longest vector's length, the dimension, and the sizes of
-cells: tables * 2 * padded dimension numbers, whatever the input.
+of two, so that nearness is an angle. Each of ``tables`` hashes a vector by two
+pseudo-rotations (each three rounds of random signs and a fast Hadamard transform): its
+*cell* is the pair of signed axes nearest to it, one of 4 * padded dimension**2. A query
+scores a cell by the sum of its products with the cell's two axes, and probes the cells
+in that order down to a limit, set so that they hold a share of all vectors which
+falls with the cube root of their number. The limit is a quantile over ``SAMPLE`` cells
+drawn by their sizes; every vector is indexed. The vectors of the probed cells are
+reranked exactly, in double precision, on the original components.
+
+Scale: cells, in order and cut by the sizes counted before, make *regions* of ``GROUP``
+vectors, so a cell with a third of all vectors spreads over many tasks and small ones
+share one. A vector goes to one region a table, a query once to each region that holds
+probed cells, whatever their number; within a region only probed cells are reranked.
+Queries of a region are dealt into groups of ``GROUP`` as well. The driver sees the
+longest vector's length, the dimension, and the sizes of cells: a fixed number. Both
+the candidates of a query and the regions it meets grow with the power 2/3 of the
+number of vectors.
 
 Vectors that are null, zero, empty or hold null or non-finite components take no part;
 only vectors of the table's largest dimension do. Null ids take no part. Rows that
@@ -32,7 +37,9 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 K, QUERY_EVERY = 20, 20
-TABLES, PROBES, REACH, GROUP = 8, 20, 512, 2048
+TABLES, GROUP, SAMPLE = 4, 8192, 4096
+#: A table's probes reach SHARE * n**(-1/3) of all n vectors, and LEAST vectors at least.
+SHARE, LEAST = 1.8, 384
 SCHEMA = "query_id long, rank int, vec_id long, score double"
 
 
@@ -89,58 +96,131 @@ def best(query_ids, queries, vec_ids, vectors, k: int) -> pd.DataFrame:
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """vec_id and v (doubles) of the vectors that take part."""
-    v = rows.filter("vec_id is not null and embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    """vec_id and v of the vectors that take part."""
+    v = rows.filter("vec_id is not null and embedding is not null").select("vec_id", F.col("embedding").alias("v"))
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     return v.filter((F.size("v") > 0) & fine & F.exists("v", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int = TABLES, probes: int = PROBES, reach: int = REACH) -> DataFrame:
+def cell_axes(x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nearness of the rows to the axes of the two rotations of table t."""
+    return axes(x, 2 * t), axes(x, 2 * t + 1)
+
+
+def cells(x: np.ndarray, t: int) -> np.ndarray:
+    first, second = cell_axes(x, t)
+    return first.argmax(axis=1) * first.shape[1] + second.argmax(axis=1)
+
+
+class Index:
+    """Sizes of all cells, the regions they lie in, and where queries stop probing."""
+
+    def __init__(self, sizes: np.ndarray, longest: float, group: int = GROUP, share: float = SHARE, least: int = LEAST):
+        self.longest, self.side = longest, int(round(sizes.shape[1] ** 0.5))
+        n = int(sizes[0].sum())
+        self.share = min(1.0, max(share * n ** (-1 / 3), least / n)) if n else 1.0
+        after = np.cumsum(sizes, axis=1)
+        self.first = ((after - sizes) // group).astype(np.int32)
+        self.last = (np.maximum(after - 1, after - sizes) // group).astype(np.int32)
+        rnd = np.random.default_rng(1)
+        self.sample = [np.searchsorted(a, rnd.integers(0, a[-1], SAMPLE), "right").astype(np.int32) if a[-1] else np.zeros(1, np.int32) for a in after]
+
+    def limits(self, one: np.ndarray, two: np.ndarray, t: int) -> np.ndarray:
+        """The score down to which each query probes table t."""
+        if self.share >= 1:
+            return np.full(len(one), -np.inf)
+        score = one[:, self.sample[t] // self.side] + two[:, self.sample[t] % self.side]
+        k = max(1, min(score.shape[1], int(np.ceil(self.share * score.shape[1]))))
+        return np.partition(score, -k, axis=1)[:, -k]
+
+    def probed(self, one: np.ndarray, two: np.ndarray, limit: float, t: int) -> np.ndarray:
+        """Regions of table t that hold the cells a query probes."""
+        order = np.argsort(two)
+        count = len(two) - np.searchsorted(two[order], limit - one)  # second axes to probe with each first axis
+        total = int(count.sum())
+        place = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
+        cell = np.repeat(np.arange(len(one)), count) * self.side + order[len(two) - 1 - place]
+        first, last = self.first[t, cell], self.last[t, cell]
+        wide = np.flatnonzero(last > first)
+        return np.unique(np.concatenate([first, *(np.arange(first[i], last[i] + 1) for i in wide)]))
+
+
+def near_in_region(queries: pd.DataFrame, found: pd.DataFrame, t: int, longest: float, k: int) -> pd.DataFrame:
+    """Each query's k best among the vectors of the cells that it probes."""
+    q, q_ids = np.stack(queries["v"].to_numpy()).astype(np.float64), queries["vec_id"].to_numpy()
+    found = found.sort_values("cell", kind="stable")
+    v, v_ids, cell = np.stack(found["v"].to_numpy()).astype(np.float64), found["vec_id"].to_numpy(), found["cell"].to_numpy()
+    own, start = np.unique(cell, return_index=True)
+    size = np.diff(np.append(start, len(cell)))
+    one, two = cell_axes(lifted(q, longest, True), t)
+    limit, out = queries["limit"].to_numpy(), []
+    for i in range(len(q)):
+        mine = np.flatnonzero(one[i, own // one.shape[1]] + two[i, own % one.shape[1]] >= limit[i])
+        n = size[mine]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[mine], n)
+        if len(at):
+            out.append(best(q_ids[i : i + 1], q[i : i + 1], v_ids[at], v[at], k))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int = TABLES, share: float = SHARE, least: int = LEAST, group: int = GROUP) -> DataFrame:
     """``vectors`` and ``queries``: vec_id, embedding. query_id, rank, vec_id, score."""
     rows = materialize(usable(vectors), "vectors")
-    dim, longest = rows.select(F.size("v").alias("d"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("s")).groupBy("d").agg(F.max("s").alias("s")).orderBy(F.desc("d")).select("d", F.sqrt("s")).first() or (1, 1.0)
+    dim, longest = rows.select(F.size("v").alias("d"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")).alias("s")).groupBy("d").agg(F.max("s").alias("s")).orderBy(F.desc("d")).select("d", F.sqrt("s")).first() or (1, 1.0)
     asked = usable(queries).filter(F.size("v") == dim)
     rows = rows.filter(F.size("v") == dim)
+    kind = rows.schema["v"].dataType.simpleString()
 
     def hashed(batches):
         for batch in batches:
             if len(batch):
-                x = lifted(np.stack(batch["v"].to_numpy()), longest, False)
-                for t in range(tables):
-                    yield pd.DataFrame({"t": t, "cell": axes(x, t).argmax(axis=1), "vec_id": batch["vec_id"]})
+                x = lifted(np.stack(batch["v"].to_numpy()).astype(np.float64), longest, False)
+                yield pd.DataFrame({"vec_id": batch["vec_id"], "v": batch["v"], "cells": list(np.stack([cells(x, t) for t in range(tables)], axis=1).astype(np.int32))})
+
+    stored = materialize(rows.mapInPandas(hashed, f"vec_id long, v {kind}, cells array<int>"), "cells")
+    side = 2 << int(dim).bit_length()
+    sizes = np.zeros((tables, side * side), np.int64)
+    counted = stored.select(F.posexplode("cells").alias("t", "cell")).groupBy("t", "cell").count().toPandas()  # a fixed number of cells
+    sizes[counted["t"], counted["cell"]] = counted["count"]
+    shared = vectors.sparkSession.sparkContext.broadcast(Index(sizes, longest, group, share, least))
+
+    def placed(batches):
+        for batch in batches:
+            index, h = shared.value, batch["h"].to_numpy()
+            for t in range(tables):
+                cell = np.array([c[t] for c in batch["cells"]], np.int64)
+                first = index.first[t, cell]
+                yield pd.DataFrame({"t": t, "region": first + h % (index.last[t, cell] - first + 1), "cell": cell, "limit": 0.0, "vec_id": batch["vec_id"], "v": batch["v"], "is_query": False})
 
     def probing(batches):
         for batch in batches:
-            if len(batch):
-                x = lifted(np.stack(batch["v"].to_numpy()), longest, True)
-                for t in range(tables):
-                    order = np.argsort(-axes(x, t), axis=1, kind="stable")
-                    before = np.cumsum(sizes[t][order], axis=1) - sizes[t][order]
-                    i, j = np.nonzero((before < reach) | (np.arange(order.shape[1]) < probes))
-                    yield pd.DataFrame({"t": t, "cell": order[i, j], "vec_id": batch["vec_id"].to_numpy()[i]})
-
-    kind = "t int, cell int, vec_id long"
-    stored = materialize(rows.mapInPandas(hashed, kind), "cells")
-    sizes = np.zeros((tables, 2 << int(dim).bit_length()), np.int64)
-    for r in stored.groupBy("t", "cell").count().collect():  # a fixed number of cells
-        sizes[r["t"], r["cell"]] = r["count"]
-    probed = materialize(asked.mapInPandas(probing, kind), "probes")
-    parts = lambda n: F.ceil(F.col(n) / GROUP).cast("int")
-    count = lambda d, n: d.groupBy("t", "cell").agg(F.count("*").alias(n))
-    size = count(stored, "n").join(count(probed, "q"), ["t", "cell"]).select("t", "cell", parts("n").alias("n_parts"), parts("q").alias("q_parts"))
-    # One row a (table, cell): tables * 2 * padded dimension, fixed.
-    size = F.broadcast(size)
-    deal = lambda d, own, other, mine, theirs: d.join(size, ["t", "cell"]).select("t", "cell", "vec_id", (F.abs(F.xxhash64("vec_id") % 1_000_003) % F.col(own)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(theirs))
-    left = deal(stored, "n_parts", "q_parts", "i", "j").join(rows, "vec_id").select("t", "cell", "i", "j", "vec_id", "v", F.lit(False).alias("is_query"))
-    right = deal(probed, "q_parts", "n_parts", "j", "i").join(asked, "vec_id").select("t", "cell", "i", "j", "vec_id", "v", F.lit(True).alias("is_query"))
-
-    def rerank(group: pd.DataFrame) -> pd.DataFrame:
+            if not len(batch):
+                continue
+            index, v = shared.value, batch["v"].to_numpy()
+            x = lifted(np.stack(v).astype(np.float64), longest, True)
+            for t in range(tables):
+                one, two = cell_axes(x, t)
+                limit = index.limits(one, two, t)
+                regions = [index.probed(one[i], two[i], limit[i], t) for i in range(len(x))]
+                i = np.repeat(np.arange(len(x)), list(map(len, regions)))
+                yield pd.DataFrame({"t": t, "region": np.concatenate(regions), "cell": 0, "limit": limit[i], "vec_id": batch["vec_id"].to_numpy()[i], "v": v[i], "is_query": True})
+
+    row = f"t int, region int, cell int, limit double, vec_id long, v {kind}, is_query boolean"
+    h = F.abs(F.xxhash64("vec_id", "v") % 1_000_003)
+    left = stored.select("vec_id", "v", "cells", h.alias("h")).mapInPandas(placed, row)
+    right = materialize(asked.mapInPandas(probing, row), "probes")
+    parts = right.groupBy("t", "region").agg(F.ceil(F.count("*") / group).cast("int").alias("parts"))
+    deal = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = left.join(parts, ["t", "region"]).withColumn("part", deal).drop("parts")
+    right = right.join(parts, ["t", "region"]).withColumn("part", (F.abs(F.xxhash64("vec_id") % 1_000_003) % F.col("parts")).cast("int")).drop("parts")
+
+    def rerank(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         q, c = group[group["is_query"]], group[~group["is_query"]]
         if not len(q) or not len(c):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return best(q["vec_id"].to_numpy(), np.stack(q["v"].to_numpy()), c["vec_id"].to_numpy(), np.stack(c["v"].to_numpy()), k)
+        return near_in_region(q, c, int(key[0]), longest, k)
 
-    found = left.unionByName(right).groupBy("t", "cell", "i", "j").applyInPandas(rerank, "query_id long, vec_id long, score double")
+    found = left.unionByName(right).groupBy("t", "region", "part").applyInPandas(rerank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

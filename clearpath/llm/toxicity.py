@@ -1,30 +1,33 @@
 """Toxicity by a subsequence string kernel, Nystroem landmarks and a support vector machine.
 
-The kernel of two words counts their common subsequences of four characters, each
-occurrence weighted ``DECAY`` for every character skipped, within spans of
-``SPAN`` characters; so an insult with inserted characters still meets itself. A word's
-features are the whitened kernel values to landmark words (Nystroem), and a linear
-machine with squared hinge loss separates toxic words from others. Since the kernel is
-a product of explicit subsequence counts, the trained machine folds into one weight a
-subsequence, and scoring a word is a few table look-ups. A sentence scores as its most
-toxic word, a document as its most toxic sentence; that value is calibrated to a
-probability. Words of more than ``WINDOW`` characters are scored in overlapping windows
-of it, and runs of single characters ("a b c d") are scored joined as well.
-
-Labels are of documents: of a toxic one at least one sentence is toxic, and a label may
-be wrong. Witnesses are words that stand in many different contexts (word before, word
-after) of toxic documents of the sample, so words of copied passages are none, and in
-hardly any of clean ones. Each further round adds the words of toxic documents that the machine
-finds toxic, and as negatives the words of clean documents that come closest.
-
-Training set (documented bound): at most ``max_docs`` documents of each label, those
-with the smallest md5 of their id, in a learnable fold. Their words are counted in
-Spark; the driver sees at most ``POSITIVES`` and ``NEGATIVES`` words. Scoring is one
-scan, no shuffle.
-
-Null or empty text, or no word of three characters: the score of the machine's bias.
-Null doc_id: held_out null, never learned from. Repeated rows are scored one by one.
-Without toxic or clean labels every score is 0. Other columns are not read.
+The kernel of two strings counts their common subsequences of four characters, each
+occurrence weighted ``DECAY`` for every character skipped, within spans of ``SPAN``
+characters, over the root of each string's own sum; so an insult with gaps or inserted
+characters, or cut in two by a space, still meets itself. Training items are sentences:
+one of more than ``WINDOW`` characters is all its windows of that many characters, and
+scores as the highest of them; a document scores as its most toxic sentence. Nystroem
+features of an item are its whitened kernel values to landmark items, and a linear
+machine with squared hinge loss separates toxic items from others. Since the kernel is a
+product of explicit subsequence counts, the trained machine folds into one weight a
+subsequence, and scoring a text is table look-ups and sums.
+
+Labels are of documents (multiple instances): in a toxic one at least one sentence is
+toxic, in a clean one none, and a label may be wrong. A first machine, linear in
+contiguous subsequences, weighs each by its standard score between toxic and clean
+documents. Then ``rounds`` times: the ``witnesses`` highest sentences of each document,
+the first one always, are its items (and one any sentence of each clean document), with
+the document's label; toxic ones also with a character put in somewhere; landmarks are
+drawn from the items, and the machine is trained anew. A logistic with both labels of
+equal weight turns the value into a probability.
+
+Training set (documented bound): at most ``max_docs`` distinct texts of each label, those
+of the smallest md5, in a learnable fold; equal texts with both labels are toxic. The
+driver sees a number a subsequence, and the items. Scoring is one scan, no shuffle.
+
+Null or empty text, or one of fewer than four characters: the score of the machine's
+bias. Very long texts are scored whole, in pieces that share no sentence. Null doc_id:
+held_out null, never learned from. Repeated rows are scored one by one. Without toxic or
+without clean labels every score is 0. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,67 +37,66 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import hash_sample, materialize, slices, table, text_key
 
-DECAY, SPAN, WINDOW, BITS = 0.6, 7, 24, 20
-LANDMARKS, ROUNDS, PENALTY, SPOILED = 256, 3, 1e-4, 2
-MAX_DOCS, POSITIVES, NEGATIVES, HARD = 3000, 4000, 16_000, 4000
-#: Contexts that a witness needs: this many, and this share of the toxic documents.
-CONTEXTS, CONTEXT_SHARE = 4, 0.01
+DECAY, SPAN, WINDOW, BITS = 0.6, 7, 16, 20
+LANDMARKS, ROUNDS, WITNESSES, PENALTY, SPOILED = 256, 3, 2, 1e-4, 1
+MAX_DOCS = 3000
+#: Standard score that a subsequence needs to count in the first machine.
+SIGNIFICANT = 2.0
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 _CLASSES = 64
+_MARK = _CLASSES - 1
 _CLASS = np.empty(1 << 16, np.int32)
-_CLASS[:] = 37 + np.arange(1 << 16) % 26  # 63 marks a word's beginning
+_CLASS[:] = 37 + np.arange(1 << 16) % 26
 _CLASS[ord("a") : ord("z") + 1] = np.arange(1, 27)
 _CLASS[ord("0") : ord("9") + 1] = np.arange(27, 37)
+_CLASS[ord(" ")] = _MARK  # white space, and a sentence's beginning
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
-_EDGE = ".,;:!?|%&$*#\"'()[]<>"
+_END = re.compile(r"(?<=[.!?;])\s+|\n\s*")
+_WHITE = re.compile(r"\s+")
 #: Where the four characters may stand behind the first one's place, and the weight.
 PATTERNS = [(a, b, c, DECAY ** (c - 3)) for c in range(3, SPAN) for b in range(2, c) for a in range(1, b)]
 
 
-def clean(word: str) -> str:
-    return word.strip(_EDGE)
+def sentences(text: str) -> str:
+    """Lower-cased sentences, a line each, behind a space each and with single spaces;
+    runs of single characters ("a b c d") stand joined in lines of their own besides."""
+    text = text.lower()
+    joined = ["".join(m.split()) for m in _SPACED.findall(text)]
+    lines = [_WHITE.sub(" ", x).strip() for x in [*_END.split(text), *joined]]
+    return "".join(f" {x}\n" for x in lines if x)
 
 
-def windows(word: str) -> list[str]:
-    if len(word) <= WINDOW:
-        return [word]
-    return [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
-
-
-def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of character classes (0 behind a word's end) behind a mark of the beginning,
-    and lengths with the mark; words of at most WINDOW characters."""
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.zeros((len(words), 1 + max(SPAN, int(size.max(initial=0)))), np.int32)
-    out[:, 0] = _CLASSES - 1
-    out[:, 1:][np.arange(out.shape[1] - 1) < size[:, None]] = _CLASS[np.minimum(flat, 0xFFFF)]
-    return out, size + 1
+def coded(items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of character classes (0 behind an item's end), and lengths."""
+    size = np.fromiter(map(len, items), np.int64, len(items))
+    flat = np.frombuffer("".join(items).encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = np.zeros((len(items), SPAN + int(size.max(initial=0))), np.int32)
+    out[np.arange(out.shape[1]) < size[:, None]] = _CLASS[np.minimum(flat, 0xFFFF)]
+    return out, size
 
 
 def norms(size: np.ndarray) -> np.ndarray:
-    """Root of the sum of squared weights of all occurrences in words of these sizes."""
+    """Root of the sum of squared weights of all occurrences in items of these sizes."""
     total = sum(w * w * np.maximum(0, size - c) for *_, c, w in PATTERNS)
     return np.sqrt(np.maximum(total, 1e-12))
 
 
 def numbered(x: np.ndarray, a: int, b: int, c: int) -> np.ndarray:
-    """Number below 2**BITS of the subsequence at every place of rows of classes."""
-    n = x.shape[1] - c
-    code = ((x[:, :n] * _CLASSES + x[:, a : a + n]) * _CLASSES + x[:, b : b + n]) * _CLASSES + x[:, c:]
+    """Number below 2**BITS of the subsequence at every place of classes (last axis)."""
+    n = x.shape[-1] - c
+    code = ((x[..., :n] * _CLASSES + x[..., a : a + n]) * _CLASSES + x[..., b : b + n]) * _CLASSES + x[..., c:]
     return (code.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
 
 
-def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, subsequence, weight) of all occurrences, weights over the word's norm."""
-    x, size = coded(words)
+def subsequences(items: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, subsequence, weight) of all occurrences, weights over the item's norm."""
+    x, size = coded(items)
     rows, codes, weights = [], [], []
     for a, b, c, w in PATTERNS:
         i, j = np.nonzero(x[:, c:])
@@ -104,66 +106,98 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(codes), np.concatenate(weights)
 
 
-def word_scores(words: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
-    """Value of the folded machine for each word."""
-    parts = [windows(w) for w in words]
-    flat = [p for own in parts for p in own]
-    out = np.full(len(flat), bias)
-    order = np.argsort(np.fromiter(map(len, flat), np.int64, len(flat)), kind="stable")
-    for at in range(0, len(flat), 20_000):
-        own = order[at : at + 20_000]
-        x, size = coded([flat[i] for i in own])
-        total = np.zeros(len(own))
-        for a, b, c, w in PATTERNS:
-            if x.shape[1] > c:
-                total += w * np.where(x[:, c:] > 0, weights[numbered(x, a, b, c)], 0).sum(axis=1)
-        out[own] += total / norms(size)
-    if len(flat) == len(words):
+class Windows:
+    """All windows of the sentences of some texts, as flat arrays."""
+
+    def __init__(self, texts: list[str]):
+        lines = [sentences(t) for t in texts]
+        self.text = "".join(lines)
+        points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.x = _CLASS[np.minimum(points, 0xFFFF)]
+        stop = points == 10
+        self.stop = np.flatnonzero(stop)  # one a sentence
+        self.start = np.append(0, self.stop[:-1] + 1)[: len(self.stop)]
+        self.owner = np.repeat(np.arange(len(texts)), [x.count("\n") for x in lines])
+        self.number = np.cumsum(stop) - stop  # of the sentence at each place; its end is its own
+
+    def values(self, weights: np.ndarray, patterns=PATTERNS) -> np.ndarray:
+        """For each place the value of the window that begins there, -inf where none does."""
+        n = len(self.x)
+        out = np.full(n, -np.inf)
+        if not n:
+            return out
+        size = np.minimum((self.stop - self.start)[self.number], WINDOW)
+        total = np.zeros(n)
+        place = np.arange(n)
+        for c in sorted({p[2] for p in patterns}):
+            if n <= c:
+                continue
+            found = np.zeros(n + 1)
+            for a, b, _, w in (p for p in patterns if p[2] == c):
+                found[1 : n - c + 1] += w * weights[numbered(self.x, a, b, c)]
+            found[1 : n - c + 1] *= self.stop[self.number[: n - c]] > place[: n - c] + c  # within the sentence
+            found = np.cumsum(found)
+            total += found[np.clip(place + size - c, place, n)] - found[:n]
+        begins = (place + size <= self.stop[self.number]) & (size > 0)
+        out[begins] = (total / norms(size))[begins]
         return out
-    starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
-    return np.maximum.reduceat(out, starts)
 
+    def best(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each sentence's highest value and the first place where it stands."""
+        if not len(self.stop):
+            return np.zeros(0), np.zeros(0, np.int64)
+        high = np.maximum.reduceat(values, self.start)
+        at = np.flatnonzero(values == high[self.number])
+        return high, at[np.searchsorted(self.number[at], np.arange(len(high)))]
 
-def document_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words of a batch of texts, and for each text its words' numbers as
-    (flat numbers, starts and end)."""
-    lowered = []
-    for t in texts:
-        t = t.lower()
-        joined = ["".join(m.split()) for m in _SPACED.findall(t)]
-        lowered.append(" ".join([t, *joined]) if joined else t)
-    lists = pc.utf8_split_whitespace(pa.array(lowered, pa.string()))
-    coded_ = lists.values.dictionary_encode()
-    return list(map(clean, coded_.dictionary.to_pylist())), coded_.indices.to_numpy(), lists.offsets.to_numpy()
+    def item(self, at: int) -> str:
+        return self.text[at : min(at + WINDOW, int(self.stop[self.number[at]]))]
 
 
-def document_values(texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
-    """The largest word value of each text."""
-    out = np.full(len(texts), bias)
-    for a, z in slices(texts):
-        words, number, at = document_words(texts[a:z])
-        if len(number):
-            value = np.append(word_scores(words, weights, bias)[number], bias)
-            own = np.maximum.reduceat(value, np.minimum(at[:-1], len(number)))
-            out[a:z] = np.where(np.diff(at) > 0, own, bias)
-    return out
+def item_values(items: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
+    """Value of the folded machine for each item as a whole."""
+    row, code, w = subsequences(items)
+    return np.bincount(row, w * weights[code], minlength=len(items)) + bias
 
 
-def landmark_features(words: list[str], marks: list[str]) -> np.ndarray:
-    """Kernel values of words (rows) to landmarks."""
-    _, m_code, _ = subsequences(marks)
-    columns = np.unique(m_code)
+def pieces(text: str, limit: int = 1_000_000):
+    """A very long text cut at line feeds, or else behind a space, into parts of about
+    ``limit`` characters."""
+    at = 0
+    while len(text) - at > limit:
+        cut = max(text.rfind("\n", at + limit // 2, at + limit), text.rfind(" ", at + limit // 2, at + limit))
+        cut = cut + 1 if cut >= 0 else at + limit
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
 
-    def dense(some: list[str]) -> np.ndarray:
-        row, code, weight = subsequences(some)
-        at = np.minimum(np.searchsorted(columns, code), len(columns) - 1)
-        keep = columns[at] == code
-        x = np.zeros((len(some), len(columns)))
-        np.add.at(x, (row[keep], at[keep]), weight[keep])
-        return x
 
-    z = dense(marks)
-    return np.concatenate([dense(words[i : i + 1000]) @ z.T for i in range(0, len(words), 1000)])
+def document_values(texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
+    """The highest window's value of each text; the bias where it has none."""
+    parts = [(i, p) for i, t in enumerate(texts) for p in pieces(t)]
+    out = np.full(len(texts), -np.inf)
+    for a, z in slices([p for _, p in parts], 500_000):
+        some = Windows([p for _, p in parts[a:z]])
+        high, _ = some.best(some.values(weights))
+        np.maximum.at(out, np.array([i for i, _ in parts[a:z]], np.int64)[some.owner], high)
+    return np.where(np.isfinite(out), out, 0.0) + bias
+
+
+def landmark_features(items: list[str], marks: list[str]) -> np.ndarray:
+    """Kernel values of items (rows) to landmarks."""
+    m_row, m_code, m_weight = subsequences(marks)
+    order = np.argsort(m_code, kind="stable")
+    m_row, m_code, m_weight = m_row[order], m_code[order], m_weight[order]
+    out = []
+    for at in range(0, len(items), 2000):
+        some = items[at : at + 2000]
+        row, code, weight = subsequences(some)
+        first, last = np.searchsorted(m_code, code), np.searchsorted(m_code, code, "right")
+        n = last - first
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)  # all pairs of equal numbers
+        cell = np.repeat(row, n) * len(marks) + m_row[k]
+        out.append(np.bincount(cell, np.repeat(weight, n) * m_weight[k], minlength=len(some) * len(marks)).reshape(-1, len(marks)))
+    return np.concatenate(out) if out else np.zeros((0, len(marks)))
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -182,40 +216,38 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: flo
     return v
 
 
-def spoiled(words: list[str], times: int) -> list[str]:
-    """Words with a character put in somewhere."""
+def spoiled(items: list[str], times: int) -> list[str]:
+    """Items with a character put in somewhere."""
     rnd, out = np.random.default_rng(7), []
-    for w in words * times:
+    for w in items * times:
         at = int(rnd.integers(1, max(2, len(w))))
         out.append(w[:at] + "x.-_1*q"[int(rnd.integers(7))] + w[at:])
     return out
 
 
-def train(positive: list[str], negative: list[str]) -> tuple[np.ndarray, float]:
+def train(positive: list[str], negative: list[str], landmarks: int = LANDMARKS) -> tuple[np.ndarray, float]:
     """Weights of all subsequences, and the bias."""
     rnd = np.random.default_rng(7)
-    own = [w[:WINDOW] for w in positive + spoiled(positive, SPOILED)]  # a spoiled witness stays one
-    marks = list(dict.fromkeys(own[: len(positive)]))
-    marks = [marks[i] for i in rnd.permutation(len(marks))[: LANDMARKS * 2 // 3]]
-    marks += [negative[i][:WINDOW] for i in rnd.permutation(len(negative))[: LANDMARKS // 3]]
-    marks = [m for m in dict.fromkeys(marks) if len(m) >= 3]
+    own = positive + spoiled(positive, SPOILED)
+    marks = [positive[i] for i in rnd.permutation(len(positive))[: landmarks * 2 // 3]] + [negative[i] for i in rnd.permutation(len(negative))[: landmarks // 3]]
+    marks = [m for m in dict.fromkeys(marks) if len(m) >= 4]
     k = landmark_features(marks, marks)
     value, vector = np.linalg.eigh(k)
     keep = value > 1e-8 * value.max()
     white = vector[:, keep] / np.sqrt(value[keep])
-    words = own + [w[:WINDOW] for w in negative]
+    items = own + negative
     y = np.array([1.0] * len(own) + [-1.0] * len(negative))
     weight = np.where(y > 0, 0.5 / len(own), 0.5 / len(negative))
-    v = squared_hinge(landmark_features(words, marks) @ white, y, weight)
+    v = squared_hinge(landmark_features(items, marks) @ white, y, weight)
     beta = white @ v[:-1]
     row, code, w = subsequences(marks)
     return np.bincount(code, beta[row] * w, minlength=1 << BITS), float(v[-1])
 
 
 def platt(value: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic that fits labels to values."""
+    """Slope and offset of the logistic that fits labels to values, both labels of equal weight."""
     x = np.stack([value, np.ones(len(value))], axis=1)
-    weight = np.full(len(value), 1 / max(1, len(value)))
+    weight = np.where(toxic, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (~toxic).sum()))
     target = np.where(toxic, 0.98, 0.02)
     v = np.array([1.0, 0.0])
     for _ in range(50):
@@ -227,17 +259,31 @@ def platt(value: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return float(v[0]), float(v[1])
 
 
-def _words_in_context(batches):
+def _contiguous(batches):
+    """Numbers of documents that hold each contiguous subsequence, by label."""
+    n = np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
-        toxic, texts = (batch.column(i).to_pylist() for i in range(2))
-        for a, z in slices(texts):
-            words, number, at = document_words(texts[a:z])
-            for i in range(z - a):
-                own = number[at[i] : at[i + 1]].astype(np.int64)
-                around = np.concatenate([[-1], own, [-1]])
-                found = {(n, words[p] if p >= 0 else "", words[q] if q >= 0 else "") for n, p, q in zip(own.tolist(), around[:-2].tolist(), around[2:].tolist(), strict=True)}
-                rows = [(w, f"{p} {q}") for n, p, q in found for w in windows(words[n]) if len(w) >= 3]
-                yield pa.RecordBatch.from_arrays([pa.array([toxic[a + i]] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["toxic", "word", "context"])
+        for toxic, text in zip(batch["toxic"], batch["text"], strict=True):
+            seen = []
+            for part in pieces(text):
+                some = Windows([part])
+                if len(some.x) > 3:
+                    place = np.arange(len(some.x) - 3)
+                    seen.append(np.unique(numbered(some.x, 1, 2, 3)[some.stop[some.number[: len(place)]] > place + 3]))
+            if seen:
+                n[int(toxic), np.unique(np.concatenate(seen))] += 1
+    at = np.flatnonzero(n.sum(axis=0))
+    yield pd.DataFrame({"code": at, "toxic": n[1, at], "clean": n[0, at]})
+
+
+def first_machine(sample: DataFrame, toxic: int, clean: int) -> np.ndarray:
+    """Standard scores of the contiguous subsequences that tell toxic from clean documents."""
+    n = sample.mapInPandas(_contiguous, "code int, toxic long, clean long").groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toPandas()  # 2**BITS rows at most
+    p1, p0, p = (n["toxic"] + 0.5) / (toxic + 1), (n["clean"] + 0.5) / (clean + 1), (n["toxic"] + n["clean"] + 1) / (toxic + clean + 2)
+    z = (p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / toxic + 1 / clean))
+    out = np.zeros(1 << BITS)
+    out[n["code"]] = np.where(np.abs(z) > SIGNIFICANT, z, 0)
+    return out
 
 
 class Machine:
@@ -249,49 +295,58 @@ class Machine:
         return np.round(1 / (1 + np.exp(-np.clip(self.slope * value + self.offset, -30, 30))), 9)
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Machine | None:
+def _witnesses(weights: np.ndarray, patterns: list, witnesses: int):
+    """Highest sentences of each document and, of clean ones, any one (kind 1)."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for key, toxic, text in zip(batch["text_key"], batch["toxic"], batch["text"], strict=True):
+                found: dict[str, float] = {}
+                for part in pieces(text):
+                    some = Windows([part])
+                    high, at = some.best(some.values(weights, patterns))
+                    for i in np.argsort(-high, kind="stable")[:witnesses]:
+                        item = some.item(at[i])
+                        found[item] = max(found.get(item, -np.inf), float(high[i]))
+                    if len(at) and not toxic:
+                        i = int(key[:8], 16) % len(at)
+                        begin = int(some.start[i])
+                        rows.append((key, toxic, 1, 0.0, some.item(begin)))
+                rows += [(key, toxic, 0, value, item) for item, value in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:witnesses]]
+            yield pd.DataFrame(rows, columns=["text_key", "toxic", "kind", "value", "item"])
+
+    return run
+
+
+def fit(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, rounds: int = ROUNDS, witnesses: int = WITNESSES, landmarks: int = LANDMARKS) -> Machine | None:
     """``documents``: doc_id, text of rows that may be learned from."""
     ids = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = ids.join(documents.filter("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
-    order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")]
-    chosen = [ids.filter(F.col("toxic") == y).orderBy(*order).limit(max_docs) for y in (0, 1)]
-    spark = documents.sparkSession
-    chosen = spark.createDataFrame(pd.concat([c.toPandas() for c in chosen]), "doc_id long, toxic int")  # at most 2 * max_docs ids
-    sample = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"])
-    sample = materialize(sample.select("toxic", "text"), "toxic-sample")
-    pairs = sample.mapInArrow(_words_in_context, "toxic int, word string, context string").distinct()
-    words = materialize(pairs.groupBy("word").agg(F.sum("toxic").alias("contexts"), F.sum(1 - F.col("toxic")).alias("clean")), "toxic-words")
-    toxic = sample.filter("toxic = 1").count()
-    ordered = lambda rows, n, *order: rows.orderBy(*order, F.md5("word")).limit(n).select("word").toPandas()["word"].tolist()
-    negative = ordered(words.filter("clean > 0"), NEGATIVES)
-    positive: list[str] = []
-    for least in range(CONTEXTS, 0, -1):  # fewer only where there is no such word
-        if not positive:
-            positive = ordered(words.filter("10 * clean <= contexts").filter(F.col("contexts") >= max(least, CONTEXT_SHARE * toxic if least == CONTEXTS else 0)), POSITIVES, F.desc("contexts"))
-    if not positive or not negative:
+    texts = documents.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", text_key("text"))
+    keys = materialize(texts.select("doc_id", "text_key").join(ids, "doc_id").groupBy("text_key").agg(F.max("toxic").alias("toxic")), "toxic-keys")
+    chosen = hash_sample(keys, "text_key", "toxic", max_docs)  # at most 2 * max_docs rows
+    sample = materialize(texts.join(F.broadcast(chosen), "text_key").groupBy("text_key", "toxic").agg(F.min("text").alias("text")), "toxic-sample")
+    n = dict(sample.groupBy("toxic").count().collect())
+    if not n.get(0) or not n.get(1):
         return None
-    first, hard = positive, []
-    for round_ in range(ROUNDS):
-        known = set(positive)
-        weights, bias = train(positive, [w for w in dict.fromkeys(negative + hard) if w not in known])
-        if round_ + 1 < ROUNDS:
-
-            def valued(batches, weights=weights, bias=bias):
-                for batch in batches:
-                    yield batch.assign(value=word_scores(batch["word"].tolist(), weights, bias))
-
-            scored = materialize(words.mapInPandas(valued, "word string, contexts long, clean long, value double"), "toxic-values")
-            positive = list(dict.fromkeys(first + ordered(scored.filter("10 * clean <= contexts and contexts > 1 and value > 0.5"), POSITIVES, F.desc("contexts"))))
-            hard = ordered(scored.filter("clean > 0"), HARD, F.desc("value"))
+    weights, bias, patterns = first_machine(sample, n[1], n[0]), 0.0, [p for p in PATTERNS if p[2] == 3]
+    for round_ in range(rounds):
+        got = sample.mapInPandas(_witnesses(weights, patterns, witnesses), "text_key string, toxic int, kind int, value double, item string").toPandas()  # bounded by max_docs
+        got = got[got["item"].str.len() >= 4].sort_values(["text_key", "kind", "value", "item"], ascending=[True, True, False, True])
+        first = ~got.duplicated(["text_key", "kind"])
+        toxic = (got["toxic"] == 1) & (first | (got["value"] + bias > 0))
+        positive, negative = list(dict.fromkeys(got.loc[toxic, "item"])), list(dict.fromkeys(got.loc[got["toxic"] == 0, "item"]))
+        if not positive or not negative:
+            return None
+        weights, bias = train(positive, negative, landmarks)
+        patterns = PATTERNS
 
     def measured(batches):
         for batch in batches:
             yield pd.DataFrame({"toxic": batch["toxic"], "value": document_values(batch["text"].tolist(), weights, bias)})
 
     got = sample.mapInPandas(measured, "toxic int, value double").toPandas()  # a number for each of the sample
-    # Spoiled witnesses stand for a quarter of the toxic documents.
-    extra = np.resize(word_scores(spoiled(first, SPOILED), weights, bias), max(1, toxic // 4))
-    return Machine(weights, bias, *platt(np.append(got["value"], extra), np.append(got["toxic"] == 1, np.ones(len(extra), bool))))
+    return Machine(weights, bias, *platt(got["value"].to_numpy(), got["toxic"].to_numpy() == 1))
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:

@@ -43,11 +43,11 @@ def test_edges(spark):
     rows += [(100 + i, rows[7][1]) for i in range(50)]  # copies: ties go to the smaller id
     odd = [(200, None), (201, [0.0] * 5), (202, [1.0, None, 0.0, 0.0, 0.0]), (203, [math.nan, 1.0, 1.0, 1.0, 1.0]), (204, [math.inf, 1.0, 1.0, 1.0, 1.0]), (205, []), (206, [1.0, 2.0]), (None, [1.0] * 5)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows + odd], "vec_id long, embedding array<double>, cell int, t int").repartition(3)
-    got = result(nearest(df, df.filter("vec_id % 20 = 0"), k=20, probes=16))
+    got = result(nearest(df, df.filter("vec_id % 20 = 0"), k=20))
     want = brute(rows, [r for r in rows if r[0] % 20 == 0], 20)
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
     few = df.filter("vec_id in (0, 1, 2)")
-    assert [len(v) for v in result(nearest(few, few, probes=16)).values()] == [2, 2, 2]
+    assert [len(v) for v in result(nearest(few, few)).values()] == [2, 2, 2]
     assert nearest(df.limit(0), df.limit(0)).count() == 0
 
 

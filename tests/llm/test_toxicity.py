@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from clearpath.llm.toxicity import PATTERNS, coded, document_values, landmark_features, norms, op4_toxicity, score_toxicity, word_scores
+from clearpath.llm.toxicity import PATTERNS, coded, document_values, landmark_features, norms, op4_toxicity, score_toxicity, item_values
 
 
 def test_held_out_accuracy(spark):
@@ -70,7 +70,7 @@ def test_folded_machine_equals_kernel():
     beta = np.array([1.0, -0.5, 2.0])
     row, code, w = subsequences(marks)
     folded = np.bincount(code, beta[row] * w, minlength=1 << BITS)
-    assert np.allclose(word_scores(words, folded, 0.25), want @ beta + 0.25)
+    assert np.allclose(item_values(words, folded, 0.25), want @ beta + 0.25)
 
 
 def test_document_value_is_its_most_toxic_word():
