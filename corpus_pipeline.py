@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clearpath.llm.common import materialize, release_scratch, table
+from clearpath.llm.common import materialize, table
 from clearpath.llm.language import filter_language
 from clearpath.llm.mixing import mixed_documents
 from clearpath.llm.neardup import drop_near_duplicates
@@ -17,7 +17,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognised language go on, with the language found. From here on
     texts go to Python workers a thousand at a time: the same workers run all stages,
     and later ones hold a vocabulary besides."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set(BATCH, "1000")
     return filter_language(docs)
 
 
@@ -27,23 +27,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are no near-duplicate of one with a smaller id go on, by shingles of
-    three words and 85 % and by shingles of five words and 80 %."""
+    """One document of each group of near-duplicates goes on, by shingles of three words
+    and 85 %, then by shingles of five words and 80 %."""
     return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed stream: every document at least once, small sources at most twice. The
-    stages before are written by now, so what they had on disk besides goes."""
-    release_scratch(spark)
+    """The mixed stream: every document at least once, small sources at most twice."""
     return mixed_documents(docs, max_repetition=MAX_REPETITION)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens, in the order of the stream's chunks."""
-    return pack(docs, vocabulary("word_bpe_49k.json"), remember=60_000)
+    """Pieces of sequences of 2048 tokens with their ids, in the order of the stream's chunks."""
+    return pack(docs, vocabulary("word_bpe_49k.json"), with_ids=True, remember=60_000)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: How often the mixing stage repeats a document at most.
 MAX_REPETITION = 2.0
 
@@ -62,8 +61,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again, so what a
-    stage rests on is on disk before the next begins."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
+    stage rests on is on disk before the next begins. The session's setting of records a
+    batch is as before at the end."""
+    docs, before = table(spark, sf_dir, "documents"), spark.conf.get(BATCH)
+    try:
+        for name, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
+    finally:
+        spark.conf.set(BATCH, before)
     return docs
