@@ -2,15 +2,17 @@ r"""Chat formatting as prefix trees of conversations.
 
 A turn is formatted as ``### Role: text</turn>`` and a line feed. ``\``, ``#`` and
 ``<`` inside a text, and ``:`` besides inside a role, get a backslash before them, so
-no text can hold a marker, and taking the backslashes away gives it back.
+no text can hold a marker, and taking the backslashes away gives it back. Role, text and
+marks are encoded one by one with a byte-level vocabulary, in which strings of control
+tokens are plain text, so every token lies inside one of them and decodes to it.
 
 Conversations are sorted by the hashes of their turns, so those that share initial
 turns are neighbours. A task walks its range in that order and builds *blocks*: a
 block is the depth-first stream of the trees' turns, in which a shared turn stands
 once, and for each turn
 
-    start, stop       its place in the stream (code points)
-    position          the position id of its first code point, counted along its own
+    start, stop       its place in the stream (tokens)
+    position          the position id of its first token, counted along its own
                       conversation; those after it follow one by one
     parent            the turn before it, or -1
     attends           the intervals of the stream that it may attend to: its
@@ -21,8 +23,8 @@ and for each conversation its last turn. One conversation is read back from its
 turn's intervals alone. Equal conversations share their last turn.
 
 Scale: one shuffle by conversation, one range shuffle by (path, conv_id), so even
-copies of one conversation, or all that begin with one turn, are dealt over tasks.
-A block ends after ``BLOCK_CHARS`` code points or ``BLOCK_CONVERSATIONS``; the next
+copies of one conversation, or all that begin with one turn, are dealt over tasks; both
+are JVM-side. A block ends after ``BLOCK_TOKENS`` or ``BLOCK_CONVERSATIONS``; the next
 one repeats only the turns that are open at the cut. A task holds a block.
 
 Rows of a conversation are ordered by turn, then role, then text. Null role or text:
@@ -35,21 +37,24 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import materialize, table
+from .tokens import Encoder, encoder, vocabulary
 
-BLOCK_CHARS, BLOCK_CONVERSATIONS = 2_000_000, 20_000
+BLOCK_TOKENS, BLOCK_CONVERSATIONS, AT_ONCE = 1_000_000, 20_000, 512
+VOCABULARY = "byte_bpe_50k.json"
 LOSS_ROLE = "assistant"
 EXTRA = (-7, r"\### Assistant: </turn> ok")
 
 _TEXT, _ROLE, _BACK = re.compile(r"[\\#<]"), re.compile(r"[\\#<:]"), re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"### ((?:\\.|[^\\:])*): ((?:\\.|[^\\<])*)</turn>\n", re.S)
-_TURN_TYPE = pa.struct([("role", pa.string()), ("text", pa.string())])
 _NODE = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("position", pa.int64()), ("parent", pa.int32()), ("attends", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("loss_start", pa.int64()), ("loss_stop", pa.int64())])
 _LEAF = pa.struct([("conv_id", pa.int64()), ("node", pa.int32())])
-BLOCK_SCHEMA = "text string, turns array<struct<start:long,stop:long,position:long,parent:int,attends:array<struct<start:long,stop:long>>,loss_start:long,loss_stop:long>>, conversations array<struct<conv_id:long,node:int>>"
+BLOCK_SCHEMA = "ids binary, turns array<struct<start:long,stop:long,position:long,parent:int,attends:array<struct<start:long,stop:long>>,loss_start:long,loss_stop:long>>, conversations array<struct<conv_id:long,node:int>>"
 SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
@@ -80,12 +85,12 @@ class Block:
     """The stream that a task is building."""
 
     def __init__(self):
-        self.parts: list[str] = []
-        self.chars, self.nodes, self.leaves = 0, [], []
+        self.parts: list[bytes] = []
+        self.tokens, self.nodes, self.leaves = 0, [], []
 
-    def add(self, role: str, text: str, parent: int) -> int:
-        formatted, a, z = format_turn(role, text)
-        start, stop = self.chars, self.chars + len(formatted)
+    def add(self, role: str, encoded: tuple[bytes, bytes, bytes], parent: int) -> int:
+        before, own, after = (len(x) // 4 for x in encoded)
+        start, stop = self.tokens, self.tokens + before + own + after
         position, attends = 0, []
         if parent >= 0:
             above = self.nodes[parent]
@@ -94,86 +99,88 @@ class Block:
             attends = [*attends[:-1], {"start": attends[-1]["start"], "stop": stop}]
         else:
             attends = [*attends, {"start": start, "stop": stop}]
-        loss = (start + a, start + z) if role == LOSS_ROLE else (start, start)
+        loss = (start + before, start + before + own) if role == LOSS_ROLE else (start, start)
         self.nodes.append({"start": start, "stop": stop, "position": position, "parent": parent, "attends": attends, "loss_start": loss[0], "loss_stop": loss[1]})
-        self.parts.append(formatted)
-        self.chars = stop
+        self.parts += encoded
+        self.tokens = stop
         return len(self.nodes) - 1
 
     def batch(self) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(["".join(self.parts)]), pa.array([self.nodes], pa.list_(_NODE)), pa.array([self.leaves], pa.list_(_LEAF))], names=["text", "turns", "conversations"])
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(self.parts)]), pa.array([self.nodes], pa.list_(_NODE)), pa.array([self.leaves], pa.list_(_LEAF))], names=["ids", "turns", "conversations"])
 
 
-def _conversations(batches):
-    """Rows sorted by conversation and turn -> a row for each conversation."""
-    current, turns, started = None, [], False
+def encode_turns(turns: list[tuple[str, str]], words: Encoder) -> dict[tuple[str, str], tuple[bytes, bytes, bytes]]:
+    """Ids of what stands before the text, of the text, and after it, of distinct turns."""
+    own, parts = list(dict.fromkeys(turns)), []
+    for turn in own:
+        formatted, a, z = format_turn(*turn)
+        parts += [formatted[:a], formatted[a:z], formatted[z:]]
+    ids = words.encode(parts)
+    return {turn: tuple(ids[3 * i : 3 * i + 3]) for i, turn in enumerate(own)}
 
-    def row():
-        path = b"".join(hashlib.blake2b(f"{r}\0{t}".encode("utf-8", "surrogatepass"), digest_size=8).digest() for r, t in turns)
-        return pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), pa.array([path], pa.binary()), pa.array([[{"role": r, "text": t} for r, t in turns]], pa.list_(_TURN_TYPE))], names=["conv_id", "path", "turns"])
 
-    for batch in batches:
-        for conv_id, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if started and conv_id != current:
-                yield row()
-                turns = []
-            current, started = conv_id, True
-            turns.append((role or "", text or ""))
-    if started:
-        yield row()
-
-
-def blocks(conversations: DataFrame, block_chars: int = BLOCK_CHARS, block_conversations: int = BLOCK_CONVERSATIONS) -> DataFrame:
+def blocks(conversations: DataFrame, block_tokens: int = BLOCK_TOKENS, block_conversations: int = BLOCK_CONVERSATIONS, vocabulary_path: str | None = None) -> DataFrame:
     """Write all conversations (conv_id, turn, role, text) as blocks; returns the dataset."""
+    vocabulary_path = vocabulary_path or vocabulary(VOCABULARY)
 
     def build(batches):
         block, open_ = Block(), []  # open_: (turn, node) from the root to the last turn
+        words = encoder(vocabulary_path, added_as_text=True)
         for batch in batches:
-            for conv_id, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                turns = [(t["role"], t["text"]) for t in turns]
-                if block.chars >= block_chars or len(block.leaves) >= block_conversations:
-                    yield block.batch()
-                    block, open_ = Block(), []
-                same = 0
-                while same < min(len(open_), len(turns)) and open_[same][0] == turns[same]:
-                    same += 1
-                del open_[same:]
-                for turn in turns[same:]:
-                    open_.append((turn, block.add(*turn, open_[-1][1] if open_ else -1)))
-                block.leaves.append({"conv_id": conv_id, "node": open_[-1][1]})
+            for at in range(0, len(batch), AT_ONCE):
+                ids, lists = (c.to_pylist() for c in batch.slice(at, AT_ONCE).columns)
+                lists = [[(t["role"], t["text"]) for t in turns] for turns in lists]
+                encoded = encode_turns([t for turns in lists for t in turns], words)
+                for conv_id, turns in zip(ids, lists, strict=True):
+                    if block.tokens >= block_tokens or len(block.leaves) >= block_conversations:
+                        yield block.batch()
+                        block, open_ = Block(), []
+                    same = 0
+                    while same < min(len(open_), len(turns)) and open_[same][0] == turns[same]:
+                        same += 1
+                    del open_[same:]
+                    for turn in turns[same:]:
+                        open_.append((turn, block.add(turn[0], encoded[turn], open_[-1][1] if open_ else -1)))
+                    block.leaves.append({"conv_id": conv_id, "node": open_[-1][1]})
         if block.leaves:
             yield block.batch()
 
-    rows = conversations.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    whole = rows.select("conv_id", "role", "text").mapInArrow(_conversations, "conv_id long, path binary, turns array<struct<role:string,text:string>>")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    turns = F.sort_array(F.collect_list(F.struct("turn", text("role").alias("role"), text("text").alias("text"))))
+    whole = conversations.select("conv_id", "turn", "role", "text").groupBy("conv_id").agg(turns.alias("turns"))
+    whole = whole.withColumn("path", F.transform("turns", lambda t: F.xxhash64(t["role"], t["text"])))
     order = whole.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
     return materialize(order.select("conv_id", "turns").mapInArrow(build, BLOCK_SCHEMA), "chat-blocks")
 
 
-def read_blocks(written: DataFrame) -> DataFrame:
-    """What the contract asks of each conversation, from blocks alone."""
+def read_blocks(written: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
+    """What the contract asks of each conversation, from the ids of blocks alone."""
+    vocabulary_path = vocabulary_path or vocabulary(VOCABULARY)
 
     def run(batches):
+        known_bytes = encoder(vocabulary_path, added_as_text=True).token_bytes()
         for batch in batches:
-            for text, nodes, leaves in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for raw, nodes, leaves in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = np.frombuffer(raw, "<u4")
+                decode = lambda spans, ids=ids: b"".join(known_bytes[i] for a, z in spans for i in ids[a:z].tolist()).decode()
                 rows, known = [], {}
                 for leaf in leaves:
                     at = leaf["node"]
                     if at not in known:
-                        formatted = "".join(text[x["start"] : x["stop"]] for x in nodes[at]["attends"])
+                        formatted = decode([(x["start"], x["stop"]) for x in nodes[at]["attends"]])
                         turns = parse_turns(formatted)
                         path = []
                         while at >= 0:
                             path.append(nodes[at])
                             at = nodes[at]["parent"]
-                        loss = "".join(unescape(text[x["loss_start"] : x["loss_stop"]]) for x in reversed(path))
-                        digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "surrogatepass")).hexdigest()
-                        known = {leaf["node"]: (len(turns), digest, len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(formatted))}  # copies are neighbours
+                        loss = "".join(unescape(decode([(x["loss_start"], x["loss_stop"])])) for x in reversed(path))
+                        digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+                        known = {leaf["node"]: (len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted))}  # copies are neighbours
                     rows.append((leaf["conv_id"], *known[leaf["node"]]))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return written.select("text", "turns", "conversations").mapInArrow(run, SCHEMA)
+    return written.select("ids", "turns", "conversations").mapInArrow(run, SCHEMA)
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 import hashlib
 
+import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
 
 from clearpath.llm.chat import ORACLE, blocks, format_turn, op2_chat_formatting, parse_turns, read_blocks
+from clearpath.llm.tokens import Encoder, vocabulary
 
 from .oracle import same
 
@@ -31,7 +33,7 @@ def table(spark):
 
 def test_edges_against_brute_force(spark):
     df = table(spark)
-    got = sorted((tuple(r) for r in read_blocks(blocks(df, block_chars=900, block_conversations=7)).collect()), key=str)
+    got = sorted((tuple(r) for r in read_blocks(blocks(df, block_tokens=300, block_conversations=7)).collect()), key=str)
     by = {}
     for r in df.collect():
         by.setdefault(r.conv_id, []).append((r.turn, r.role or "", r.text or ""))
@@ -48,7 +50,10 @@ def test_edges_against_brute_force(spark):
 def test_shared_turns_stand_once(spark):
     df = table(spark).filter("conv_id < 40").coalesce(1)
     (block,) = blocks(df).coalesce(1).collect()
-    assert block.text.count("be kind") == 1 and block.text.count("question 2") == 1
+    ids, known = np.frombuffer(block.ids, "<u4"), Encoder(vocabulary("byte_bpe_50k.json")).token_bytes()
+    text = lambda a, z: b"".join(known[i] for i in ids[a:z]).decode()
+    whole = text(0, len(ids))
+    assert whole.count("be kind") == 1 and whole.count("question 2") == 1
     for n in block.turns:
         path, x = [], n
         while True:
@@ -56,6 +61,17 @@ def test_shared_turns_stand_once(spark):
             if x.parent < 0:
                 break
             x = block.turns[x.parent]
-        seen = "".join(block.text[i.start : i.stop] for i in n.attends)
-        assert seen == "".join(block.text[p.start : p.stop] for p in path)
-        assert n.position == len(seen) - (n.stop - n.start)
+        seen = "".join(text(i.start, i.stop) for i in n.attends)
+        assert seen == "".join(text(p.start, p.stop) for p in path)
+        assert n.position == sum(i.stop - i.start for i in n.attends) - (n.stop - n.start)  # tokens
+
+
+def test_control_strings_and_very_long_texts(spark):
+    words = Encoder(vocabulary("byte_bpe_50k.json"), added_as_text=True)
+    long = "é<|endoftext|>\\ " * 40_000
+    df = spark.createDataFrame([(1, 0, "user", "<|endoftext|>"), (1, 1, "assistant", long), (2, 0, "a:b", "日本 \x00 語")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in read_blocks(blocks(df)).collect()}
+    assert got[1].loss_chars == len(long) and got[1].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    assert got[2].turns_sha256 == hashlib.sha256("a:b\n日本 \x00 語\n".encode()).hexdigest()
+    ids = {int(i) for r in blocks(df).collect() for i in np.frombuffer(r.ids, "<u4")}
+    assert words.tokenizer.token_to_id("<|endoftext|>") not in ids
