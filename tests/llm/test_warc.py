@@ -72,3 +72,31 @@ def test_zip64_central_directory():
     data = zip64_directory(package([(record(1, "u", p, hashlib.sha256(p).hexdigest(), None), {"page_id": 1})]))
     got = Package(lambda at, n: data[at : at + n], len(data))
     assert [describe(*got.record(x)) for x in got.index()] == [(1, 500, hashlib.sha256(p).hexdigest(), "response", None)]
+
+
+def test_range_reader_on_files(spark, tmp_path):
+    """Index lines with key and time, a gzip index, names relative to the archive's folder; a very long payload."""
+    import gzip
+    import io
+    import json
+    import zipfile
+
+    from clearpath.llm.warc import Ranges
+
+    payloads = [b"short", b"<p>" + b"z" * 300, b"y" * 5_000_000]
+    members = [gzip.compress(record(i, "http://Example.org/a?b=1", p, hashlib.sha256(p).hexdigest(), None)) for i, p in enumerate(payloads)]
+    lines, at = [], 0
+    for m in members:
+        lines.append("org,example)/a?b=1 20240101000000 " + json.dumps({"offset": str(at), "length": str(len(m)), "filename": "data.warc.gz"}))
+        at += len(m)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("archive/data.warc.gz", b"".join(members))
+        z.writestr("indexes/index.cdx.gz", gzip.compress("\n".join(lines[:1]).encode()) + gzip.compress(("\n" + "\n".join(lines[1:])).encode()))
+        z.writestr("pages/pages.jsonl", "{}", zipfile.ZIP_DEFLATED)
+    path = tmp_path / "own.wacz"
+    path.write_bytes(out.getvalue())
+    got = sorted(tuple(r) for r in read_packages(spark.createDataFrame([(str(path), 1)], "path string, size int")).collect())
+    assert got == [(i, len(p), hashlib.sha256(p).hexdigest(), "response", None) for i, p in enumerate(payloads)]
+    source = Ranges(str(path), ahead=100)
+    assert source.read(10, 50) == out.getvalue()[10:60] and len(source.held) == 100
