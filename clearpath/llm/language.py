@@ -4,14 +4,16 @@ A text is a TF-IDF vector of hashed byte trigrams (letters lower-cased, everythi
 that is not a letter one space), log-damped and of unit length. Every language has
 up to ``clusters`` centroids from spherical k-means. A text gets the language of the
 centroid with the largest cosine; one whose cosine stays under that language's limit
-is too far from everything learned and is rejected. Short texts share few trigrams
-with any centroid, so the limit falls with the root of a text's length below
-``FULL_LENGTH`` letters.
+is too far from everything learned and is rejected. The limit is ``REJECT_SHARE`` of the
+cosine that all but ``LOWEST`` of the language's texts reach that its centroids were not
+fitted on. Short texts share few trigrams with any centroid, so the limit falls with the
+root of a text's length below ``FULL_LENGTH`` letters.
 
-Document frequencies come from every learnable row. The centroids are fitted on at
-most ``sample_per_lang`` rows of each language (those with the smallest md5 of their
-id), the documented bound of this operator's training set; a language's vectors are
-clustered in one task, the languages in parallel. Scoring is one scan, no shuffle.
+Document frequencies come from every learnable row. The centroids are fitted on at most
+``sample_per_lang`` distinct texts of each language, the limit on as many others (those
+with the smallest md5, by turns), the documented bound of this operator's training set;
+a language's vectors are clustered in one task, the languages in parallel. Scoring is
+one scan, no shuffle.
 
 Null text or text without a letter: ``und``, score 0, rejected. Null lang rows are
 never learned from. Null ids: never learned from and reported as held out = null.
@@ -25,17 +27,17 @@ from __future__ import annotations
 import regex
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import joined_bytes, slices, table
+from .common import hash_sample, joined_bytes, slices, table, text_key
 
 DIMS = 1 << 14
 #: Rows whose dense vectors are made at a time.
 ROWS = 64
 CLUSTERS, ROUNDS, SAMPLE_PER_LANG = 4, 8, 400
-#: A text is rejected under this share of the 1 in 1000 lowest training cosine.
-REJECT_SHARE = 0.5
+#: A text is rejected under this share of the cosine that all but LOWEST of other texts reach.
+REJECT_SHARE, LOWEST = 0.5, 0.001
 FULL_LENGTH = 400
 UNDETERMINED = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
@@ -72,6 +74,11 @@ def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
+def lengthened(texts: list[str]) -> np.ndarray:
+    """What of a full text's cosine a text of its length is expected to have."""
+    return np.minimum(1.0, np.fromiter(map(len, texts), float, len(texts)) / FULL_LENGTH) ** 0.5
+
+
 def cluster(x: np.ndarray, k: int = CLUSTERS, rounds: int = ROUNDS) -> np.ndarray:
     """Spherical k-means from farthest-first seeds; at most k unit centroids."""
     seeds, nearest = [0], x @ x[0]
@@ -105,11 +112,11 @@ class Model:
             for at in range(a, z, ROWS):
                 to = min(at + ROWS, z)
                 cosine = vectors(texts[at:to], self.idf) @ self.centres.T
-                best = cosine.argmax(axis=1)
+                best, short = cosine.argmax(axis=1), lengthened(texts[at:to])
                 for i, j in enumerate(best):
                     if texts[at + i]:
                         c = float(np.clip(cosine[i, j], 0, 1))
-                        langs[at + i], score[at + i], rejected[at + i] = self.langs[j], c, c < self.limits[j] * min(1.0, len(texts[at + i]) / FULL_LENGTH) ** 0.5
+                        langs[at + i], score[at + i], rejected[at + i] = self.langs[j], c, c < self.limits[j] * float(short[i])
         return langs, score, rejected
 
 
@@ -127,7 +134,7 @@ def _frequencies(batches):
 
 def fit(learnable: DataFrame, clusters: int = CLUSTERS, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     """``learnable``: doc_id, text, lang of the rows that may be learned from."""
-    rows = learnable.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
+    rows = learnable.filter("lang is not null and text is not null").select("text", "lang", text_key("text").alias("text_key"))
     counts = rows.select("text").mapInPandas(_frequencies, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()  # DIMS + 1 rows at most
     total = int(counts.loc[counts["gram"] < 0, "n"].sum())
     df = np.zeros(DIMS)
@@ -135,19 +142,18 @@ def fit(learnable: DataFrame, clusters: int = CLUSTERS, sample_per_lang: int = S
     df[seen["gram"]] = seen["n"]
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
 
-    # A rank limit on a window: Spark keeps each task's first rows before it shuffles.
-    first = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("at", F.row_number().over(first)).filter(F.col("at") <= sample_per_lang).select("doc_id", "lang")
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # bounded: sample_per_lang ids a language
+    keys = rows.select("lang", "text_key").distinct()
+    chosen = hash_sample(keys, "text_key", "lang", 2 * sample_per_lang)  # bounded for each language
+    sample = rows.join(F.broadcast(chosen), ["lang", "text_key"]).groupBy("lang", "text_key").agg(F.min("text").alias("text"))
 
     def centroids(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        texts = [t for t in map(letters, own.sort_values(["doc_id", "text"])["text"]) if t]
+        texts = [t for t in map(letters, own.sort_values("text_key")["text"]) if t]
         if not texts:
             return pd.DataFrame({"lang": [], "centre": [], "low": []})
-        x = vectors(texts, idf)
+        x, other = vectors(texts[::2], idf), texts[1::2] or texts
         centres = cluster(x, clusters)
-        low = float(np.quantile((x @ centres.T).max(axis=1), 0.001))
-        return pd.DataFrame({"lang": key[0], "centre": [c.tobytes() for c in centres], "low": low})
+        near = (vectors(other, idf) @ centres.T).max(axis=1) / lengthened(other)
+        return pd.DataFrame({"lang": key[0], "centre": [c.tobytes() for c in centres], "low": float(np.quantile(near, LOWEST))})
 
     got = sample.groupBy("lang").applyInPandas(centroids, "lang string, centre binary, low double").toPandas()  # clusters rows a language
     got = got.assign(at=range(len(got))).sort_values(["lang", "at"])
