@@ -1,6 +1,7 @@
 """Token ids in a binary format of patched frame-of-reference blocks.
 
-Documents are dealt by ranges of doc_id, encoded, and written as *segments* in
+Documents are dealt by ranges of doc_id (and, where many rows have one, of their texts'
+beginnings), encoded, and written as *segments* in
 ascending order of doc_id. A segment is one self-contained byte string:
 
     header   magic, ids a block, documents, ids, blocks          (4s + 4 x u64)
@@ -38,6 +39,8 @@ from .common import materialize, table
 from .tokens import encoder, vocabulary
 
 BLOCK, PERCENTILE, SEGMENT, END_ID = 1024, 95, 2_000_000, 0
+#: Of a text, what tells rows of one id apart when ranges are dealt.
+RANGE_CHARS = 64
 MAGIC, HEADER = b"PFR1", struct.Struct("<4s4Q")
 SEGMENT_SCHEMA = "part int, base long, doc_ids array<long>, n_tokens long, payload binary"
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -178,7 +181,7 @@ def write_tokens(documents: DataFrame, vocabulary_path: str, end_id: int = END_I
         if held:
             yield flush()
 
-    rows = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = documents.select("doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("doc_id", "text")
     return materialize(rows.mapInArrow(run, SEGMENT_SCHEMA), "segments")
 
 

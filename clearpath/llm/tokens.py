@@ -5,7 +5,8 @@ piece holds white space but at its beginning, so a batch of texts is cut at spac
 dictionary-encoded by Arrow, and the library encodes the distinct chunks that a worker
 does not remember. Texts with characters that ``NOT_SIMPLE`` finds (where normalisation
 or character classes could make cuts matter), or with longer white space, are encoded
-whole. Vocabulary files are read where tasks run, from the path that is a parameter.
+whole, and so are texts that hold an added token of the vocabulary, which the library
+finds and gives its one id. Vocabulary files are read where tasks run, from the path that is a parameter.
 """
 
 from __future__ import annotations
@@ -28,19 +29,23 @@ INNER_SPACE = re.compile("[\t\n\r ] ")
 MAX_CHUNKS, MAX_CHARS = 500_000, 32
 PUNCTUATION = ".,;:!?%&$*#|"
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """``added_as_text``: an added token's string in a text is text like any other."""
+
+    def __init__(self, path: str, added_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         before, normal = config["pre_tokenizer"] or {}, config["normalizer"]
+        self.tokenizer.encode_special_tokens = added_as_text
+        self.added = [] if added_as_text else [x["content"] for x in config.get("added_tokens") or []]
+        self.config = config
         #: Cut at single spaces, which stay with the chunk behind them; or at any white space, which is dropped.
         self.by_space = before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and normal is None
         self.by_white = before.get("type") == "Sequence" and bool(config["model"].get("end_of_word_suffix")) and [x["type"] for x in normal["normalizers"]] == ["NFC", "Replace", "Lowercase"]
@@ -110,7 +115,7 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         whole, cut = [], []
         for i, t in enumerate(texts):
-            simple = (self.by_space or self.by_white) and not NOT_SIMPLE.search(t) and not (self.by_space and INNER_SPACE.search(t))
+            simple = (self.by_space or self.by_white) and not NOT_SIMPLE.search(t) and not (self.by_space and INNER_SPACE.search(t)) and not any(x in (t.lower() if self.by_white else t) for x in self.added)
             if t:
                 (cut if simple else whole).append(i)
         for own, way in ((whole, self._library), (cut, self._by_chunks)):
@@ -121,11 +126,26 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of each id of a byte-level vocabulary. Its alphabet names the printable
+        Latin-1 characters by themselves and the other bytes, in order, from 256 on."""
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in set(plain)]
+        back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+        known = self.config["model"]["vocab"]
+        out = [b""] * (max([*known.values(), *(x["id"] for x in self.config.get("added_tokens") or [])]) + 1)
+        for token, i in known.items():
+            out[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+        for x in self.config.get("added_tokens") or []:
+            out[x["id"]] = x["content"].encode()
+        return out
+
+
+def encoder(path: str, added_as_text: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary file; it lives as long as the worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, added_as_text) not in _encoders:
+        _encoders[path, added_as_text] = Encoder(path, added_as_text)
+    return _encoders[path, added_as_text]
 
 
 def vocabulary(name: str) -> str:
