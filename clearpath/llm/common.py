@@ -72,10 +72,11 @@ def hash_sample(rows: DataFrame, key: str, by: str, limit: int) -> DataFrame:
     """``rows`` with the ``limit`` smallest ``key`` (lower-case hex of a uniform hash, no
     two alike) of each value of ``by``; null is no value. A share of the keys that holds
     a little more than ``limit`` rows, by the rows counted, is taken before the ranks, so
-    the ranking tasks get no more than that however many tasks read the table."""
+    the ranking tasks get no more than that however many tasks read the table. The counts
+    are broadcast: ``by`` has few values (labels, languages that one model knows)."""
     count = rows.filter(F.col(by).isNotNull()).groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
     place = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / 2.0**32
-    some = rows.join(count, F.col(by) == F.col("_by")).filter(place < (limit + 8 * limit**0.5 + 50) / F.col("_n"))
+    some = rows.join(F.broadcast(count), F.col(by) == F.col("_by")).filter(place < (limit + 8 * limit**0.5 + 50) / F.col("_n"))
     order = Window.partitionBy("_by").orderBy(key)
     return some.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit).drop("_by", "_n", "_rank")
 

@@ -49,7 +49,7 @@ MAX_DOCS = 3000
 SIGNIFICANT = 2.0
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
-_CLASSES = 64
+_CLASSES, _HASH = 64, 2654435761
 _MARK = _CLASSES - 1
 _CLASS = np.empty(1 << 16, np.int32)
 _CLASS[:] = 37 + np.arange(1 << 16) % 26
@@ -91,7 +91,7 @@ def numbered(x: np.ndarray, a: int, b: int, c: int) -> np.ndarray:
     """Number below 2**BITS of the subsequence at every place of classes (last axis)."""
     n = x.shape[-1] - c
     code = ((x[..., :n] * _CLASSES + x[..., a : a + n]) * _CLASSES + x[..., b : b + n]) * _CLASSES + x[..., c:]
-    return (code.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
+    return (code.astype(np.uint32) * np.uint32(_HASH)) >> np.uint32(32 - BITS)
 
 
 def subsequences(items: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,17 +129,21 @@ class Windows:
         size = np.minimum((self.stop - self.start)[self.number], WINDOW)
         total = np.zeros(n)
         place = np.arange(n)
+        # The hash of four classes is a sum of a term for each, so the terms are made once.
+        terms = [self.x.astype(np.uint32) * np.uint32(_HASH * _CLASSES**k & 0xFFFFFFFF) for k in (3, 2, 1, 0)]
         for c in sorted({p[2] for p in patterns}):
             if n <= c:
                 continue
-            found = np.zeros(n + 1)
-            for a, b, _, w in (p for p in patterns if p[2] == c):
-                found[1 : n - c + 1] += w * weights[numbered(self.x, a, b, c)]
-            found[1 : n - c + 1] *= self.stop[self.number[: n - c]] > place[: n - c] + c  # within the sentence
-            found = np.cumsum(found)
+            ends, found = terms[0][: n - c] + terms[3][c:], np.zeros(n - c)
+            for a, b, _, _ in (p for p in patterns if p[2] == c):
+                found += weights[(ends + terms[1][a : n - c + a] + terms[2][b : n - c + b]) >> np.uint32(32 - BITS)]
+            found *= DECAY ** (c - 3)
+            found[self.stop[self.number[: n - c]] <= place[: n - c] + c] = 0  # not within the sentence
+            found = np.concatenate([[0], np.cumsum(found), np.zeros(c)])
+            found[n - c + 1 :] = found[n - c]
             total += found[np.clip(place + size - c, place, n)] - found[:n]
         begins = (place + size <= self.stop[self.number]) & (size > 0)
-        out[begins] = (total / norms(size))[begins]
+        out[begins] = total[begins] / norms(np.arange(WINDOW + 1))[size[begins]]
         return out
 
     def best(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +180,7 @@ def document_values(texts: list[str], weights: np.ndarray, bias: float) -> np.nd
     """The highest window's value of each text; the bias where it has none."""
     parts = [(i, p) for i, t in enumerate(texts) for p in pieces(t)]
     out = np.full(len(texts), -np.inf)
-    for a, z in slices([p for _, p in parts], 500_000):
+    for a, z in slices([p for _, p in parts], 100_000):
         some = Windows([p for _, p in parts[a:z]])
         high, _ = some.best(some.values(weights))
         np.maximum.at(out, np.array([i for i, _ in parts[a:z]], np.int64)[some.owner], high)
@@ -329,7 +333,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, round
     n = dict(sample.groupBy("toxic").count().collect())
     if not n.get(0) or not n.get(1):
         return None
-    weights, bias, patterns = first_machine(sample, n[1], n[0]), 0.0, [p for p in PATTERNS if p[2] == 3]
+    weights, bias, patterns = first_machine(sample, n[1], n[0]).astype(np.float32), 0.0, [p for p in PATTERNS if p[2] == 3]
     for round_ in range(rounds):
         got = sample.mapInPandas(_witnesses(weights, patterns, witnesses), "text_key string, toxic int, kind int, value double, item string").toPandas()  # bounded by max_docs
         got = got[got["item"].str.len() >= 4].sort_values(["text_key", "kind", "value", "item"], ascending=[True, True, False, True])
@@ -338,8 +342,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, round
         positive, negative = list(dict.fromkeys(got.loc[toxic, "item"])), list(dict.fromkeys(got.loc[got["toxic"] == 0, "item"]))
         if not positive or not negative:
             return None
-        weights, bias = train(positive, negative, landmarks)
-        patterns = PATTERNS
+        (weights, bias), patterns = train(positive, negative, landmarks), PATTERNS
+        weights = weights.astype(np.float32)
 
     def measured(batches):
         for batch in batches:
