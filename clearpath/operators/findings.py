@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import finding_id
+from ..sources.lines import line_finder
 
 # Of findings at one place, the first rule takes in the second.
 CO_FIRE = [("forms/placeholder-as-label", "forms/value-as-label"), ("navigation/href-empty-fragment", "navigation/link-descriptive-text")]
@@ -21,9 +22,9 @@ def pragma_lines(source: str) -> list[tuple[int, str]]:
     """(line, rule or *) that comments switch off. A region begins on the line after its
     mark; the end mark ends the latest region, and its own line is still off."""
     out, open_ = [], []
-    total = source.count("\n") + 1
+    total, line_of = source.count("\n") + 1, line_finder(source)
     for m in _PRAGMA.finditer(source):
-        line = source.count("\n", 0, m.start()) + 1
+        line = line_of(m.start())
         rules = re.split(r"--|:(?!\d)", m[2])[0].replace(",", " ").split() or ["*"]
         if m[1] == "disable-line":
             out += [(line, r) for r in rules]
@@ -39,6 +40,24 @@ def pragma_lines(source: str) -> list[tuple[int, str]]:
     return out
 
 
+def pragma_reasons(files: DataFrame) -> DataFrame:
+    """file_id, line and reason (null: none given) of every comment that switches something off."""
+    schema = pa.schema([("file_id", pa.int64()), ("line", pa.int32()), ("reason", pa.string())])
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for file_id, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                line_of = line_finder(source)
+                for m in _PRAGMA.finditer(source):
+                    if m[1] != "enable":
+                        said = re.split(r"--|:(?!\d)", m[2], maxsplit=1)
+                        rows.append({"file_id": file_id, "line": line_of(m.start()), "reason": said[1].strip() or None if len(said) > 1 else None})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return files.filter(F.contains("source", F.lit("a11y-"))).select("file_id", "source").mapInArrow(run, "file_id long, line int, reason string")
+
+
 def pragmas(files: DataFrame) -> DataFrame:
     """file_id, line and token of what comments switch off."""
     schema = pa.schema([("file_id", pa.int64()), ("line", pa.int32()), ("token", pa.string())])

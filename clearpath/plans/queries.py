@@ -13,12 +13,14 @@ from ..functions.color import contrast
 from ..functions.text import finding_id, phrase
 from ..operators import findings as f
 from ..operators import reports
+from ..operators.finders import run_finders
 from ..operators.registry import RULES, run_rules
 from ..operators.rules import GENERIC
 from ..streaming.watch import counts_by_window
 from . import standards
 from .audit import audit, pages_as_files, tables
 from .cases import CASES
+from .switches import FINDER_CASES, counted, oracle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -167,6 +169,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "findings_rollups": rollups, "findings_top": top_files, "findings_collapsed": collapsed, "findings_ids": ids, "findings_suppressed": suppressed, "baseline_diff": baseline, "hunk_range_join": hunks, "as_of_join": attested_commit,
     "window_counts": hourly, "level_skips": level_skips, "phrase_normalised": phrases, "contrast_ratio": contrasts, "criteria_counts": criteria_counts, "closure_sizes": closure_sizes,
 } | {"rule_" + r.replace("/", "_").replace("-", "_"): rule_query(r) for r in sorted(CASES)}
+QUERIES |= {"finder_" + r.replace("/", "_").replace("-", "_"): counted(lambda files, r=r: run_finders(tables(files), [r]), c) for r, c in sorted(FINDER_CASES.items())}
 
 _FINDINGS = """SELECT 'rule/' || l_returnflag AS rule_id, 'dir' || (l_partkey % 7) AS directory, 'dir' || (l_partkey % 7) || '/f' || (l_partkey % 50) || '.html' AS path, l_linenumber AS line, l_suppkey % 5 AS col,
   CASE WHEN l_linestatus = 'O' THEN 'error' WHEN l_linenumber = 7 THEN 'info' ELSE 'warning' END AS severity FROM lineitem"""
@@ -202,4 +205,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT standard_id, count(*) AS criteria, count(*) FILTER (how = 'm') AS manual FROM a GROUP BY standard_id""",
 } | {"rule_" + r.replace("/", "_").replace("-", "_"): f"SELECT p_partkey AS file_id, {c[2]}::BIGINT AS findings FROM part WHERE p_partkey % {every(r)} = 0" for r, c in sorted(CASES.items())}
 
+ORACLE_SQL |= {"finder_" + r.replace("/", "_").replace("-", "_"): oracle(c) for r, c in sorted(FINDER_CASES.items())}
+
 assert set(CASES) <= set(RULES)

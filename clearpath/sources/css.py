@@ -8,6 +8,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .lines import line_finder
+
 CSS_SCHEMA = "file_id long, rule_id int, selector string, at_rules array<string>, line int, property string, value string, important boolean, ord int"
 _CSS = pa.schema([("file_id", pa.int64()), ("rule_id", pa.int32()), ("selector", pa.string()), ("at_rules", pa.list_(pa.string())), ("line", pa.int32()), ("property", pa.string()), ("value", pa.string()), ("important", pa.bool_()), ("ord", pa.int32())])
 _PART = re.compile(r"([^{};]*)([{};])", re.S)
@@ -16,18 +18,19 @@ _PART = re.compile(r"([^{};]*)([{};])", re.S)
 def declarations(source: str) -> list[tuple]:
     """(rule, selector, at-rules, line, property, value, important, place) in order."""
     source = re.sub(r"/\*.*?(\*/|\Z)", lambda m: re.sub(r"[^\n]", " ", m[0]), source, flags=re.S)
+    line_of = line_finder(source)
     out, stack, rule = [], [], -1
     for m in _PART.finditer(source):
         head, mark = m[1].strip(), m[2]
         if mark == "{":
             rule += 1
-            stack.append((head, rule, source.count("\n", 0, m.end()) + 1))
+            stack.append((head, rule, line_of(m.end())))
             continue
         if head and ":" in head and stack and not stack[-1][0].startswith("@"):
             name, _, value = head.partition(":")
             important = value.rstrip().lower().endswith("!important")
             value = re.sub(r"\s*!important\s*$", "", value.strip(), flags=re.I)
-            line = source.count("\n", 0, m.start() + len(m[1]) - len(m[1].lstrip())) + 1
+            line = line_of(m.start() + len(m[1]) - len(m[1].lstrip()))
             out.append((stack[-1][1], stack[-1][0], [s[0] for s in stack[:-1]], line, name.strip().lower(), value, important, len(out)))
         if mark == "}" and stack:
             stack.pop()

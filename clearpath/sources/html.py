@@ -4,7 +4,8 @@ A tolerant reader turns each page's source into one row an element; everything a
 that is DataFrame work. Spark partitions the pages; a task reads one page at a time.
 An unclosed element stays open to the end of what holds it; a closing tag closes the
 innermost open element (elements whose end may be left out give way) and is ignored if
-that has another name; raw-text elements hide their content from the reader.
+that has another name; raw-text elements hide their content from the reader. Elements
+nest ``DEPTH`` deep, so a page's rows grow with its size, not with its square.
 """
 
 from __future__ import annotations
@@ -28,6 +29,11 @@ STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"sel
 END_MAY_MISS = frozenset("li dt dd p option optgroup tr td th thead tbody tfoot".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
+#: Elements open at a time, as in browsers: one more becomes a sibling of the innermost.
+DEPTH = 512
+#: Characters and numbers of a batch of elements.
+BATCH_SIZE = 4_000_000
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
@@ -51,8 +57,9 @@ def attributes(source: str) -> tuple[dict[str, str], list[str]]:
     return values, names
 
 
-def elements(source: str) -> list[dict]:
-    """Elements in document order, each with the text of its whole subtree."""
+def parse(source: str) -> tuple[list[dict], str]:
+    """Elements in document order, and the text of the whole source; an element's text is
+    a span of it, or a string of its own."""
     nodes: list[dict] = []
     open_: list[dict] = []
     text: list[str] = []
@@ -109,25 +116,51 @@ def elements(source: str) -> list[dict]:
             node["raw"] = inner
             at = end.end()
         else:
+            close(DEPTH)
             open_.append(node)
     say(entities.unescape(source[at:]))
     close(0)
-    whole = "".join(text)
+    return nodes, "".join(text)
+
+
+def own_text(node: dict, whole: str) -> str:
+    if node["tag"] == "style":
+        return node.get("raw", "")
+    text = node["text"]
+    return whole[slice(*text)].strip() if isinstance(text, tuple) else text
+
+
+def elements(source: str) -> list[dict]:
+    """Elements in document order, each with the text of its whole subtree."""
+    nodes, whole = parse(source)
     for n in nodes:
-        if isinstance(n["text"], tuple):
-            n["text"] = whole[slice(*n["text"])].strip()
-        if n["tag"] == "style":
-            n["text"] = n["raw"]
+        n["text"] = own_text(n, whole)
     return nodes
 
 
 def _parse(batches):
+    """Rows of some thousand elements at a time: texts are cut from the page's text, and
+    columns made, only as they leave."""
+    names, columns, size = _NODE.names, [[] for _ in _NODE.names], 0
+
+    def flush():
+        nonlocal columns, size
+        out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _NODE, strict=True)], schema=_NODE)
+        columns, size = [[] for _ in names], 0
+        return out
+
     for batch in batches:
-        rows = []
         for file_id, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for n in elements(source or ""):
-                rows.append({k: n.get(k) for k in _NODE.names} | {"file_id": file_id, "attrs": list(n["attrs"].items())})
-        yield pa.RecordBatch.from_pylist(rows, schema=_NODE)
+            nodes, whole = parse(source or "")
+            for n in nodes:
+                n["text"], n["file_id"], n["attrs"] = own_text(n, whole), file_id, list(n["attrs"].items())
+                for column, name in zip(columns, names, strict=True):
+                    column.append(n[name])
+                size += 200 + len(n["text"]) + 8 * len(n["ancestors"])
+                if size >= BATCH_SIZE:
+                    yield flush()
+    if columns[0]:
+        yield flush()
 
 
 def read_elements(files: DataFrame) -> DataFrame:
