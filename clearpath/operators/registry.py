@@ -31,7 +31,7 @@ class Rule:
 
 RULES: dict[str, Rule] = {}
 #: Element rules a pass: more make code too long to be compiled.
-TOGETHER = 6
+TOGETHER = 4
 
 
 def rule(id_: str, criteria: str, severity: str, fix_class: str = "verify-in-source"):

@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import rules as _rules  # noqa: F401  registers the rules
+from ..operators import rules_context as _more  # noqa: F401
 from ..operators.findings import identified, merge_co_firing, suppress
 from ..operators.registry import RULES, Tables, run_rules
 from ..sources.css import read_css
+from ..sources.dialects import MARKUP, SHEETS
 from ..sources.html import read_elements
 
 GROUP = 6
-MARKUP, SHEETS = ["html", "htm", "xhtml", "svg", "php", "md"], ["css"]
 
 
 def pages_as_files(pages: DataFrame) -> DataFrame:
@@ -24,12 +25,22 @@ def extension() -> F.Column:
     return F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
 
 
+def dialect(files: DataFrame, known: dict[str, str]) -> DataFrame:
+    """The files whose extension is known, with their dialect."""
+    table = F.create_map(*(F.lit(x) for kv in known.items() for x in kv))
+    return files.withColumn("dialect", table[extension()]).filter("dialect is not null")
+
+
 def tables(files: DataFrame) -> Tables:
-    """Elements and declarations of all files (file_id, path, source). Many rules read
-    them, so both are persisted (on disk beyond memory): each file is parsed once, and
-    what an executor loses is parsed again from its own files."""
-    nodes = read_elements(files.filter(extension().isin(*MARKUP))).persist(StorageLevel.MEMORY_AND_DISK)
-    return Tables(files, nodes, read_css(files.filter(extension().isin(*SHEETS))).persist(StorageLevel.MEMORY_AND_DISK))
+    """Elements and declarations of all files (file_id, path, source); style elements are
+    sheets of their file. Many rules read them, so both are persisted (on disk beyond
+    memory): each file is parsed once, and what an executor loses is parsed again from its
+    own files."""
+    nodes = read_elements(dialect(files, MARKUP)).persist(StorageLevel.MEMORY_AND_DISK)
+    # A style element's rules are numbered from its own node on, above those of any sheet.
+    inner = nodes.filter("tag = 'style' and text <> ''").select("file_id", F.col("text").alias("source"), F.col("line").alias("first_line"), F.shiftleft(F.col("node_id").cast("long") + 1, 24).alias("first_rule"))
+    sheets = read_css(dialect(files, SHEETS)).unionByName(read_css(inner))
+    return Tables(files, nodes, sheets.persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def audit(files: DataFrame, rule_ids: list[str] | None = None) -> DataFrame:

@@ -110,4 +110,16 @@ CASES: dict[str, tuple[str, str, int, str]] = {
     "motion/animation-from-interactions": ("css", "a:hover { transition: all 1s }", 1, "a:hover { transition: all 1s } @media (prefers-reduced-motion: reduce) { a { color: red } }"),
     "pointer/target-size": ("css", ".btn { width: 20px; height: 30px }", 1, ".btn { width: 24px } .x { width: 2px }"),
     "pointer/target-size-enhanced": ("css", ".btn { width: 40px }", 1, ".btn { width: 44px }"),
+    "aria/conflicting-role": ("html", '<a href="/x" role="button">x</a><h2 role="tab">y</h2>', 2, '<a role="button">x</a><h2 role="none">y</h2><nav role="navigation"></nav>'),
+    "aria/disabled-link-surrogate": ("html", '<p><a href="/x">1</a><span class="next">2</span></p>', 1, '<p><a href="/x">1</a><span class="next" aria-disabled="true">2</span></p><p><b class="disabled">x</b></p>'),
+    "aria/icon-child-missing-aria-hidden": ("html", '<button><i class="fa fa-x"></i></button>', 1, '<button><i class="fa fa-x" aria-hidden="true"></i></button><button>Close <i class="fa fa-x"></i></button>'),
+    "aria/tab-widget-roles": ("html", '<ul role="tablist"><li><a href="#p" data-bs-toggle="tab">x</a></li></ul><div id="p"></div>', 2, '<ul role="tablist"><li><a href="#p" role="tab" aria-selected="true">x</a></li></ul><div id="p" role="tabpanel"></div>'),
+    "color/meaning-by-color-only": ("html", '<p class="text-danger">12 %</p>', 1, '<p class="text-danger">Failed: 12 %</p><p class="text-danger"><svg></svg>12 %</p><div role="status"><p class="text-danger">3</p></div>'),
+    "forms/error-message-not-associated": ("html", '<div><input><p class="invalid-feedback" id="e">No</p></div>', 1, '<div><input aria-describedby="d e"><p class="invalid-feedback" id="e">No</p></div>'),
+    "forms/required-marker-without-required-attr": ("html", '<label for="a">Name <span>*</span></label><input id="a">', 1, '<label for="a">Name <span>*</span></label><input id="a" required><label for="b">Age</label><input id="b">'),
+    "media/audio-controls-or-transcript-missing": ("html", '<div><p><audio src="x"></audio></p></div>', 1, '<div><p><audio src="x"></audio></p><a href="/t">Transcript</a></div><audio controls></audio>'),
+    "aria/live-region-missing-on-innerhtml-target": ("html", '<p id="total">0</p><script>setInterval(f, 9); document.getElementById("total").textContent = x;</script>', 1, '<p id="sum" role="status">0</p><script>setInterval(f, 9); document.getElementById("sum").textContent = x;</script>'),
+    "keyboard/interactive-div-role-missing": ("html", '<div id="opener">x</div><script>document.getElementById("opener").addEventListener("click", f)</script>', 1, '<button id="closer">x</button><script>document.getElementById("closer").addEventListener("click", f)</script>'),
+    "keyboard/character-shortcuts": ("js", 'document.addEventListener("keydown", e => {\n  if (e.key === "s") save();\n});', 1, 'document.addEventListener("keydown", e => {\n  if (e.ctrlKey && e.key === "s") save();\n});'),
+    "forms/required-indicator-missing": ("tsx", "export const F = ({required}) => <label>Name<input required={required} /></label>;", 1, "export const F = ({required}) => <label>Name {required && '*'}<input required={required} /></label>;"),
 }

@@ -7,11 +7,13 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .dialects import sheet
 from .lines import line_finder
 
-CSS_SCHEMA = "file_id long, rule_id int, selector string, at_rules array<string>, line int, property string, value string, important boolean, ord int"
-_CSS = pa.schema([("file_id", pa.int64()), ("rule_id", pa.int32()), ("selector", pa.string()), ("at_rules", pa.list_(pa.string())), ("line", pa.int32()), ("property", pa.string()), ("value", pa.string()), ("important", pa.bool_()), ("ord", pa.int32())])
+CSS_SCHEMA = "file_id long, rule_id long, selector string, at_rules array<string>, line int, property string, value string, important boolean, ord long"
+_CSS = pa.schema([("file_id", pa.int64()), ("rule_id", pa.int64()), ("selector", pa.string()), ("at_rules", pa.list_(pa.string())), ("line", pa.int32()), ("property", pa.string()), ("value", pa.string()), ("important", pa.bool_()), ("ord", pa.int64())])
 _PART = re.compile(r"([^{};]*)([{};])", re.S)
 
 
@@ -38,11 +40,24 @@ def declarations(source: str) -> list[tuple]:
 
 
 def read_css(files: DataFrame) -> DataFrame:
-    """``files`` (file_id, source) -> declarations."""
+    """``files`` (file_id, source, and maybe dialect, first_line and first_rule, where the
+    source is a part of a file) -> declarations. Null source: none."""
+    optional = {"dialect": "", "first_line": 1, "first_rule": 0}
+    columns = [F.col(c) if c in files.columns else F.lit(v).alias(c) for c, v in optional.items()]
 
     def run(batches):
         for batch in batches:
-            rows = [dict(zip(_CSS.names, (f, *d), strict=True)) for f, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for d in declarations(s or "")]
-            yield pa.RecordBatch.from_pylist(rows, schema=_CSS)
+            rows = []
+            for file_id, source, dialect, line, rule in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(file_id, rule + d[0], d[1], d[2], line - 1 + d[3], *d[4:7], rule + d[7]) for d in declarations(sheet(source or "", dialect))]
+                if len(rows) >= 20_000:
+                    yield _rows(rows)
+                    rows = []
+            yield _rows(rows)
 
-    return files.select("file_id", "source").mapInArrow(run, CSS_SCHEMA)
+    return files.select("file_id", "source", *columns).mapInArrow(run, CSS_SCHEMA)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(_CSS)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CSS, strict=True)], schema=_CSS)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .dialects import markup
+
 # HTML's void and raw-text elements, and which open elements a start tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template".split())
@@ -97,6 +99,7 @@ def parse(source: str) -> tuple[list[dict], str]:
                     break
             elif open_[i]["tag"] in STOPS.get(tag, {"button", "td", "th", "li"}):
                 break
+        close(min(len(open_), DEPTH))
         values, names = attributes(m[3])
         parent = open_[-1] if open_ else None
         line = bisect.bisect_right(lines, m.start())
@@ -116,7 +119,6 @@ def parse(source: str) -> tuple[list[dict], str]:
             node["raw"] = inner
             at = end.end()
         else:
-            close(DEPTH)
             open_.append(node)
     say(entities.unescape(source[at:]))
     close(0)
@@ -150,8 +152,8 @@ def _parse(batches):
         return out
 
     for batch in batches:
-        for file_id, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            nodes, whole = parse(source or "")
+        for file_id, source, dialect in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            nodes, whole = parse(markup(source or "", dialect))
             for n in nodes:
                 n["text"], n["file_id"], n["attrs"] = own_text(n, whole), file_id, list(n["attrs"].items())
                 for column, name in zip(columns, names, strict=True):
@@ -164,9 +166,11 @@ def _parse(batches):
 
 
 def read_elements(files: DataFrame) -> DataFrame:
-    """``files`` (file_id, source) -> elements with what most rules ask for: lower-case
-    role, class tokens, id, and the name given by attributes. Null source: no element."""
-    nodes = files.select("file_id", "source").mapInArrow(_parse, NODE_SCHEMA)
+    """``files`` (file_id, source, and maybe dialect) -> elements with what most rules ask
+    for: lower-case role, class tokens, id, and the name given by attributes. Null source:
+    no element."""
+    dialect = F.col("dialect") if "dialect" in files.columns else F.lit("")
+    nodes = files.select("file_id", "source", dialect.alias("dialect")).mapInArrow(_parse, NODE_SCHEMA)
     attr = lambda name: F.col("attrs")[name]
     tokens = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: x != "")
     return nodes.withColumns({
