@@ -15,9 +15,10 @@ from clearpath.llm.tokens import vocabulary
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognised language go on, with the language found. From here on
-    texts go to Python workers a thousand at a time: the same workers run all stages,
+    texts go to Python workers a thousand or 4 MB at a time: the same workers run all stages,
     and later ones hold a vocabulary besides."""
-    spark.conf.set(BATCH, "1000")
+    for name, value in BATCH.items():
+        spark.conf.set(name, value)
     return filter_language(docs)
 
 
@@ -42,7 +43,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, vocabulary("word_bpe_49k.json"), with_ids=True, remember=60_000)
 
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes that go to a Python worker at a time.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 #: How often the mixing stage repeats a document at most.
 MAX_REPETITION = 2.0
 
@@ -61,12 +63,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again, so what a
-    stage rests on is on disk before the next begins. The session's setting of records a
-    batch is as before at the end."""
-    docs, before = table(spark, sf_dir, "documents"), spark.conf.get(BATCH)
+    stage rests on is on disk before the next begins. The session's settings of a batch
+    are as before at the end."""
+    docs, before = table(spark, sf_dir, "documents"), {name: spark.conf.get(name) for name in BATCH}
     try:
         for name, stage in STAGES:
             docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     finally:
-        spark.conf.set(BATCH, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return docs
