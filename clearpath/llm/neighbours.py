@@ -11,11 +11,11 @@ falls with the cube root of their number. The limit is a quantile over ``SAMPLE`
 drawn by their sizes; every vector is indexed. The vectors of the probed cells are
 reranked exactly, in double precision, on the original components.
 
-Scale: cells, in order and cut by the sizes counted before, make *regions* of ``GROUP``
-vectors, so a cell with a third of all vectors spreads over many tasks and small ones
-share one. A vector goes to one region a table, a query once to each region that holds
+Scale: cells, in order and cut by the sizes counted before, make *regions* of vectors
+with ``REGION`` components, so a cell with a third of all vectors spreads over many tasks
+and small ones share one. A vector goes to one region a table, a query once to each region that holds
 probed cells, whatever their number; within a region only probed cells are reranked.
-Queries of a region are dealt into groups of ``GROUP`` as well. The driver sees the
+Queries of a region are dealt into groups of ``QUERIES``. The driver sees the
 longest vector's length, the dimension, and the sizes of cells: a fixed number. Both
 the candidates of a query and the regions it meets grow with the power 2/3 of the
 number of vectors.
@@ -37,7 +37,9 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 K, QUERY_EVERY = 20, 20
-TABLES, GROUP, SAMPLE = 4, 8192, 4096
+TABLES, SAMPLE = 4, 4096
+#: Components of the vectors of a region (32 MB as doubles), and queries that meet them at a time.
+REGION, QUERIES = 1 << 22, 4096
 #: A table's probes reach SHARE * n**(-1/3) of all n vectors, and LEAST vectors at least.
 SHARE, LEAST = 1.8, 384
 SCHEMA = "query_id long, rank int, vec_id long, score double"
@@ -115,7 +117,7 @@ def cells(x: np.ndarray, t: int) -> np.ndarray:
 class Index:
     """Sizes of all cells, the regions they lie in, and where queries stop probing."""
 
-    def __init__(self, sizes: np.ndarray, longest: float, group: int = GROUP, share: float = SHARE, least: int = LEAST):
+    def __init__(self, sizes: np.ndarray, longest: float, group: int, share: float = SHARE, least: int = LEAST):
         self.longest, self.side = longest, int(round(sizes.shape[1] ** 0.5))
         n = int(sizes[0].sum())
         self.share = min(1.0, max(share * n ** (-1 / 3), least / n)) if n else 1.0
@@ -163,7 +165,7 @@ def near_in_region(queries: pd.DataFrame, found: pd.DataFrame, t: int, longest:
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int = TABLES, share: float = SHARE, least: int = LEAST, group: int = GROUP) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int = TABLES, share: float = SHARE, least: int = LEAST, region: int = REGION, group: int = QUERIES) -> DataFrame:
     """``vectors`` and ``queries``: vec_id, embedding. query_id, rank, vec_id, score."""
     rows = materialize(usable(vectors), "vectors")
     dim, longest = rows.select(F.size("v").alias("d"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")).alias("s")).groupBy("d").agg(F.max("s").alias("s")).orderBy(F.desc("d")).select("d", F.sqrt("s")).first() or (1, 1.0)
@@ -182,7 +184,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int = TA
     sizes = np.zeros((tables, side * side), np.int64)
     counted = stored.select(F.posexplode("cells").alias("t", "cell")).groupBy("t", "cell").count().toPandas()  # a fixed number of cells
     sizes[counted["t"], counted["cell"]] = counted["count"]
-    shared = vectors.sparkSession.sparkContext.broadcast(Index(sizes, longest, group, share, least))
+    shared = vectors.sparkSession.sparkContext.broadcast(Index(sizes, longest, max(1, region // dim), share, least))
 
     def placed(batches):
         for batch in batches:

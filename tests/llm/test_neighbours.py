@@ -46,6 +46,8 @@ def test_edges(spark):
     got = result(nearest(df, df.filter("vec_id % 20 = 0"), k=20))
     want = brute(rows, [r for r in rows if r[0] % 20 == 0], 20)
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    cut = result(nearest(df, df.filter("vec_id % 20 = 0"), k=20, region=40, group=2))  # regions of 8 vectors, split cells, 2 queries at a time
+    assert {q: [i for i, _ in v] for q, v in cut.items()} == {q: [i for i, _ in v] for q, v in want.items()}
     few = df.filter("vec_id in (0, 1, 2)")
     assert [len(v) for v in result(nearest(few, few)).values()] == [2, 2, 2]
     assert nearest(df.limit(0), df.limit(0)).count() == 0
