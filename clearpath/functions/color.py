@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,17 +14,46 @@ NAMED = {
 }
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it: without
+    this, the expression grows with the product of its parts and is too long to compile."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+_HSL = r"^hsla?\(\s*(-?[\d.]+)(?:deg)?\s*[, ]\s*([\d.]+)%\s*[, ]\s*([\d.]+)%\s*(?:[,/]\s*[\d.%]+\s*)?\)$"
+_RGB = r"^rgba?\(\s*(\d{1,3})\s*[, ]\s*(\d{1,3})\s*[, ]\s*(\d{1,3})\s*(?:[,/]\s*[\d.%]+\s*)?\)$"
+
+
+def _hue(value: Column) -> Column:
+    """The rgb array of hsl() or hsla()."""
+    part = lambda i: F.regexp_extract(value, _HSL, i).try_cast("double")
+
+    def channels(p: Column) -> Column:
+        h, s, l = F.pmod(p[0], F.lit(360.0)) / 30, F.least(p[1] / 100, F.lit(1.0)), F.least(p[2] / 100, F.lit(1.0))  # noqa: E741
+        k = lambda n: F.pmod(h + n, F.lit(12.0))
+        return F.array(*(F.round((l - s * F.least(l, 1 - l) * F.greatest(F.least(k(n) - 3, 9 - k(n), F.lit(1.0)), F.lit(-1.0))) * 255).cast("int") for n in (0, 8, 4)))
+
+    return let(F.array(part(1), part(2), part(3)), channels)
+
+
 def rgb(value: Column) -> Column:
-    """array<int> of red, green and blue; null for what is not a plain colour."""
+    """array<int> of red, green and blue; null for what is not a plain colour. Alpha is
+    left out; see ``transparent``."""
+    named = F.create_map(*(F.lit(x) for kv in NAMED.items() for x in kv))
+
+    def plain(h: Column) -> Column:
+        digits = F.when(h.rlike("^#[0-9a-f]{3,4}$"), F.concat(*(F.repeat(F.substring(h, i, 1), 2) for i in (2, 3, 4)))).when(h.rlike("^#([0-9a-f]{6}|[0-9a-f]{8})$"), F.substring(h, 2, 6))
+        by_hex = let(digits, lambda d: F.when(d.isNotNull(), F.array(*(F.conv(F.substring(d, i, 2), 16, 10).cast("int") for i in (1, 3, 5)))))
+        by_call = F.when(h.rlike(_RGB), F.array(*(F.least(F.lit(255), F.regexp_extract(h, _RGB, i).try_cast("int")) for i in (1, 2, 3))))
+        return F.coalesce(by_hex, by_call, F.when(h.rlike(_HSL), _hue(h)))
+
+    return let(F.lower(F.trim(value)), lambda v: let(F.coalesce(F.try_element_at(named, v), v), plain))
+
+
+def transparent(value: Column) -> Column:
+    """Whether a colour lets everything through."""
     v = F.lower(F.trim(value))
-    named = F.element_at(F.create_map(*(F.lit(x) for kv in NAMED.items() for x in kv)), v)
-    h = F.coalesce(named, v)
-    short = h.rlike("^#[0-9a-f]{3,4}$")
-    digits = F.when(short, F.concat(*(F.repeat(F.substring(h, i, 1), 2) for i in (2, 3, 4)))).when(h.rlike("^#([0-9a-f]{6}|[0-9a-f]{8})$"), F.substring(h, 2, 6))
-    by_hex = F.array(*(F.conv(F.substring(digits, i, 2), 16, 10).cast("int") for i in (1, 3, 5)))
-    pattern = r"^rgba?\(\s*(\d{1,3})\s*[, ]\s*(\d{1,3})\s*[, ]\s*(\d{1,3})\s*(?:[,/]\s*[\d.%]+\s*)?\)$"
-    by_call = F.array(*(F.least(F.lit(255), F.regexp_extract(h, pattern, i).cast("int")) for i in (1, 2, 3)))
-    return F.when(digits.isNotNull(), by_hex).when(h.rlike(pattern), by_call)
+    return (v == "transparent") | v.rlike(r"^#([0-9a-f]{3}0|[0-9a-f]{6}00)$") | v.rlike(r"^(rgb|hsl)a?\([^)]*[,/]\s*0*(\.0+)?%?\s*\)$") & v.rlike(r"^\w+\(([^,]*,){3}|/")
 
 
 def luminance(c: Column) -> Column:
@@ -33,8 +64,8 @@ def luminance(c: Column) -> Column:
 
 def contrast(a: Column, b: Column) -> Column:
     """Contrast ratio of two colour values, 1 to 21; null if either is not plain."""
-    x, y = luminance(rgb(a)), luminance(rgb(b))
-    return (F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05)
+    shade = lambda c: let(rgb(c), luminance)
+    return let(F.array(shade(a), shade(b)), lambda s: F.when(s[0].isNotNull() & s[1].isNotNull(), (F.array_max(s) + 0.05) / (F.array_min(s) + 0.05)))
 
 
 def points(size: Column) -> Column:

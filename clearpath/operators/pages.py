@@ -18,6 +18,11 @@ UNSEEN = ["script", "style", "noscript", "template"]
 
 
 def page_kinds(t: Tables) -> DataFrame:
+    """``kinds`` of the tables, made once."""
+    return t.once("page kinds", lambda: kinds(t))
+
+
+def kinds(t: Tables) -> DataFrame:
     """file_id with fragment, partial and full_page, one row a file that has elements.
 
     A fragment has no html element or doctype, no layout directive, and is not in a

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,13 @@ class Tables:
     files: DataFrame
     nodes: DataFrame
     css: DataFrame | None = None
+    made: dict[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several rules derive from these: made and persisted by the first."""
+        if name not in self.made:
+            self.made[name] = make().persist(StorageLevel.MEMORY_AND_DISK)
+        return self.made[name]
 
 
 @dataclass(frozen=True)
@@ -75,3 +83,23 @@ def run_rules(t: Tables, ids: list[str] | None = None) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.join(t.files.select("file_id", "path"), "file_id").select("file_id", "path", *shape[1:])
+
+
+CRASH = "internal/rule-crash"
+
+
+def run_isolated(t: Tables, ids: list[str] | None = None) -> DataFrame:
+    """``run_rules`` with every rule on its own: one that fails gives one error for each
+    file, and nothing it found before; the others stand. Each rule is a job, so this is
+    for rules that are not trusted."""
+    shape = ["file_id", "path", "line", "col", "rule_id", "criteria", "severity", "fix_class", "message"]
+    out = None
+    for i in ids or sorted(RULES):
+        try:
+            rows = run_rules(t, [i]).persist()
+            rows.count()
+        except Exception as e:  # noqa: BLE001  whatever a rule raises is reported
+            told = F.lit(f"{i} failed: {type(e).__name__}")
+            rows = t.files.select("file_id", "path", F.lit(1).alias("line"), F.lit(1).alias("col"), F.lit(CRASH).alias("rule_id"), F.array().cast("array<string>").alias("criteria"), F.lit("error").alias("severity"), F.lit("verify-in-source").alias("fix_class"), told.alias("message")).select(shape)
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -505,10 +505,16 @@ def style(t: Tables, rows: DataFrame, message: str | Column) -> DataFrame:
 
 
 def sheet_rules(t: Tables) -> DataFrame:
-    """One row a style rule: its selector, first line and declarations (the last of a name counts)."""
-    last = t.css.groupBy("file_id", "rule_id", "property").agg(F.max_by("value", "ord").alias("value"), F.min("line").alias("line"), F.first("selector").alias("selector"), F.first("at_rules").alias("at_rules"))
-    rows = last.groupBy("file_id", "rule_id").agg(F.first("selector").alias("selector"), F.min("line").alias("line"), F.first("at_rules").alias("at_rules"), F.collect_list(F.struct("property", "value")).alias("pairs"))
-    return rows.withColumn("decls", F.map_from_entries("pairs"))
+    """One row a style rule: its selector, first line and declarations (the last of a name
+    counts). One grouped pass, made once for all rules that read it."""
+    def make() -> DataFrame:
+        pairs = F.array_sort(F.collect_list(F.struct("ord", "property", "value")))
+        rows = t.css.groupBy("file_id", "rule_id").agg(F.first("selector").alias("selector"), F.min("line").alias("line"), F.first("at_rules").alias("at_rules"), pairs.alias("all"))
+        last = F.aggregate("all", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["property"]), F.create_map(p["property"], p["value"])))
+        rows = rows.withColumn("decls", last)
+        return rows.withColumn("pairs", F.transform(F.map_entries("decls"), lambda e: F.struct(e["key"].alias("property"), e["value"].alias("value")))).drop("all")
+
+    return t.once("sheet rules", make)
 
 
 def contrast_rule(t: Tables, normal: float, large: float) -> DataFrame:

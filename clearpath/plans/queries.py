@@ -20,6 +20,7 @@ from ..streaming.watch import counts_by_window
 from . import standards
 from .audit import audit, pages_as_files, tables
 from .cases import CASES
+from . import scope_queries
 from .switches import FINDER_CASES, counted, oracle
 
 
@@ -99,12 +100,12 @@ def ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     key = lambda d: d.select(F.sha2(F.col("o_custkey").cast("string"), 256).alias("hash"))
-    return f.baseline_diff(key(o.filter("o_orderkey % 2 = 0")), key(o.filter("o_orderkey % 3 = 0"))).groupBy("state").agg(F.count("*").alias("n"))
+    return f.baseline_diff(key(o.filter("o_orderstatus <> 'F'")), key(o.filter("o_orderstatus <> 'O'"))).groupBy("state").agg(F.count("*").alias("n"))
 
 
 def hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derived_findings(spark, sf_dir)
-    changed = table(spark, sf_dir, "part").filter("p_partkey < 100").select(F.concat(F.lit("dir"), (F.col("p_partkey") % 7).cast("string"), F.lit("/f"), (F.col("p_partkey") % 50).cast("string"), F.lit(".html")).alias("path"), (F.col("p_size") % 4).cast("int").alias("start"), (F.col("p_size") % 4 + 1).cast("int").alias("stop"))
+    changed = table(spark, sf_dir, "part").select(F.concat(F.lit("dir"), (F.col("p_partkey") % 7).cast("string"), F.lit("/f"), (F.col("p_partkey") % 50).cast("string"), F.lit(".html")).alias("path"), (F.col("p_size") % 4).cast("int").alias("start"), (F.col("p_size") % 4 + 1).cast("int").alias("stop")).distinct()
     return f.in_hunks(rows, changed).groupBy("rule_id", "line").agg(F.count("*").alias("findings"))
 
 
@@ -189,9 +190,12 @@ ORACLE_SQL: dict[str, str] = {
     "findings_collapsed": f"SELECT rule_id, line, min(path) AS first_path, count(*) AS occurrences, count(DISTINCT path) AS paths FROM ({_FINDINGS}) GROUP BY ALL",
     "findings_ids": f"SELECT substr(sha256(rule_id || ' ' || path || ' ' || line || ' ' || col), 1, 12) AS finding_id, count(*) AS n FROM ({_FINDINGS}) GROUP BY 1",
     "findings_suppressed": "SELECT p_partkey AS file_id, 1::BIGINT AS findings FROM part WHERE p_partkey % 3 <> 0",
-    "baseline_diff": """WITH a AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderkey % 3 = 0)
+    "closure_sizes": f"""WITH s AS (SELECT string_split(unnest(string_split('{standards.SHARED}', ' ')), '/') AS x), n AS (SELECT string_split(unnest(string_split('{standards.ADDED_22}', ' ')), '/') AS x),
+        r AS (SELECT x[1] AS id, 1 + (x[1] <> '4.1.1')::INT + (x[2] <> 'AAA')::INT + (x[2] <> 'AAA' AND NOT list_contains(string_split('{standards.ADDED_21}', ' '), x[1]))::INT AS size FROM s)
+        SELECT reaches, sum(criteria)::BIGINT AS criteria FROM (SELECT size::BIGINT AS reaches, size AS criteria FROM r UNION ALL SELECT 1, 1 FROM n) GROUP BY 1""",
+    "baseline_diff": """WITH a AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderstatus <> 'F'), b AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderstatus <> 'O')
         SELECT state, count(*) AS n FROM (SELECT CASE WHEN b.c IS NULL THEN 'new' WHEN a.c IS NULL THEN 'resolved' ELSE 'grandfathered' END AS state FROM a FULL JOIN b ON a.c = b.c) GROUP BY state""",
-    "hunk_range_join": f"""WITH h AS (SELECT 'dir' || (p_partkey % 7) || '/f' || (p_partkey % 50) || '.html' AS path, p_size % 4 AS a, p_size % 4 + 1 AS z FROM part WHERE p_partkey < 100)
+    "hunk_range_join": f"""WITH h AS (SELECT 'dir' || (p_partkey % 7) || '/f' || (p_partkey % 50) || '.html' AS path, p_size % 4 AS a, p_size % 4 + 1 AS z FROM part)
         SELECT rule_id, line, count(*) AS findings FROM ({_FINDINGS}) x WHERE EXISTS (SELECT 1 FROM h WHERE h.path = x.path AND x.line BETWEEN a AND z) GROUP BY ALL""",
     "as_of_join": """SELECT b.event_id, s.last_seen FROM (SELECT * FROM events WHERE event_type = 'purchase') b
         ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS last_seen FROM events WHERE event_type <> 'purchase' GROUP BY ALL) s ON b.user_id = s.user_id AND b.ts >= s.ts""",
@@ -206,5 +210,7 @@ ORACLE_SQL: dict[str, str] = {
 } | {"rule_" + r.replace("/", "_").replace("-", "_"): f"SELECT p_partkey AS file_id, {c[2]}::BIGINT AS findings FROM part WHERE p_partkey % {every(r)} = 0" for r, c in sorted(CASES.items())}
 
 ORACLE_SQL |= {"finder_" + r.replace("/", "_").replace("-", "_"): oracle(c) for r, c in sorted(FINDER_CASES.items())}
+QUERIES |= scope_queries.QUERIES
+ORACLE_SQL |= scope_queries.ORACLE_SQL
 
 assert set(CASES) <= set(RULES)

@@ -38,22 +38,42 @@ def criterion_rows() -> list[tuple]:
     return out
 
 
+_defined: list[tuple] = []
+
+
+def define_standard(standard_id: str, rows: list[tuple[str, str, str, list[str]]]) -> None:
+    """Add a standard: (number, level, automatable, equivalent criterion ids) of each criterion."""
+    _defined.extend((f"{standard_id}:{n}", standard_id, n, level, how, same) for n, level, how, same in rows)
+
+
 def criteria(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(criterion_rows(), "criterion_id string, standard_id string, local_id string, level string, automatable string, equivalent array<string>")
+    return spark.createDataFrame(criterion_rows() + _defined, "criterion_id string, standard_id string, local_id string, level string, automatable string, equivalent array<string>")
+
+
+def transitive(edges: DataFrame) -> DataFrame:
+    """(a, reaches) for all nodes of ``edges`` (a, b), taken both ways, themselves included:
+    joined on until no row is new, each round with paths twice as long."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    walk = both.unionByName(both.select("a", F.col("a").alias("b"))).distinct().persist()
+    n = walk.count()
+    while True:
+        longer = walk.join(walk.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct().persist()
+        m = longer.count()
+        walk.unpersist()
+        walk = longer
+        if m == n:
+            return walk.withColumnRenamed("b", "reaches")
+        n = m
 
 
 def closure(spark: SparkSession) -> DataFrame:
     """(criterion_id, reaches): all criteria connected by equivalence, itself included."""
-    criteria(spark).createOrReplaceTempView("_criteria")
-    return spark.sql("""
-        WITH RECURSIVE edge AS (
-          SELECT criterion_id AS a, e AS b FROM _criteria LATERAL VIEW explode(equivalent) x AS e WHERE e IN (SELECT criterion_id FROM _criteria)),
-        both AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
-        walk(criterion_id, reaches, steps) AS (
-          SELECT criterion_id, criterion_id, 0 FROM _criteria
-          UNION ALL
-          SELECT w.criterion_id, both.b, steps + 1 FROM walk w JOIN both ON w.reaches = both.a WHERE steps < 4)
-        SELECT DISTINCT criterion_id, reaches FROM walk""")
+    rows = criteria(spark)
+    known = rows.select(F.col("criterion_id").alias("b"))
+    edges = rows.select(F.col("criterion_id").alias("a"), F.explode("equivalent").alias("b")).join(known, "b", "left_semi").select("a", "b")
+    reached = transitive(edges)
+    alone = rows.select(F.col("criterion_id").alias("a")).join(reached.select("a").distinct(), "a", "left_anti")
+    return reached.unionByName(alone.select("a", F.col("a").alias("reaches"))).withColumnRenamed("a", "criterion_id")
 
 
 def cited(spark: SparkSession, findings: DataFrame, standards: list[str], level: str) -> DataFrame:

@@ -41,4 +41,24 @@ def as_plain(findings: DataFrame) -> DataFrame:
     return findings.select(F.concat_ws(" ", F.concat_ws(":", "path", F.col("line").cast("string"), F.col("col").cast("string")), "severity", "rule_id", "message").alias("value"))
 
 
-FORMATS = {"json": as_json, "sarif": as_sarif, "junit": as_junit, "markdown": as_markdown, "plain": as_plain}
+def as_html(findings: DataFrame) -> DataFrame:
+    """One section a file, its findings in a list."""
+    item = F.concat(F.lit('<li class="'), xml("severity"), F.lit('"><code>'), xml("rule_id"), F.lit("</code> line "), F.col("line").cast("string"), F.lit(": "), xml("message"), F.lit("</li>"))
+    files = findings.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "col", item.alias("item")))), lambda x: x["item"]), "").alias("items"), F.count("*").alias("n"))
+    return files.select(F.concat(F.lit("<section><h2>"), xml("path"), F.lit(" ("), F.col("n").cast("string"), F.lit(")</h2><ul>"), "items", F.lit("</ul></section>")).alias("value"))
+
+
+def as_terminal(findings: DataFrame) -> DataFrame:
+    """Plain lines with colours for terminals: red, yellow and blue."""
+    colour = F.when(F.col("severity") == "error", "31").when(F.col("severity") == "warning", "33").otherwise("34")
+    place = F.concat_ws(":", "path", F.col("line").cast("string"), F.col("col").cast("string"))
+    return findings.select(F.concat(place, F.lit(" \x1b["), colour, F.lit("m"), "severity", F.lit("\x1b[0m "), "rule_id", F.lit(" "), "message").alias("value"))
+
+
+def as_agent(findings: DataFrame) -> DataFrame:
+    """One compact JSON object a file: its findings in order, for programs that read by file."""
+    rows = findings.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "col", F.col("rule_id").alias("rule"), "severity", "message"))).alias("findings"))
+    return rows.select(F.to_json(F.struct("findings", "path")).alias("value"))
+
+
+FORMATS = {"json": as_json, "sarif": as_sarif, "junit": as_junit, "markdown": as_markdown, "plain": as_plain, "html": as_html, "terminal": as_terminal, "agent": as_agent}

@@ -6,16 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.registry import RULES
 from ..plans.audit import audit, pages_as_files
 
 
+#: Rules that need a whole project.
+CROSS_FILE = ["aria/live-region-missing-on-innerhtml-target", "keyboard/interactive-div-role-missing"]
+
+
 def watch_pages(spark: SparkSession, folder: str, out: str, checkpoint: str, per_batch: int = 1000) -> StreamingQuery:
-    """Audit new Parquet files of pages; findings are appended to ``out``. Only rules
-    that look at one file at a time make sense here, and all rules of this library do."""
+    """Audit new Parquet files of pages by the rules that look at one file at a time. A
+    batch's findings are a folder of ``out`` that is replaced as a whole, so a batch that
+    is run again after a restart is not there twice."""
     pages = spark.readStream.schema("page_id long, url string, html string").option("maxFilesPerTrigger", per_batch).parquet(folder)
+    rules = [r for r in RULES if r not in CROSS_FILE]
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        audit(pages_as_files(rows)).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+        audit(pages_as_files(rows), rules).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
