@@ -24,7 +24,7 @@ from .rules import HEADINGS, INTERACTIVE_ROLES, ancestors, any_of, attr, blank,
 HIDDEN_TEXT = r"^(sr-only|visually-hidden|screen-reader-text|visuallyhidden)$"
 GLYPHS = ["«", "»", "‹", "›", "<", ">", "<<", ">>", "←", "→"]
 VAGUE_HEADINGS = ["section", "heading", "title", "untitled", "content", "text", "more", "info", "misc", "other", "label", "field", "input", "value", "name here", "new", "item"]
-STATUS_COLOURS = r"^(text|bg|badge|label|border)-(danger|success|warning|error|red|green|yellow|orange)(-\d+)?$"
+STATUS_COLOURS = r"^(text|bg|badge|label|border|alert)-(danger|success|warning|error|red|green|yellow|orange)(-\d+)?$"
 STATUS_WORDS = r"(?i)\b(error|failed|failure|success|succeeded|warning|ok|done|passed|invalid|valid|required|danger|alert|note|overdue|paid|active|inactive)\b"
 HIGH_IMPACT = r"(?i)\b(pay|payment|purchase|buy|order|checkout|transfer|delete|submit application|sign contract|book|donate)\b"
 REVIEW_SIGNAL = r"(?i)\b(review|confirm|confirmation|undo|cancel order|are you sure|check your)\b"

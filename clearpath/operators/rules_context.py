@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import phrase
-from .finders import HIDDEN_TEXT, STATUS_COLOURS, STATUS_WORDS, clicked, inside, lines, selected, siblings
+from .finders import HIDDEN_TEXT, STATUS_COLOURS, STATUS_WORDS, clicked, inside, lines, selected
 from .pages import page_kinds
 from .registry import Tables, element_rule, rule
 from .rules import HEADINGS, INTERACTIVE_ROLES, KEY_HANDLERS, ancestors, any_of, attr, blank, found, has, hidden, interactive, lower, named, number, parents, presentational, roles, some_class, style, tag
@@ -26,7 +26,7 @@ CONFLICTS = {
 }
 ICON = r"^(fa|fas|far|fab|fa-.+|bi|bi-.+|icon|icon-.+|glyphicon|glyphicon-.+|material-icons|mdi|mdi-.+)$"
 PICTURE_HOSTS = r"(?i)^(https?:)?//([\w-]+\.)*(placeholder\.com|placehold\.co|placehold\.it|placekitten\.com|picsum\.photos|dummyimage\.com|loremflickr\.com|fakeimg\.pl)(/|$)"
-EMPTY_ALTS = ["image", "img", "photo", "picture", "graphic", "icon", "placeholder", "alt", "alt text", "untitled", "todo", "logo image", "image alt", "description", "photograph", "screenshot", "thumbnail", "banner"]
+EMPTY_ALTS = ["image", "img", "photo", "picture", "graphic", "icon", "placeholder", "alt", "alt text", "untitled", "todo", "logo", "logo image", "image alt", "description", "photograph", "screenshot", "thumbnail", "banner"]
 VIDEO_HOSTS = r"(?i)^(https?:)?//([\w-]+\.)*(youtube\.com|youtube-nocookie\.com|youtu\.be|vimeo\.com|dailymotion\.com|wistia\.com|wistia\.net|loom\.com|twitch\.tv|brightcove\.net|vidyard\.com)(/|$)"
 TOGGLE_VALUES = ["modal", "dropdown", "collapse", "tab", "pill", "offcanvas", "button"]
 
@@ -65,11 +65,11 @@ def _progress() -> Column:
 
 def _no_keyboard() -> Column:
     native = tag("a", "button", "input", "select", "textarea", "summary", "option", "label", "area")
-    driven = has("onclick") | has("data-bs-dismiss") | has("data-dismiss") | lower("data-bs-toggle").isin(*TOGGLE_VALUES) | lower("data-toggle").isin(*TOGGLE_VALUES)
+    driven = has("onclick") | (((lower("data-bs-ride") == "carousel") | (lower("data-ride") == "carousel")) & ~has("tabindex")) | has("data-bs-dismiss") | has("data-dismiss") | lower("data-bs-toggle").isin(*TOGGLE_VALUES) | lower("data-toggle").isin(*TOGGLE_VALUES)
     return driven & ~any_of(KEY_HANDLERS) & ~native & ~((has("data-bs-dismiss") | has("data-dismiss") | has("data-bs-toggle") | has("data-toggle")) & ~has("onclick") & roles(*INTERACTIVE_ROLES) & F.coalesce(number("tabindex") >= 0, F.lit(False)))
 
 
-_VALUE = r"^([$€£]?\s*\d[\d.,\s]*\s*[%$€£]?|[\w.+-]+@[\w-]+\.\w+|\d{4}-\d\d?-\d\d?|\d\d?[/.]\d\d?[/.]\d{2,4}|https?://\S+|[-–—*.:]+)$"
+_VALUE = r"^(\d{1,2}:\d{2}(:\d{2})?\s*([ap]\.?m\.?)?|[$€£]?\s*\d[\d.,\s]*\s*[%$€£]?|[\w.+-]+@[\w-]+\.\w+|\d{4}-\d\d?-\d\d?|\d\d?[/.]\d\d?[/.]\d{2,4}|https?://\S+|[-–—*.:]+)$"
 for args in [
     ("aria/conflicting-role", "4.1.2", "error", _conflicts, "The role contradicts what the element is."),
     ("aria/progressbar-value-range", "4.1.2", "error", _progress, "A progress bar's value is not within its range."),
@@ -133,7 +133,11 @@ def landmarks(t: Tables) -> DataFrame:
 def disabled_links(t: Tables) -> DataFrame:
     links = t.nodes.filter(tag("a")).select("file_id", "parent_id").distinct()
     rows = t.nodes.filter(tag("span", "div", "i", "b", "em") & (some_class(r"^(disabled|is-disabled|inactive)$") | some_class(r"^(prev|previous|next|first|last)(-(page|link))?$")) & ~has("aria-disabled") & ~F.lower("text").rlike("disabled|unavailable"))
-    return found(rows.filter("parent_id is not null").join(links, ["file_id", "parent_id"], "left_semi"), "Text stands for a link that is switched off.")
+    above = parents(t, "tag", "parent_id")
+    in_items = t.nodes.filter(tag("a")).join(above.filter("parent_tag = 'li'"), ["file_id", "parent_id"]).select("file_id", F.col("parent_parent_id").alias("list_id")).distinct()
+    items = rows.join(above.filter("parent_tag = 'li'"), ["file_id", "parent_id"]).withColumn("list_id", F.col("parent_parent_id")).join(in_items, ["file_id", "list_id"], "left_semi")
+    direct = rows.filter("parent_id is not null").join(links, ["file_id", "parent_id"], "left_semi")
+    return found(direct.select("file_id", "node_id", "line", "col").unionByName(items.select("file_id", "node_id", "line", "col")).distinct(), "Text stands for a link that is switched off.")
 
 
 @rule("aria/icon-child-missing-aria-hidden", "1.3.1 4.1.2", "warning")
@@ -146,7 +150,8 @@ def icon_children(t: Tables) -> DataFrame:
 @rule("aria/icon-font-hidden", "4.1.2 1.3.1", "info")
 def icons(t: Tables) -> DataFrame:
     """Icon glyphs that readers meet: alone or in prose, in a named control, or with only a title for a name."""
-    glyph = tag("i", "span", "em") & some_class(ICON) & blank(F.col("text")) & ~hidden() & ~roles("presentation", "none", "img") & blank(attr("aria-label")) & ~has("aria-labelledby")
+    drawn = tag("i", "span", "em") & ((some_class(ICON) & blank(F.col("text"))) | some_class("^material-(icons|symbols)"))
+    glyph = (drawn | tag("ion-icon", "iconify-icon")) & ~hidden() & ~roles("presentation", "none", "img") & blank(attr("aria-label")) & ~has("aria-labelledby")
     silent = (tag("button", "summary") | (tag("a") & has("href")) | roles("button", "link", "menuitem", "tab")) & ~named() & blank(F.col("text"))
     covered = ancestors(t, t.nodes.filter(glyph), silent | hidden()).select("file_id", "node_id").distinct()
     rows = t.nodes.filter(glyph & F.col("role").isNull()).join(covered, ["file_id", "node_id"], "left_anti")
@@ -180,8 +185,9 @@ def meaning_by_colour(t: Tables) -> DataFrame:
 def loose_errors(t: Tables) -> DataFrame:
     certain = some_class(r"^(invalid-feedback|error-message|field-error)$") | roles("alert")
     maybe = some_class(r"^alert-(danger|warning)$") | F.coalesce(F.col("id").rlike(r"[-_]error$"), F.lit(False))
-    rows = siblings(t, "tag", "attrs").filter((certain | maybe) & F.col("before_tag").isin("input", "select", "textarea"))
-    tied = F.array_contains(F.split(F.concat_ws(" ", F.col("before_attrs")["aria-describedby"], F.col("before_attrs")["aria-errormessage"]), r"\s+"), F.col("id"))
+    before = Window.partitionBy("file_id", "parent_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    rows = t.nodes.withColumn("field", F.last(F.when(tag("input", "select", "textarea"), F.col("attrs")), True).over(before)).filter((certain | maybe) & F.col("field").isNotNull())
+    tied = F.array_contains(F.split(F.concat_ws(" ", F.col("field")["aria-describedby"], F.col("field")["aria-errormessage"]), r"\s+"), F.col("id"))
     return rows.filter(~F.coalesce(tied, F.lit(False))).select("file_id", "line", "col", F.lit("An error message is not tied to its field.").alias("message"), F.when(certain, "error").otherwise("info").alias("severity"))
 
 
@@ -253,7 +259,7 @@ def scripted_elements(t: Tables) -> DataFrame:
 @rule("keyboard/character-shortcuts", "2.1.4", "warning", "guidance")
 def shortcuts(t: Tables) -> DataFrame:
     """Key listeners on the window or document that act on one printable character alone."""
-    listens, compares = r"(window|document)(\.body)?\.(addEventListener\(\s*['\"]key(down|up|press)|onkey(down|up|press)\s*=)", r"\.(key|code)\s*={2,3}\s*['\"](\w|Key[A-Z]|[^\w\s])['\"]"
+    listens, compares = r"(window|document)(\.body)?\.(addEventListener\(\s*['\"]key(down|up|press)|onkey(down|up|press)\s*=)", r"\.(key|code)\s*={2,3}\s*['\"](\w|Key[A-Z]|[^\w\s])['\"]|\.(keyCode|which|charCode)\s*={2,3}\s*\d+"
     guarded = r"ctrlKey|metaKey|altKey|activeElement|isContentEditable|tagName"
     rows = lines(Tables(t.files.filter(F.col("source").rlike(listens) & ~F.col("source").rlike(guarded)), t.nodes, t.css), compares)
     return rows.select("file_id", "line", "col", F.lit("A single character is a shortcut.").alias("message"))
@@ -262,6 +268,16 @@ def shortcuts(t: Tables) -> DataFrame:
 @rule("forms/required-indicator-missing", "3.3.2", "error")
 def required_components(t: Tables) -> DataFrame:
     """Components that hand ``required`` on to a native control and show no sign of it."""
-    hands_on, sign = r"<(input|select|textarea)\b[^>]*\brequired=\{\s*(props\.)?(required|isRequired)\s*\}", r"aria-required|\*|(?i:>\s*\(?required\)?)"
-    rows = lines(Tables(t.files.filter(F.lower("path").rlike(r"\.(tsx|jsx)$") & ~F.col("source").rlike(sign)), t.nodes, t.css), hands_on)
+    hands_on, sign = r"\brequired=\{\s*(props\.)?(required|isRequired)\s*\}", r"aria-required|\*|(?i:>\s*\(?required\)?)"
+    code = F.regexp_replace("source", r"(?s)/\*.*?\*/|(?m)^\s*//[^\n]*$", "")
+    rows = lines(Tables(t.files.filter(F.lower("path").rlike(r"\.(tsx|jsx)$") & F.col("source").rlike(r"<(input|select|textarea)\b") & ~code.rlike(sign)), t.nodes, t.css), hands_on)
     return rows.select("file_id", "line", "col", F.lit("A required field shows no sign of it.").alias("message"))
+
+
+@rule("parsing/malformed-tag", "4.1.1", "warning")
+def no_such_heading(t: Tables) -> DataFrame:
+    """Start and end tags of heading levels that there are not."""
+    ends = lines(t, r"</[hH]([07-9]|\d\d+)\s*>").join(t.nodes.select("file_id").distinct(), "file_id", "left_semi")
+    starts = t.nodes.filter(F.col("tag").rlike(r"^h\d+$") & ~tag(*HEADINGS))
+    rows = starts.select("file_id", "line", "col").unionByName(ends.select("file_id", "line", "col").join(starts.select("file_id", "line"), ["file_id", "line"], "left_anti"))
+    return found(rows, "There is no such heading level.")

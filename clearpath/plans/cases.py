@@ -20,7 +20,7 @@ CASES: dict[str, tuple[str, str, int, str]] = {
     "aria/hidden-focus": ("html", '<div aria-hidden="true"><a href="/x">x</a><button>y</button></div>', 1, '<div aria-hidden="true"><a>x</a><a href="/x" tabindex="-1">y</a></div>'),
     "aria/tablist-on-non-tab-container": ("html", '<ul role="tablist"><li>x</li></ul>', 1, '<ul role="tablist"><li><a role="tab" href="/x">x</a></li></ul>'),
     "aria/tab-controls-missing": ("html", '<a role="tab" aria-controls="p">x</a><a role="tab">y</a><div id="p"></div>', 2, '<a role="tab" aria-controls="p">x</a><div role="tabpanel" id="p"></div>'),
-    "aria/presentation-on-semantic-ancestor": ("html", '<ul role="presentation"><li>x<li>y</ul>', 1, '<ul><li>x</ul><table role="none"></table>'),
+    "aria/presentation-on-semantic-ancestor": ("html", '<ul role="presentation"><li>x<li>y</ul>', 1, '<ul><li>x</ul><table role="none"><tr><td>y</td></tr></table>'),
     "document/charset-first-1024-bytes": ("html", '<html><head><title>x</title><meta charset="utf-8"></head></html>', 1, '<html><head><meta charset="utf-8"><title>x</title></head></html>'),
     "document/iframe-title": ("html", '<iframe src="/x"></iframe>', 1, '<iframe src="/x" title="Map"></iframe><iframe aria-hidden="true"></iframe>'),
     "document/lang-attribute": ("html", "<html><body>x</body></html>", 1, '<html lang="de"><body>x</body></html>'),
@@ -41,7 +41,7 @@ CASES: dict[str, tuple[str, str, int, str]] = {
     "forms/multiple-label-for-same-id": ("html", '<label for="a">x</label><label for="a">y</label><input id="a">', 1, '<label for="a">x</label><input id="a">'),
     "forms/no-submit-control": ("html", "<form><input></form>", 1, "<form><input><button>Go</button></form>"),
     "forms/non-empty-label": ("html", "<label> </label>", 1, "<label>x</label>"),
-    "forms/radio-group-without-fieldset": ("html", '<input type="radio" name="r"><input type="radio" name="r">', 1, '<fieldset><input type="radio" name="r"><input type="radio" name="r"></fieldset>'),
+    "forms/radio-group-without-fieldset": ("html", '<input type="radio" name="r"><input type="radio" name="r">', 1, '<fieldset><legend>Size</legend><input type="radio" name="r"><input type="radio" name="r"></fieldset>'),
     "forms/submit-not-button-or-input": ("html", '<form><a class="btn" href="/x">Go</a></form>', 1, '<form><a class="btn" href="/x">Go</a><input type="submit"></form>'),
     "keyboard/accesskey-duplicate": ("html", '<a accesskey="s">x</a><b accesskey="S">y</b>', 1, '<a accesskey="s">x</a><b accesskey="t">y</b>'),
     "keyboard/anchor-button-not-focusable": ("html", '<a class="btn">x</a>', 1, '<a class="btn" href="/x">x</a>'),
