@@ -257,8 +257,8 @@ def drop_near_duplicates(documents: DataFrame, measures: tuple[tuple[int, int],
             rows = rows.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
             gone = materialize(rows if gone is None else rows.unionByName(gone), "gone", keep=True)
     # The anti-join leaves rows by id and text, so the last step needs no shuffle of its own.
-    left = without(documents.withColumn("_text_key", text_key("text")), gone, "_text_key")
-    return left.dropDuplicates(["doc_id", "_text_key"]).select(*documents.columns)
+    left = without(documents.withColumns({"_text_key": text_key("text"), "_no_text": F.col("text").isNull()}), gone, "_text_key")
+    return left.dropDuplicates(["doc_id", "_text_key", "_no_text"]).select(*documents.columns)
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
