@@ -71,22 +71,25 @@ def pragmas(files: DataFrame) -> DataFrame:
 
 
 def suppress(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """Findings that no comment switches off."""
-    off = pragmas(files)
-    named = findings.join(off.filter("token <> '*'").select("file_id", "line", F.col("token").alias("rule_id")).distinct(), ["file_id", "line", "rule_id"], "left_anti")
-    return named.join(off.filter("token = '*'").select("file_id", "line").distinct(), ["file_id", "line"], "left_anti")
+    """Findings that no comment switches off: one join by line."""
+    off = pragmas(files).groupBy(F.col("file_id").alias("_file"), F.col("line").alias("_line")).agg(F.collect_set("token").alias("_off"))
+    rows = findings.join(off, (F.col("file_id") == F.col("_file")) & (F.col("line") == F.col("_line")), "left")
+    return rows.filter(F.col("_off").isNull() | ~(F.array_contains("_off", "*") | F.array_contains("_off", F.col("rule_id")))).select(*findings.columns)
 
 
 def merge_co_firing(findings: DataFrame, pairs: list[tuple[str, str]] = CO_FIRE) -> DataFrame:
-    """Of two findings of a pair at one place the first stays, with both rules' criteria."""
-    table = F.broadcast(findings.sparkSession.createDataFrame(pairs, "rule_id string, absorbed string"))
-    place = ["file_id", "line", "col"]
-    second = findings.select(*place, F.col("rule_id").alias("absorbed"), F.col("criteria").alias("more"))
-    pairs_here = findings.select(*place, "rule_id").distinct().join(table, "rule_id").join(second.distinct(), [*place, "absorbed"])
-    gains = pairs_here.groupBy(*place, "rule_id").agg(F.flatten(F.collect_list("more")).alias("more"))
-    gone = pairs_here.select(*place, F.col("absorbed").alias("rule_id")).distinct()
-    kept = findings.join(gone, [*place, "rule_id"], "left_anti").join(gains, [*place, "rule_id"], "left")
-    return kept.withColumn("criteria", F.when(F.col("more").isNull(), F.col("criteria")).otherwise(F.array_union("criteria", "more"))).drop("more")
+    """Of two findings of a pair at one place the first stays, with both rules' criteria. One
+    window by place."""
+    place = Window.partitionBy("file_id", "line", "col")
+    here = F.collect_set(F.when(F.col("rule_id").isin(*{r for p in pairs for r in p}), F.struct("rule_id", "criteria"))).over(place)
+    rows = findings.withColumn("_here", here)
+    fires = lambda r: F.exists("_here", lambda x: x["rule_id"] == r)
+    criteria_of = lambda r: F.flatten(F.transform(F.filter("_here", lambda x: x["rule_id"] == r), lambda x: x["criteria"]))
+    gone, more = F.lit(False), F.array().cast("array<string>")
+    for first, second in pairs:
+        gone = gone | ((F.col("rule_id") == second) & fires(first))
+        more = F.when(F.col("rule_id") == first, F.concat(more, criteria_of(second))).otherwise(more)
+    return rows.filter(~gone).withColumn("criteria", F.array_union("criteria", more)).drop("_here")
 
 
 def identified(findings: DataFrame) -> DataFrame:
@@ -96,10 +99,9 @@ def identified(findings: DataFrame) -> DataFrame:
 def rollups(findings: DataFrame) -> DataFrame:
     """Counts by rule, by file and by directory in one pass; info findings do not count."""
     rows = findings.filter("severity <> 'info'").withColumn("directory", F.regexp_replace("path", "/[^/]*$", ""))
-    rows.createOrReplaceTempView("_findings")
-    return findings.sparkSession.sql("""
-        SELECT CASE grouping_id() WHEN 3 THEN 'rule' WHEN 5 THEN 'file' ELSE 'directory' END AS kind, coalesce(rule_id, path, directory) AS name, count(*) AS findings
-        FROM _findings GROUP BY GROUPING SETS ((rule_id), (path), (directory))""")
+    names = [F.col("rule_id"), F.col("path"), F.col("directory")]
+    sums = rows.groupingSets([[c] for c in names], *names).agg(F.grouping_id().alias("_set"), F.count("*").alias("findings"))
+    return sums.select(F.when(F.col("_set") == 3, "rule").when(F.col("_set") == 5, "file").otherwise("directory").alias("kind"), F.coalesce(*names).alias("name"), "findings")
 
 
 def top(counts: DataFrame, k: int) -> DataFrame:

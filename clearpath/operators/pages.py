@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .registry import Tables
 from .rules import HEADINGS, roles, tag
+from .tree import Place, placed
 
 # ---- fixed values: template directives, folders of layouts, landmarks ------------------
 LAYOUT_DIRECTIVE = r"(?i)\{%-?\s*(extends|layout)\b|\{\{-?\s*content\s*-?\}\}|@extends\s*\(|@yield\s*\(|<%=?\s*yield\b|<slot\s*/?>|\{\{\{?\s*body\s*\}?\}\}"
@@ -17,34 +18,37 @@ LANDMARKS = ["main", "nav", "header", "footer", "aside"]
 UNSEEN = ["script", "style", "noscript", "template"]
 
 
-def page_kinds(t: Tables) -> DataFrame:
-    """``kinds`` of the tables, made once."""
-    return t.once("page kinds", lambda: kinds(t))
-
-
-def kinds(t: Tables) -> DataFrame:
-    """file_id with fragment, partial and full_page, one row a file that has elements.
+def kind(p: Place) -> tuple[Column, Column, Column]:
+    """Whether a file is a fragment, a partial, a full page.
 
     A fragment has no html element or doctype, no layout directive, and is not in a
     folder of layouts. A partial has html without body or the other way round, names a
     layout, or is composed of others. A full page has a body and one of: a landmark; an
     h1 and five elements in the body; a heading with a list and a control; a heading and
     a script in the body; three visible elements and neither landmark nor heading."""
-    body = t.nodes.filter(tag("body")).groupBy("file_id").agg(F.min("node_id").alias("_b"), F.min_by("last_id", "node_id").alias("_z"))
-    n = t.nodes.select("file_id", "node_id", "tag", "attrs", "role").join(body, "file_id", "left")
-    inside = F.coalesce(F.col("node_id").between(F.col("_b") + 1, F.col("_z")), F.lit(False))
-    some = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
-    sums = n.groupBy("file_id").agg(
-        some(tag("html")).alias("_html"), some(tag("body")).alias("_body"), some(tag(*LANDMARKS)).alias("_mark"), some(inside & tag("h1")).alias("_h1"), some(inside & (tag(*HEADINGS) | roles("heading"))).alias("_heading"),
-        some(inside & tag("ul", "ol", "dl")).alias("_list"), some(inside & tag("a", "button", "input", "select", "textarea")).alias("_control"), some(inside & tag("script")).alias("_script"),
-        F.count_if(inside).alias("_n"), F.count_if(inside & ~tag(*UNSEEN)).alias("_seen"),
-    )
-    about = t.files.select(
-        "file_id", F.col("source").rlike(r"(?i)<!doctype\s+html|<html[\s>]").alias("_opener"), F.col("source").rlike(LAYOUT_DIRECTIVE).alias("_directive"), F.col("path").rlike(LAYOUT_DIRS).alias("_folder"),
-        F.col("source").rlike("(?m)" + FRONT_MATTER).alias("_front"), F.col("source").rlike(COMPOSITION).alias("_composed"),
-    )
-    full = F.col("_body") & (F.col("_mark") | (F.col("_h1") & (F.col("_n") >= 5)) | (F.col("_heading") & F.col("_list") & F.col("_control")) | (F.col("_heading") & F.col("_script")) | (~F.col("_mark") & ~F.col("_heading") & (F.col("_seen") >= 3)))
-    return sums.join(about, "file_id").select(
-        "file_id", (~(F.col("_opener") | F.col("_html") | F.col("_directive") | F.col("_folder"))).alias("fragment"),
-        ((F.col("_html") != F.col("_body")) | F.col("_front") | F.col("_composed") | F.col("_directive")).alias("partial"), full.alias("full_page"),
-    )
+    some = lambda name, c: p.file(name, F.bool_or(c))
+    html, body = p.is_("html", tag("html")), p.is_("body", tag("body"))
+    inside = p.above("body", tag("body"))
+    first = p.file("body", F.min(F.when(body, F.struct("node_id", "last_id"))))
+    size = first["last_id"] - first["node_id"]
+    seen = size - p.file("unseen", F.count_if(p.is_("unseen", tag(*UNSEEN)) & inside))
+    within = lambda name, c: some(f"in-body-{name}", p.is_(name, c) & inside)
+    mark, h1 = some("landmark", p.is_("landmark", tag(*LANDMARKS))), within("h1", tag("h1"))
+    heading = within("any-heading", tag(*HEADINGS) | roles("heading"))
+    lists, control, script = within("list", tag("ul", "ol", "dl")), within("control", tag("a", "button", "input", "select", "textarea")), within("script", tag("script"))
+    source = F.col("source")
+    directive, composed = p.about("directive", source.rlike(LAYOUT_DIRECTIVE)), p.about("composed", source.rlike(COMPOSITION))
+    opener, folder = p.about("opener", source.rlike(r"(?i)<!doctype\s+html|<html[\s>]")), p.about("folder", F.col("path").rlike(LAYOUT_DIRS))
+    front = p.about("front", source.rlike("(?m)" + FRONT_MATTER))
+    has_html, has_body = some("html", html), some("has-body", body)
+    full = has_body & (mark | (h1 & (size >= 5)) | (heading & lists & control) | (heading & script) | (~mark & ~heading & (seen >= 3)))
+    return ~(opener | has_html | directive | folder), (has_html != has_body) | front | composed | directive, full
+
+
+def page_kinds(t: Tables) -> DataFrame:
+    """file_id with fragment, partial and full_page, one row a file that has elements."""
+    p = Place()
+    first = p.is_("first", F.col("node_id") == 0)
+    names = ("fragment", "partial", "full_page")
+    columns = [c.alias(n) for c, n in zip(kind(p), names, strict=True)]
+    return placed(t.nodes, t.files, p).filter(first).select("file_id", *columns)

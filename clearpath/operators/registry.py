@@ -9,10 +9,14 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sheets import Sheet, sheet_rows
+from .tree import Hit, Place, placed
+
 
 @dataclass(frozen=True)
 class Tables:
-    """What rules read: files (file_id, path, source), nodes (elements), css (declarations)."""
+    """What rules read: files (file_id, path, source), nodes (elements), css (declarations).
+    As a context it gives back, at its end, what was persisted for it."""
 
     files: DataFrame
     nodes: DataFrame
@@ -25,21 +29,34 @@ class Tables:
             self.made[name] = make().persist(StorageLevel.MEMORY_AND_DISK)
         return self.made[name]
 
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for d in (*self.made.values(), self.css, self.nodes):
+            if d is not None:
+                d.unpersist()
+        self.made.clear()
+
 
 @dataclass(frozen=True)
 class Rule:
+    """A rule asks about one element (``element``), an element's place (``place``), a rule of
+    a style sheet (``sheet``), or is a query of its own (``find``)."""
+
     id: str
     criteria: tuple[str, ...]
     severity: str
-    find: Callable[[Tables], DataFrame] = field(compare=False)
+    find: Callable[[Tables], DataFrame] | None = field(default=None, compare=False)
     fix_class: str = "verify-in-source"
-    element: Column | None = field(default=None, compare=False)  # a rule that one element decides
-    message: Column | None = field(default=None, compare=False)
+    element: Callable[[], Column] | None = field(default=None, compare=False)
+    message: str | Callable[[], Column] | None = field(default=None, compare=False)
+    own_severity: Callable[[], Column] | None = field(default=None, compare=False)
+    place: Callable[[Place], list[Hit]] | None = field(default=None, compare=False)
+    sheet: Callable[[Sheet], list[Hit]] | None = field(default=None, compare=False)
 
 
 RULES: dict[str, Rule] = {}
-#: Element rules a pass: more make code too long to be compiled.
-TOGETHER = 4
 
 
 def rule(id_: str, criteria: str, severity: str, fix_class: str = "verify-in-source"):
@@ -52,37 +69,135 @@ def rule(id_: str, criteria: str, severity: str, fix_class: str = "verify-in-sou
     return keep
 
 
-def element_rule(id_: str, criteria: str, severity: str, condition: Callable[[], Column], message: str, fix_class: str = "verify-in-source") -> None:
-    """A rule that looks at one element by itself. All such rules share one pass."""
+def place_rule(id_: str, criteria: str, severity: str, fix_class: str = "verify-in-source"):
+    """Register a function from ``Place`` to hits. All such rules share one plan."""
+
+    def keep(place):
+        RULES[id_] = Rule(id_, tuple(criteria.split()), severity, None, fix_class, place=place)
+        return place
+
+    return keep
+
+
+def sheet_rule(id_: str, criteria: str, severity: str, fix_class: str = "verify-in-source"):
+    """Register a function from ``Sheet`` to hits. All such rules share one plan."""
+
+    def keep(sheet):
+        RULES[id_] = Rule(id_, tuple(criteria.split()), severity, None, fix_class, sheet=sheet)
+        return sheet
+
+    return keep
+
+
+def element_rule(id_: str, criteria: str, severity: str, condition: Callable[[], Column], message: str | Callable[[], Column], fix_class: str = "verify-in-source", own_severity: Callable[[], Column] | None = None) -> None:
+    """A rule that looks at one element by itself; all such rules share one pass. A message
+    that is a function gives a column: a text, or an array with a finding for each."""
+    RULES[id_] = Rule(id_, tuple(criteria.split()), severity, None, fix_class, condition, message, own_severity)
+
 
-    def find(t: Tables) -> DataFrame:
-        return t.nodes.filter(condition()).select("file_id", "line", "col", F.lit(message).alias("message"))
+SHAPE = ["file_id", "line", "col", "rule_id", "severity", "message"]
 
-    RULES[id_] = Rule(id_, tuple(criteria.split()), severity, find, fix_class, condition, message)
+
+class Hits:
+    """Conditions and what they tell, as two arrays: numbers of the rules whose message is
+    fixed, and (number, message, severity, line) of the others."""
+
+    def __init__(self):
+        self.known: list[tuple[Rule, str | None, str | None]] = []
+        self.fixed: list[Column] = []
+        self.made: list[Column] = []
+
+    def add(self, r: Rule, when: Column, message: str | Column, severity: str | Column | None = None) -> None:
+        n, plain = len(self.known), isinstance(message, str) and not isinstance(severity, Column)
+        self.known.append((r, message if isinstance(message, str) else None, severity if isinstance(severity, str) else r.severity))
+        if plain:
+            self.fixed.append(F.when(when, n))
+        else:
+            said = F.lit(None).cast("string") if isinstance(message, str) else message
+            level = severity if isinstance(severity, Column) else F.expr("cast(null as string)")
+            self.made.append(F.when(when, F.array(F.struct(F.lit(n).alias("n"), said.alias("message"), level.alias("severity"), F.col("line").cast("int").alias("line")))))
+
+    def each(self, r: Rule, when: Column, rows: Column, message: Callable, line: Callable) -> None:
+        """A hit for each entry of an array."""
+        n = len(self.known)
+        self.known.append((r, None, r.severity))
+        self.made.append(F.when(when, F.transform(rows, lambda x: F.struct(F.lit(n).alias("n"), message(x).alias("message"), F.expr("cast(null as string)").alias("severity"), line(x).cast("int").alias("line")))))
+
+    def found(self, rows: DataFrame) -> DataFrame:
+        empty = F.expr("cast(array() as array<struct<n:int,message:string,severity:string,line:int>>)")
+        fixed = F.transform(F.array_compact(F.array(*self.fixed)), lambda n: F.struct(n.alias("n"), F.expr("cast(null as string)").alias("message"), F.expr("cast(null as string)").alias("severity"), F.col("line").cast("int").alias("line"))) if self.fixed else empty
+        made = F.flatten(F.array_compact(F.array(*self.made))) if self.made else empty
+        hit = rows.select("file_id", "col", F.explode(F.concat(fixed, made)).alias("hit"))
+        text = lambda x: "null" if x is None else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        column = lambda values: "array(" + ", ".join(map(text, values)) + ")[hit.n]"
+        return hit.selectExpr("file_id", "hit.line as line", "col", column(k[0].id for k in self.known) + " as rule_id", f"coalesce(hit.severity, {column(k[2] for k in self.known)}) as severity", f"coalesce(hit.message, {column(k[1] for k in self.known)}) as message")
+
+
+def _of_elements(t: Tables, rules: list[Rule]) -> DataFrame:
+    hits = Hits()
+    for r in rules:
+        if getattr(r.message, "many", False):
+            hits.each(r, r.element(), r.message(), lambda m: m, lambda m: F.col("line"))
+        else:
+            hits.add(r, r.element(), r.message if isinstance(r.message, str) else r.message(), r.own_severity() if r.own_severity else None)
+    return hits.found(t.nodes)
+
+
+def _of_places(t: Tables, rules: list[Rule]) -> DataFrame:
+    place, hits, kinds = Place(), Hits(), {}
+    for r in rules:
+        for h in r.place(place):
+            kind = kinds.setdefault(h.on, F.expr(f"mention.kind = '{h.on}'"))
+            hits.add(r, kind & h.when, h.message, h.severity)
+    return hits.found(placed(t.nodes, t.files, place))
+
+
+def of_sheets(t: Tables, rules: list[Rule]) -> DataFrame:
+    sheet, hits = Sheet(), Hits()
+    for r in rules:
+        for h in r.sheet(sheet):
+            if h.on == "each":
+                hits.each(r, h.when, h.message, lambda x: x["message"], lambda x: x["line"])
+            else:
+                hits.add(r, h.when, h.message, h.severity)
+    return hits.found(sheet.rows(t.once("sheet rules", lambda: sheet_rows(t.css))).withColumn("col", F.lit(1)))
+
+
+def many(made: Callable[[], Column]) -> Callable[[], Column]:
+    """Marks a message that is an array: a finding for each of its texts."""
+    made.many = True
+    return made
 
 
 def run_rules(t: Tables, ids: list[str] | None = None) -> DataFrame:
     """file_id, path, line, col, rule_id, criteria, severity, fix_class and message of
-    every finding. Rules on single elements are evaluated some at a time: one pass over
-    the elements makes an array of the rules that apply, which is exploded."""
+    every finding. Rules on single elements share a pass, rules on places share one shuffle
+    by file, rules on style sheets another; each evaluates its rules as an array of hits. So
+    the plan has a few branches, however many rules there are."""
     chosen = [RULES[i] for i in (ids or sorted(RULES))]
-    parts: list[DataFrame] = []
-    single = [r for r in chosen if r.element is not None]
-    shape = ["file_id", "line", "col", "rule_id", "criteria", "severity", "fix_class", "message"]
-    about = lambda r: F.struct(F.lit(r.id).alias("rule_id"), F.array(*map(F.lit, r.criteria)).alias("criteria"), F.lit(r.severity).alias("severity"), F.lit(r.fix_class).alias("fix_class"))
-    for some in (single[i : i + TOGETHER] for i in range(0, len(single), TOGETHER)):
-        hits = F.array(*(F.when(r.element(), F.struct(about(r).alias("about"), F.lit(r.message).alias("message"))) for r in some))
-        found = t.nodes.select("file_id", "line", "col", F.explode(F.array_compact(hits)).alias("hit"))
-        parts.append(found.select("file_id", "line", "col", "hit.about.*", "hit.message").select(shape))
+    parts = []
+    if some := [r for r in chosen if r.element]:
+        parts.append(_of_elements(t, some))
+    if some := [r for r in chosen if r.place]:
+        parts.append(_of_places(t, some))
+    if (some := [r for r in chosen if r.sheet]) and t.css is not None:
+        parts.append(of_sheets(t, some))
     for r in chosen:
-        if r.element is None:
+        if r.find:
             found = r.find(t)
             own = F.col("severity") if "severity" in found.columns else F.lit(r.severity)
-            parts.append(found.withColumn("_s", own).withColumns({"rule_id": F.lit(r.id), "criteria": F.array(*map(F.lit, r.criteria)), "fix_class": F.lit(r.fix_class), "severity": F.col("_s")}).select(shape))
-    out = parts[0]
+            parts.append(found.select("file_id", "line", "col", F.lit(r.id).alias("rule_id"), own.alias("severity"), "message"))
+    return described(t, parts, chosen)
+
+
+def described(t: Tables, parts: list[DataFrame], rules: list[Rule]) -> DataFrame:
+    """Findings of all parts with their rules' criteria and their files' paths."""
+    out = parts[0].select(SHAPE)
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.join(t.files.select("file_id", "path"), "file_id").select("file_id", "path", *shape[1:])
+        out = out.unionByName(p.select(SHAPE))
+    kinds = F.create_map(*(x for r in rules for x in (F.lit(r.id), F.struct(F.array(*map(F.lit, r.criteria)).cast("array<string>").alias("criteria"), F.lit(r.fix_class).alias("fix_class")))))
+    out = out.withColumn("_r", kinds[F.col("rule_id")]).join(t.files.select("file_id", "path"), "file_id")
+    return out.select("file_id", "path", "line", "col", "rule_id", "_r.criteria", "severity", "_r.fix_class", "message")
 
 
 CRASH = "internal/rule-crash"

@@ -1,5 +1,5 @@
-"""The rules. Single-element rules are conditions; the others are joins, windows and
-grouped sums over elements and declarations."""
+"""The rules. Single-element rules are conditions; the others are conditions on an
+element's place in its page (``tree``) or on a style rule and its file (``sheets``)."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.color import contrast, points
 from ..functions.text import phrase
-from .registry import Tables, element_rule, rule
+from .registry import Tables, element_rule, many, place_rule, rule, sheet_rule
+from .sheets import Sheet, each, sheet_rows
+from .tree import Hit, Place, mention, none, tokens
 
 # ---- fixed values -------------------------------------------------------------------
 GENERIC = ["this", "that", "the", "here", "there", "this link", "that link", "the link", "this page", "that page", "click", "click here", "more", "more info", "more information", "more details", "details", "info", "read more", "learn more", "link"]
@@ -41,16 +43,22 @@ FRAME_TITLES = ["iframe", "frame", "video", "youtube video", "vimeo video", "emb
 
 
 # ---- conditions ---------------------------------------------------------------------
+# Written as SQL: a condition is then one call to the JVM, however long, and all rules
+# together are built in a few seconds.
+def listed(names) -> str:
+    return ", ".join("'" + n.replace("'", "\\'") + "'" for n in names)
+
+
 def tag(*names: str) -> Column:
-    return F.col("tag").isin(*names)
+    return F.expr(f"tag in ({listed(names)})")
 
 
 def attr(name: str) -> Column:
-    return F.col("attrs")[name]
+    return F.expr(f"attrs['{name}']")
 
 
 def has(name: str) -> Column:
-    return F.map_contains_key("attrs", F.lit(name))
+    return F.expr(f"map_contains_key(attrs, '{name}')")
 
 
 def blank(c: Column) -> Column:
@@ -58,49 +66,55 @@ def blank(c: Column) -> Column:
 
 
 def lower(name: str) -> Column:
-    return F.lower(F.trim(F.coalesce(attr(name), F.lit(""))))
+    return F.expr(f"lower(trim(coalesce(attrs['{name}'], '')))")
+
+
+_NUMBER = "try_cast(regexp_extract(trim(coalesce(attrs['{}'], '')), r'^[+-]?\\d*\\.?\\d+', 0) as double)"
 
 
 def number(name: str) -> Column:
-    return F.regexp_extract(F.trim(F.coalesce(attr(name), F.lit(""))), r"^[+-]?\d*\.?\d+", 0).try_cast("double")
+    return F.expr(_NUMBER.format(name))
 
 
 def some_class(pattern: str) -> Column:
     return F.exists("classes", lambda c: c.rlike(pattern))
 
 
+_HIDDEN = "lower(trim(coalesce(attrs['aria-hidden'], ''))) = 'true'"
+_NATIVE_INPUT = "(tag = 'input' and lower(trim(coalesce(attrs['type'], ''))) <> 'hidden')"
+
+
 def hidden() -> Column:
-    return lower("aria-hidden") == "true"
+    return F.expr(_HIDDEN)
 
 
 def presentational() -> Column:
-    return F.coalesce(F.col("role").isin("none", "presentation"), F.lit(False)) | hidden()
+    return F.expr(f"coalesce(role in ('none', 'presentation'), false) or {_HIDDEN}")
 
 
 def roles(*names: str) -> Column:
-    return F.coalesce(F.col("role").isin(*names), F.lit(False))
+    return F.expr(f"coalesce(role in ({listed(names)}), false)")
 
 
 def named() -> Column:
-    return F.col("given_name").isNotNull()
+    return F.expr("given_name is not null")
 
 
 def any_of(names: list[str]) -> Column:
-    c = F.lit(False)
-    for n in names:
-        c = c | has(n)
-    return c
+    return F.expr(" or ".join(f"map_contains_key(attrs, '{n}')" for n in names))
 
 
 def interactive() -> Column:
-    by_tag = tag("button", "select", "textarea", "details") | (tag("a") & has("href")) | (tag("input") & (lower("type") != "hidden")) | (tag("audio", "video") & has("controls"))
-    return by_tag | roles(*INTERACTIVE_ROLES)
+    return F.expr(
+        f"tag in ('button', 'select', 'textarea', 'details') or (tag = 'a' and map_contains_key(attrs, 'href')) or {_NATIVE_INPUT} "
+        f"or (tag in ('audio', 'video') and map_contains_key(attrs, 'controls')) or coalesce(role in ({listed(INTERACTIVE_ROLES)}), false)"
+    )
 
 
 def focusable() -> Column:
-    native = tag(*FOCUSABLE) | (tag("a", "area") & has("href")) | (tag("input") & (lower("type") != "hidden"))
-    order = number("tabindex")
-    return (native & ~has("disabled") & F.coalesce(order >= 0, F.lit(True))) | F.coalesce(order >= 0, F.lit(False))
+    order = _NUMBER.format("tabindex")
+    native = f"(tag in ({listed(FOCUSABLE)}) or (tag in ('a', 'area') and map_contains_key(attrs, 'href')) or {_NATIVE_INPUT})"
+    return F.expr(f"({native} and not map_contains_key(attrs, 'disabled') and coalesce({order} >= 0, true)) or coalesce({order} >= 0, false)")
 
 
 # ---- rules on single elements -------------------------------------------------------
@@ -141,13 +155,53 @@ for args in [
     element_rule(*args)
 
 
-# ---- rules on several elements ------------------------------------------------------
-def found(rows: DataFrame, message: str | Column) -> DataFrame:
-    return rows.select("file_id", "line", "col", (F.lit(message) if isinstance(message, str) else message).alias("message"))
+# ---- rules on single elements whose message or severity depends on it ------------------
+def _wrong_roles() -> Column:
+    return F.filter(F.split(F.col("role"), r"\s+"), lambda r: (r != "") & ~r.isin(*ROLES))
+
+
+def _wrong_names() -> Column:
+    return F.filter(F.map_keys("attrs"), lambda n: n.startswith("aria-") & ~F.regexp_replace(n, "^aria-", "").isin(*ARIA))
+
+
+def _meant(name: Column) -> Column:
+    short = F.regexp_replace(name, "^aria-", "")
+    near = F.array_sort(F.filter(F.transform(F.array(*map(F.lit, ARIA)), lambda a: F.struct(F.levenshtein(short, a).alias("d"), a.alias("a"))), lambda s: s["d"] <= 2))
+    return F.concat(F.lit("No such attribute: "), name, F.when(F.size(near) > 0, F.concat(F.lit(", meant aria-"), F.get(near, F.lit(0))["a"], F.lit("?"))).otherwise(""))
+
 
+def _delay() -> Column:
+    return F.regexp_extract(F.coalesce(attr("content"), F.lit("")), r"^\s*(\d+(\.\d+)?)", 1).try_cast("double")
 
-def ids(t: Tables) -> DataFrame:
-    return t.nodes.filter(F.col("id") != "").select("file_id", F.col("id").alias("target")).distinct()
+
+def _zoom() -> Column:
+    parts = F.transform(F.split(F.lower(F.coalesce(attr("content"), F.lit(""))), "[,;]"), lambda p: F.transform(F.split(p, "="), lambda x: F.trim(x)))
+    value = lambda name: F.get(F.get(F.filter(parts, lambda p: F.get(p, F.lit(0)) == name), F.lit(0)), F.lit(1))
+    scale = F.regexp_extract(value("maximum-scale"), r"^[+-]?\d*\.?\d+", 0).try_cast("double")
+    return F.array_compact(F.array(F.when(value("user-scalable").isin("no", "0"), "Zoom is switched off."), F.when(scale < 2, "Zoom ends below 200 %.")))
+
+
+LISTS = ["ul", "ol", "menu"]
+for args in [
+    ("aria/invalid-role", "4.1.2", "error", lambda: F.col("role").isNotNull() & (F.size(_wrong_roles()) > 0), lambda: F.concat(F.lit("Not a role: "), F.array_join(_wrong_roles(), ", ")), "mechanical"),
+    ("aria/valid-attr", "4.1.2", "error", lambda: F.size(_wrong_names()) > 0, many(lambda: F.transform(_wrong_names(), _meant))),
+    ("document/lang-attribute", "3.1.1", "error", lambda: tag("html") & (blank(attr("lang")) | (has("xml:lang") & (lower("lang") != lower("xml:lang")))), "The page does not state its language."),
+    (
+        "document/meta-refresh", "2.2.1 2.2.4 3.2.5", "error", lambda: tag("meta") & (lower("http-equiv") == "refresh") & _delay().isNotNull(),
+        lambda: F.when(_delay() == 0, "The page leaves at once.").when(lower("content").contains("url"), "The page leaves by itself.").otherwise("The page reloads by itself."), "verify-in-source", lambda: F.when(_delay() == 0, "warning").otherwise("error"),
+    ),
+    ("document/viewport-zoom", "1.4.4", "error", lambda: tag("meta") & (lower("name") == "viewport"), many(_zoom)),
+    (
+        "semantics/list-structure", "1.3.1", "warning", lambda: ((F.col("tag") == "li") & ~F.coalesce(F.col("parent_tag").isin(*LISTS), F.lit(False))) | (F.coalesce(F.col("parent_tag").isin(*LISTS), F.lit(False)) & ~tag("li", "script", "template")),
+        many(lambda: F.array_compact(F.array(F.when((F.col("tag") == "li") & ~F.coalesce(F.col("parent_tag").isin(*LISTS), F.lit(False)), "A list item stands outside a list."), F.when(F.col("parent_tag").isin(*LISTS) & ~tag("li", "script", "template"), "A list holds something that is no item.")))),
+    ),
+]:
+    element_rule(*args)
+
+
+# ---- for rules and finders that are queries of their own --------------------------------
+def found(rows: DataFrame, message: str | Column) -> DataFrame:
+    return rows.select("file_id", "line", "col", (F.lit(message) if isinstance(message, str) else message).alias("message"))
 
 
 def ancestors(t: Tables, rows: DataFrame, keep: Column, *columns: str) -> DataFrame:
@@ -161,393 +215,403 @@ def parents(t: Tables, *columns: str) -> DataFrame:
     return t.nodes.select("file_id", F.col("node_id").alias("parent_id"), *(F.col(c).alias(f"parent_{c}") for c in columns))
 
 
-@rule("aria/invalid-role", "4.1.2", "error", "mechanical")
-def invalid_role(t: Tables) -> DataFrame:
-    bad = F.filter(F.split(F.col("role"), r"\s+"), lambda r: (r != "") & ~r.isin(*ROLES))
-    rows = t.nodes.filter("role is not null").withColumn("bad", bad).filter(F.size("bad") > 0)
-    return found(rows, F.concat(F.lit("Not a role: "), F.array_join("bad", ", ")))
+# ---- rules on an element's place ----------------------------------------------------------
+def one(value: Column) -> Column:
+    return F.array(value)
 
 
-@rule("aria/valid-attr", "4.1.2", "error")
-def valid_attribute(t: Tables) -> DataFrame:
-    rows = t.nodes.select("file_id", "line", "col", F.explode(F.map_keys("attrs")).alias("name")).filter("name like 'aria-%'")
-    rows = rows.filter(~F.regexp_replace("name", "^aria-", "").isin(*ARIA))
-    near = F.array_sort(F.filter(F.transform(F.array(*map(F.lit, ARIA)), lambda a: F.struct(F.levenshtein(F.regexp_replace("name", "^aria-", ""), a).alias("d"), a.alias("a"))), lambda s: s["d"] <= 2))
-    hint = F.when(F.size(near) > 0, F.concat(F.lit(", meant aria-"), F.get(near, F.lit(0))["a"], F.lit("?"))).otherwise("")
-    return found(rows, F.concat(F.lit("No such attribute: "), "name", hint))
+def target_exists(p: Place) -> Column:
+    return p.mentioned("self", "self")
 
 
-@rule("aria/labelledby-target-exists", "4.1.2", "error")
-def references(t: Tables) -> DataFrame:
-    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), attr(n).alias("value")) for n in IDREFS)))
-    rows = t.nodes.select("file_id", "line", "col", pairs.alias("p")).filter("p.value is not null")
-    rows = rows.select("file_id", "line", "col", "p.name", F.explode(F.split(F.trim("p.value"), r"\s+")).alias("target")).filter("target <> ''")
-    return found(rows.join(ids(t), ["file_id", "target"], "left_anti"), F.concat("name", F.lit(" refers to a missing id: "), "target"))
+def label_for(p: Place) -> Column:
+    """Whether this element is a label for an id; its mentions are of kind ``for``."""
+    mine = p.is_("label-for", tag("label") & (attr("for") != ""))
+    p.mentions("for", tokens(mine, one(p.value("for", attr("for")))))
+    return mine
 
 
-@rule("aria/hidden-focus", "4.1.2 2.1.1", "error")
-def hidden_focus(t: Tables) -> DataFrame:
-    inside = ancestors(t, t.nodes.filter(focusable()), hidden(), "line", "col").select("file_id", F.col("above").alias("node_id"), F.col("above_line").alias("line"), F.col("above_col").alias("col"))
-    own = t.nodes.filter(hidden() & focusable()).select("file_id", "node_id", "line", "col")
-    return found(inside.unionByName(own).distinct(), "Hidden content can get focus.")
+def optional_field(p: Place) -> Column:
+    """Whether the token's element is a field that is not required."""
+    field = p.is_("optional-field", tag("input", "select", "textarea") & ~has("required") & (lower("aria-required") != "true"))
+    return p.mentioned("optional", "self", field)
 
 
-@rule("aria/tablist-on-non-tab-container", "1.3.1 4.1.2", "error")
-def tablist_without_tabs(t: Tables) -> DataFrame:
-    lists = t.nodes.filter(roles("tablist"))
-    with_tabs = ancestors(t, t.nodes.filter(roles("tab")), roles("tablist")).select("file_id", F.col("above").alias("node_id")).distinct()
-    return found(lists.join(with_tabs, ["file_id", "node_id"], "left_anti"), "A tab list has no tab.")
+def text_of(condition: Column) -> Column:
+    return condition & ~blank(F.col("text"))
 
 
-@rule("aria/tab-controls-missing", "4.1.2 1.3.1", "error")
-def tab_controls(t: Tables) -> DataFrame:
-    tabs = t.nodes.filter(roles("tab"))
-    panels = t.nodes.filter(roles("tabpanel")).select("file_id", F.col("id").alias("target")).distinct()
-    lost = tabs.filter(has("aria-controls")).withColumn("target", attr("aria-controls")).join(panels, ["file_id", "target"], "left_anti")
-    shown = tabs.select("file_id", attr("aria-controls").alias("id")).distinct()
-    orphans = t.nodes.filter(roles("tabpanel") & ~has("aria-labelledby")).join(shown, ["file_id", "id"], "left_anti")
-    return found(tabs.filter(~has("aria-controls")), "A tab names no panel.").unionByName(found(lost, "A tab names something that is no panel.")).unionByName(found(orphans, "A panel belongs to no tab."))
+@place_rule("aria/labelledby-target-exists", "4.1.2", "error")
+def references(p: Place) -> list[Hit]:
+    words = lambda n: F.filter(F.split(F.trim(attr(n)), r"\s+"), lambda x: x != "")
+    all_ = F.flatten(F.array(*(F.coalesce(tokens(has(n), words(n), n), none()) for n in IDREFS)))
+    some = p.is_("references", any_of(IDREFS))
+    p.mentions("ref", F.when(some, p.value("references", all_)).otherwise(none()))
+    return [Hit(~target_exists(p), F.concat(mention("name"), F.lit(" refers to a missing id: "), mention("token")), on="ref")]
 
 
-@rule("aria/presentation-on-semantic-ancestor", "1.3.1 4.1.2", "warning")
-def presentation_over_children(t: Tables) -> DataFrame:
-    needs = {"table": ["th", "caption", "thead", "tfoot"], "ul": ["li"], "ol": ["li"], "dl": ["dt", "dd"], "figure": ["figcaption"], "form": ["input", "select", "textarea", "button"]}
-    pairs = F.create_map(*(x for k, v in needs.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    rows = ancestors(t, t.nodes, tag(*needs) & roles("none", "presentation"), "tag", "line", "col").filter(F.array_contains(pairs[F.col("above_tag")], F.col("tag")))
-    return found(rows.select("file_id", "above", F.col("above_line").alias("line"), F.col("above_col").alias("col")).distinct(), "Children keep a meaning that the parent gave up.")
+@place_rule("aria/hidden-focus", "4.1.2 2.1.1", "error")
+def hidden_focus(p: Place) -> list[Hit]:
+    return [Hit(p.is_("hidden", hidden()) & (p.is_("focusable", focusable()) | (p.below("focusable", focusable()) > 0)), "Hidden content can get focus.")]
 
 
-@rule("document/charset-first-1024-bytes", "1.3.1 4.1.1", "error")
-def charset(t: Tables) -> DataFrame:
-    head = t.nodes.filter(tag("head")).select("file_id", F.col("node_id").alias("parent_id"), "line", "col")
-    declared = t.nodes.filter(tag("meta") & (has("charset") | (lower("http-equiv") == "content-type"))).groupBy("file_id").agg(F.min("stop").alias("stop"), F.min_by("ord", "start").alias("ord"))
-    rows = head.join(declared, "file_id", "left").join(t.files.select("file_id", "source"), "file_id")
-    late = F.octet_length(F.substring("source", F.lit(1), F.col("stop"))) > 1024
-    problem = F.when(F.col("stop").isNull(), "No character set is declared.").when(F.col("ord") > 0, "The character set is not declared first.").when(late, "The character set is declared after 1024 bytes.")
-    return found(rows.filter(problem.isNotNull()), problem)
+@place_rule("aria/tablist-on-non-tab-container", "1.3.1 4.1.2", "error")
+def tablist_without_tabs(p: Place) -> list[Hit]:
+    return [Hit(p.is_("tablist", roles("tablist")) & (p.below("tab", roles("tab")) == 0), "A tab list has no tab.")]
 
 
-@rule("document/lang-attribute", "3.1.1", "error")
-def page_language(t: Tables) -> DataFrame:
-    rows = t.nodes.filter(tag("html") & (blank(attr("lang")) | (has("xml:lang") & (lower("lang") != lower("xml:lang")))))
-    return found(rows, "The page does not state its language.")
+@place_rule("aria/tab-controls-missing", "4.1.2 1.3.1", "error")
+def tab_controls(p: Place) -> list[Hit]:
+    tab, panel = p.is_("tab", roles("tab")), p.is_("tabpanel", roles("tabpanel"))
+    controls = p.is_("controls", has("aria-controls"))
+    p.mentions("shown", tokens(tab & controls, one(p.value("controls", attr("aria-controls")))))
+    return [
+        Hit(tab & ~controls, "A tab names no panel."),
+        Hit(~p.mentioned("panel", "self", panel), "A tab names something that is no panel.", on="shown"),
+        Hit(panel & ~p.is_("labelledby", has("aria-labelledby")) & ~p.mentioned("shown", "shown"), "A panel belongs to no tab."),
+    ]
 
 
-@rule("document/meta-refresh", "2.2.1 2.2.4 3.2.5", "error")
-def refresh(t: Tables) -> DataFrame:
-    delay = F.regexp_extract(F.coalesce(attr("content"), F.lit("")), r"^\s*(\d+(\.\d+)?)", 1).try_cast("double")
-    rows = t.nodes.filter(tag("meta") & (lower("http-equiv") == "refresh")).withColumn("delay", delay).filter("delay is not null")
-    goes = lower("content").contains("url")
-    out = rows.withColumn("message", F.when(F.col("delay") == 0, "The page leaves at once.").when(goes, "The page leaves by itself.").otherwise("The page reloads by itself."))
-    return out.select("file_id", "line", "col", "message", F.when(F.col("delay") == 0, "warning").otherwise("error").alias("severity"))
+@place_rule("aria/presentation-on-semantic-ancestor", "1.3.1 4.1.2", "warning")
+def presentation_over_children(p: Place) -> list[Hit]:
+    needs = {"table": ["th", "caption", "thead", "tfoot"], "ul": ["li"], "ol": ["li"], "dl": ["dt", "dd"], "figure": ["figcaption"], "form": ["input", "select", "textarea", "button"]}
+    given_up = p.is_("presentation", roles("none", "presentation"))
+    hit = F.lit(False)
+    for host, parts in needs.items():
+        hit = hit | ((F.col("tag") == host) & (p.below(f"of-{'list' if host in ('ul', 'ol') else host}", tag(*parts)) > 0))
+    return [Hit(given_up & hit, "Children keep a meaning that the parent gave up.")]
 
 
-@rule("document/viewport-zoom", "1.4.4", "error")
-def viewport(t: Tables) -> DataFrame:
-    parts = F.transform(F.split(F.lower(F.coalesce(attr("content"), F.lit(""))), "[,;]"), lambda p: F.transform(F.split(p, "="), lambda x: F.trim(x)))
-    value = lambda name: F.get(F.filter("parts", lambda p: F.get(p, F.lit(0)) == name), F.lit(0))[1]
-    rows = t.nodes.filter(tag("meta") & (lower("name") == "viewport")).withColumn("parts", parts)
-    scale = F.regexp_extract(value("maximum-scale"), r"^[+-]?\d*\.?\d+", 0).try_cast("double")
-    problems = F.array_compact(F.array(F.when(value("user-scalable").isin("no", "0"), "Zoom is switched off."), F.when(scale < 2, "Zoom ends below 200 %.")))
-    return rows.select("file_id", "line", "col", F.explode(problems).alias("message"))
+@place_rule("document/charset-first-1024-bytes", "1.3.1 4.1.1", "error")
+def charset(p: Place) -> list[Hit]:
+    declares = p.is_("charset", tag("meta") & (has("charset") | (lower("http-equiv") == "content-type")))
+    first = p.file("charset", F.min(F.when(declares, F.struct("node_id", "ord", p.value("octets", F.col("octets")).alias("octets")))))
+    problem = F.when(first.isNull(), "No character set is declared.").when(first["ord"] > 0, "The character set is not declared first.").when(first["octets"] > 1024, "The character set is declared after 1024 bytes.")
+    return [Hit(p.is_("head", tag("head")) & problem.isNotNull(), problem)]
 
 
-@rule("forms/fieldset-legend", "1.3.1 3.3.2", "error")
-def legends(t: Tables) -> DataFrame:
-    own = t.nodes.filter(tag("legend") & ~blank(F.col("text"))).select("file_id", F.col("parent_id").alias("node_id")).distinct()
-    return found(t.nodes.filter(tag("fieldset") & ~(has("aria-label") | has("aria-labelledby"))).join(own, ["file_id", "node_id"], "left_anti"), "A field set has no legend.")
+@place_rule("forms/fieldset-legend", "1.3.1 3.3.2", "error")
+def legends(p: Place) -> list[Hit]:
+    return [Hit(p.is_("unnamed-set", tag("fieldset") & ~(has("aria-label") | has("aria-labelledby"))) & ~p.child("legend", text_of(tag("legend"))), "A field set has no legend.")]
 
 
-def unlabelled(t: Tables) -> DataFrame:
+def unlabelled(p: Place) -> Column:
     """Controls that no attribute, label or wrapping label names."""
     control = (tag("input") & ~lower("type").isin(*UNLABELLED_TYPES)) | tag("select", "textarea") | (has("contenteditable") & lower("contenteditable").isin("", "true"))
-    rows = t.nodes.filter(control & ~named())
-    by_for = t.nodes.filter(tag("label") & (attr("for") != "")).select("file_id", attr("for").alias("id")).distinct()
-    wrapped = ancestors(t, rows, tag("label")).select("file_id", "node_id").distinct()
-    return rows.join(by_for, ["file_id", "id"], "left_anti").join(wrapped, ["file_id", "node_id"], "left_anti")
+    label_for(p)
+    return p.is_("unnamed-control", control & ~named()) & ~p.above("label", tag("label")) & ~p.mentioned("labelled", "for")
 
 
-def with_previous(t: Tables) -> DataFrame:
-    """Elements with their previous sibling's tag, attributes and end."""
-    order = Window.partitionBy("file_id", "parent_id").orderBy("ord")
-    return t.nodes.withColumns({"before_tag": F.lag("tag").over(order), "before_attrs": F.lag("attrs").over(order), "before_size": F.lag(F.col("last_id") - F.col("node_id")).over(order)})
+@place_rule("forms/labels-required", "1.3.1 3.3.2 4.1.2", "error")
+def labels_required(p: Place) -> list[Hit]:
+    return [Hit(unlabelled(p) & ~p.is_("placeholder", ~blank(attr("placeholder"))), "A field has no label.")]
 
 
-@rule("forms/labels-required", "1.3.1 3.3.2 4.1.2", "error")
-def labels_required(t: Tables) -> DataFrame:
-    return found(unlabelled(t).filter(blank(attr("placeholder"))), "A field has no label.")
+@place_rule("forms/placeholder-as-label", "3.3.2 1.3.1", "warning")
+def placeholder_as_label(p: Place) -> list[Hit]:
+    return [Hit(unlabelled(p) & p.is_("placeholder", ~blank(attr("placeholder"))), "A placeholder stands for a label.")]
 
 
-@rule("forms/placeholder-as-label", "3.3.2 1.3.1", "warning")
-def placeholder_as_label(t: Tables) -> DataFrame:
-    return found(unlabelled(t).filter(~blank(attr("placeholder"))), "A placeholder stands for a label.")
+@place_rule("forms/value-as-label", "1.3.1 4.1.2", "warning")
+def value_as_label(p: Place) -> list[Hit]:
+    return [Hit(unlabelled(p) & p.is_("valued", tag("input") & lower("type").isin(*TEXT_TYPES) & attr("value").rlike(r"\p{L}") & ~has("placeholder")), "A value stands for a label.")]
 
 
-@rule("forms/value-as-label", "1.3.1 4.1.2", "warning")
-def value_as_label(t: Tables) -> DataFrame:
-    return found(unlabelled(t).filter(tag("input") & lower("type").isin(*TEXT_TYPES) & attr("value").rlike(r"\p{L}") & ~has("placeholder")), "A value stands for a label.")
+@place_rule("forms/label-for-id-mismatch", "1.3.1 3.3.2 4.1.2", "error")
+def label_for_nothing(p: Place) -> list[Hit]:
+    label_for(p)
+    return [Hit(~target_exists(p), F.concat(F.lit("A label is for a missing id: "), mention("token")), on="for")]
 
 
-@rule("forms/label-for-id-mismatch", "1.3.1 3.3.2 4.1.2", "error")
-def label_for(t: Tables) -> DataFrame:
-    rows = t.nodes.filter(tag("label") & (attr("for") != "")).withColumn("target", attr("for"))
-    return found(rows.join(ids(t), ["file_id", "target"], "left_anti"), F.concat(F.lit("A label is for a missing id: "), "target"))
+@place_rule("forms/label-adjacent-unassociated", "1.3.1 3.3.2 4.1.2", "error", "mechanical")
+def label_beside(p: Place) -> list[Hit]:
+    before = p.previous("bare-label", F.when(tag("label") & ~has("for") & (F.col("last_id") == F.col("node_id")), True))
+    return [Hit(p.is_("bare-field", tag("input", "select", "textarea") & ~lower("type").isin(*UNLABELLED_TYPES) & ~named()) & before.isNotNull(), "The label beside the field is not tied to it.")]
 
 
-@rule("forms/label-adjacent-unassociated", "1.3.1 3.3.2 4.1.2", "error", "mechanical")
-def label_beside(t: Tables) -> DataFrame:
-    rows = with_previous(t).filter(tag("input", "select", "textarea") & ~lower("type").isin(*UNLABELLED_TYPES) & (F.col("before_tag") == "label") & ~F.map_contains_key("before_attrs", F.lit("for")) & (F.col("before_size") == 0) & ~named())
-    return found(rows, "The label beside the field is not tied to it.")
+@place_rule("forms/label-adjacent-mismatch", "1.3.1 3.3.2 4.1.2", "error")
+def label_beside_other(p: Place) -> list[Hit]:
+    before = p.previous("label-of", F.when(tag("label"), attr("for")))
+    p.mentions("beside", tokens(p.is_("field", tag("input", "select", "textarea")) & (before != "") & ~before.eqNullSafe(F.col("id")), one(before)))
+    return [Hit(target_exists(p), "The label beside the field belongs to another.", on="beside")]
 
 
-@rule("forms/label-adjacent-mismatch", "1.3.1 3.3.2 4.1.2", "error")
-def label_beside_other(t: Tables) -> DataFrame:
-    rows = with_previous(t).filter(tag("input", "select", "textarea") & (F.col("before_tag") == "label")).withColumn("target", F.col("before_attrs")["for"]).filter("target <> '' and not target <=> id")
-    return found(rows.join(ids(t), ["file_id", "target"], "left_semi"), "The label beside the field belongs to another.")
+@place_rule("forms/multiple-label-for-same-id", "1.3.1 4.1.2", "warning")
+def many_labels(p: Place) -> list[Hit]:
+    label_for(p)
+    return [Hit(target_exists(p) & (p.rank() > 1), F.concat(F.lit("Another label for this field is in line "), p.first_line().cast("string")), on="for")]
 
 
-@rule("forms/multiple-label-for-same-id", "1.3.1 4.1.2", "warning")
-def many_labels(t: Tables) -> DataFrame:
-    order = Window.partitionBy("file_id", "target").orderBy("node_id")
-    rows = t.nodes.filter(tag("label") & (attr("for") != "")).withColumn("target", attr("for")).join(ids(t), ["file_id", "target"], "left_semi")
-    rows = rows.withColumns({"n": F.row_number().over(order), "first": F.first("line").over(order)}).filter("n > 1")
-    return found(rows, F.concat(F.lit("Another label for this field is in line "), F.col("first").cast("string")))
+def submits(p: Place) -> tuple[Column, Column]:
+    """Whether an element is a form, and whether something in it sends it."""
+    submit = (tag("input") & lower("type").isin("submit", "image")) | (tag("button") & lower("type").isin("", "submit"))
+    return p.is_("form", tag("form")), p.below("submit", submit) > 0
 
 
-def forms(t: Tables) -> DataFrame:
-    """Forms with what they hold."""
-    submit = (tag("input") & lower("type").isin("submit", "image")) | (tag("button") & lower("type").isin("", "submit"))
+@place_rule("forms/no-submit-control", "3.3.2", "error")
+def no_submit(p: Place) -> list[Hit]:
+    form, sent = submits(p)
     fields = (tag("input") & lower("type").isin(*TEXT_TYPES)) | tag("textarea")
-    like = tag("a") & (some_class("^btn") | roles("button"))
-    rows = ancestors(t, t.nodes.withColumns({"submit": submit, "field": fields, "like": like}), tag("form"), "line", "col", "attrs")
-    return rows.groupBy("file_id", "above").agg(F.first("above_line").alias("line"), F.first("above_col").alias("col"), F.max("submit").alias("submit"), F.max("field").alias("field"), F.max("like").alias("like"), F.bool_or(F.map_contains_key("above_attrs", F.lit("onsubmit"))).alias("scripted"))
+    return [Hit(form & (p.below("text-field", fields) > 0) & ~sent & ~p.is_("scripted", has("onsubmit")), "A form cannot be sent.")]
+
 
+@place_rule("forms/submit-not-button-or-input", "4.1.2 3.3.2", "error")
+def submit_by_link(p: Place) -> list[Hit]:
+    form, sent = submits(p)
+    return [Hit(form & (p.below("link-button", tag("a") & (some_class("^btn") | roles("button"))) > 0) & ~sent, "A link sends the form.")]
 
-@rule("forms/no-submit-control", "3.3.2", "error")
-def no_submit(t: Tables) -> DataFrame:
-    return found(forms(t).filter("field and not submit and not scripted"), "A form cannot be sent.")
 
+@place_rule("forms/radio-group-without-fieldset", "1.3.1 3.3.2 4.1.2", "error")
+def radio_groups(p: Place) -> list[Hit]:
+    """At the first radio button of a name, if some of them stand in no named group. A group
+    is named by itself or by the legend that is its child."""
+    radio = p.is_("radio", tag("input") & (lower("type") == "radio") & (attr("name") != ""))
+    legend = p.is_("told-legend", text_of(tag("legend")))
+    group = tag("fieldset") | roles("radiogroup")
+    named_group = p.is_("group", group) & (p.is_("named-group", group & named()) | (p.within("group", group, "legends", lambda by: F.max(F.when(legend & (F.col("parent_id") == F.col("nearest_group")), 1)).over(Window.partitionBy(*by))) == 1))
+    told = p.within("group", group, "named", lambda by: F.max(F.when(named_group, 1)).over(Window.partitionBy(*by))) == 1
+    p.mentions("radio", tokens(radio, one(p.value("radio", attr("name"))), F.when(told, "told").otherwise("")), "radio")
+    return [Hit((p.rank() == 1) & p.mentioned("loose-radio", "radio", mention("name") == "") & p.mentioned("second-radio", "radio", p.rank() > 1), "Radio buttons have no common name.", on="radio")]
 
-@rule("forms/submit-not-button-or-input", "4.1.2 3.3.2", "error")
-def submit_by_link(t: Tables) -> DataFrame:
-    return found(forms(t).filter("`like` and not submit"), "A link sends the form.")
 
+@place_rule("keyboard/accesskey-duplicate", "2.1.1 2.1.4", "error")
+def access_keys(p: Place) -> list[Hit]:
+    p.mentions("key", tokens(p.is_("accesskey", has("accesskey")), p.value("keys", F.filter(F.split(lower("accesskey"), r"\s+"), lambda k: k != ""))), "key")
+    return [Hit(p.rank() > 1, F.concat(F.lit("Access key used before: "), mention("token")), on="key")]
 
-@rule("forms/radio-group-without-fieldset", "1.3.1 3.3.2 4.1.2", "error")
-def radio_groups(t: Tables) -> DataFrame:
-    radios = t.nodes.filter(tag("input") & (lower("type") == "radio") & (attr("name") != "")).withColumn("name", attr("name"))
-    told = t.nodes.filter(tag("legend") & ~blank(F.col("text"))).select("file_id", F.col("parent_id").alias("above")).unionByName(t.nodes.filter((tag("fieldset") | roles("radiogroup")) & named()).select("file_id", F.col("node_id").alias("above"))).distinct()
-    grouped = ancestors(t, radios, tag("fieldset") | roles("radiogroup")).join(told, ["file_id", "above"], "left_semi").select("file_id", "node_id").distinct()
-    groups = radios.join(grouped.withColumn("inside", F.lit(True)), ["file_id", "node_id"], "left").groupBy("file_id", "name").agg(F.count("*").alias("n"), F.count("inside").alias("inside"), F.min_by("line", "node_id").alias("line"), F.min_by("col", "node_id").alias("col"))
-    return found(groups.filter("n >= 2 and inside < n"), "Radio buttons have no common name.")
 
+def fragment(href: Column) -> Column:
+    return F.when(href.rlike("^#."), F.regexp_replace(href, "^#", ""))
 
-@rule("keyboard/accesskey-duplicate", "2.1.1 2.1.4", "error")
-def access_keys(t: Tables) -> DataFrame:
-    keys = t.nodes.filter(has("accesskey")).withColumn("key", F.explode(F.split(lower("accesskey"), r"\s+"))).filter("key <> ''")
-    return found(keys.withColumn("n", F.row_number().over(Window.partitionBy("file_id", "key").orderBy("node_id"))).filter("n > 1"), F.concat(F.lit("Access key used before: "), "key"))
 
+@place_rule("navigation/in-page-link-fragment-missing", "2.4.1", "warning")
+def fragments(p: Place) -> list[Hit]:
+    leads = p.is_("fragment", tag("a") & attr("href").rlike(r"^#.") & (lower("href") != "#top") & ~attr("href").rlike(r"[{}%$<]"))
+    p.mentions("fragment", tokens(leads, one(p.value("fragment", fragment(attr("href"))))))
+    p.mentions("name", tokens(p.is_("anchor", tag("a") & (attr("name") != "")), one(p.value("anchor", attr("name")))))
+    return [Hit(~target_exists(p) & ~p.mentioned("anchor", "name"), F.concat(F.lit("A link leads to a missing place: "), mention("token")), on="fragment")]
 
-@rule("navigation/in-page-link-fragment-missing", "2.4.1", "warning")
-def fragments(t: Tables) -> DataFrame:
-    rows = t.nodes.filter(tag("a") & attr("href").rlike(r"^#.") & (lower("href") != "#top") & ~attr("href").rlike(r"[{}%$<]")).withColumn("target", F.regexp_replace(attr("href"), "^#", ""))
-    names = t.nodes.filter(tag("a") & (attr("name") != "")).select("file_id", attr("name").alias("target"))
-    return found(rows.join(ids(t).unionByName(names).distinct(), ["file_id", "target"], "left_anti"), F.concat(F.lit("A link leads to a missing place: "), "target"))
 
+def link_name() -> Column:
+    return phrase(F.coalesce(F.nullif(F.trim(attr("aria-label")), F.lit("")), F.col("text")))
 
-@rule("navigation/link-descriptive-text", "2.4.4 4.1.2 2.4.9", "warning", "guidance")
-def link_text(t: Tables) -> DataFrame:
-    links = t.nodes.filter(tag("a") & has("href")).withColumn("name", phrase(F.coalesce(F.nullif(F.trim(attr("aria-label")), F.lit("")), F.col("text"))))
-    images = ancestors(t, t.nodes.filter(tag("img") & ~blank(attr("alt"))), tag("a")).select("file_id", F.col("above").alias("node_id")).distinct().withColumn("pictured", F.lit(True))
-    silent = links.filter("name = '' and given_name is null").join(images, ["file_id", "node_id"], "left_anti")
-    generic = links.filter(F.col("name").isin(*GENERIC))
-    return found(silent, "A link has no text.").unionByName(found(generic, F.concat(F.lit("A link's text says nothing: "), "name")))
 
+def pictured() -> Column:
+    return tag("img") & ~blank(attr("alt"))
 
-@rule("navigation/skip-link", "2.4.1", "warning")
-def skip_link(t: Tables) -> DataFrame:
-    links = t.nodes.filter(tag("a") & has("href"))
-    bars = ancestors(t, links, tag("nav"), "line", "col").groupBy("file_id", "above").agg(F.count("*").alias("n"), F.first("above_line").alias("line"), F.first("above_col").alias("col")).filter("n >= 2")
-    bar = bars.groupBy("file_id").agg(F.min("above").alias("node_id"), F.min_by("line", "above").alias("line"), F.min_by("col", "above").alias("col"))
-    first = links.groupBy("file_id").agg(F.min("node_id").alias("first"), F.min_by(attr("href"), "node_id").alias("href")).withColumn("target", F.when(F.col("href").rlike("^#."), F.regexp_replace("href", "^#", "")))
-    good = first.join(ids(t), ["file_id", "target"], "left_semi").select("file_id", "first")
-    return found(bar.join(good, "file_id", "left").filter("first is null or first >= node_id"), "Nothing leads past the navigation.")
 
+@place_rule("navigation/link-descriptive-text", "2.4.4 4.1.2 2.4.9", "warning", "guidance")
+def link_text(p: Place) -> list[Hit]:
+    """Links without a name, with a generic one, and of one name with several targets."""
+    link = tag("a") & has("href")
+    silent = p.is_("silent-link", link & (link_name() == "") & F.col("given_name").isNull())
+    generic = p.is_("generic-link", link & link_name().isin(*GENERIC))
+    return [
+        Hit(silent & (p.below("alt", pictured()) == 0), "A link has no text."),
+        Hit(generic, F.concat(F.lit("A link's text says nothing: "), p.value("link-name", F.when(link & link_name().isin(*GENERIC), link_name())))),
+    ]
 
-@rule("parsing/duplicate-id", "1.3.1 4.1.2 4.1.1", "error")
-def duplicate_ids(t: Tables) -> DataFrame:
-    order = Window.partitionBy("file_id", "id").orderBy("node_id")
-    return found(t.nodes.filter("id <> ''").withColumn("n", F.row_number().over(order)).filter("n > 1"), F.concat(F.lit("The id is used before: "), "id"))
 
+@place_rule("navigation/skip-link", "2.4.1", "warning")
+def skip_link(p: Place) -> list[Hit]:
+    """At the first navigation of two links or more that no link before it leads past."""
+    link = p.is_("link", tag("a") & has("href"))
+    bar = p.is_("nav", tag("nav")) & (p.below("link", tag("a") & has("href")) >= 2)
+    at = p.file("bar", F.min(F.when(bar, F.col("node_id"))))
+    first = p.file("first-link", F.min(F.when(link, F.struct("node_id", p.value("link-target", F.when(tag("a"), fragment(attr("href")))).alias("to")))))
+    here = bar & (F.col("node_id") == at)
+    p.mentions("skip", tokens(here, one(F.when(first["node_id"] < at, first["to"]))))
+    return [Hit(mention("token").isNull() | ~target_exists(p), "Nothing leads past the navigation.", on="skip")]
 
-@rule("semantics/button-name", "4.1.2", "error")
-def button_name(t: Tables) -> DataFrame:
+
+@place_rule("parsing/duplicate-id", "1.3.1 4.1.2 4.1.1", "error")
+def duplicate_ids(p: Place) -> list[Hit]:
+    return [Hit(p.is_("id", F.col("id") != "") & (p.rank() > 1), F.concat(F.lit("The id is used before: "), "id"))]
+
+
+@place_rule("semantics/button-name", "4.1.2", "error")
+def button_name(p: Place) -> list[Hit]:
     inputs = tag("input") & ((lower("type") == "button") & blank(attr("value")) | (lower("type") == "image") & blank(attr("alt")))
-    rows = t.nodes.filter(((tag("button") | (roles("button") & ~tag("input"))) & blank(F.col("text")) | inputs) & ~named())
-    pictures = t.nodes.filter((tag("img") & ~blank(attr("alt"))) | (tag("svg") & named())).select("file_id", F.col("parent_id").alias("node_id"))
-    titles = ancestors(t, t.nodes.filter(tag("title", "text") & ~blank(F.col("text"))), tag("button") | roles("button")).select("file_id", F.col("above").alias("node_id"))
-    pictures = pictures.unionByName(titles).distinct()
-    return found(rows.join(pictures, ["file_id", "node_id"], "left_anti"), "A button has no name.")
+    silent = p.is_("silent-button", ((tag("button") | (roles("button") & ~tag("input"))) & blank(F.col("text")) | inputs) & ~named())
+    return [Hit(silent & ~p.child("picture", pictured() | (tag("svg") & named())) & (p.below("drawn-text", text_of(tag("title", "text"))) == 0), "A button has no name.")]
 
 
-@rule("semantics/empty-heading", "2.4.6", "error")
-def empty_headings(t: Tables) -> DataFrame:
-    pictures = ancestors(t, t.nodes.filter(tag("img") & ~blank(attr("alt"))), tag(*HEADINGS)).select("file_id", F.col("above").alias("node_id")).distinct()
-    return found(t.nodes.filter(tag(*HEADINGS) & blank(F.col("text")) & blank(attr("aria-label")) & ~has("aria-labelledby")).join(pictures, ["file_id", "node_id"], "left_anti"), "A heading is empty.")
+@place_rule("semantics/empty-heading", "2.4.6", "error")
+def empty_headings(p: Place) -> list[Hit]:
+    empty = p.is_("empty-heading", tag(*HEADINGS) & blank(F.col("text")) & blank(attr("aria-label")) & ~has("aria-labelledby"))
+    return [Hit(empty & (p.below("alt", pictured()) == 0), "A heading is empty.")]
 
 
-@rule("semantics/form-landmark-name-missing", "1.3.1 4.1.2", "warning")
-def form_name(t: Tables) -> DataFrame:
-    return found(t.nodes.filter(tag("form")).withColumn("n", F.count("*").over(Window.partitionBy("file_id"))).filter((F.col("n") == 1) & ~named()), "The form has no name.")
+@place_rule("semantics/form-landmark-name-missing", "1.3.1 4.1.2", "warning")
+def form_name(p: Place) -> list[Hit]:
+    form = p.is_("form", tag("form"))
+    return [Hit(form & (p.file("forms", F.count_if(form)) == 1) & ~p.is_("named-form", tag("form") & named()), "The form has no name.")]
 
 
-@rule("semantics/inline-display-none-on-focusable", "2.4.3 4.1.2", "error")
-def hidden_by_style(t: Tables) -> DataFrame:
-    gone = lower("style").rlike(r"display\s*:\s*none")
-    inside = ancestors(t, t.nodes.filter(focusable()), gone, "line", "col").select("file_id", F.col("above").alias("node_id"), F.col("above_line").alias("line"), F.col("above_col").alias("col"))
-    return found(inside.unionByName(t.nodes.filter(gone & focusable()).select("file_id", "node_id", "line", "col")).distinct(), "Content that can get focus is not displayed.")
+@place_rule("semantics/inline-display-none-on-focusable", "2.4.3 4.1.2", "error")
+def hidden_by_style(p: Place) -> list[Hit]:
+    return [Hit(p.is_("undisplayed", lower("style").rlike(r"display\s*:\s*none")) & (p.is_("focusable", focusable()) | (p.below("focusable", focusable()) > 0)), "Content that can get focus is not displayed.")]
 
 
-@rule("semantics/interactive-ancestor-of-heading", "1.3.1", "error")
-def heading_inside(t: Tables) -> DataFrame:
-    return found(ancestors(t, t.nodes.filter(tag(*HEADINGS)), (tag("a") & has("href")) | tag("button")), "A heading stands inside a control.")
+@place_rule("semantics/interactive-ancestor-of-heading", "1.3.1", "error")
+def heading_inside(p: Place) -> list[Hit]:
+    return [Hit(p.is_("heading", tag(*HEADINGS)) & p.above("link-or-button", (tag("a") & has("href")) | tag("button")), "A heading stands inside a control.")]
 
 
-@rule("semantics/list-structure", "1.3.1", "warning")
-def lists(t: Tables) -> DataFrame:
-    rows = t.nodes.join(parents(t, "tag"), ["file_id", "parent_id"], "left")
-    stray = rows.filter((F.col("tag") == "li") & ~F.coalesce(F.col("parent_tag").isin("ul", "ol", "menu"), F.lit(False)))
-    other = rows.filter(F.col("parent_tag").isin("ul", "ol", "menu") & ~F.col("tag").isin("li", "script", "template"))
-    return found(stray, "A list item stands outside a list.").unionByName(found(other, "A list holds something that is no item."))
+@place_rule("semantics/nested-interactive", "4.1.2", "error")
+def nested(p: Place) -> list[Hit]:
+    solid = ((interactive() & ~roles(*INTERACTIVE_ROLES)) | F.coalesce(number("tabindex") >= 0, F.lit(False)) | has(CLICK)) & ~tag("details")
+    return [Hit(p.is_("interactive", interactive()) & p.above("solid", solid), "A control stands inside another.")]
 
 
-@rule("semantics/nested-interactive", "4.1.2", "error")
-def nested(t: Tables) -> DataFrame:
-    solid = (interactive() & ~roles(*INTERACTIVE_ROLES)) | F.coalesce(number("tabindex") >= 0, F.lit(False)) | has(CLICK)
-    rows = ancestors(t, t.nodes.filter(interactive()), solid, "tag").filter("above_tag <> 'details'")
-    return found(rows.select("file_id", "node_id", "line", "col").distinct(), "A control stands inside another.")
+@place_rule("semantics/section-accessible-name-missing", "1.3.1 4.1.2", "warning")
+def sections(p: Place) -> list[Hit]:
+    beside = p.beside("main-tag", tag("main")) & F.col("parent_id").isNotNull()
+    top = p.is_("top-section", tag("section") & ~named() & F.coalesce(F.col("parent_tag").isin("body", "main"), F.lit(False)))
+    return [Hit((top | (p.is_("bare-section", tag("section") & ~named()) & beside)) & ~p.child("heading", tag(*HEADINGS)), "A section has no name.")]
 
 
-@rule("semantics/section-accessible-name-missing", "1.3.1 4.1.2", "warning")
-def sections(t: Tables) -> DataFrame:
-    headed = t.nodes.filter(tag(*HEADINGS)).select("file_id", F.col("parent_id").alias("node_id")).distinct()
-    around = parents(t, "tag").filter("parent_tag in ('body', 'main')").select("file_id", "parent_id")
-    beside = t.nodes.filter(tag("main")).select("file_id", "parent_id")
-    rows = t.nodes.filter(tag("section") & ~named()).join(around.unionByName(beside).distinct(), ["file_id", "parent_id"])
-    return found(rows.join(headed, ["file_id", "node_id"], "left_anti"), "A section has no name.")
+@place_rule("semantics/svg-title-missing", "1.1.1 4.1.2", "error")
+def svg_titles(p: Place) -> list[Hit]:
+    return [Hit(p.is_("bare-svg", tag("svg") & ~presentational() & ~named()) & ~p.child("title-text", text_of(tag("title"))), "A drawing has no title.")]
 
 
-@rule("semantics/svg-title-missing", "1.1.1 4.1.2", "error")
-def svg_titles(t: Tables) -> DataFrame:
-    titled_ = t.nodes.filter(tag("title") & ~blank(F.col("text"))).select("file_id", F.col("parent_id").alias("node_id")).distinct()
-    return found(t.nodes.filter(tag("svg") & ~presentational() & ~named()).join(titled_, ["file_id", "node_id"], "left_anti"), "A drawing has no title.")
+def cells(p: Place, name: str, condition: Column) -> Column:
+    """How many elements that are so have this as their innermost table."""
+    own = p.is_(name, condition)
+    return p.within("table", tag("table"), name, lambda by: F.count_if(own).over(Window.partitionBy(*by)))
 
 
-def tables(t: Tables) -> DataFrame:
-    """Tables with counts of their own cells: a cell belongs to its nearest table."""
-    cells = ancestors(t, t.nodes.filter(tag("td", "th", "thead", "tfoot", "caption")), tag("table")).groupBy("file_id", "node_id").agg(F.max("above").alias("table_id"), F.first("tag").alias("tag"), F.first("attrs").alias("attrs"))
-    count = lambda name: F.count(F.when(F.col("tag") == name, 1)).alias(name)
-    sums = cells.groupBy("file_id", F.col("table_id").alias("node_id")).agg(*map(count, ("td", "th", "thead", "tfoot", "caption")), F.bool_or(F.map_contains_key("attrs", F.lit("scope")) | F.map_contains_key("attrs", F.lit("headers"))).alias("tied"))
-    return t.nodes.filter(tag("table")).join(sums, ["file_id", "node_id"])
+def grid(p: Place) -> tuple[Column, dict[str, Column]]:
+    counts = {name: cells(p, name, tag(name)) for name in ("td", "th", "thead", "tfoot", "caption")}
+    some = counts["td"] + counts["th"] + counts["thead"] + counts["tfoot"] + counts["caption"] > 0
+    return p.is_("table", tag("table")) & some, counts
 
 
-@rule("semantics/table-headers", "1.3.1", "warning")
-def table_headers(t: Tables) -> DataFrame:
-    return found(tables(t).filter((F.col("td") >= 1) & (F.col("th") == 0) & ~presentational()), "A table has no header cells.")
+@place_rule("semantics/table-headers", "1.3.1", "warning")
+def table_headers(p: Place) -> list[Hit]:
+    table, n = grid(p)
+    return [Hit(table & (n["td"] >= 1) & (n["th"] == 0) & ~p.is_("presentational-table", tag("table") & presentational()), "A table has no header cells.")]
 
 
-@rule("semantics/table-caption-missing", "1.3.1", "warning")
-def table_captions(t: Tables) -> DataFrame:
-    return found(tables(t).filter((F.col("td") + F.col("th") > 0) & (F.col("caption") == 0) & ~named() & ~presentational()), "A table has no caption.")
+@place_rule("semantics/table-caption-missing", "1.3.1", "warning")
+def table_captions(p: Place) -> list[Hit]:
+    table, n = grid(p)
+    return [Hit(table & (n["td"] + n["th"] > 0) & (n["caption"] == 0) & ~p.is_("named-table", tag("table") & (named() | presentational())), "A table has no caption.")]
 
 
-@rule("semantics/layout-table-no-presentation-role", "1.3.1", "warning")
-def layout_tables(t: Tables) -> DataFrame:
-    return found(tables(t).filter((F.col("th") + F.col("thead") + F.col("tfoot") + F.col("caption") == 0) & ~F.col("tied") & ~named() & F.col("role").isNull()), "A table for layout does not say so.")
+@place_rule("semantics/layout-table-no-presentation-role", "1.3.1", "warning")
+def layout_tables(p: Place) -> list[Hit]:
+    table, n = grid(p)
+    tied = cells(p, "tied", tag("td", "th", "thead", "tfoot", "caption") & (has("scope") | has("headers"))) > 0
+    return [Hit(table & (n["th"] + n["thead"] + n["tfoot"] + n["caption"] == 0) & ~tied & ~p.is_("role-table", tag("table") & (named() | F.col("role").isNotNull())), "A table for layout does not say so.")]
 
 
-@rule("semantics/table-th-scope-missing", "1.3.1", "warning")
-def header_scopes(t: Tables) -> DataFrame:
-    parts = ancestors(t, t.nodes.filter(tag("tr", "th", "td")), tag("table")).groupBy("file_id", "node_id", "tag", "parent_id", "line", "col").agg(F.max("above").alias("table_id"), F.first("attrs").alias("attrs"))
-    columns = parts.filter("tag <> 'tr'").groupBy("file_id", "table_id", "parent_id").agg(F.count("*").alias("columns")).groupBy("file_id", "table_id").agg(F.max("columns").alias("columns"), F.count("*").alias("rows")).filter("columns >= 2 and rows >= 2")
-    return found(parts.filter((F.col("tag") == "th") & ~lower("scope").isin("row", "col", "rowgroup", "colgroup")).join(columns, ["file_id", "table_id"]), "A header cell does not say what it heads.")
+@place_rule("semantics/table-th-scope-missing", "1.3.1", "warning")
+def header_scopes(p: Place) -> list[Hit]:
+    cell = p.is_("cell", tag("th", "td"))
+    in_row = lambda by: Window.partitionBy(*by, "parent_id")
+    columns = p.within("table", tag("table"), "in-row", lambda by: F.count_if(cell).over(in_row(by)))
+    first = p.within("table", tag("table"), "first", lambda by: F.min(F.when(cell, F.col("node_id"))).over(in_row(by)))
+    widest = p.within("table", tag("table"), "widest", lambda by: F.max(F.when(cell, columns)).over(Window.partitionBy(*by)))
+    rows = p.within("table", tag("table"), "rows", lambda by: F.count_if(cell & (F.col("node_id") == first)).over(Window.partitionBy(*by)))
+    bare = p.is_("bare-header", tag("th") & ~lower("scope").isin("row", "col", "rowgroup", "colgroup"))
+    return [Hit(bare & F.col("nearest_table").isNotNull() & (widest >= 2) & (rows >= 2), "A header cell does not say what it heads.")]
 
 
-@rule("media/img-empty-alt-in-clickable-group", "1.1.1 4.1.2", "warning")
-def silent_pictures(t: Tables) -> DataFrame:
+@place_rule("media/img-empty-alt-in-clickable-group", "1.1.1 4.1.2", "warning")
+def silent_pictures(p: Place) -> list[Hit]:
     silent = ((tag("a") & has("href")) | tag("button")) & blank(F.col("text")) & ~named()
-    return found(ancestors(t, t.nodes.filter(tag("img") & has("alt") & blank(attr("alt"))), silent).select("file_id", "node_id", "line", "col").distinct(), "The only content of a control is a picture without text.")
+    return [Hit(p.is_("mute-picture", tag("img") & has("alt") & blank(attr("alt"))) & p.above("silent-control", silent), "The only content of a control is a picture without text.")]
 
 
-@rule("media/svg-accessible-name", "1.1.1", "error")
-def control_drawings(t: Tables) -> DataFrame:
-    titled_ = t.nodes.filter(tag("title") & ~blank(F.col("text"))).select("file_id", F.col("parent_id").alias("node_id")).distinct()
+@place_rule("media/svg-accessible-name", "1.1.1", "error")
+def control_drawings(p: Place) -> list[Hit]:
     silent = interactive() & blank(F.col("text")) & ~named()
-    rows = ancestors(t, t.nodes.filter(tag("svg") & ~hidden() & ~named()), silent).select("file_id", "node_id", "line", "col").distinct()
-    return found(rows.join(titled_, ["file_id", "node_id"], "left_anti"), "A control's only content is a drawing without a name.")
+    return [Hit(p.is_("mute-svg", tag("svg") & ~hidden() & ~named()) & p.above("silent-interactive", silent) & ~p.child("title-text", text_of(tag("title"))), "A control's only content is a drawing without a name.")]
 
 
-@rule("forms/asterisk-required-marker", "1.3.1 3.3.2", "warning")
-def starred_labels(t: Tables) -> DataFrame:
-    labels = t.nodes.filter(tag("label") & F.col("text").rlike(r"\*\s*$") & (attr("for") != "")).select("file_id", "line", "col", attr("for").alias("id"))
-    fields = t.nodes.filter(tag("input", "select", "textarea") & ~has("required") & (lower("aria-required") != "true")).select("file_id", "id")
-    return found(labels.join(fields, ["file_id", "id"], "left_semi"), "An asterisk alone says that a field is required.")
+@place_rule("forms/asterisk-required-marker", "1.3.1 3.3.2", "warning")
+def starred_labels(p: Place) -> list[Hit]:
+    label_for(p)
+    return [Hit(p.is_("starred", tag("label") & F.col("text").rlike(r"\*\s*$")) & optional_field(p), "An asterisk alone says that a field is required.", on="for")]
 
 
-@rule("pointer/drag-alternative", "2.5.7", "warning")
-def drag_only(t: Tables) -> DataFrame:
-    drags = t.nodes.filter((lower("draggable") == "true") | any_of(["ondragstart", "ondrag", "ondragend"]))
-    other = t.nodes.filter(any_of([CLICK, *KEY_HANDLERS])).select("file_id").distinct()
-    return found(drags.join(other, "file_id", "left_anti"), "Nothing but dragging does this.")
+@place_rule("pointer/drag-alternative", "2.5.7", "warning")
+def drag_only(p: Place) -> list[Hit]:
+    drags = p.is_("drags", (lower("draggable") == "true") | any_of(["ondragstart", "ondrag", "ondragend"]))
+    other = p.is_("handled", any_of([CLICK, *KEY_HANDLERS]))
+    return [Hit(drags & (p.file("handled", F.count_if(other)) == 0), "Nothing but dragging does this.")]
 
 
-@rule("pointer/stretched-link-multiple-in-container", "2.4.4", "error")
-def stretched(t: Tables) -> DataFrame:
-    rows = ancestors(t, t.nodes.filter(F.array_contains("classes", "stretched-link")), some_class("^(position-relative|card)$")).groupBy("file_id", "node_id", "line", "col").agg(F.max("above").alias("box"))
-    return found(rows.withColumn("n", F.row_number().over(Window.partitionBy("file_id", "box").orderBy("node_id"))).filter("n > 1"), "Two links cover the same container.")
+@place_rule("pointer/stretched-link-multiple-in-container", "2.4.4", "error")
+def stretched(p: Place) -> list[Hit]:
+    link, box = p.is_("stretched", F.array_contains("classes", "stretched-link")), some_class("^(position-relative|card)$") | lower("style").rlike(r"position\s*:\s*relative")
+    rank = p.within("box", box, "stretched", lambda by: F.count_if(link).over(Window.partitionBy(*by).orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)))
+    return [Hit(link & p.nearest("box", box).isNotNull() & (rank > 1), "Two links cover the same container.")]
 
 
-# ---- rules on style sheets ----------------------------------------------------------
+# ---- rules on style sheets ----------------------------------------------------------------
 def style(t: Tables, rows: DataFrame, message: str | Column) -> DataFrame:
     return rows.select("file_id", "line", F.lit(1).alias("col"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
 
 
 def sheet_rules(t: Tables) -> DataFrame:
-    """One row a style rule: its selector, first line and declarations (the last of a name
-    counts). One grouped pass, made once for all rules that read it."""
+    """One row a style rule (``sheet_rows``), made once for all that read them."""
+    return t.once("sheet rules", lambda: sheet_rows(t.css))
+
+
+def decl(name: str) -> Column:
+    return F.col("decls")[name]
+
+
+def said(name: str) -> Column:
+    return F.lower(F.trim(F.coalesce(decl(name), F.lit(""))))
+
+
+def root() -> Column:
+    return F.trim("selector").isin(":root", "html", "body")
+
+
+def some_decl(condition) -> Column:
+    return F.exists("all", condition)
+
+
+def calmed(s: Sheet) -> Column:
+    return s.file("calmed", F.exists("at_rules", lambda a: a.contains("prefers-reduced-motion")))
+
+
+def contrast_rows(t: Tables) -> DataFrame:
+    """Style rules with text or background colours, resolved, and their contrast."""
     def make() -> DataFrame:
-        pairs = F.array_sort(F.collect_list(F.struct("ord", "property", "value")))
-        rows = t.css.groupBy("file_id", "rule_id").agg(F.first("selector").alias("selector"), F.min("line").alias("line"), F.first("at_rules").alias("at_rules"), pairs.alias("all"))
-        last = F.aggregate("all", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["property"]), F.create_map(p["property"], p["value"])))
-        rows = rows.withColumn("decls", last)
-        return rows.withColumn("pairs", F.transform(F.map_entries("decls"), lambda e: F.struct(e["key"].alias("property"), e["value"].alias("value")))).drop("all")
+        back = F.coalesce(decl("background-color"), decl("background"))
+        top = sheet_rules(t).filter(root())
+        defaults = top.groupBy("file_id").agg(F.max_by(decl("color"), F.when(decl("color").isNotNull(), F.col("rule_id"))).alias("base_color"), F.max_by(back, F.when(back.isNotNull(), F.col("rule_id"))).alias("base_back"))
+        variables = t.css.filter(root() & F.col("property").startswith("--")).groupBy("file_id", F.col("property").alias("name")).agg(F.max_by("value", "rule_id").alias("known"))
 
-    return t.once("sheet rules", make)
+        def resolved(rows: DataFrame, column: str) -> DataFrame:
+            named_ = rows.withColumn("name", F.nullif(F.regexp_extract(F.coalesce(F.col(column), F.lit("")), r"^var\(\s*(--[\w-]+)", 1), F.lit("")))
+            return named_.join(variables, ["file_id", "name"], "left").withColumn(column, F.coalesce("known", column)).drop("name", "known")
 
+        rows = sheet_rules(t).filter(decl("color").isNotNull() | decl("background-color").isNotNull() | decl("background").isNotNull()).join(defaults, "file_id", "left")
+        rows = rows.withColumns({"front": F.coalesce(decl("color"), "base_color"), "back": F.coalesce(back, F.col("base_back"))})
+        size = points(decl("font-size"))
+        bold = F.coalesce(decl("font-weight").isin("bold", "bolder") | (decl("font-weight").try_cast("int") >= 700), F.lit(False))
+        rows = rows.withColumn("large", F.coalesce((size >= 18) | ((size >= 14) & bold), F.lit(False)))
+        return resolved(resolved(rows, "front"), "back").withColumn("ratio", contrast(F.col("front"), F.col("back"))).select("file_id", "rule_id", "line", "selector", "ratio", "large")
 
-def contrast_rule(t: Tables, normal: float, large: float) -> DataFrame:
-    d = lambda n: F.col("decls")[n]
-    root = sheet_rules(t).filter(F.trim("selector").isin(":root", "html", "body"))
-    defaults = root.groupBy("file_id").agg(F.max_by(d("color"), F.when(d("color").isNotNull(), F.col("rule_id"))).alias("base_color"), F.max_by(F.coalesce(d("background-color"), d("background")), F.when(F.coalesce(d("background-color"), d("background")).isNotNull(), F.col("rule_id"))).alias("base_back"))
-    variables = t.css.filter(F.trim("selector").isin(":root", "html", "body") & F.col("property").startswith("--")).groupBy("file_id", F.col("property").alias("name")).agg(F.max_by("value", "rule_id").alias("known"))
+    return t.once("contrast", make)
 
-    def resolved(rows: DataFrame, column: str) -> DataFrame:
-        named_ = rows.withColumn("name", F.nullif(F.regexp_extract(F.coalesce(F.col(column), F.lit("")), r"^var\(\s*(--[\w-]+)", 1), F.lit("")))
-        return named_.join(variables, ["file_id", "name"], "left").withColumn(column, F.coalesce("known", column)).drop("name", "known")
 
-    rows = sheet_rules(t).filter(d("color").isNotNull() | d("background-color").isNotNull() | d("background").isNotNull()).join(defaults, "file_id", "left")
-    rows = rows.withColumns({"front": F.coalesce(d("color"), "base_color"), "back": F.coalesce(d("background-color"), d("background"), F.col("base_back"))})
-    rows = resolved(resolved(rows, "front"), "back").withColumn("ratio", contrast(F.col("front"), F.col("back")))
-    size = points(d("font-size"))
-    bold = F.coalesce(d("font-weight").isin("bold", "bolder") | (d("font-weight").try_cast("int") >= 700), F.lit(False))
-    limit = F.when(F.coalesce((size >= 18) | ((size >= 14) & bold), F.lit(False)), large).otherwise(normal)
-    return style(t, rows.filter(F.col("ratio") < limit), F.concat(F.lit("Contrast "), F.format_number("ratio", 2), F.lit(" of "), "selector"))
+def contrast_rule(t: Tables, normal: float, large: float) -> DataFrame:
+    rows = contrast_rows(t).filter(F.col("ratio") < F.when(F.col("large"), large).otherwise(normal))
+    return style(t, rows, F.concat(F.lit("Contrast "), F.format_number("ratio", 2), F.lit(" of "), "selector"))
 
 
 @rule("contrast/minimum", "1.4.3", "error", "guidance")
 def contrast_minimum(t: Tables) -> DataFrame:
     """Over pictures and gradients the ratio cannot be told; that is said for information."""
-    d = lambda n: F.coalesce(F.col("decls")[n], F.lit(""))
+    d = lambda n: F.coalesce(decl(n), F.lit(""))
     over = sheet_rules(t).filter((d("color") != "") & F.concat_ws(" ", d("background"), d("background-image")).rlike(r"(?i)url\(|gradient\("))
     unsure = style(t, over, F.concat(F.lit("Text over a picture, contrast cannot be told: "), "selector")).withColumn("severity", F.lit("info"))
     return contrast_rule(t, 4.5, 3.0).withColumn("severity", F.lit("error")).unionByName(unsure)
@@ -558,60 +622,59 @@ def contrast_enhanced(t: Tables) -> DataFrame:
     return contrast_rule(t, 7.0, 4.5)
 
 
-@rule("contrast/non-text", "1.4.11", "error", "guidance")
-def contrast_parts(t: Tables) -> DataFrame:
-    d = lambda n: F.col("decls")[n]
-    line = F.coalesce(d("border-color"), d("outline-color"), d("fill"), d("stroke"))
-    rows = sheet_rules(t).filter(F.col("selector").rlike(r"(?i)button|input|select|textarea|\.btn|svg|icon") & ~F.col("selector").rlike("(?i)disabled|hidden")).withColumn("ratio", contrast(line, F.coalesce(d("background-color"), d("background"))))
-    return style(t, rows.filter("ratio < 3"), "A control's edge is hard to see.")
+@sheet_rule("contrast/non-text", "1.4.11", "error", "guidance")
+def contrast_parts(s: Sheet) -> list[Hit]:
+    edge = F.coalesce(decl("border-color"), decl("outline-color"), decl("fill"), decl("stroke"))
+    part = F.col("selector").rlike(r"(?i)button|input|select|textarea|\.btn|svg|icon") & ~F.col("selector").rlike("(?i)disabled|hidden")
+    return [Hit(part & (contrast(edge, F.coalesce(decl("background-color"), decl("background"))) < 3), "A control's edge is hard to see.")]
+
 
+@sheet_rule("layout/text-spacing", "1.4.12", "warning")
+def text_spacing(s: Sheet) -> list[Hit]:
+    fixed = lambda d: d["important"] & d["property"].isin(*SPACING)
+    return [Hit(some_decl(fixed), each(fixed, lambda d: F.concat(F.lit("Spacing is fixed: "), d["property"])), on="each")]
 
-@rule("layout/text-spacing", "1.4.12", "warning")
-def text_spacing(t: Tables) -> DataFrame:
-    return style(t, t.css.filter(F.col("important") & F.col("property").isin(*SPACING)), F.concat(F.lit("Spacing is fixed: "), "property"))
 
+@sheet_rule("layout/reflow-hardcoded-width", "1.4.10", "warning")
+def fixed_width(s: Sheet) -> list[Hit]:
+    def wide(d: Column) -> Column:
+        n = F.regexp_extract(F.lower(d["value"]), r"^([\d.]+)(px|pt|pc|in|cm|mm)?$", 1).try_cast("double")
+        unit = F.regexp_extract(F.lower(d["value"]), r"^([\d.]+)(px|pt|pc|in|cm|mm)?$", 2)
+        return d["property"].isin("width", "min-width") & F.coalesce(F.when(unit.isin("pt", "pc", "in", "cm", "mm"), n.isNotNull()).otherwise(n > 320), F.lit(False))
 
-@rule("layout/reflow-hardcoded-width", "1.4.10", "warning")
-def fixed_width(t: Tables) -> DataFrame:
-    n = F.regexp_extract(F.lower("value"), r"^([\d.]+)(px|pt|pc|in|cm|mm)?$", 1).try_cast("double")
-    unit = F.regexp_extract(F.lower("value"), r"^([\d.]+)(px|pt|pc|in|cm|mm)?$", 2)
-    wide = F.when(unit.isin("pt", "pc", "in", "cm", "mm"), n.isNotNull()).otherwise(n > 320)
-    rows = t.css.filter(F.col("property").isin("width", "min-width") & wide & ~F.trim("selector").isin("html", "body", ":root") & ~F.exists("at_rules", lambda a: a.contains("min-width")))
-    return style(t, rows, "A width does not fit a narrow screen.")
+    return [Hit(~root() & ~F.exists("at_rules", lambda a: a.contains("min-width")), each(wide, lambda d: F.lit("A width does not fit a narrow screen.")), on="each")]
 
 
-@rule("layout/orientation-lock", "1.3.4", "warning")
-def orientation(t: Tables) -> DataFrame:
-    stops = ((F.col("property") == "display") & (F.lower("value") == "none")) | ((F.col("property") == "visibility") & (F.lower("value") == "hidden")) | ((F.col("property") == "transform") & F.lower("value").contains("rotate"))
-    return style(t, t.css.filter(F.exists("at_rules", lambda a: F.lower(a).rlike(r"@media.*orientation")) & stops), "Content depends on the orientation.")
+@sheet_rule("layout/orientation-lock", "1.3.4", "warning")
+def orientation(s: Sheet) -> list[Hit]:
+    value = lambda d: F.lower(d["value"])
+    stops = lambda d: ((d["property"] == "display") & (value(d) == "none")) | ((d["property"] == "visibility") & (value(d) == "hidden")) | ((d["property"] == "transform") & value(d).contains("rotate"))
+    return [Hit(F.exists("at_rules", lambda a: F.lower(a).rlike(r"@media.*orientation")), each(stops, lambda d: F.lit("Content depends on the orientation.")), on="each")]
 
 
-@rule("layout/horizontal-scroll-no-keyboard", "2.1.1", "warning")
-def scroll_boxes(t: Tables) -> DataFrame:
-    rows = t.css.filter(F.col("property").isin("overflow", "overflow-x") & F.lower("value").rlike("^(auto|scroll)")).groupBy("file_id", "rule_id").agg(F.min("line").alias("line"))
-    return style(t, rows, "A scrolling box may not get focus.")
+@sheet_rule("layout/horizontal-scroll-no-keyboard", "2.1.1", "warning")
+def scroll_boxes(s: Sheet) -> list[Hit]:
+    """A box that scrolls sideways; one that the file shows when it has focus can have it."""
+    scrolls = lambda d: d["property"].isin("overflow", "overflow-x") & F.lower(d["value"]).rlike("^(auto|scroll)")
+    return [Hit(some_decl(scrolls), "A scrolling box may not get focus.")]
 
 
-@rule("color/state-class-color-only", "1.4.1", "warning")
-def color_only(t: Tables) -> DataFrame:
-    rows = sheet_rules(t).filter(F.col("selector").rlike(r"\.(is-)?(active|error|success|warning|selected|invalid|valid)\b") & F.forall("pairs", lambda p: p["property"].rlike("color|^background$|^fill$|^stroke$")))
-    return style(t, rows, "A state shows by colour only.")
+@sheet_rule("color/state-class-color-only", "1.4.1", "warning")
+def color_only(s: Sheet) -> list[Hit]:
+    return [Hit(F.col("selector").rlike(r"\.(is-)?(active|error|success|warning|selected|invalid|valid)\b") & F.forall("pairs", lambda p: p["property"].rlike("color|^background$|^fill$|^stroke$")), "A state shows by colour only.")]
 
 
-@rule("focus/outline-visible", "2.4.7", "error")
-def outlines(t: Tables) -> DataFrame:
-    d = lambda n: F.lower(F.trim(F.coalesce(F.col("decls")[n], F.lit(""))))
-    gone = d("outline").rlike("^(none|0|0px)$") | (d("outline-style") == "none")
-    instead = ~d("box-shadow").isin("", "none") | ~d("border").isin("", "none", "0") | ~d("border-color").isin("") | ~d("background-color").isin("") | ~d("text-decoration").isin("", "none")
-    rows = sheet_rules(t).filter(gone & ~instead & (F.col("selector").rlike(":focus") | (F.trim("selector") == "*")))
-    return style(t, rows, "Focus cannot be seen.")
+@sheet_rule("focus/outline-visible", "2.4.7", "error")
+def outlines(s: Sheet) -> list[Hit]:
+    gone = said("outline").rlike("^(none|0|0px)$") | (said("outline-style") == "none")
+    instead = ~said("box-shadow").isin("", "none") | ~said("border").isin("", "none", "0") | ~said("border-color").isin("") | ~said("background-color").isin("") | ~said("text-decoration").isin("", "none")
+    return [Hit(gone & ~instead & (F.col("selector").rlike(":focus") | (F.trim("selector") == "*")), "Focus cannot be seen.")]
 
 
-@rule("focus/not-obscured", "2.4.11", "warning")
-def obscured(t: Tables) -> DataFrame:
-    padded = t.css.filter(F.trim("selector").isin("html", ":root", "body") & F.col("property").startswith("scroll-padding") & ~F.col("value").rlike(r"^0(px)?$")).select("file_id").distinct()
-    rows = sheet_rules(t).filter(F.lower(F.col("decls")["position"]).isin("fixed", "sticky") & (F.col("decls")["top"].isNotNull() | F.col("decls")["bottom"].isNotNull()))
-    return style(t, rows.join(padded, "file_id", "left_anti"), "What gets focus may lie under a fixed part.")
+@sheet_rule("focus/not-obscured", "2.4.11", "warning")
+def obscured(s: Sheet) -> list[Hit]:
+    padded = s.file("padded", root() & some_decl(lambda d: d["property"].startswith("scroll-padding") & ~d["value"].rlike(r"^0(px)?$")))
+    return [Hit(said("position").isin("fixed", "sticky") & (decl("top").isNotNull() | decl("bottom").isNotNull()) & ~padded, "What gets focus may lie under a fixed part.")]
 
 
 @rule("keyboard/hover-only-no-focus-mirror", "1.4.13 2.1.1", "warning")
@@ -623,25 +686,23 @@ def hover_only(t: Tables) -> DataFrame:
     return style(t, hover.join(focus, ["file_id", "property", "host"], "left_anti").select("file_id", "rule_id", "line").distinct(), "It shows on hover and not on focus.")
 
 
-@rule("motion/animation-from-interactions", "2.3.3", "warning", "runtime-only")
-def animated(t: Tables) -> DataFrame:
-    guarded = t.css.filter(F.exists("at_rules", lambda a: a.contains("prefers-reduced-motion"))).select("file_id").distinct()
-    rows = sheet_rules(t).filter(F.col("selector").rlike(":(hover|focus|active)") & (F.map_contains_key("decls", F.lit("animation")) | F.map_contains_key("decls", F.lit("transition"))))
-    return style(t, rows.join(guarded, "file_id", "left_anti"), "Motion follows an action and cannot be switched off.")
+@sheet_rule("motion/animation-from-interactions", "2.3.3", "warning", "runtime-only")
+def animated(s: Sheet) -> list[Hit]:
+    moves = F.map_contains_key("decls", F.lit("animation")) | F.map_contains_key("decls", F.lit("transition"))
+    return [Hit(F.col("selector").rlike(":(hover|focus|active)") & moves & ~calmed(s), "Motion follows an action and cannot be switched off.")]
 
 
-def target_size(t: Tables, least: int) -> DataFrame:
-    px = lambda n: F.regexp_extract(F.coalesce(F.col("decls")[n], F.lit("")), r"^([\d.]+)px$", 1).try_cast("double")
+def small_target(least: int) -> Column:
+    px = lambda n: F.regexp_extract(F.coalesce(decl(n), F.lit("")), r"^([\d.]+)px$", 1).try_cast("double")
     small = F.coalesce(px("width") < least, F.lit(False)) | F.coalesce(px("height") < least, F.lit(False))
-    rows = sheet_rules(t).filter(F.col("selector").rlike(r"(^|[\s,>])(button|a|input|select)\b|\.btn|\[role=.?button") & small & ~F.map_contains_key("decls", F.lit("padding")))
-    return style(t, rows, F.lit(f"A target is smaller than {least} px."))
+    return F.col("selector").rlike(r"(^|[\s,>])(button|a|input|select)\b|\.btn|\[role=.?button") & small & ~F.map_contains_key("decls", F.lit("padding"))
 
 
-@rule("pointer/target-size", "2.5.8", "warning", "guidance")
-def target_minimum(t: Tables) -> DataFrame:
-    return target_size(t, 24)
+@sheet_rule("pointer/target-size", "2.5.8", "warning", "guidance")
+def target_minimum(s: Sheet) -> list[Hit]:
+    return [Hit(small_target(24), "A target is smaller than 24 px.")]
 
 
-@rule("pointer/target-size-enhanced", "2.5.5", "warning", "guidance")
-def target_enhanced(t: Tables) -> DataFrame:
-    return target_size(t, 44)
+@sheet_rule("pointer/target-size-enhanced", "2.5.5", "warning", "guidance")
+def target_enhanced(s: Sheet) -> list[Hit]:
+    return [Hit(small_target(44), "A target is smaller than 44 px.")]

@@ -3,14 +3,16 @@ single elements whose predicate has several branches."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import phrase
-from .finders import HIDDEN_TEXT, STATUS_COLOURS, STATUS_WORDS, clicked, inside, lines, selected
-from .pages import page_kinds
-from .registry import Tables, element_rule, rule
-from .rules import HEADINGS, INTERACTIVE_ROLES, KEY_HANDLERS, ancestors, any_of, attr, blank, found, has, hidden, interactive, lower, named, number, parents, presentational, roles, some_class, style, tag
+from .finders import HIDDEN_TEXT, STATUS_COLOURS, STATUS_WORDS, clicked, lines, selected
+from .pages import kind
+from .registry import RULES, Rule, Tables, element_rule, place_rule, rule
+from .rules import HEADINGS, INTERACTIVE_ROLES, KEY_HANDLERS, ancestors, any_of, attr, blank, calmed, found, has, hidden, interactive, label_for, lower, named, number, one, optional_field, parents, presentational, roles, some_class, tag, text_of
+from .sheets import Sheet
+from .tree import Hit, Place, tokens
 
 # ---- fixed values: roles that tags have, and explicit roles that contradict them -----------
 IMPLICIT = {
@@ -81,160 +83,171 @@ for args in [
 
 
 # ---- rules that depend on the kind of page ------------------------------------------------
-@rule("document/page-titled", "2.4.2", "error")
-def titled(t: Tables) -> DataFrame:
+@place_rule("document/page-titled", "2.4.2", "error")
+def titled(p: Place) -> list[Hit]:
     """Titles in the head. Where a template fills in the title, or there is no body, it is told for information."""
-    titles = ancestors(t, t.nodes.filter(tag("title")), tag("head")).groupBy("file_id").agg(F.max(~blank(F.col("text"))).alias("titled"), F.max(F.col("text").rlike(r"\{\{|\{%|<%|<\?")).alias("filled"))
-    rows = t.nodes.filter(tag("html")).join(titles, "file_id", "left").filter("not coalesce(titled, false)").join(page_kinds(t), "file_id")
-    bodies = t.nodes.filter(tag("body")).select("file_id").distinct().withColumn("body", F.lit(True))
-    rows = rows.join(bodies, "file_id", "left").withColumn("message", F.when(F.col("titled").isNull(), "The page has no title.").otherwise("The page's title is empty."))
-    named_by = t.files.select("file_id", F.col("source").rlike(r"(?i)\{%-?\s*block\s+title|@yield\(\s*['\"]title|@section\(\s*['\"]title|<%=?\s*yield\s*\(?:title").alias("block"))
-    about = F.when(F.col("block") | F.col("body").isNull() & F.col("partial") & F.col("titled").isNull() & (F.col("last_id") > F.col("node_id")), "info").otherwise("error")
-    return rows.join(named_by, "file_id").select("file_id", "line", "col", "message", about.alias("severity"))
-
-
-@rule("semantics/heading-hierarchy", "1.3.1 2.4.6", "warning")
-def headings(t: Tables) -> DataFrame:
+    title = p.is_("title", tag("title")) & p.above("head", tag("head"))
+    there = p.file("title", F.bool_or(title))
+    said = p.file("title-text", F.bool_or(title & p.is_("text-title", text_of(tag("title")))))
+    _, partial, _ = kind(p)
+    block = p.about("title-block", F.col("source").rlike(r"(?i)\{%-?\s*block\s+title|@yield\(\s*['\"]title|@section\(\s*['\"]title|<%=?\s*yield\s*\(?:title"))
+    bodyless = ~p.file("has-body", F.bool_or(p.is_("body", tag("body"))))
+    unsure = block | (bodyless & partial & ~there & (F.col("last_id") > F.col("node_id")))
+    return [Hit(p.is_("html", tag("html")) & ~said, F.when(there, "The page's title is empty.").otherwise("The page has no title."), F.when(unsure, "info").otherwise("error"))]
+
+
+@place_rule("semantics/heading-hierarchy", "1.3.1 2.4.6", "warning")
+def headings(p: Place) -> list[Hit]:
     """Fragments need no h1; in partials the findings are for information."""
-    order = Window.partitionBy("file_id").orderBy("node_id")
-    rows = t.nodes.filter(tag(*HEADINGS)).withColumn("level", F.substring("tag", 2, 1).cast("int"))
-    tops = F.count(F.when(F.col("level") == 1, 1))
-    rows = rows.withColumns({"before": F.lag("level").over(order), "at": F.row_number().over(order), "tops": tops.over(order), "all_tops": tops.over(Window.partitionBy("file_id"))}).join(page_kinds(t), "file_id")
-    # A source without a body that is no fragment by name, as an excerpt, still has its first heading looked at.
-    excerpt = t.nodes.groupBy("file_id").agg(F.bool_or(tag("html", "body")).alias("page"))
-    rows = rows.join(excerpt, "file_id").withColumn("severity", F.when(F.col("partial"), "info").otherwise("warning"))
-    told = lambda d, m: d.select("file_id", "line", "col", (m if isinstance(m, Column) else F.lit(m)).alias("message"), "severity")
-    skipped = told(rows.filter("level > before + 1"), F.concat(F.lit("A heading level is skipped: from h"), F.col("before").cast("string"), F.lit(" to "), "tag"))
-    missing = told(rows.filter("at = 1 and all_tops = 0 and not fragment"), "There is no h1.")
-    return skipped.unionByName(missing).unionByName(told(rows.filter("level = 1 and tops > 1"), "There is another h1."))
-
-
-@rule("semantics/landmark-main", "1.3.1", "warning")
-def main_landmark(t: Tables) -> DataFrame:
-    mains = t.nodes.filter(tag("main") | roles("main"))
-    lone = t.nodes.join(t.nodes.filter(tag("body")).select("file_id", F.col("node_id").alias("parent_id")), ["file_id", "parent_id"]).filter(~tag("script", "style")).groupBy("file_id").agg(F.count("*").alias("children"))
-    none = t.nodes.filter(tag("body")).join(page_kinds(t).filter("full_page"), "file_id").join(mains.select("file_id").distinct(), "file_id", "left_anti").join(lone, "file_id", "left")
-    marks = t.nodes.filter(tag("nav", "header", "footer", "aside")).select("file_id").distinct().withColumn("marked", F.lit(True))
-    none = none.join(marks, "file_id", "left").select("file_id", "line", "col", F.lit("The page has no main landmark.").alias("message"), F.when((F.col("children") <= 1) & F.col("marked").isNull() | F.col("partial"), "info").otherwise("warning").alias("severity"))
-    more = mains.withColumn("n", F.row_number().over(Window.partitionBy("file_id").orderBy("node_id"))).filter("n > 1")
-    return none.unionByName(found(more, "There is another main landmark.").withColumn("severity", F.lit("warning")))
-
-
-@rule("semantics/duplicate-landmark-unlabeled", "1.3.1 2.4.1", "warning")
-def landmarks(t: Tables) -> DataFrame:
-    above = t.nodes.join(parents(t, "tag"), ["file_id", "parent_id"], "left")
-    marks = above.filter(tag("nav", "aside", "form", "main") | (tag("header", "footer") & F.coalesce(F.col("parent_tag") == "body", F.lit(False)))).withColumn("n", F.count("*").over(Window.partitionBy("file_id", "tag")))
-    rows = marks.filter((F.col("n") >= 2) & ~named()).join(page_kinds(t), "file_id")
-    return rows.select("file_id", "line", "col", F.concat(F.lit("Several landmarks are alike: "), "tag").alias("message"), F.when(F.col("partial"), "info").otherwise("warning").alias("severity"))
+    heading = p.is_("heading", tag(*HEADINGS))
+    level = F.when(heading, F.substring("tag", 2, 1).cast("int"))
+    fragment, partial, _ = kind(p)
+    severity = F.when(partial, "info").otherwise("warning")
+    before = p.running("level", F.last(level, True), itself=False)
+    skipped = heading & (F.when(heading, F.substring("tag", 2, 1).cast("int")) > before + 1)
+    first, tops = p.running("headings", F.count_if(heading)) == 1, p.running("tops", F.count_if(F.coalesce(level == 1, F.lit(False))))
+    none = p.file("tops", F.count_if(F.coalesce(level == 1, F.lit(False)))) == 0
+    return [
+        Hit(skipped, F.concat(F.lit("A heading level is skipped: from h"), before.cast("string"), F.lit(" to "), "tag"), severity),
+        Hit(heading & first & none & ~fragment, "There is no h1.", severity),
+        Hit((F.col("tag") == "h1") & (tops > 1), "There is another h1.", severity),
+    ]
+
+
+@place_rule("semantics/landmark-main", "1.3.1", "warning")
+def main_landmark(p: Place) -> list[Hit]:
+    main = p.is_("main", tag("main") | roles("main"))
+    _, partial, full = kind(p)
+    lone = p.file("body-children", F.count_if(p.is_("body-child", F.coalesce(F.col("parent_tag") == "body", F.lit(False)) & ~tag("script", "style")))) <= 1
+    marked = p.file("marked", F.bool_or(p.is_("mark", tag("nav", "header", "footer", "aside"))))
+    none = p.is_("body", tag("body")) & full & (p.file("mains", F.count_if(main)) == 0)
+    return [
+        Hit(none, "The page has no main landmark.", F.when((lone & ~marked) | partial, "info").otherwise("warning")),
+        Hit(main & (p.running("mains", F.count_if(main)) > 1), "There is another main landmark."),
+    ]
+
+
+@place_rule("semantics/duplicate-landmark-unlabeled", "1.3.1 2.4.1", "warning")
+def landmarks(p: Place) -> list[Hit]:
+    alike = F.lit(False)
+    for name in ("nav", "aside", "form", "main", "header", "footer"):
+        top = tag(name) if name not in ("header", "footer") else tag(name) & F.coalesce(F.col("parent_tag") == "body", F.lit(False))
+        own = p.is_(f"landmark-{name}", top)
+        alike = alike | (own & (p.file(f"landmarks-{name}", F.count_if(own)) >= 2))
+    _, partial, _ = kind(p)
+    return [Hit(alike & ~p.is_("named-landmark", tag("nav", "aside", "form", "main", "header", "footer") & named()), F.concat(F.lit("Several landmarks are alike: "), "tag"), F.when(partial, "info").otherwise("warning"))]
 
 
 # ---- rules on several elements --------------------------------------------------------------
-@rule("aria/disabled-link-surrogate", "4.1.2", "warning")
-def disabled_links(t: Tables) -> DataFrame:
-    links = t.nodes.filter(tag("a")).select("file_id", "parent_id").distinct()
-    rows = t.nodes.filter(tag("span", "div", "i", "b", "em") & (some_class(r"^(disabled|is-disabled|inactive)$") | some_class(r"^(prev|previous|next|first|last)(-(page|link))?$")) & ~has("aria-disabled") & ~F.lower("text").rlike("disabled|unavailable"))
-    above = parents(t, "tag", "parent_id")
-    in_items = t.nodes.filter(tag("a")).join(above.filter("parent_tag = 'li'"), ["file_id", "parent_id"]).select("file_id", F.col("parent_parent_id").alias("list_id")).distinct()
-    items = rows.join(above.filter("parent_tag = 'li'"), ["file_id", "parent_id"]).withColumn("list_id", F.col("parent_parent_id")).join(in_items, ["file_id", "list_id"], "left_semi")
-    direct = rows.filter("parent_id is not null").join(links, ["file_id", "parent_id"], "left_semi")
-    return found(direct.select("file_id", "node_id", "line", "col").unionByName(items.select("file_id", "node_id", "line", "col")).distinct(), "Text stands for a link that is switched off.")
-
-
-@rule("aria/icon-child-missing-aria-hidden", "1.3.1 4.1.2", "warning")
-def icon_children(t: Tables) -> DataFrame:
-    glyphs = t.nodes.filter(tag("i", "span") & some_class(ICON) & blank(F.col("text")) & ~has("aria-hidden") & ~presentational() & ~named())
-    silent = (tag("button", "summary") | (tag("a") & has("href")) | roles("button", "link", "menuitem", "tab")) & ~named() & blank(F.col("text"))
-    return found(inside(t, glyphs, silent), "An icon in a control without a name is not hidden.")
-
-
-@rule("aria/icon-font-hidden", "4.1.2 1.3.1", "info")
-def icons(t: Tables) -> DataFrame:
+@place_rule("aria/disabled-link-surrogate", "4.1.2", "warning")
+def disabled_links(p: Place) -> list[Hit]:
+    """Text among links, in a paragraph or in the items of a list."""
+    off = some_class(r"^(disabled|is-disabled|inactive)$") | some_class(r"^(prev|previous|next|first|last)(-(page|link))?$")
+    text = p.is_("switched-off", tag("span", "div", "i", "b", "em") & off & ~has("aria-disabled") & ~F.lower("text").rlike("disabled|unavailable"))
+    direct = p.beside("a", tag("a")) & F.col("parent_id").isNotNull()
+    in_item = p.is_("off-in-item", F.coalesce(F.col("parent_tag") == "li", F.lit(False)))
+    item_link = F.coalesce(F.col("parent_tag") == "li", F.lit(False)) & tag("a")
+    return [Hit(text & (direct | (in_item & p.cousin("item-link", item_link))), "Text stands for a link that is switched off.")]
+
+
+def silent_control() -> Column:
+    return (tag("button", "summary") | (tag("a") & has("href")) | roles("button", "link", "menuitem", "tab")) & ~named() & blank(F.col("text"))
+
+
+@place_rule("aria/icon-child-missing-aria-hidden", "1.3.1 4.1.2", "warning")
+def icon_children(p: Place) -> list[Hit]:
+    glyph = p.is_("icon", tag("i", "span") & some_class(ICON) & blank(F.col("text")) & ~has("aria-hidden") & ~presentational() & ~named())
+    return [Hit(glyph & p.above("mute-control", silent_control()), "An icon in a control without a name is not hidden.")]
+
+
+@place_rule("aria/icon-font-hidden", "4.1.2 1.3.1", "info")
+def icons(p: Place) -> list[Hit]:
     """Icon glyphs that readers meet: alone or in prose, in a named control, or with only a title for a name."""
     drawn = tag("i", "span", "em") & ((some_class(ICON) & blank(F.col("text"))) | some_class("^material-(icons|symbols)"))
-    glyph = (drawn | tag("ion-icon", "iconify-icon")) & ~hidden() & ~roles("presentation", "none", "img") & blank(attr("aria-label")) & ~has("aria-labelledby")
-    silent = (tag("button", "summary") | (tag("a") & has("href")) | roles("button", "link", "menuitem", "tab")) & ~named() & blank(F.col("text"))
-    covered = ancestors(t, t.nodes.filter(glyph), silent | hidden()).select("file_id", "node_id").distinct()
-    rows = t.nodes.filter(glyph & F.col("role").isNull()).join(covered, ["file_id", "node_id"], "left_anti")
-    return found(rows, F.when(~blank(attr("title")), "An icon relies on its title.").otherwise("An icon is not hidden from readers of text."))
+    glyph = (drawn | tag("ion-icon", "iconify-icon")) & ~hidden() & blank(attr("aria-label")) & ~has("aria-labelledby") & F.col("role").isNull()
+    covered = p.above("mute-control", silent_control()) | p.above("hidden", hidden())
+    # Beside a text that only readers hear, a glyph is a picture of that text.
+    spoken = p.beside("spoken-text", some_class(HIDDEN_TEXT) & ~blank(F.col("text"))) & F.col("parent_id").isNotNull()
+    titled_ = p.is_("titled-icon", glyph & ~blank(attr("title")))
+    return [Hit(p.is_("glyph", glyph) & ~covered & ~(spoken & ~titled_), F.when(titled_, "An icon relies on its title.").otherwise("An icon is not hidden from readers of text."))]
 
 
-@rule("aria/tab-widget-roles", "4.1.2 1.3.1", "error")
-def tab_widgets(t: Tables) -> DataFrame:
+@place_rule("aria/tab-widget-roles", "4.1.2 1.3.1", "error")
+def tab_widgets(p: Place) -> list[Hit]:
     toggled = lower("data-toggle").isin("tab", "pill") | lower("data-bs-toggle").isin("tab", "pill")
-    tabs = t.nodes.filter(toggled | roles("tab"))
-    in_list = ancestors(t, tabs, roles("tablist")).select("file_id", "node_id").distinct()
+    any_tab, tab = p.is_("any-tab", toggled | roles("tab")), p.is_("tab", roles("tab"))
     target = F.regexp_replace(F.coalesce(attr("data-bs-target"), attr("data-target"), attr("aria-controls"), attr("href")), "^#", "")
-    panels = t.nodes.filter("id <> ''").select("file_id", F.col("id").alias("target"), F.coalesce(F.col("role"), F.lit("")).alias("panel_role"))
-    lost = tabs.withColumn("target", target).join(panels.filter("panel_role <> 'tabpanel'"), ["file_id", "target"])
-    return (
-        found(tabs.filter(~roles("tab")), "A tab has no tab role.").unionByName(found(tabs.filter(roles("tab") & ~has("aria-selected")), "A tab does not say whether it is selected."))
-        .unionByName(found(tabs.join(in_list, ["file_id", "node_id"], "left_anti"), "A tab stands in no tab list.")).unionByName(found(lost, "What a tab shows is no tab panel."))
-    )
+    p.mentions("tab-target", tokens(any_tab, one(p.value("tab-target", F.when(toggled | roles("tab"), target)))))
+    other = p.is_("no-panel", (F.col("id") != "") & ~roles("tabpanel"))
+    return [
+        Hit(any_tab & ~tab, "A tab has no tab role."),
+        Hit(tab & ~p.is_("selected", has("aria-selected")), "A tab does not say whether it is selected."),
+        Hit(any_tab & ~p.above("tablist", roles("tablist")), "A tab stands in no tab list."),
+        Hit(p.mentioned("no-panel", "self", other), "What a tab shows is no tab panel.", on="tab-target"),
+    ]
 
 
-@rule("color/meaning-by-color-only", "1.4.1 4.1.2", "error")
-def meaning_by_colour(t: Tables) -> DataFrame:
-    told = t.nodes.filter(tag("svg", "img", "i") | some_class(HIDDEN_TEXT) | some_class(ICON))
-    helped = ancestors(t, told, some_class(STATUS_COLOURS)).select("file_id", F.col("above").alias("node_id")).distinct()
-    rows = t.nodes.filter(some_class(STATUS_COLOURS) & ~named() & ~F.col("text").rlike(STATUS_WORDS) & ~blank(F.col("text")) & ~roles("alert", "status") & ~has("aria-live"))
-    live = ancestors(t, rows, roles("alert", "status", "log") | has("aria-live")).select("file_id", "node_id").distinct()
-    return found(rows.join(helped, ["file_id", "node_id"], "left_anti").join(live, ["file_id", "node_id"], "left_anti"), "Only a colour tells what this means.")
+@place_rule("color/meaning-by-color-only", "1.4.1 4.1.2", "error")
+def meaning_by_colour(p: Place) -> list[Hit]:
+    told = p.below("shown-too", tag("svg", "img", "i") | some_class(HIDDEN_TEXT) | some_class(ICON)) > 0
+    coloured = p.is_("coloured", some_class(STATUS_COLOURS) & ~named() & ~F.col("text").rlike(STATUS_WORDS) & ~blank(F.col("text")) & ~roles("alert", "status") & ~has("aria-live"))
+    return [Hit(coloured & ~told & ~p.above("live", roles("alert", "status", "log") | has("aria-live")), "Only a colour tells what this means.")]
 
 
-@rule("forms/error-message-not-associated", "3.3.1 3.3.3", "error")
-def loose_errors(t: Tables) -> DataFrame:
+@place_rule("forms/error-message-not-associated", "3.3.1 3.3.3", "error")
+def loose_errors(p: Place) -> list[Hit]:
     certain = some_class(r"^(invalid-feedback|error-message|field-error)$") | roles("alert")
     maybe = some_class(r"^alert-(danger|warning)$") | F.coalesce(F.col("id").rlike(r"[-_]error$"), F.lit(False))
-    before = Window.partitionBy("file_id", "parent_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    rows = t.nodes.withColumn("field", F.last(F.when(tag("input", "select", "textarea"), F.col("attrs")), True).over(before)).filter((certain | maybe) & F.col("field").isNotNull())
-    tied = F.array_contains(F.split(F.concat_ws(" ", F.col("field")["aria-describedby"], F.col("field")["aria-errormessage"]), r"\s+"), F.col("id"))
-    return rows.filter(~F.coalesce(tied, F.lit(False))).select("file_id", "line", "col", F.lit("An error message is not tied to its field.").alias("message"), F.when(certain, "error").otherwise("info").alias("severity"))
+    field = p.earlier("field", F.when(tag("input", "select", "textarea"), F.concat_ws(" ", attr("aria-describedby"), attr("aria-errormessage"))))
+    tied = F.coalesce(F.array_contains(F.split(field, r"\s+"), F.col("id")), F.lit(False))
+    return [Hit(p.is_("message", certain | maybe) & field.isNotNull() & ~tied, "An error message is not tied to its field.", F.when(p.is_("certain-message", certain), "error").otherwise("info"))]
 
 
-@rule("forms/required-marker-without-required-attr", "1.3.1 3.3.2", "error")
-def marked_required(t: Tables) -> DataFrame:
-    marks = t.nodes.filter((tag("span", "sup", "em", "b", "strong", "i") & (F.trim("text") == "*")) | (tag("abbr") & (lower("title") == "required")))
-    starred = ancestors(t, marks, tag("label")).select("file_id", F.col("above").alias("node_id")).distinct().withColumn("starred", F.lit(True))
-    labels = t.nodes.filter(tag("label") & (attr("for") != "")).join(starred, ["file_id", "node_id"], "left").filter(F.col("starred") | F.lower("text").rlike(r"\brequired\b"))
-    fields = t.nodes.filter(tag("input", "select", "textarea") & ~has("required") & (lower("aria-required") != "true")).select("file_id", "id")
-    return found(labels.withColumn("id", attr("for")).join(fields, ["file_id", "id"], "left_semi"), "A label says required, its field does not.")
+@place_rule("forms/required-marker-without-required-attr", "1.3.1 3.3.2", "error")
+def marked_required(p: Place) -> list[Hit]:
+    mark = (tag("span", "sup", "em", "b", "strong", "i") & (F.trim("text") == "*")) | (tag("abbr") & (lower("title") == "required"))
+    label_for(p)
+    starred = (p.below("mark", mark) > 0) | p.is_("says-required", tag("label") & F.lower("text").rlike(r"\brequired\b"))
+    return [Hit(starred & optional_field(p), "A label says required, its field does not.", on="for")]
 
 
 @rule("media/audio-controls-or-transcript-missing", "1.1.1", "warning")
 def audio_alternatives(t: Tables) -> DataFrame:
     tracks = t.nodes.filter(tag("track")).select("file_id", F.col("parent_id").alias("node_id")).distinct()
     links = t.nodes.filter(tag("a") & F.lower("text").contains("transcript")).select("file_id", F.col("parent_id").alias("beside")).distinct()
-    rows = t.nodes.filter(tag("audio") & ~has("controls")).join(tracks, ["file_id", "node_id"], "left_anti").join(parents(t, "parent_id"), ["file_id", "parent_id"], "left")
-    told = rows.withColumn("beside", F.explode(F.array_compact(F.array(F.col("parent_id"), F.col("parent_parent_id"))))).join(links, ["file_id", "beside"]).select("file_id", "node_id").distinct()
+    rows = t.nodes.filter(tag("audio") & ~has("controls")).join(tracks, ["file_id", "node_id"], "left_anti")
+    told = rows.withColumn("beside", F.explode(F.array_compact(F.array(F.col("parent_id"), F.get("ancestors", F.size("ancestors") - 2))))).join(links, ["file_id", "beside"]).select("file_id", "node_id").distinct()
     return found(rows.join(told, ["file_id", "node_id"], "left_anti"), "Audio has neither controls nor a transcript.")
 
 
-@rule("media/video-captions-missing", "1.2.2", "warning")
-def captions(t: Tables) -> DataFrame:
-    have = t.nodes.filter(tag("track") & lower("kind").isin("captions", "subtitles", "")).select("file_id", F.col("parent_id").alias("node_id")).distinct()
-    frames = t.nodes.filter(tag("iframe") & ~hidden() & F.coalesce(F.trim(attr("src")).rlike(VIDEO_HOSTS), F.lit(False)))
-    return found(t.nodes.filter(tag("video") & ~hidden()).join(have, ["file_id", "node_id"], "left_anti"), "A video has no captions.").unionByName(found(frames, "An embedded video may have no captions."))
+@place_rule("media/video-captions-missing", "1.2.2", "warning")
+def captions(p: Place) -> list[Hit]:
+    have = p.child("captions", tag("track") & lower("kind").isin("captions", "subtitles", ""))
+    frames = p.is_("video-frame", tag("iframe") & ~hidden() & F.coalesce(F.trim(attr("src")).rlike(VIDEO_HOSTS), F.lit(False)))
+    return [Hit(p.is_("video", tag("video") & ~hidden()) & ~have, "A video has no captions."), Hit(frames, "An embedded video may have no captions.")]
+
 
+def _endless(value: Column) -> Column:
+    """Whether an animation runs for five seconds, three times or without end."""
+    seconds = F.regexp_extract(value, r"(?i)(^|[\s,])([\d.]+)(ms|s)\b", 2).try_cast("double") / F.when(F.regexp_extract(value, r"(?i)(^|[\s,])([\d.]+)(ms|s)\b", 3) == "ms", 1000).otherwise(1)
+    times = F.regexp_extract(value, r"(^|\s)(\d+)(\s|$)", 2).try_cast("int")
+    return F.lower(value).rlike(r"\binfinite\b") | F.coalesce(seconds >= 5, F.lit(False)) | F.coalesce(times >= 3, F.lit(False))
 
-@rule("motion/pause-stop-hide", "2.2.2", "error", "runtime-only")
-def moving(t: Tables) -> DataFrame:
-    """Marquees, carousels that start by themselves, and animations that run for five seconds,
-    three times or without end, in sheets, style elements and attributes."""
+
+def _moves() -> Column:
+    """Marquees, carousels that start by themselves, and endless animations in attributes."""
     every = F.coalesce(attr("data-interval"), attr("data-bs-interval"))
     auto = ((lower("data-ride") == "carousel") | (lower("data-bs-ride") == "carousel") | has("data-autoplay")) & ~F.coalesce(every.isin("false", "0"), F.lit(False))
+    inline = F.regexp_extract(lower("style"), r"animation\s*:\s*([^;]+)", 1)
+    return tag("marquee") | auto | ((inline != "") & _endless(inline))
 
-    def endless(value: Column) -> Column:
-        seconds = F.regexp_extract(value, r"(?i)(^|[\s,])([\d.]+)(ms|s)\b", 2).try_cast("double") / F.when(F.regexp_extract(value, r"(?i)(^|[\s,])([\d.]+)(ms|s)\b", 3) == "ms", 1000).otherwise(1)
-        times = F.regexp_extract(value, r"(^|\s)(\d+)(\s|$)", 2).try_cast("int")
-        return F.lower(value).rlike(r"\binfinite\b") | F.coalesce(seconds >= 5, F.lit(False)) | F.coalesce(times >= 3, F.lit(False))
 
-    inline = F.regexp_extract(lower("style"), r"animation\s*:\s*([^;]+)", 1)
-    out = found(t.nodes.filter(tag("marquee") | auto | ((inline != "") & endless(inline))), "Moving content cannot be paused.")
-    if t.css is None:
-        return out
-    guarded = t.css.filter(F.exists("at_rules", lambda a: a.contains("prefers-reduced-motion"))).select("file_id").distinct()
-    runs = ((F.col("property") == "animation") & endless(F.col("value"))) | ((F.col("property") == "animation-iteration-count") & F.lower("value").rlike("infinite|^([3-9]|\\d\\d+)$"))
-    return out.unionByName(style(t, t.css.filter(runs & ~F.col("selector").rlike(":hover|:focus|:active")).join(guarded, "file_id", "left_anti").select("file_id", "rule_id", "line").dropDuplicates(["file_id", "rule_id"]), "An animation cannot be paused."))
+def _animated(s: Sheet) -> list[Hit]:
+    runs = F.exists("all", lambda d: ((d["property"] == "animation") & _endless(d["value"])) | ((d["property"] == "animation-iteration-count") & F.lower(d["value"]).rlike("infinite|^([3-9]|\\d\\d+)$")))
+    return [Hit(runs & ~F.col("selector").rlike(":hover|:focus|:active") & ~calmed(s), "An animation cannot be paused.")]
+
+
+RULES["motion/pause-stop-hide"] = Rule("motion/pause-stop-hide", ("2.2.2",), "error", fix_class="runtime-only", element=_moves, message="Moving content cannot be paused.", sheet=_animated)
 
 
 # ---- rules on scripts and across files -----------------------------------------------------------

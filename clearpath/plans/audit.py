@@ -9,13 +9,11 @@ from pyspark.sql import functions as F
 from ..operators import rules as _rules  # noqa: F401  registers the rules
 from ..operators import rules_context as _more  # noqa: F401
 from ..operators.findings import identified, merge_co_firing, suppress
-from ..operators.registry import RULES, Tables, run_rules
+from ..operators.registry import Tables, run_rules
 from ..sources.css import read_css
 from ..sources.dialects import MARKUP, SHEETS
 from ..sources.html import read_elements
 
-GROUP = 6
-
 
 def pages_as_files(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").alias("file_id"), F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("source"))
@@ -43,17 +41,8 @@ def tables(files: DataFrame) -> Tables:
     return Tables(files, nodes, sheets.persist(StorageLevel.MEMORY_AND_DISK))
 
 
-def audit(files: DataFrame, rule_ids: list[str] | None = None) -> DataFrame:
-    """All findings, comments heeded, pairs merged, with their ids. Raw findings are
-    persisted in groups of rules: what follows reads them several times, and plans of
-    a few rules are planned much faster than one plan of all."""
-    t = tables(files)
-    ids = sorted(rule_ids or RULES)
-    single = [i for i in ids if RULES[i].element is not None]
-    joined = [i for i in ids if RULES[i].element is None]
-    groups = [g for g in [single, *(joined[i : i + GROUP] for i in range(0, len(joined), GROUP))] if g]
-    parts = [run_rules(t, g).persist(StorageLevel.MEMORY_AND_DISK) for g in groups]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    return identified(merge_co_firing(suppress(found, files)))
+def audit(files: DataFrame, rule_ids: list[str] | None = None, t: Tables | None = None) -> DataFrame:
+    """All findings, comments heeded, pairs merged, with their ids: one plan. The caller who
+    passes tables (``with tables(files) as t``) gives them back when done."""
+    t = t or tables(files)
+    return identified(merge_co_firing(suppress(run_rules(t, rule_ids), files)))

@@ -40,12 +40,12 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 NODE_SCHEMA = (
-    "file_id long, node_id int, parent_id int, last_id int, depth int, ord int, tag string, attrs map<string,string>, attr_names array<string>, "
-    "ancestors array<int>, text string, start int, stop int, line int, col int"
+    "file_id long, node_id int, parent_id int, parent_tag string, last_id int, depth int, ord int, tag string, attrs map<string,string>, attr_names array<string>, "
+    "ancestors array<int>, text string, start int, stop int, octets int, line int, col int"
 )
 _NODE = pa.schema([
-    ("file_id", pa.int64()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("last_id", pa.int32()), ("depth", pa.int32()), ("ord", pa.int32()), ("tag", pa.string()),
-    ("attrs", pa.map_(pa.string(), pa.string())), ("attr_names", pa.list_(pa.string())), ("ancestors", pa.list_(pa.int32())), ("text", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("line", pa.int32()), ("col", pa.int32()),
+    ("file_id", pa.int64()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("parent_tag", pa.string()), ("last_id", pa.int32()), ("depth", pa.int32()), ("ord", pa.int32()), ("tag", pa.string()),
+    ("attrs", pa.map_(pa.string(), pa.string())), ("attr_names", pa.list_(pa.string())), ("ancestors", pa.list_(pa.int32())), ("text", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("octets", pa.int32()), ("line", pa.int32()), ("col", pa.int32()),
 ])
 
 
@@ -65,7 +65,8 @@ def parse(source: str) -> tuple[list[dict], str]:
     nodes: list[dict] = []
     open_: list[dict] = []
     text: list[str] = []
-    length = 0
+    length, roots = 0, 0
+    counted, octets = 0, 0
     lines = [m.end() for m in re.finditer("\n", source)]
     def say(s: str) -> None:
         nonlocal length
@@ -103,12 +104,16 @@ def parse(source: str) -> tuple[list[dict], str]:
         values, names = attributes(m[3])
         parent = open_[-1] if open_ else None
         line = bisect.bisect_right(lines, m.start())
+        octets += len(source[counted : m.end()].encode("utf-8", "surrogatepass"))
+        counted = m.end()
         node = {
-            "node_id": len(nodes), "parent_id": parent["node_id"] if parent else None, "last_id": len(nodes), "depth": len(open_), "ord": parent["children"] if parent else 0, "tag": tag, "attrs": values, "attr_names": names,
-            "ancestors": [n["node_id"] for n in open_], "text": length, "start": m.start(), "stop": m.end(), "line": line + 1, "col": m.start() - (lines[line - 1] if line else 0) + 1, "children": 0,
+            "node_id": len(nodes), "parent_id": parent["node_id"] if parent else None, "parent_tag": parent["tag"] if parent else None, "last_id": len(nodes), "depth": len(open_), "ord": parent["children"] if parent else roots, "tag": tag, "attrs": values, "attr_names": names,
+            "ancestors": [n["node_id"] for n in open_], "text": length, "start": m.start(), "stop": m.end(), "octets": octets, "line": line + 1, "col": m.start() - (lines[line - 1] if line else 0) + 1, "children": 0,
         }
         if parent:
             parent["children"] += 1
+        else:
+            roots += 1
         nodes.append(node)
         if tag in VOID or m[3].rstrip().endswith("/"):
             node["text"] = (length, length)

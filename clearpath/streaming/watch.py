@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.registry import RULES
-from ..plans.audit import audit, pages_as_files
+from ..plans.audit import audit, pages_as_files, tables
 
 
 #: Rules that need a whole project.
@@ -22,7 +22,9 @@ def watch_pages(spark: SparkSession, folder: str, out: str, checkpoint: str, per
     rules = [r for r in RULES if r not in CROSS_FILE]
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        audit(pages_as_files(rows), rules).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        files = pages_as_files(rows)
+        with tables(files) as t:  # a batch's tables are given back at its end
+            audit(files, rules, t).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -21,7 +21,7 @@ def test_minimal_pairs(parsed):
     ids, t = parsed
     wrong = []
     single = [r for r in ids if RULES[r].element is not None]
-    for group in [single] + [[r] for r in ids if r not in single]:
+    for group in [single, [r for r in ids if r not in single]]:
         got = {(x.file_id, x.rule_id): x.n for x in run_rules(t, group).groupBy("file_id", "rule_id").agg(F.count("*").alias("n")).collect()}
         for r in group:
             i = ids.index(r)
