@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +55,7 @@ class Rule:
     own_severity: Callable[[], Column] | None = field(default=None, compare=False)
     place: Callable[[Place], list[Hit]] | None = field(default=None, compare=False)
     sheet: Callable[[Sheet], list[Hit]] | None = field(default=None, compare=False)
+    python: Callable[[pd.DataFrame], Iterable[str | None]] | None = field(default=None, compare=False)
 
 
 RULES: dict[str, Rule] = {}
@@ -95,6 +97,18 @@ def element_rule(id_: str, criteria: str, severity: str, condition: Callable[[],
     RULES[id_] = Rule(id_, tuple(criteria.split()), severity, None, fix_class, condition, message, own_severity)
 
 
+def python_rule(id_: str, criteria: str, severity: str, fix_class: str = "verify-in-source"):
+    """Register a function from some elements (pandas) to a message, or none, for each.
+    All such rules share a pass, in which one that raises tells so for the files at hand."""
+
+    def keep(python):
+        RULES[id_] = Rule(id_, tuple(criteria.split()), severity, None, fix_class, python=python)
+        return python
+
+    return keep
+
+
+CRASH = "internal/rule-crash"
 SHAPE = ["file_id", "line", "col", "rule_id", "severity", "message"]
 
 
@@ -163,31 +177,52 @@ def of_sheets(t: Tables, rules: list[Rule]) -> DataFrame:
     return hits.found(sheet.rows(t.once("sheet rules", lambda: sheet_rows(t.css))).withColumn("col", F.lit(1)))
 
 
+def _of_python(t: Tables, rules: list[Rule]) -> DataFrame:
+    known = [(r.id, r.severity, r.python) for r in rules]
+
+    def run(batches):
+        for rows in batches:
+            for id_, severity, python in known:
+                try:
+                    said = pd.Series(list(python(rows)), index=rows.index, dtype=object)
+                    told = rows.loc[said.notna(), ["file_id", "line", "col"]].assign(rule_id=id_, severity=severity, message=said.dropna().astype(str))
+                except Exception as e:  # noqa: BLE001  whatever a rule raises is reported
+                    told = rows[["file_id"]].drop_duplicates().assign(line=1, col=1, rule_id=CRASH, severity="error", message=f"{id_} failed: {type(e).__name__}")
+                yield told
+
+    columns = [f for f in t.nodes.columns if f not in ("attrs", "ancestors")]
+    found = t.nodes.select(*columns, F.map_entries("attrs").alias("attrs")).mapInPandas(run, "file_id long, line int, col int, rule_id string, severity string, message string")
+    crashes = found.filter(F.col("rule_id") == CRASH).distinct()  # one a file, however many batches it came in
+    return found.filter(F.col("rule_id") != CRASH).unionByName(crashes)
+
+
 def many(made: Callable[[], Column]) -> Callable[[], Column]:
     """Marks a message that is an array: a finding for each of its texts."""
     made.many = True
     return made
 
 
+def _parts(t: Tables, rules: list[Rule]) -> list[DataFrame]:
+    """The branches of the plan of these rules."""
+    parts = []
+    for kind, run in (("element", _of_elements), ("place", _of_places), ("sheet", of_sheets), ("python", _of_python)):
+        if (some := [r for r in rules if getattr(r, kind)]) and (kind != "sheet" or t.css is not None):
+            parts.append(run(t, some))
+    for r in rules:
+        if r.find:
+            found = r.find(t)
+            own = F.col("severity") if "severity" in found.columns else F.lit(r.severity)
+            parts.append(found.select("file_id", "line", "col", F.lit(r.id).alias("rule_id"), own.alias("severity"), "message"))
+    return parts
+
+
 def run_rules(t: Tables, ids: list[str] | None = None) -> DataFrame:
     """file_id, path, line, col, rule_id, criteria, severity, fix_class and message of
     every finding. Rules on single elements share a pass, rules on places share one shuffle
     by file, rules on style sheets another; each evaluates its rules as an array of hits. So
     the plan has a few branches, however many rules there are."""
     chosen = [RULES[i] for i in (ids or sorted(RULES))]
-    parts = []
-    if some := [r for r in chosen if r.element]:
-        parts.append(_of_elements(t, some))
-    if some := [r for r in chosen if r.place]:
-        parts.append(_of_places(t, some))
-    if (some := [r for r in chosen if r.sheet]) and t.css is not None:
-        parts.append(of_sheets(t, some))
-    for r in chosen:
-        if r.find:
-            found = r.find(t)
-            own = F.col("severity") if "severity" in found.columns else F.lit(r.severity)
-            parts.append(found.select("file_id", "line", "col", F.lit(r.id).alias("rule_id"), own.alias("severity"), "message"))
-    return described(t, parts, chosen)
+    return described(t, _parts(t, chosen), chosen)
 
 
 def described(t: Tables, parts: list[DataFrame], rules: list[Rule]) -> DataFrame:
@@ -195,26 +230,28 @@ def described(t: Tables, parts: list[DataFrame], rules: list[Rule]) -> DataFrame
     out = parts[0].select(SHAPE)
     for p in parts[1:]:
         out = out.unionByName(p.select(SHAPE))
-    kinds = F.create_map(*(x for r in rules for x in (F.lit(r.id), F.struct(F.array(*map(F.lit, r.criteria)).cast("array<string>").alias("criteria"), F.lit(r.fix_class).alias("fix_class")))))
-    out = out.withColumn("_r", kinds[F.col("rule_id")]).join(t.files.select("file_id", "path"), "file_id")
-    return out.select("file_id", "path", "line", "col", "rule_id", "_r.criteria", "severity", "_r.fix_class", "message")
-
-
-CRASH = "internal/rule-crash"
+    quoted = lambda x: "'" + x.replace("'", "\\'") + "'"
+    kinds = ", ".join(f"{quoted(r.id)}, named_struct('criteria', cast(array({', '.join(map(quoted, r.criteria))}) as array<string>), 'fix_class', {quoted(r.fix_class)})" for r in rules)
+    out = out.withColumn("_r", F.expr(f"map({kinds})[rule_id]")).join(t.files.select("file_id", "path"), "file_id")
+    return out.selectExpr("file_id", "path", "line", "col", "rule_id", "coalesce(_r.criteria, cast(array() as array<string>)) as criteria", "severity", "coalesce(_r.fix_class, 'verify-in-source') as fix_class", "message")
 
 
 def run_isolated(t: Tables, ids: list[str] | None = None) -> DataFrame:
-    """``run_rules`` with every rule on its own: one that fails gives one error for each
-    file, and nothing it found before; the others stand. Each rule is a job, so this is
-    for rules that are not trusted."""
-    shape = ["file_id", "path", "line", "col", "rule_id", "criteria", "severity", "fix_class", "message"]
-    out = None
-    for i in ids or sorted(RULES):
+    """``run_rules``, where a rule that fails gives one error for each file and the others
+    stand; still one plan and one job. A rule whose condition or query cannot be built fails
+    while the plan is made, before any row is read; a Python rule fails in its task, where
+    that is caught. A native condition that fails on a row (as by a cast that may not fail)
+    fails the job: conditions are to be total."""
+    sound, failed = [], []
+    for r in (RULES[i] for i in (ids or sorted(RULES))):
         try:
-            rows = run_rules(t, [i]).persist()
-            rows.count()
+            if not r.python:
+                _parts(t, [r])
+            sound.append(r)
         except Exception as e:  # noqa: BLE001  whatever a rule raises is reported
-            told = F.lit(f"{i} failed: {type(e).__name__}")
-            rows = t.files.select("file_id", "path", F.lit(1).alias("line"), F.lit(1).alias("col"), F.lit(CRASH).alias("rule_id"), F.array().cast("array<string>").alias("criteria"), F.lit("error").alias("severity"), F.lit("verify-in-source").alias("fix_class"), told.alias("message")).select(shape)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+            failed.append((r.id, type(e).__name__))
+    parts = _parts(t, sound)
+    if failed:
+        told = F.explode(F.array(*(F.lit(f"{i} failed: {e}") for i, e in failed)))
+        parts.append(t.files.select("file_id", F.lit(1).alias("line"), F.lit(1).alias("col"), F.lit(CRASH).alias("rule_id"), F.lit("error").alias("severity"), told.alias("message")))
+    return described(t, parts, sound or [RULES[ids[0]]])

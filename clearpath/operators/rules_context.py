@@ -207,7 +207,7 @@ def loose_errors(p: Place) -> list[Hit]:
 def marked_required(p: Place) -> list[Hit]:
     mark = (tag("span", "sup", "em", "b", "strong", "i") & (F.trim("text") == "*")) | (tag("abbr") & (lower("title") == "required"))
     label_for(p)
-    starred = (p.below("mark", mark) > 0) | p.is_("says-required", tag("label") & F.lower("text").rlike(r"\brequired\b"))
+    starred = (p.below("required-mark", mark) > 0) | p.is_("says-required", tag("label") & F.lower("text").rlike(r"\brequired\b"))
     return [Hit(starred & optional_field(p), "A label says required, its field does not.", on="for")]
 
 

@@ -36,7 +36,9 @@ def utility_declarations(nodes: DataFrame, colours: dict[str, str] | None = None
 def inline_markup(files: DataFrame) -> DataFrame:
     """file_id, first_line and source of the strings and templates of scripts that hold
     markup: the pieces a reader of elements may be given."""
-    piece = r"`(?:[^`\\]|\\.)*<[a-zA-Z](?:[^`\\]|\\.)*`|\"(?:[^\"\\\n]|\\.)*<[a-zA-Z](?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*<[a-zA-Z](?:[^'\\\n]|\\.)*'"
+    # Possessive, so that a match takes no stack however long a string is.
+    body = lambda q, no: rf"{q}(?:[^{q}\\<{no}]++|\\.|<(?![a-zA-Z]))*+<[a-zA-Z](?:[^{q}\\{no}]++|\\.)*+{q}"
+    piece = "(?s)" + "|".join((body("`", ""), body('"', "\\n"), body("'", "\\n")))
     scripts = files.filter(F.lower("path").rlike(r"\.(js|ts|mjs|cjs)$") & F.col("source").rlike(piece))
     found = scripts.select("file_id", "source", F.posexplode(F.regexp_extract_all("source", F.lit(piece), F.lit(0))).alias("n", "piece"))
     # Equal pieces begin where the first does; what stands before it tells the line.

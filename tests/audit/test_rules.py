@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,3 +30,73 @@ def test_minimal_pairs(parsed):
             if got.get((2 * i, r), 0) != CASES[r][2] or got.get((2 * i + 1, r), 0):
                 wrong.append((r, got.get((2 * i, r), 0), CASES[r][2], got.get((2 * i + 1, r), 0)))
     assert not wrong
+
+
+def test_a_fact_has_one_meaning(spark):
+    """Rules share facts by name: whoever asks for one must mean the same."""
+    from clearpath.operators import tree
+
+    seen, clashes = {}, []
+
+    class Watched(tree.Place):
+        def _note(self, kind, name, meaning):
+            meaning = re.sub(r"x_\d+", "x", meaning)  # parameters of lambdas are numbered
+            if seen.setdefault((kind, name), meaning) != meaning:
+                clashes.append((kind, name, seen[kind, name], meaning))
+
+        def is_(self, name, condition):
+            self._note("is", name, str(condition))
+            return super().is_(name, condition)
+
+        def value(self, name, value):
+            self._note("value", name, str(value))
+            return super().value(name, value)
+
+        def previous(self, name, value):
+            self._note("value", name, str(value))
+            return super().previous(name, value)
+
+        def earlier(self, name, value):
+            self._note("value", name, str(value))
+            return super().earlier(name, value)
+
+        def _want(self, kind, name, how=None, sql="{}"):
+            if kind not in ("within", "rank"):
+                self._note(kind, name, str(how))
+            return super()._want(kind, name, how, sql)
+
+    place = Watched()
+    for r in RULES.values():
+        if r.place:
+            r.place(place)
+    assert seen and not clashes
+
+
+def test_crashing_rules_stand_beside_sound_ones(spark):
+    from clearpath.operators import registry
+
+    def crashes_in_task(rows):
+        raise ValueError("no")
+
+    def long_texts(rows):
+        return ["Long." if len(x) > 3 else None for x in rows["text"]]
+
+    before = dict(RULES)
+    try:
+        registry.element_rule("mine/no-column", "1.1.1", "error", lambda: F.col("no_such_column") > 1, "x")
+        registry.place_rule("mine/no-place", "1.1.1", "error")(lambda p: [registry.Hit(p.above("mine", F.col("nor_this")), "x")])
+        registry.rule("mine/raises", "1.1.1", "error")(lambda t: 1 / 0)
+        registry.python_rule("mine/in-task", "1.1.1", "error")(crashes_in_task)
+        registry.python_rule("mine/long", "1.1.1", "info")(long_texts)
+        files = spark.createDataFrame([(1, "a.html", "<p>ab</p><p>abcde</p>"), (2, "b.html", "<img>")], "file_id long, path string, source string")
+        with tables(files) as t:
+            ids = ["mine/no-column", "mine/no-place", "mine/raises", "mine/in-task", "mine/long", "media/alt-text-missing", "semantics/list-structure"]
+            got = sorted((r.file_id, r.rule_id, r.message) for r in registry.run_isolated(t, ids).collect())
+        crash = lambda f, r, e: (f, registry.CRASH, f"{r} failed: {e}")
+        crashes = [("mine/no-column", "AnalysisException"), ("mine/no-place", "AnalysisException"), ("mine/raises", "ZeroDivisionError"), ("mine/in-task", "ValueError")]
+        assert got == sorted([crash(f, r, e) for f in (1, 2) for r, e in crashes] + [(1, "mine/long", "Long."), (2, "media/alt-text-missing", "An image has no text alternative.")])
+        with pytest.raises(ZeroDivisionError):
+            registry.run_rules(t, ["mine/raises"])
+    finally:
+        RULES.clear()
+        RULES.update(before)

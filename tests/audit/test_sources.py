@@ -63,3 +63,12 @@ def test_rules_over_dialects(spark):
     ]
     got = run_rules(tables(spark.createDataFrame(files, "file_id long, path string, source string")), ["contrast/minimum", "media/alt-text-missing", "focus/tabindex-positive"])
     assert sorted((r.file_id, r.line, r.rule_id) for r in got.collect()) == [(1, 2, "contrast/minimum"), (2, 3, "contrast/minimum"), (3, 6, "focus/tabindex-positive"), (3, 7, "media/alt-text-missing"), (4, 4, "media/alt-text-missing")]
+
+
+def test_inline_markup_of_any_length(spark):
+    from clearpath.sources.fragments import inline_markup
+
+    long = "x" * 300_000 + "\\`" + "<b>y</b>" + "z\\\\" * 100_000
+    rows = [(1, "a.js", f"const a = `{long}`;\nconst b = '<i>q</i>' + \"no markup\" + \"a < b\";\nconst c = 'cut\n';"), (2, "b.js", None), (3, "c.html", "`<b>`"), (4, "d.ts", 'const e = "<a href=\\"/x\\">t</a>";')]
+    got = sorted((r.file_id, r.first_line, r.source) for r in inline_markup(spark.createDataFrame(rows, "file_id long, path string, source string")).collect())
+    assert got == [(1, 1, long), (1, 2, "<i>q</i>"), (4, 1, '<a href=\\"/x\\">t</a>')]
