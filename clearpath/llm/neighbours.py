@@ -6,9 +6,12 @@ of two, so that nearness is an angle. Each of ``tables`` hashes a vector by two
 pseudo-rotations (each three rounds of random signs and a fast Hadamard transform): its
 *cell* is the pair of signed axes nearest to it, one of 4 * padded dimension**2. A query
 scores a cell by the sum of its products with the cell's two axes, and probes the cells
-in that order down to a limit, set so that they hold a share of all vectors which
-falls with the cube root of their number. The limit is a quantile over ``SAMPLE`` cells
-drawn by their sizes; every vector is indexed. The vectors of the probed cells are
+in that order down to a limit, set so that they hold a share of all vectors. The limit
+is a quantile over ``SAMPLE`` cells drawn by their sizes; every vector is indexed. The share
+is not a formula: it is fitted before the probe. ``TRIALS`` queries are answered by brute
+force, which is one scan, and the share is the least at which ``RECALL`` of their true
+neighbours lie in a probed cell; so it grows where the data are harder or more. A share of 1
+probes every cell and is exact. The vectors of the probed cells are
 reranked exactly, in double precision, on the original components.
 
 Scale: cells, in order and cut by the sizes counted before, make *regions* of vectors
@@ -16,9 +19,8 @@ with ``REGION`` components, so a cell with a third of all vectors spreads over m
 and small ones share one. A vector goes to one region a table, a query once to each region that holds
 probed cells, whatever their number; within a region only probed cells are reranked.
 Queries of a region are dealt into groups of ``QUERIES``. The driver sees the
-longest vector's length, the dimension, and the sizes of cells: a fixed number. Both
-the candidates of a query and the regions it meets grow with the power 2/3 of the
-number of vectors.
+longest vector's length, the dimension, the sizes of cells, and the trial queries with
+their neighbours: a fixed number.
 
 Vectors that are null, zero, empty or hold null or non-finite components take no part;
 only vectors of the table's largest dimension do. Null ids take no part. Rows that
@@ -40,8 +42,9 @@ K, QUERY_EVERY = 20, 20
 TABLES, SAMPLE = 4, 4096
 #: Components of the vectors of a region (32 MB as doubles), and queries that meet them at a time.
 REGION, QUERIES = 1 << 22, 4096
-#: A table's probes reach SHARE * n**(-1/3) of all n vectors, and LEAST vectors at least.
-SHARE, LEAST = 1.8, 384
+#: Queries that brute force answers to fit the share, the recall they shall reach, and the
+#: least number of vectors that a table's probes reach.
+TRIALS, RECALL, LEAST = 128, 0.96, 384
 SCHEMA = "query_id long, rank int, vec_id long, score double"
 
 
@@ -117,16 +120,36 @@ def cells(x: np.ndarray, t: int) -> np.ndarray:
 class Index:
     """Sizes of all cells, the regions they lie in, and where queries stop probing."""
 
-    def __init__(self, sizes: np.ndarray, longest: float, group: int, share: float = SHARE, least: int = LEAST):
-        self.longest, self.side = longest, int(round(sizes.shape[1] ** 0.5))
-        n = int(sizes[0].sum())
-        self.share = min(1.0, max(share * n ** (-1 / 3), least / n)) if n else 1.0
+    def __init__(self, sizes: np.ndarray, longest: float, group: int, share: float | None = None):
+        self.longest, self.side, self.share = longest, int(round(sizes.shape[1] ** 0.5)), share
+        self.n = int(sizes[0].sum())
         after = np.cumsum(sizes, axis=1)
         self.first = ((after - sizes) // group).astype(np.int32)
         self.last = (np.maximum(after - 1, after - sizes) // group).astype(np.int32)
         rnd = np.random.default_rng(1)
         self.sample = [np.searchsorted(a, rnd.integers(0, a[-1], SAMPLE), "right").astype(np.int32) if a[-1] else np.zeros(1, np.int32) for a in after]
 
+    def fit(self, queries: np.ndarray, near: list[np.ndarray], recall: float, least: int) -> None:
+        """The least share at which so many of the queries' neighbours (cells by table) are probed."""
+        needed = []
+        if not len(queries):
+            self.share = 1.0
+            return
+        x, tables = lifted(queries, self.longest, True), len(self.sample)
+        scores = [cell_axes(x, t) for t in range(tables)]
+        for q, cells_ in enumerate(near):
+            best = np.ones(len(cells_))
+            for t in range(tables):
+                one, two = scores[t][0][q], scores[t][1][q]
+                drawn = np.sort(one[self.sample[t] // self.side] + two[self.sample[t] % self.side])
+                own = one[cells_[:, t] // self.side] + two[cells_[:, t] % self.side]
+                above = len(drawn) - np.searchsorted(drawn, own - 1e-12)  # drawn cells probed before this one is, or with it
+                best = np.minimum(best, (above + 1) / len(drawn))
+            needed.append(best)
+        every = np.sort(np.concatenate(needed)) if needed else np.zeros(0)
+        share = every[min(len(every) - 1, int(np.ceil(recall * len(every))))] if len(every) else 1.0
+        self.share = float(min(1.0, max(share, least / max(self.n, 1))))
+
     def limits(self, one: np.ndarray, two: np.ndarray, t: int) -> np.ndarray:
         """The score down to which each query probes table t."""
         if self.share >= 1:
@@ -165,8 +188,40 @@ def near_in_region(queries: pd.DataFrame, found: pd.DataFrame, t: int, longest:
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int = TABLES, share: float = SHARE, least: int = LEAST, region: int = REGION, group: int = QUERIES) -> DataFrame:
-    """``vectors`` and ``queries``: vec_id, embedding. query_id, rank, vec_id, score."""
+def trials(stored: DataFrame, asked: DataFrame, k: int, count: int = TRIALS) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Some queries, drawn by hash, and the cells of the k true neighbours of each: one scan
+    in which a task keeps its k best, and a merge of those."""
+    drawn = asked.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(count).toPandas()
+    if not len(drawn):
+        return np.zeros((0, 1)), []
+    q, q_ids = np.stack(drawn["v"].to_numpy()).astype(np.float64), drawn["vec_id"].to_numpy()
+    tables = len(stored.select("cells").first()[0])
+
+    def scan(batches):
+        kept = pd.DataFrame({"i": [], "score": [], "vec_id": [], "cells": []})
+        for batch in batches:
+            if not len(batch):
+                continue
+            s = q @ np.stack(batch["v"].to_numpy()).astype(np.float64).T
+            s[q_ids[:, None] == batch["vec_id"].to_numpy()[None, :]] = -np.inf
+            near = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
+            i = np.repeat(np.arange(len(q)), near.shape[1])
+            j = near.ravel()
+            new = pd.DataFrame({"i": i, "score": s[i, j], "vec_id": batch["vec_id"].to_numpy()[j], "cells": batch["cells"].to_numpy()[j]})
+            kept = pd.concat([kept, new[np.isfinite(new["score"])]]) if len(kept) else new[np.isfinite(new["score"])]
+            kept = kept.sort_values("score", ascending=False, kind="stable").groupby("i").head(k)
+        yield kept.astype({"i": "int64", "score": "float64", "vec_id": "int64"})
+
+    best = stored.mapInPandas(scan, "i long, score double, vec_id long, cells array<int>")
+    order = Window.partitionBy("i").orderBy(F.desc("score"), "vec_id")
+    near = best.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).select("i", "cells").toPandas()
+    rows = {i: np.stack(x["cells"].to_numpy()) for i, x in near.groupby("i")}
+    return q, [rows.get(i, np.zeros((0, tables), np.int32)) for i in range(len(q))]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int = TABLES, share: float | None = None, recall: float = RECALL, least: int = LEAST, region: int = REGION, group: int = QUERIES) -> DataFrame:
+    """``vectors`` and ``queries``: vec_id, embedding. query_id, rank, vec_id, score. A
+    ``share`` is fitted to ``recall`` unless it is given; 1 is exact."""
     rows = materialize(usable(vectors), "vectors")
     dim, longest = rows.select(F.size("v").alias("d"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")).alias("s")).groupBy("d").agg(F.max("s").alias("s")).orderBy(F.desc("d")).select("d", F.sqrt("s")).first() or (1, 1.0)
     asked = usable(queries).filter(F.size("v") == dim)
@@ -184,7 +239,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int = TA
     sizes = np.zeros((tables, side * side), np.int64)
     counted = stored.select(F.posexplode("cells").alias("t", "cell")).groupBy("t", "cell").count().toPandas()  # a fixed number of cells
     sizes[counted["t"], counted["cell"]] = counted["count"]
-    shared = vectors.sparkSession.sparkContext.broadcast(Index(sizes, longest, max(1, region // dim), share, least))
+    index = Index(sizes, longest, max(1, region // dim), share)
+    if share is None:
+        index.fit(*trials(stored, asked, k), recall, least)
+    shared = vectors.sparkSession.sparkContext.broadcast(index)
 
     def placed(batches):
         for batch in batches:

@@ -37,6 +37,33 @@ def test_recall_and_scores(spark):
             assert i != q and math.isclose(s, float(np.dot(np.array(vectors[q], float), np.array(vectors[i], float))), rel_tol=0, abs_tol=1e-12)
 
 
+def test_recall_on_many_vectors(spark):
+    """Vectors by chance, the hardest there are: the share follows the data."""
+    n, d = 200_000, 64
+    made = lambda ids: np.stack([np.random.default_rng(int(i)).normal(size=d) for i in ids]).astype(np.float32)
+
+    def rows(batches):
+        for b in batches:
+            yield b.rename(columns={"id": "vec_id"}).assign(embedding=list(made(b["id"])))
+
+    df = spark.range(n, numPartitions=8).mapInPandas(rows, "vec_id long, embedding array<float>").persist()
+    got = result(nearest(df, df.filter("vec_id % 2000 = 0")))
+    every, hits = np.concatenate([made(range(a, a + 20_000)) for a in range(0, n, 20_000)]).astype(np.float64), 0
+    for q in range(0, n, 2000):
+        s = every @ every[q]
+        s[q] = -np.inf
+        hits += len({i for i, _ in got[q]} & set(np.argpartition(-s, K)[:K].tolist()))
+    df.unpersist()
+    assert hits / (len(got) * K) >= 0.9 and len(got) == 100
+
+
+def test_exact_mode(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    got = result(nearest(df, df.filter("vec_id % 20 = 0"), share=1.0))
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in brute(rows, [r for r in rows if r[0] % 20 == 0], K).items()}
+
+
 def test_edges(spark):
     rnd = np.random.default_rng(3)
     rows = [(i, (rnd.normal(size=5) * rnd.uniform(0.1, 3)).tolist()) for i in range(60)]
