@@ -134,7 +134,7 @@ def _frequencies(batches):
 
 def fit(learnable: DataFrame, clusters: int = CLUSTERS, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     """``learnable``: doc_id, text, lang of the rows that may be learned from."""
-    rows = learnable.filter("lang is not null and text is not null").select("text", "lang", text_key("text").alias("text_key"))
+    rows = learnable.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang", text_key("text").alias("text_key"))
     counts = rows.select("text").mapInPandas(_frequencies, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()  # DIMS + 1 rows at most
     total = int(counts.loc[counts["gram"] < 0, "n"].sum())
     df = np.zeros(DIMS)
@@ -149,7 +149,7 @@ def fit(learnable: DataFrame, clusters: int = CLUSTERS, sample_per_lang: int = S
     def centroids(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         texts = [t for t in map(letters, own.sort_values("text_key")["text"]) if t]
         if not texts:
-            return pd.DataFrame({"lang": [], "centre": [], "low": []})
+            return pd.DataFrame({"lang": pd.Series([], dtype=object), "centre": pd.Series([], dtype=object), "low": pd.Series([], dtype=float)})
         x, other = vectors(texts[::2], idf), texts[1::2] or texts
         centres = cluster(x, clusters)
         near = (vectors(other, idf) @ centres.T).max(axis=1) / lengthened(other)
@@ -185,7 +185,7 @@ def language_id(documents: DataFrame) -> DataFrame:
 
 def filter_language(documents: DataFrame) -> DataFrame:
     """Documents whose language is recognised, lang set to the one found."""
-    shared = documents.sparkSession.sparkContext.broadcast(fit(fold(documents).filter("not held_out")))
+    shared = documents.sparkSession.sparkContext.broadcast(fit(fold(documents.select("doc_id", "text", "lang")).filter("not held_out")))
 
     @F.pandas_udf("string")
     def found(text: pd.Series) -> pd.Series:
