@@ -110,16 +110,17 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """The documents themselves, as often as the mixed stream has them, in its order
     within each output partition. The stream is planned on slim rows; texts are shuffled
     once, by a key of the row, so every partition is a random share of each block. Rows
-    of equal id, source and length are told apart by their rank."""
+    of equal id, source and length are told apart by their rank. Extra columns may have any
+    name: a document travels as one column beside the internal ones."""
     key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("source", F.lit("-")), tokens("text").cast("string"))
-    keyed = documents.withColumn("_mix_key", key)
+    keyed = documents.select(F.struct(*documents.columns).alias("row"), "doc_id", "source", "text", key.alias("_mix_key"))
     ranked = lambda d, *order: d.withColumn("_mix_rank", F.row_number().over(Window.partitionBy("_mix_key").orderBy(*order)))
     slim = materialize(ranked(keyed.select("doc_id", "source", tokens("text").alias("_mix_length"), "_mix_key"), "doc_id"), "mix-rows")
     plan = mix(slim, n_tokens="_mix_length", **options).select(F.col("_mix_key").alias("_mix_plan"), F.col("_mix_rank").alias("_mix_at"), "_mix_block", "_mix_position")
     rows = ranked(keyed, "text")
     # The rank is compared besides the key, not as a part of it: texts keep the partitioning that ranked them.
     out = rows.join(plan, (F.col("_mix_key") == F.col("_mix_plan")) & (F.col("_mix_rank") <= F.col("_mix_at")) & (F.col("_mix_rank") >= F.col("_mix_at")))
-    return out.sortWithinPartitions("_mix_block", "_mix_position").select(*documents.columns)
+    return out.sortWithinPartitions("_mix_block", "_mix_position").select("row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

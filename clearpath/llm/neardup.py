@@ -214,11 +214,11 @@ def links(documents: DataFrame, nodes: DataFrame, percent: int = PERCENT, size:
     return stars.filter("linked").select("a", "b").unionByName(exact(apart).filter("linked").select("a", "b")).unionByName(blocks(open_, sets, percent))
 
 
-def without(rows: DataFrame, gone: DataFrame | None, key: str = "text_key") -> DataFrame:
-    """``rows`` (doc_id, ``key``) that are not in ``gone`` (_gone_id, _gone_key)."""
+def without(rows: DataFrame, gone: DataFrame | None) -> DataFrame:
+    """``rows`` (doc_id, text_key) that are not in ``gone`` (_gone_id, _gone_key)."""
     if gone is None:
         return rows
-    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col(key) == F.col("_gone_key")), "left_anti")
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("text_key") == F.col("_gone_key")), "left_anti")
 
 
 def decisions(documents: DataFrame, percent: int, size: int, gone: DataFrame | None = None) -> DataFrame:
@@ -246,19 +246,19 @@ def drop_near_duplicates(documents: DataFrame, measures: tuple[tuple[int, int],
     """One document of each group of near-duplicates, with its own columns: the first by
     id (nulls last) and text. The ``measures`` (words of a shingle, percent) are taken one
     after the other, each on what the ones before left; the scratch tables of one go
-    before the next. A decision is about an id and a text, so another text under the same
-    id has its own. Rows without an id cannot be named by a decision and stay, but of rows
-    equal in id and text one stays. Empty texts are no copies, unless they have one id.
-    Columns of ``documents`` must not begin with an underscore as the internal ones do."""
+    before the next. A decision is about an id and a text (null ids too), so another text
+    under the same id has its own, and of rows equal in id and text one stays. Empty texts
+    are no copies, unless they have one id. Extra columns may have any name: a row travels as
+    one column beside the internal ones."""
     spark, gone = documents.sparkSession, None
     for size, percent in measures:
         with scratch_tables(spark):
-            rows = decisions(documents, percent, size, gone).filter("doc_id is not null and first is not null and not (doc_id <=> first.doc_id and text_key = first.text_key)")
+            rows = decisions(documents, percent, size, gone).filter("first is not null and not (doc_id <=> first.doc_id and text_key = first.text_key)")
             rows = rows.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
             gone = materialize(rows if gone is None else rows.unionByName(gone), "gone", keep=True)
     # The anti-join leaves rows by id and text, so the last step needs no shuffle of its own.
-    left = without(documents.withColumns({"_text_key": text_key("text"), "_no_text": F.col("text").isNull()}), gone, "_text_key")
-    return left.dropDuplicates(["doc_id", "_text_key", "_no_text"]).select(*documents.columns)
+    rows = documents.select(F.struct(*documents.columns).alias("row"), "doc_id", text_key("text").alias("text_key"), F.col("text").isNull().alias("no_text"))
+    return without(rows, gone).dropDuplicates(["doc_id", "text_key", "no_text"]).select("row.*")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -241,7 +241,7 @@ def link_counts(vectors: DataFrame, least: float = LEAST, region: int = REGION,
     def compared(rows: pd.DataFrame) -> pd.DataFrame:
         q, v = rows[rows["asks"]], rows[~rows["asks"]]
         if not len(q) or not len(v):
-            return pd.DataFrame({"node": [], "links": [], "other": []})
+            return pd.DataFrame({"node": pd.Series([], dtype=object), "links": pd.Series([], dtype=np.int64), "other": pd.Series([], dtype=object)})
         side = lambda s: {"node": np.array(s["node"].tolist(), object), "u": unit(padded(s["v"].tolist(), d)), "list": s["list"].to_numpy(), "weight": s["weight"].to_numpy()}
         a, b = side(q), side(v) | {"error": v["error"].to_numpy(), "said": v["said"].to_numpy(), "codes": np.frombuffer(b"".join(v["codes"]), np.uint8).reshape(len(v), -1)}
         i, j, alone = linked(shared.value, a, b)
