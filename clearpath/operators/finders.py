@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import phrase
+from ..sources.scripts import read_code
 from .findings import pragma_reasons
 from .registry import Tables
 from .rules import HEADINGS, INTERACTIVE_ROLES, ancestors, any_of, attr, blank, has, hidden, interactive, lower, number, parents, roles, sheet_rules, some_class, tag
+from .scripts import dom_actions, of_project
 
 # ---- fixed values -------------------------------------------------------------------
 HIDDEN_TEXT = r"^(sr-only|visually-hidden|screen-reader-text|visuallyhidden)$"
@@ -78,8 +80,10 @@ def places(rows: DataFrame, *more: str) -> DataFrame:
 
 
 def lines(t: Tables, pattern: str) -> DataFrame:
-    """file_id, line, col and source of the lines that match; files without a match are not cut up."""
-    rows = t.files.filter(F.col("source").rlike(pattern)).select("file_id", F.posexplode(F.split("source", "\n")).alias("line", "source"))
+    """file_id, line, col and source of the lines of code that match: comments, and strings
+    that are more than a name, are blank. Files without a match are neither read nor cut up."""
+    code = read_code(t.files.filter(F.col("source").rlike(pattern)))
+    rows = code.select("file_id", F.posexplode(F.split("source", "\n")).alias("line", "source"))
     return rows.filter(F.col("source").rlike(pattern)).select("file_id", (F.col("line") + 1).alias("line"), F.lit(1).alias("col"), "source")
 
 
@@ -238,18 +242,15 @@ def one_order(t: Tables) -> DataFrame:
 
 
 def clicked(t: Tables) -> DataFrame:
-    """(kind, token) of the ids and classes on which scripts of any file put click handlers."""
-    by = r"(?:getElementById\(\s*['\"]([\w-]+)['\"]|querySelector(?:All)?\(\s*['\"]([#.][\w-]+)['\"])\s*\)\s*\.\s*(?:addEventListener\(\s*['\"]click|onclick\s*=)"
-    hit = t.files.filter(F.col("source").rlike(by)).select(F.explode(F.regexp_extract_all("source", F.lit(by), F.lit(0))).alias("m"))
-    first, second = F.regexp_extract("m", by, 1), F.regexp_extract("m", by, 2)
-    return hit.select(F.when(first != "", "id").when(second.startswith("#"), "id").otherwise("class").alias("kind"), F.when(first != "", first).otherwise(F.substring(second, 2, 1_000_000_000)).alias("token")).distinct()
+    """(project, kind, token) of the ids and classes on which scripts put click handlers."""
+    return of_project(t, dom_actions(t).filter("what = 'event' and detail = 'click'")).select("project", "kind", "token").distinct()
 
 
 def selected(t: Tables, chosen: DataFrame) -> DataFrame:
-    """Elements of all files that (kind, token) choose: equi-joins on the token."""
+    """Elements that (project, kind, token) choose: equi-joins on the token."""
     tokens = F.array_union(F.transform("classes", lambda c: F.struct(F.lit("class").alias("kind"), c.alias("token"))), F.when(F.col("id") != "", F.array(F.struct(F.lit("id").alias("kind"), F.col("id").alias("token")))).otherwise(F.array().cast("array<struct<kind:string,token:string>>")))
     rows = t.nodes.withColumn("_t", F.explode(tokens)).select("*", "_t.kind", "_t.token").drop("_t")
-    return rows.join(chosen, ["kind", "token"], "left_semi").dropDuplicates(["file_id", "node_id"])
+    return of_project(t, rows).join(chosen, ["project", "kind", "token"], "left_semi").dropDuplicates(["file_id", "node_id"])
 
 
 @finder("review/cross-file-click-handler-on-non-interactive", "2.1.1 4.1.2", "Can the keyboard do what the click does?")

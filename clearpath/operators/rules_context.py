@@ -11,6 +11,7 @@ from .finders import HIDDEN_TEXT, STATUS_COLOURS, STATUS_WORDS, clicked, lines,
 from .pages import kind
 from .registry import RULES, Rule, Tables, element_rule, place_rule, rule
 from .rules import HEADINGS, INTERACTIVE_ROLES, KEY_HANDLERS, ancestors, any_of, attr, blank, calmed, found, has, hidden, interactive, label_for, lower, named, number, one, optional_field, parents, presentational, roles, some_class, tag, text_of
+from .scripts import dom_actions, of_project
 from .sheets import Sheet
 from .tree import Hit, Place, tokens
 
@@ -76,7 +77,6 @@ for args in [
     ("aria/conflicting-role", "4.1.2", "error", _conflicts, "The role contradicts what the element is."),
     ("aria/progressbar-value-range", "4.1.2", "error", _progress, "A progress bar's value is not within its range."),
     ("forms/non-empty-label", "2.4.6 1.3.1 3.3.2", "error", lambda: tag("label") & ~named() & (blank(F.col("text")) | F.trim("text").rlike(_VALUE)), "A label has no text, or a value for it.", "guidance"),
-    ("keyboard/handler-missing", "2.1.1 4.1.2", "error", _no_keyboard, "A click handler has no counterpart for the keyboard."),
     ("media/alt-text-placeholder", "1.1.1", "warning", _empty_alt, "The text alternative says nothing.", "guidance"),
 ]:
     element_rule(*args)
@@ -253,16 +253,34 @@ RULES["motion/pause-stop-hide"] = Rule("motion/pause-stop-hide", ("2.2.2",), "er
 # ---- rules on scripts and across files -----------------------------------------------------------
 @rule("aria/live-region-missing-on-innerhtml-target", "4.1.3", "warning")
 def silent_targets(t: Tables) -> DataFrame:
-    """Elements of any file whose id a script with timers or handlers writes text into."""
-    by = r"getElementById\(\s*['\"]([\w-]+)['\"]\s*\)\s*\.\s*(?:innerHTML|textContent|innerText)\s*=[^=]"
+    """Elements of a project whose id a script with timers or handlers writes text into."""
     later = r"setTimeout|setInterval|addEventListener|\.on\w+\s*=|fetch\("
-    ids = t.files.filter(F.col("source").rlike(by) & F.col("source").rlike(later)).select(F.explode(F.regexp_extract_all("source", F.lit(by), F.lit(1))).alias("id")).distinct()
+    busy = t.files.filter(F.col("source").rlike(later)).select("file_id")
+    written = dom_actions(t).filter("what = 'text' and kind = 'id'").join(busy, "file_id", "left_semi")
+    chosen = of_project(t, written).select("project", "kind", "token").distinct()
     live = roles("status", "alert", "log", "timer", "marquee") | lower("aria-live").isin("polite", "assertive") | tag("output")
-    rows = t.nodes.filter(~live).join(ids, "id", "left_semi")
+    rows = selected(t, chosen).filter(~live)
     heard = ancestors(t, rows, live).select("file_id", "node_id").distinct()
     return found(rows.join(heard, ["file_id", "node_id"], "left_anti"), "A script changes this text and nothing announces it.")
 
 
+@rule("keyboard/handler-missing", "2.1.1 4.1.2", "error")
+def no_key_handler(t: Tables) -> DataFrame:
+    """Elements with click handlers and no counterpart, and script files that put a click
+    handler on a target, none on its keys, where no element of the project that the target
+    names is a control by itself."""
+    own = found(t.nodes.filter(_no_keyboard()), "A click handler has no counterpart for the keyboard.")
+    place = ["project", "kind", "token"]
+    acts = of_project(t, dom_actions(t).filter("what = 'event'"))
+    keys = acts.filter("detail like 'key%'").select(*place).distinct()
+    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    clicks = acts.filter("detail = 'click'").join(t.files.filter(ext.isin("js", "mjs", "cjs", "ts")).select("file_id"), "file_id", "left_semi").join(keys, place, "left_anti")
+    tokens = F.concat(F.transform("classes", lambda c: F.struct(F.lit("class").alias("kind"), c.alias("token"))), F.array(F.struct(F.lit("id").alias("kind"), F.coalesce("id", F.lit("")).alias("token"))))
+    controls = of_project(t, t.nodes.filter(interactive()).select("file_id", F.explode(tokens).alias("x"))).select("project", "x.kind", "x.token").distinct()
+    lone = clicks.join(controls, place, "left_anti").select("file_id", "line", "col", F.concat(F.lit("A script handles clicks on "), F.when(F.col("kind") == "id", "#").otherwise("."), "token", F.lit(" and no keys.")).alias("message"))
+    return own.unionByName(lone)
+
+
 @rule("keyboard/interactive-div-role-missing", "4.1.2 2.1.1", "warning")
 def scripted_elements(t: Tables) -> DataFrame:
     rows = selected(t, clicked(t)).filter(~interactive() & ~tag("label", "option", "summary") & ~has("tabindex") & ~named())

@@ -131,7 +131,7 @@ def parse(source: str) -> tuple[list[dict], str]:
 
 
 def own_text(node: dict, whole: str) -> str:
-    if node["tag"] == "style":
+    if node["tag"] in ("style", "script"):
         return node.get("raw", "")
     text = node["text"]
     return whole[slice(*text)].strip() if isinstance(text, tuple) else text
