@@ -228,8 +228,9 @@ def colour_classes(t: Tables) -> DataFrame:
 def one_name(t: Tables) -> DataFrame:
     key = F.coalesce(F.nullif(attr("data-testid"), F.lit("")), F.nullif(attr("aria-label"), F.lit("")))
     rows = t.nodes.filter(interactive()).withColumn("key", key).filter("key is not null").withColumn("said", phrase(F.col("text"))).filter("said <> ''")
-    several = rows.groupBy("key").agg(F.min("said").alias("a"), F.max("said").alias("b")).filter("a <> b").select("key")
-    return places(rows.join(several, "key"))
+    rows = of_project(t, rows)
+    several = rows.groupBy("project", "key").agg(F.min("said").alias("a"), F.max("said").alias("b")).filter("a <> b").select("project", "key")
+    return places(rows.join(several, ["project", "key"]))
 
 
 @finder("review/consistent-navigation", "3.2.3", "Is the order of navigation the same on all pages?")
@@ -237,8 +238,9 @@ def one_order(t: Tables) -> DataFrame:
     rows = inside(t, t.nodes.filter(tag("a") & has("href")).withColumn("href", attr("href")), tag("nav"))
     navs = rows.groupBy("file_id", "above").agg(F.array_sort(F.collect_list(F.struct("node_id", "href"))).alias("found"), F.first("above_line").alias("line"), F.first("above_col").alias("col"))
     navs = navs.withColumn("order", F.array_join(F.transform("found", lambda x: x["href"]), "\n")).withColumn("key", F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["href"]))), "\n"))
-    several = navs.groupBy("key").agg(F.min("order").alias("a"), F.max("order").alias("b")).filter("a <> b").select("key")
-    return places(navs.join(several, "key"))
+    navs = of_project(t, navs)
+    several = navs.groupBy("project", "key").agg(F.min("order").alias("a"), F.max("order").alias("b")).filter("a <> b").select("project", "key")
+    return places(navs.join(several, ["project", "key"]))
 
 
 def clicked(t: Tables) -> DataFrame:

@@ -20,7 +20,7 @@ from ..streaming.watch import counts_by_window
 from . import standards
 from .audit import audit, pages_as_files, tables
 from .cases import CASES
-from . import scope_queries
+from . import feature_queries, scope_queries
 from .switches import FINDER_CASES, counted, oracle
 
 
@@ -212,5 +212,7 @@ ORACLE_SQL: dict[str, str] = {
 ORACLE_SQL |= {"finder_" + r.replace("/", "_").replace("-", "_"): oracle(c) for r, c in sorted(FINDER_CASES.items())}
 QUERIES |= scope_queries.QUERIES
 ORACLE_SQL |= scope_queries.ORACLE_SQL
+QUERIES |= feature_queries.QUERIES
+ORACLE_SQL |= feature_queries.ORACLE_SQL
 
 assert set(CASES) <= set(RULES)

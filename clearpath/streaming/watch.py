@@ -8,10 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.registry import RULES
 from ..plans.audit import audit, pages_as_files, tables
-
-
-#: Rules that need a whole project.
-CROSS_FILE = ["aria/live-region-missing-on-innerhtml-target", "keyboard/interactive-div-role-missing"]
+from ..plans.incremental import CROSS_FILE
 
 
 def watch_pages(spark: SparkSession, folder: str, out: str, checkpoint: str, per_batch: int = 1000) -> StreamingQuery:
