@@ -68,6 +68,17 @@ def text_key(text: Column | str) -> Column:
     return F.md5(F.coalesce(text, F.lit("")))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores more as no column of that name takes."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def hash_sample(rows: DataFrame, key: str, by: str, limit: int) -> DataFrame:
     """``rows`` with the ``limit`` smallest ``key`` (lower-case hex of a uniform hash, no
     two alike) of each value of ``by``; null is no value. A share of the keys that holds

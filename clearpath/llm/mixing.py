@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, unused
 
 SEED, BLOCK_TOKENS, ENTROPY_SHARE, MAX_REPETITION = "mix-1", 1_000_000, 0.95, 4.0
 BUCKET_ROWS, PASSES, STEPS = 4096, 10, 4
@@ -111,16 +111,18 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     within each output partition. The stream is planned on slim rows; texts are shuffled
     once, by a key of the row, so every partition is a random share of each block. Rows
     of equal id, source and length are told apart by their rank. Extra columns may have any
-    name: a document travels as one column beside the internal ones."""
-    key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("source", F.lit("-")), tokens("text").cast("string"))
-    keyed = documents.select(F.struct(*documents.columns).alias("row"), "doc_id", "source", "text", key.alias("_mix_key"))
-    ranked = lambda d, *order: d.withColumn("_mix_rank", F.row_number().over(Window.partitionBy("_mix_key").orderBy(*order)))
-    slim = materialize(ranked(keyed.select("doc_id", "source", tokens("text").alias("_mix_length"), "_mix_key"), "doc_id"), "mix-rows")
-    plan = mix(slim, n_tokens="_mix_length", **options).select(F.col("_mix_key").alias("_mix_plan"), F.col("_mix_rank").alias("_mix_at"), "_mix_block", "_mix_position")
+    name: internal ones get names that are not taken."""
+    named = unused(documents.columns, "_mix_key", "_mix_rank", "_mix_plan", "_mix_at", "_mix_block", "_mix_position")
+    key, rank, plan_key, plan_rank, block, position = named
+    made = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("source", F.lit("-")), tokens("text").cast("string"))
+    keyed = documents.withColumn(key, made)
+    ranked = lambda d, *order: d.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    slim = materialize(ranked(keyed.select("doc_id", "source", tokens("text").alias("_mix_length"), key), "doc_id"), "mix-rows")
+    plan = mix(slim, n_tokens="_mix_length", **options).select(F.col(key).alias(plan_key), F.col(rank).alias(plan_rank), F.col("_mix_block").alias(block), F.col("_mix_position").alias(position))
     rows = ranked(keyed, "text")
     # The rank is compared besides the key, not as a part of it: texts keep the partitioning that ranked them.
-    out = rows.join(plan, (F.col("_mix_key") == F.col("_mix_plan")) & (F.col("_mix_rank") <= F.col("_mix_at")) & (F.col("_mix_rank") >= F.col("_mix_at")))
-    return out.sortWithinPartitions("_mix_block", "_mix_position").select("row.*")
+    out = rows.join(plan, (F.col(key) == F.col(plan_key)) & (F.col(rank) <= F.col(plan_rank)) & (F.col(rank) >= F.col(plan_rank)))
+    return out.sortWithinPartitions(block, position).select(*documents.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

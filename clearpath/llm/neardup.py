@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_tables, slices, table, text_key
+from .common import materialize, scratch_tables, slices, table, text_key, unused
 from .components import connected_components
 from .shingles import SKETCH_LONGS, band_rows, bands, intersections, minhash, odd_sketch, set_key, shingle_sets, sketch_limit
 
@@ -248,8 +248,8 @@ def drop_near_duplicates(documents: DataFrame, measures: tuple[tuple[int, int],
     after the other, each on what the ones before left; the scratch tables of one go
     before the next. A decision is about an id and a text (null ids too), so another text
     under the same id has its own, and of rows equal in id and text one stays. Empty texts
-    are no copies, unless they have one id. Extra columns may have any name: a row travels as
-    one column beside the internal ones."""
+    are no copies, unless they have one id. Extra columns may have any name: internal ones
+    get names that are not taken."""
     spark, gone = documents.sparkSession, None
     for size, percent in measures:
         with scratch_tables(spark):
@@ -257,8 +257,11 @@ def drop_near_duplicates(documents: DataFrame, measures: tuple[tuple[int, int],
             rows = rows.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
             gone = materialize(rows if gone is None else rows.unionByName(gone), "gone", keep=True)
     # The anti-join leaves rows by id and text, so the last step needs no shuffle of its own.
-    rows = documents.select(F.struct(*documents.columns).alias("row"), "doc_id", text_key("text").alias("text_key"), F.col("text").isNull().alias("no_text"))
-    return without(rows, gone).dropDuplicates(["doc_id", "text_key", "no_text"]).select("row.*")
+    key, none, gone_id, gone_key = unused(documents.columns, "_text_key", "_no_text", "_gone_id", "_gone_key")
+    rows = documents.withColumns({key: text_key("text"), none: F.col("text").isNull()})
+    gone = gone.toDF(gone_id, gone_key)
+    left = rows.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key)), "left_anti")
+    return left.dropDuplicates(["doc_id", key, none]).select(*documents.columns)
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
