@@ -2,28 +2,50 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import finding_id
+from ..sources.dialects import SHEETS
 from ..sources.lines import line_finder
+from ..sources.scripts import SCRIPTS, tokens
 
 # Of findings at one place, the first rule takes in the second.
 CO_FIRE = [("forms/placeholder-as-label", "forms/value-as-label"), ("navigation/href-empty-fragment", "navigation/link-descriptive-text")]
 SEVERITY = {"error": 1, "warning": 2, "info": 3}
 
-_PRAGMA = re.compile(r"a11y-(disable-next-line|disable-line|disable|enable)\b([^\n]*?)(?:-->|\*/|$)", re.M)
+_PRAGMA = re.compile(r"a11y-(disable-next-line|disable-line|disable|enable)\b([^\n]*?)(?:-->|\*/|#\}|%>|\}\}|$)", re.M)
 
 
-def pragma_lines(source: str) -> list[tuple[int, str]]:
+#: What a comment is, in scripts, style sheets and markup (with templates and scripts in it).
+_IN_SHEETS = re.compile(r"/\*.*?(?:\*/|\Z)|(?<![:\w])//[^\n]*", re.S)
+_IN_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|/\*.*?(?:\*/|\Z)|\{#.*?#\}|<%#.*?%>|\{\{!.*?\}\}|^[ \t]*//[^\n]*", re.S | re.M)
+
+
+def marks(source: str, ext: str = "html") -> list[re.Match]:
+    """The marks that stand in comments; in strings and prose they are text."""
+    if ext in SCRIPTS:
+        spans = [(a, z) for a, z, kind, _ in tokens(source) if kind == "comment"]
+        # Comments between elements of JSX are not told from text by tokens alone.
+        spans += [m.span() for m in re.finditer(r"\{/\*.*?\*/\}", source, re.S)] if ext in ("jsx", "tsx") else []
+    else:
+        spans = [m.span() for m in (_IN_SHEETS if ext in SHEETS else _IN_MARKUP).finditer(source)]
+    spans.sort()
+    starts = [a for a, _ in spans]
+    inside = lambda at: (i := bisect.bisect_right(starts, at) - 1) >= 0 and at < max(z for _, z in spans[max(0, i - 1) : i + 1])
+    return [m for m in _PRAGMA.finditer(source) if inside(m.start())]
+
+
+def pragma_lines(source: str, ext: str = "html") -> list[tuple[int, str]]:
     """(line, rule or *) that comments switch off. A region begins on the line after its
     mark; the end mark ends the latest region, and its own line is still off."""
     out, open_ = [], []
     total, line_of = source.count("\n") + 1, line_finder(source)
-    for m in _PRAGMA.finditer(source):
+    for m in marks(source, ext):
         line = line_of(m.start())
         rules = re.split(r"--|:(?!\d)", m[2])[0].replace(",", " ").split() or ["*"]
         if m[1] == "disable-line":
@@ -40,6 +62,10 @@ def pragma_lines(source: str) -> list[tuple[int, str]]:
     return out
 
 
+def _extension(files: DataFrame) -> Column:
+    return (F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)) if "path" in files.columns else F.lit("html")).alias("ext")
+
+
 def pragma_reasons(files: DataFrame) -> DataFrame:
     """file_id, line and reason (null: none given) of every comment that switches something off."""
     schema = pa.schema([("file_id", pa.int64()), ("line", pa.int32()), ("reason", pa.string())])
@@ -47,15 +73,15 @@ def pragma_reasons(files: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for file_id, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for file_id, source, ext in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 line_of = line_finder(source)
-                for m in _PRAGMA.finditer(source):
+                for m in marks(source, ext):
                     if m[1] != "enable":
                         said = re.split(r"--|:(?!\d)", m[2], maxsplit=1)
                         rows.append({"file_id": file_id, "line": line_of(m.start()), "reason": said[1].strip() or None if len(said) > 1 else None})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.filter(F.contains("source", F.lit("a11y-"))).select("file_id", "source").mapInArrow(run, "file_id long, line int, reason string")
+    return files.filter(F.contains("source", F.lit("a11y-"))).select("file_id", "source", _extension(files)).mapInArrow(run, "file_id long, line int, reason string")
 
 
 def pragmas(files: DataFrame) -> DataFrame:
@@ -64,10 +90,10 @@ def pragmas(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [(f, *x) for f, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in pragma_lines(s or "")]
+            rows = [(f, *x) for f, s, e in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in pragma_lines(s or "", e)]
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
 
-    return files.filter(F.contains("source", F.lit("a11y-"))).select("file_id", "source").mapInArrow(run, "file_id long, line int, token string")
+    return files.filter(F.contains("source", F.lit("a11y-"))).select("file_id", "source", _extension(files)).mapInArrow(run, "file_id long, line int, token string")
 
 
 def suppress(findings: DataFrame, files: DataFrame) -> DataFrame:

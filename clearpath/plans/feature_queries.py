@@ -13,6 +13,8 @@ from ..operators.cascade import cascaded, text_contrast
 from ..operators.processes import changed_along, of_processes
 from ..operators.registry import run_rules
 from ..operators.scripts import dom_actions
+from ..operators.findings import pragmas
+from ..sources.html import read_errors
 from .audit import pages_as_files, tables
 from .switches import Case, counted, files, one, oracle, two, when
 
@@ -80,3 +82,13 @@ QUERIES |= {"sql_elements": sql_elements, "sql_findings": sql_findings}
 ORACLE_SQL["sql_elements"] = "SELECT page_id, count(*) AS links, max(len(trim(t)))::INT AS longest FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*>([^<]*)</a>', 1)) AS t FROM pages) GROUP BY page_id"
 ORACLE_SQL["sql_findings"] = """SELECT 'semantics/landmark-main' AS rule_id, count(*) AS findings FROM pages WHERE html LIKE '%<nav%' AND html NOT LIKE '%<main%' HAVING count(*) > 0
     UNION ALL SELECT 'navigation/skip-link', count(*) FROM pages WHERE len(regexp_extract_all(html, '<a ')) >= 2 AND html NOT LIKE '%href="#%' HAVING count(*) > 0"""
+
+# ---- what readers get over, and where comments are comments -----------------------------
+switched(
+    "parse_errors", one("html", "<div>{a}<h2 {d}>x{b}</h2>{c}</div>", when("a = '</i>'") + " + " + when("b = '</u>'") + " + " + when("c IN ('<!-- x', '<script>y')", 2) + " + " + when("c = '<em>'", 3) + " + " + when("d LIKE '%id%id%'"), a=["", "</i>", "<b>y</b>", "<code></i></code>"], b=["", "</u>"], c=["", "<!-- x", "<script>y", "<em>"], d=["id=a", "id=a id=b"]),
+    read_errors,
+)
+switched(
+    "pragma_carriers", one("js", "{a} a11y-disable-line media/alt-text-missing {z}\n", when("a IN ('//', 'x(); //', '/*', '`${x}` /*')"), a=["//", "x(); //", "/*", "`${x}` /*", "'//", "`/*", "/[/*]/.test('"], z=["*/ `'"]),
+    lambda f: pragmas(f),
+)

@@ -4,7 +4,9 @@ A tolerant reader turns each page's source into one row an element; everything a
 that is DataFrame work. Spark partitions the pages; a task reads one page at a time.
 An unclosed element stays open to the end of what holds it; a closing tag closes the
 innermost open element (elements whose end may be left out give way) and is ignored if
-that has another name; raw-text elements hide their content from the reader. Elements
+that has another name; raw-text elements hide their content from the reader, and what
+stands in code and pre elements is text, tags and all, as pages show examples there. A second
+output of the reader is what it had to get over (``read_errors``). Elements
 nest ``DEPTH`` deep, so a page's rows grow with its size, not with its square.
 """
 
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .dialects import markup
+from .lines import line_finder
 
 # HTML's void and raw-text elements, and which open elements a start tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -28,6 +31,9 @@ CLOSED_BY = {
     "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"},
 }
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select", "datalist"}, "optgroup": {"select"}} | {t: {"table"} for t in ("tr", "td", "th", "tbody", "tfoot")}
+OPAQUE = frozenset(("code", "pre"))
+#: Elements that no one misses the end of, besides those below.
+OUTER = frozenset(("html", "head", "body"))
 END_MAY_MISS = frozenset("li dt dd p option optgroup tr td th thead tbody tfoot".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
@@ -59,10 +65,22 @@ def attributes(source: str) -> tuple[dict[str, str], list[str]]:
     return values, names
 
 
-def parse(source: str) -> tuple[list[dict], str]:
+def opaque_end(source: str, at: int, tag: str) -> tuple[int, int] | None:
+    """Start and stop of the end tag that closes ``tag``, ends of such tags inside apart."""
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I).finditer(source, at):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return m.start(), m.end()
+    return None
+
+
+def parse(source: str, opaque: bool = True, errors: list | None = None) -> tuple[list[dict], str]:
     """Elements in document order, and the text of the whole source; an element's text is
-    a span of it, or a string of its own."""
+    a span of it, or a string of its own. ``errors`` gets (code, place, whether reading
+    went on after it)."""
     nodes: list[dict] = []
+    told = errors if errors is not None else []
     open_: list[dict] = []
     text: list[str] = []
     length, roots = 0, 0
@@ -83,6 +101,8 @@ def parse(source: str) -> tuple[list[dict], str]:
         say(entities.unescape(source[at : m.start()]))
         at = m.end()
         if m[2] is None:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                told.append(("unterminated-comment", m.start(), False))
             continue
         tag = m[2].lower()
         if m[1]:
@@ -91,6 +111,8 @@ def parse(source: str) -> tuple[list[dict], str]:
                 i -= 1
             if i >= 0 and open_[i]["tag"] == tag:
                 close(i)
+            elif tag not in VOID and tag != "p":  # browsers make a paragraph of </p>
+                told.append(("stray-end-tag", m.start(), True))
             continue
         closes = CLOSED_BY.get(tag, {"p"} if tag in ENDS_P else set())
         for i in range(len(open_) - 1, -1, -1):
@@ -102,6 +124,8 @@ def parse(source: str) -> tuple[list[dict], str]:
                 break
         close(min(len(open_), DEPTH))
         values, names = attributes(m[3])
+        if len(values) < len(names):
+            told.append(("duplicate-attribute", m.start(), True))
         parent = open_[-1] if open_ else None
         line = bisect.bisect_right(lines, m.start())
         octets += len(source[counted : m.end()].encode("utf-8", "surrogatepass"))
@@ -120,12 +144,22 @@ def parse(source: str) -> tuple[list[dict], str]:
         elif tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>|\Z", re.I).search(source, at)
             inner = source[at : end.start()]
+            if end.start() == end.end():
+                told.append(("unterminated-raw-text", m.start(), False))
             node["text"] = inner if tag in ("title", "textarea") else ""
             node["raw"] = inner
             at = end.end()
+        elif opaque and tag in OPAQUE:
+            end = opaque_end(source, at, tag)
+            if end is None:
+                told.append(("unterminated-raw-text", m.start(), False))
+            stop, behind = end or (len(source), len(source))
+            say(entities.unescape(source[at:stop]))
+            node["text"], at = (node["text"], length), behind
         else:
             open_.append(node)
     say(entities.unescape(source[at:]))
+    told += [("unclosed-element", n["start"], True) for n in open_ if n["tag"] not in END_MAY_MISS | OUTER]
     close(0)
     return nodes, "".join(text)
 
@@ -158,7 +192,7 @@ def _parse(batches):
 
     for batch in batches:
         for file_id, source, dialect in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            nodes, whole = parse(markup(source or "", dialect))
+            nodes, whole = parse(markup(source or "", dialect), dialect not in ("jsx", "mdx"))
             for n in nodes:
                 n["text"], n["file_id"], n["attrs"] = own_text(n, whole), file_id, list(n["attrs"].items())
                 for column, name in zip(columns, names, strict=True):
@@ -184,3 +218,26 @@ def read_elements(files: DataFrame) -> DataFrame:
         "id": attr("id"),
         "given_name": F.coalesce(F.nullif(F.trim(attr("aria-label")), F.lit("")), F.nullif(F.trim(attr("aria-labelledby")), F.lit("")), F.nullif(F.trim(attr("title")), F.lit(""))),
     })
+
+
+ERRORS = pa.schema([("file_id", pa.int64()), ("code", pa.string()), ("line", pa.int32()), ("col", pa.int32()), ("recoverable", pa.bool_())])
+
+
+def read_errors(files: DataFrame) -> DataFrame:
+    """file_id, code, line, col and recoverable of what the reader had to get over: stray end
+    tags, elements without their end, attributes given twice (after these it went on as if
+    nothing were); comments and raw text without an end (these hide the rest)."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for file_id, source, dialect in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text, errors = markup(source or "", dialect), []
+                parse(text, dialect not in ("jsx", "mdx"), errors)
+                line_of = line_finder(text)
+                rows += [(file_id, code, line_of(at), at - text.rfind("\n", 0, at), on) for code, at, on in errors]
+            columns = zip(*rows, strict=True) if rows else [()] * len(ERRORS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ERRORS, strict=True)], schema=ERRORS)
+
+    dialect = F.col("dialect") if "dialect" in files.columns else F.lit("")
+    return files.select("file_id", "source", dialect.alias("dialect")).mapInArrow(run, "file_id long, code string, line int, col int, recoverable boolean")

@@ -72,3 +72,28 @@ def test_inline_markup_of_any_length(spark):
     rows = [(1, "a.js", f"const a = `{long}`;\nconst b = '<i>q</i>' + \"no markup\" + \"a < b\";\nconst c = 'cut\n';"), (2, "b.js", None), (3, "c.html", "`<b>`"), (4, "d.ts", 'const e = "<a href=\\"/x\\">t</a>";')]
     got = sorted((r.file_id, r.first_line, r.source) for r in inline_markup(spark.createDataFrame(rows, "file_id long, path string, source string")).collect())
     assert got == [(1, 1, long), (1, 2, "<i>q</i>"), (4, 1, '<a href=\\"/x\\">t</a>')]
+
+
+def test_examples_are_text_and_errors_are_rows(spark):
+    from clearpath.sources.html import elements, read_errors
+
+    tags = lambda x: [n["tag"] for n in elements(x)]
+    assert tags("<pre><code><a href=/x>y</a></code></pre><b>z</b>") == ["pre", "b"]
+    assert elements("<code>a &lt; <i>b</code>c")[0]["text"] == "a < <i>b"
+    assert elements("<p>x <code>y <b>z</b></code></p>")[0]["text"] == "x y <b>z</b>"
+    assert tags("<pre><preview><pre></pre>x</pre><i>y</i>") == ["pre", "i"] and tags("<code><b>") == ["code"]
+    rows = [(1, "<ul><li>a<li>b</ul><p>c<table><tr><td>d</table>"), (2, "<b>\n</i><a x=1 x=2>"), (3, "<p>\n<!-- "), (4, "<title>x"), (5, None), (6, "<html><body>")]
+    got = sorted((r.file_id, r.code, r.line, r.col, r.recoverable) for r in read_errors(spark.createDataFrame(rows, "file_id long, source string")).collect())
+    assert got == [
+        (2, "duplicate-attribute", 2, 5, True), (2, "stray-end-tag", 2, 1, True), (2, "unclosed-element", 1, 1, True), (2, "unclosed-element", 2, 5, True), (3, "unterminated-comment", 2, 1, False), (4, "unterminated-raw-text", 1, 1, False),
+    ]
+
+
+def test_marks_in_strings_switch_nothing_off():
+    from clearpath.operators.findings import pragma_lines
+
+    mark = "a11y-disable-line r/x"
+    assert pragma_lines(f"// {mark}\nx('{mark}')\n`{mark}`\n/* {mark} */", "ts") == [(1, "r/x"), (4, "r/x")]
+    assert pragma_lines(f"<p>{{/* {mark} */}}</p>\n<p>{mark}</p>", "tsx") == [(1, "r/x")]
+    assert pragma_lines(f"<!-- {mark} -->\n<p title='{mark}'>{mark}</p>\n{{# {mark} #}}") == [(1, "r/x"), (3, "r/x")]
+    assert pragma_lines(f"/* {mark} */\na {{ content: '{mark}' }}\n// {mark}", "scss") == [(1, "r/x"), (3, "r/x")]
