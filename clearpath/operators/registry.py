@@ -147,26 +147,55 @@ class Hits:
         return hit.selectExpr("file_id", "hit.line as line", "col", column(k[0].id for k in self.known) + " as rule_id", f"coalesce(hit.severity, {column(k[2] for k in self.known)}) as severity", f"coalesce(hit.message, {column(k[1] for k in self.known)}) as message")
 
 
+_compiled: dict[tuple, tuple] = {}
+
+
+def _once(t: Tables, kind: str, rules: list[Rule], make: Callable[[], tuple]) -> tuple:
+    """What ``make`` builds of rules, kept for the next run of the same rules (as of a
+    stream's next batch): columns belong to no table. The last few sets are kept."""
+    key = (kind, t.files.sparkSession.sparkContext.applicationId, *map(id, rules))
+    if key not in _compiled:
+        while len(_compiled) >= 12:
+            del _compiled[next(iter(_compiled))]
+        _compiled[key] = (rules, *make())  # the rules live as long as their ids stand for them
+    return _compiled[key][1:]
+
+
 def _of_elements(t: Tables, rules: list[Rule]) -> DataFrame:
+    (hits,) = _once(t, "element", rules, lambda: (_element_hits(rules),))
+    return hits.found(t.nodes)
+
+
+def _element_hits(rules: list[Rule]) -> Hits:
     hits = Hits()
     for r in rules:
         if getattr(r.message, "many", False):
             hits.each(r, r.element(), r.message(), lambda m: m, lambda m: F.col("line"))
         else:
             hits.add(r, r.element(), r.message if isinstance(r.message, str) else r.message(), r.own_severity() if r.own_severity else None)
-    return hits.found(t.nodes)
+    return hits
 
 
 def _of_places(t: Tables, rules: list[Rule]) -> DataFrame:
+    place, hits = _once(t, "place", rules, lambda: _place_hits(rules))
+    return hits.found(placed(t.nodes, t.files, place))
+
+
+def _place_hits(rules: list[Rule]) -> tuple[Place, Hits]:
     place, hits, kinds = Place(), Hits(), {}
     for r in rules:
         for h in r.place(place):
             kind = kinds.setdefault(h.on, F.expr(f"mention.kind = '{h.on}'"))
             hits.add(r, kind & h.when, h.message, h.severity)
-    return hits.found(placed(t.nodes, t.files, place))
+    return place, hits
 
 
 def of_sheets(t: Tables, rules: list[Rule]) -> DataFrame:
+    sheet, hits = _once(t, "sheet", rules, lambda: _sheet_hits(rules))
+    return hits.found(sheet.rows(t.once("sheet rules", lambda: sheet_rows(t.css))).withColumn("col", F.lit(1)))
+
+
+def _sheet_hits(rules: list[Rule]) -> tuple[Sheet, Hits]:
     sheet, hits = Sheet(), Hits()
     for r in rules:
         for h in r.sheet(sheet):
@@ -174,7 +203,7 @@ def of_sheets(t: Tables, rules: list[Rule]) -> DataFrame:
                 hits.each(r, h.when, h.message, lambda x: x["message"], lambda x: x["line"])
             else:
                 hits.add(r, h.when, h.message, h.severity)
-    return hits.found(sheet.rows(t.once("sheet rules", lambda: sheet_rows(t.css))).withColumn("col", F.lit(1)))
+    return sheet, hits
 
 
 def _of_python(t: Tables, rules: list[Rule]) -> DataFrame:

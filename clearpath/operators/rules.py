@@ -3,12 +3,15 @@ element's place in its page (``tree``) or on a style rule and its file (``sheets
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import contrast, points
 from ..functions.text import phrase
-from .registry import Tables, element_rule, many, place_rule, rule, sheet_rule
+from ..sources.fragments import utility_declarations
+from .registry import RULES, Tables, element_rule, many, place_rule, rule, sheet_rule
 from .sheets import Sheet, each, sheet_rows
 from .tree import Hit, Place, mention, none, tokens
 
@@ -131,7 +134,6 @@ for args in [
     ("forms/aria-invalid-missing", "1.4.1 4.1.3", "error", lambda: tag("input", "select", "textarea") & F.array_contains("classes", "is-invalid") & ~lower("aria-invalid").rlike(r"^(true|grammar|spelling|\{.*)$") & (lower("type") != "hidden"), "A field looks invalid but does not say so."),
     ("forms/autocomplete-missing", "1.3.5", "warning", lambda: tag("input") & ~has("autocomplete") & (lower("type").isin(*AUTOCOMPLETE_TYPES) | (lower("type").isin("", "text") & (lower("name").rlike(AUTOCOMPLETE_NAMES) | lower("id").rlike(AUTOCOMPLETE_NAMES)))), "A field for personal data has no autocomplete."),
     ("keyboard/anchor-button-not-focusable", "2.1.1 4.1.2", "error", lambda: tag("a") & (roles("button") | some_class("^(btn|button)$")) & ~has("href") & ~F.coalesce(number("tabindex") >= 0, F.lit(False)), "A link made a button cannot get focus."),
-    ("media/alt-text-missing", "1.1.1", "error", lambda: ((tag("img") | (tag("input") & (lower("type") == "image")) | (roles("img") & ~tag("svg"))) & ~has("alt") & ~named() & ~presentational()) | (tag("canvas") & blank(F.col("text")) & ~named() & ~presentational()), "An image has no text alternative."),
     ("media/audio-video-no-controls", "1.4.2 2.1.1", "warning", lambda: tag("audio", "video") & ~has("controls"), "Audio or video without controls."),
     ("media/autoplay-sound", "1.4.2", "error", lambda: tag("audio", "video") & has("autoplay") & ~has("muted") & ~has("controls"), "Sound starts by itself and cannot be stopped."),
     ("navigation/href-empty-fragment", "4.1.2 2.1.1", "error", lambda: tag("a") & has("href") & F.trim(attr("href")).isin("", "#"), "A link leads nowhere."),
@@ -147,8 +149,8 @@ for args in [
     ("semantics/heading-class-on-nonheading", "1.3.1", "warning", lambda: some_class("^(h[1-6]|display-[1-6])$") & ~tag(*HEADINGS) & ~(roles("heading") & has("aria-level")), "Text looks like a heading and is none."),
     ("semantics/label-in-name", "2.5.3", "error", lambda: interactive() & ~blank(attr("aria-label")) & ~blank(F.col("text")) & ~tag("select") & ~F.contains(F.lower(F.regexp_replace(attr("aria-label"), r"\s+", " ")), F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))), "The name does not hold the visible text.", "guidance"),
     ("semantics/visual-disabled-non-control", "4.1.2", "warning", lambda: (tag("div", "span", "li") | (tag("a") & ~has("href"))) & (F.array_contains("classes", "disabled") | lower("style").rlike("cursor:\\s*not-allowed|pointer-events:\\s*none")) & ~has("aria-disabled") & ~roles(*INTERACTIVE_ROLES), "It looks disabled but does not say so."),
-    ("aria/expanded-on-disclosure", "4.1.2", "warning", lambda: (lower("data-toggle").isin("collapse", "dropdown", "accordion", "offcanvas") | lower("data-bs-toggle").isin("collapse", "dropdown", "accordion", "offcanvas")) & (~has("aria-expanded") | (~has("aria-controls") & ~has("data-bs-target") & ~has("data-target") & ~F.coalesce(attr("href").rlike("^#."), F.lit(False)))) | ((tag("button", "a") | roles("button")) & has("aria-controls") & ~has("aria-expanded") & ~roles("tab") & ~has("data-bs-toggle") & ~has("data-toggle") & ~has("aria-haspopup")), "A control that opens content does not say whether it is open."),
-    ("aria/role-from-class-only", "1.3.3 1.4.1 4.1.2", "warning", lambda: some_class("^(alert|callout|admonition)(-|$)") & F.col("role").isNull() & ~F.col("text").rlike("(?i)^(warning|error|danger|note|info|success|tip|caution|important)"), "Only a class says what kind of message this is."),
+    ("aria/expanded-on-disclosure", "4.1.2", "warning", lambda: (lower("data-toggle").isin("collapse", "dropdown", "accordion", "offcanvas") | lower("data-bs-toggle").isin("collapse", "dropdown", "accordion", "offcanvas")) & (~has("aria-expanded") | (~has("aria-controls") & ~has("data-bs-target") & ~has("data-target") & ~F.coalesce(attr("href").rlike("^#."), F.lit(False)))) | ((tag("button", "a") | roles("button")) & has("aria-controls") & ~has("aria-expanded") & ~roles("tab") & ~has("data-bs-toggle") & ~has("data-toggle") & ~has("aria-haspopup")) | ((tag("button") | roles("button")) & lower("onclick").rlike(r"classlist\s*\.\s*toggle\(") & ~has("aria-expanded")), "A control that opens content does not say whether it is open."),
+    ("aria/role-from-class-only", "1.3.3 1.4.1 4.1.2", "warning", lambda: (some_class("^(alert|callout|admonition)(-|$)") | (some_class("^(note|notice|message|box)$") & some_class("^(warning|danger|error|caution|important|tip|success|info)$"))) & F.col("role").isNull() & ~F.col("text").rlike("(?i)^(warning|error|danger|note|info|success|tip|caution|important)"), "Only a class says what kind of message this is."),
     ("forms/select-onchange-context-change", "3.2.2", "error", lambda: tag("select") & lower("onchange").rlike(r"location|submit\(|window\.open|navigate"), "Choosing an option leaves the page.", "guidance"),
     ("tooltip/dismissable", "1.4.13", "warning", lambda: ~blank(attr("title")) & interactive() & (~blank(F.col("text")) | has("aria-label")) & (F.trim(attr("title")) != F.trim("text")), "A title tooltip cannot be dismissed.", "runtime-only"),
 ]:
@@ -406,8 +408,10 @@ def link_text(p: Place) -> list[Hit]:
     link = tag("a") & has("href")
     silent = p.is_("silent-link", link & (link_name() == "") & F.col("given_name").isNull())
     generic = p.is_("generic-link", link & link_name().isin(*GENERIC))
+    # The text of an icon font is a glyph's name: it is drawn, not read.
+    ligature = p.is_("ligature-link", link & F.col("given_name").isNull() & F.trim("text").rlike("^[a-z0-9_]+$")) & (p.below("ligature", some_class("^material-(icons|symbols)") & F.trim("text").rlike("^[a-z0-9_]+$") & ~hidden()) > 0)
     return [
-        Hit(silent & (p.below("alt", pictured()) == 0), "A link has no text."),
+        Hit((silent | ligature) & (p.below("alt", pictured()) == 0), "A link has no text."),
         Hit(generic, F.concat(F.lit("A link's text says nothing: "), p.value("link-name", F.when(link & link_name().isin(*GENERIC), link_name())))),
     ]
 
@@ -519,6 +523,14 @@ def header_scopes(p: Place) -> list[Hit]:
     return [Hit(bare & F.col("nearest_table").isNotNull() & (widest >= 2) & (rows >= 2), "A header cell does not say what it heads.")]
 
 
+@place_rule("media/alt-text-missing", "1.1.1", "error")
+def without_alternative(p: Place) -> list[Hit]:
+    picture = (tag("img") | (tag("input") & (lower("type") == "image")) | (roles("img") & ~tag("svg"))) & ~has("alt")
+    bare = (picture | (tag("canvas") & blank(F.col("text")))) & ~named() & ~presentational()
+    drawing = p.is_("bare-svg", tag("svg") & ~presentational() & ~named()) & (p.below("image", tag("image")) > 0) & ~p.child("title-text", text_of(tag("title")))
+    return [Hit(p.is_("bare-picture", bare) | drawing, "An image has no text alternative.")]
+
+
 @place_rule("media/img-empty-alt-in-clickable-group", "1.1.1 4.1.2", "warning")
 def silent_pictures(p: Place) -> list[Hit]:
     silent = ((tag("a") & has("href")) | tag("button")) & blank(F.col("text")) & ~named()
@@ -541,7 +553,11 @@ def starred_labels(p: Place) -> list[Hit]:
 def drag_only(p: Place) -> list[Hit]:
     drags = p.is_("drags", (lower("draggable") == "true") | any_of(["ondragstart", "ondrag", "ondragend"]))
     other = p.is_("handled", any_of([CLICK, *KEY_HANDLERS]))
-    return [Hit(drags & (p.file("handled", F.count_if(other)) == 0), "Nothing but dragging does this.")]
+    # Components that a library makes draggable, and no button to do the same.
+    library = p.about("drag-library", F.col("source").rlike(r"(?m)\bfrom\s+['\"](@dnd-kit/\w+|react-dnd|react-beautiful-dnd|@hello-pangea/dnd|react-sortable-hoc|sortablejs)['\"]"))
+    buttons = p.file("buttons", F.count_if(p.is_("button", tag("button") | roles("button"))))
+    none = p.file("handled", F.count_if(other)) == 0
+    return [Hit(drags & none, "Nothing but dragging does this."), Hit(p.is_("first", F.col("node_id") == 0) & library & none & (buttons == 0) & (p.file("drags", F.count_if(drags)) == 0), "Nothing but dragging does this.")]
 
 
 @place_rule("pointer/stretched-link-multiple-in-container", "2.4.4", "error")
@@ -626,7 +642,9 @@ def contrast_enhanced(t: Tables) -> DataFrame:
 def contrast_parts(s: Sheet) -> list[Hit]:
     edge = F.coalesce(decl("border-color"), decl("outline-color"), decl("fill"), decl("stroke"))
     part = F.col("selector").rlike(r"(?i)button|input|select|textarea|\.btn|svg|icon") & ~F.col("selector").rlike("(?i)disabled|hidden")
-    return [Hit(part & (contrast(edge, F.coalesce(decl("background-color"), decl("background"))) < 3), "A control's edge is hard to see.")]
+    lined = edge.isNotNull() | F.coalesce(decl("border"), decl("outline")).rlike("#|rgb|hsl")
+    over = F.concat_ws(" ", decl("background"), decl("background-image")).rlike(r"(?i)url\(|gradient\(")
+    return [Hit(part & (contrast(edge, F.coalesce(decl("background-color"), decl("background"))) < 3), "A control's edge is hard to see."), Hit(part & lined & over, "A control's edge lies over a picture, contrast cannot be told.", "info")]
 
 
 @sheet_rule("layout/text-spacing", "1.4.12", "warning")
@@ -654,9 +672,11 @@ def orientation(s: Sheet) -> list[Hit]:
 
 @sheet_rule("layout/horizontal-scroll-no-keyboard", "2.1.1", "warning")
 def scroll_boxes(s: Sheet) -> list[Hit]:
-    """A box that scrolls sideways; one that the file shows when it has focus can have it."""
+    """A box that scrolls sideways and is no control, which gets focus by itself."""
+    subjects = F.transform(F.split("selector", ","), lambda x: F.regexp_extract(F.trim(x), r"([^\s>+~]+)$", 1))
+    control = lambda x: x.rlike(r"(?i)^(textarea|input|select|button|iframe|summary)\b|^a\[href|\[tabindex")
     scrolls = lambda d: d["property"].isin("overflow", "overflow-x") & F.lower(d["value"]).rlike("^(auto|scroll)")
-    return [Hit(some_decl(scrolls), "A scrolling box may not get focus.")]
+    return [Hit(some_decl(scrolls) & F.exists(subjects, lambda x: ~control(x)), "A scrolling box may not get focus.")]
 
 
 @sheet_rule("color/state-class-color-only", "1.4.1", "warning")
@@ -680,7 +700,7 @@ def obscured(s: Sheet) -> list[Hit]:
 @rule("keyboard/hover-only-no-focus-mirror", "1.4.13 2.1.1", "warning")
 def hover_only(t: Tables) -> DataFrame:
     shown = t.css.filter(F.col("property").isin("transform", "opacity", "visibility", "display")).withColumn("part", F.explode(F.split("selector", ",")))
-    plain = lambda pattern: F.trim(F.regexp_replace("part", pattern, ""))
+    plain = lambda pattern: F.trim(F.regexp_replace(F.regexp_replace("part", pattern, ""), r"\s+", " "))
     hover = shown.filter(F.col("part").contains(":hover")).select("file_id", "rule_id", "line", "property", plain(":hover").alias("host"))
     focus = shown.filter(F.col("part").rlike(":focus(-within|-visible)?")).select("file_id", "property", plain(":focus(-within|-visible)?").alias("host"))
     return style(t, hover.join(focus, ["file_id", "property", "host"], "left_anti").select("file_id", "rule_id", "line").distinct(), "It shows on hover and not on focus.")
@@ -698,6 +718,18 @@ def small_target(least: int) -> Column:
     return F.col("selector").rlike(r"(^|[\s,>])(button|a|input|select)\b|\.btn|\[role=.?button") & small & ~F.map_contains_key("decls", F.lit("padding"))
 
 
+def small_by_class(least: int):
+    """Controls that utility classes make too small; links in running text are exempt."""
+    def run(t: Tables) -> DataFrame:
+        control = (tag("button", "select") | (tag("a") & has("href")) | roles("button", "link")) & ~(tag("a") & F.coalesce(F.col("parent_tag").isin("p", "li", "span"), F.lit(False)))
+        sizes = utility_declarations(t.nodes.filter(control)).filter("variant is null and property in ('width', 'height', 'padding')")
+        px = F.regexp_extract("value", r"^([\d.]+)(px|rem)$", 1).try_cast("double") * F.when(F.col("value").endswith("rem"), 16).otherwise(1)
+        small = sizes.groupBy("file_id", "node_id").agg(F.bool_or((F.col("property") != "padding") & (px < least)).alias("small"), F.bool_or(F.col("property") == "padding").alias("padded")).filter("small and not padded")
+        return found(t.nodes.select("file_id", "node_id", "line", "col").join(small, ["file_id", "node_id"]), f"A target is smaller than {least} px.")
+
+    return run
+
+
 @sheet_rule("pointer/target-size", "2.5.8", "warning", "guidance")
 def target_minimum(s: Sheet) -> list[Hit]:
     return [Hit(small_target(24), "A target is smaller than 24 px.")]
@@ -706,3 +738,7 @@ def target_minimum(s: Sheet) -> list[Hit]:
 @sheet_rule("pointer/target-size-enhanced", "2.5.5", "warning", "guidance")
 def target_enhanced(s: Sheet) -> list[Hit]:
     return [Hit(small_target(44), "A target is smaller than 44 px.")]
+
+
+for id_, least in (("pointer/target-size", 24), ("pointer/target-size-enhanced", 44)):
+    RULES[id_] = replace(RULES[id_], find=small_by_class(least))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .registry import Tables
+from .scripts import of_project
 
 #: Rules whose findings stay at the definition.
 NOT_INHERITED = ["wrapper/drift", "internal/rule-crash"]
@@ -37,3 +38,36 @@ def inherited(t: Tables, findings: DataFrame, wrappers: DataFrame) -> DataFrame:
     told = findings.filter(~F.col("rule_id").isin(NOT_INHERITED)).select("file_id", "rule_id", "severity", "message").join(definitions, "file_id").withColumnRenamed("file_id", "defined_in")
     calls = t.nodes.filter("tag like 'x-%'").select("file_id", "line", "col", F.expr("substring(tag, 3)").alias("called"))
     return told.withColumn("called", F.lower("name")).join(calls, "called").filter("file_id <> defined_in").select("file_id", "line", "col", "rule_id", "severity", "message", "name", "defined_in")
+
+
+def resolved_roots(t: Tables) -> DataFrame:
+    """(project, name, tag): the native element that a component comes to, through as many
+    components as there are between. Every round follows each component as far again as all
+    rounds before, so their number is the logarithm of the longest way; a component that
+    leads back to itself, or to one that is nowhere defined, has no row. Of several
+    definitions of one name the first by file counts."""
+    rows = of_project(t, roots(t)).withColumn("name", F.lower("name"))
+    rows = rows.groupBy("project", "name").agg(F.min(F.struct("file_id", "tag")).alias("r")).select("project", "name", "r.tag").persist()
+    rounds = max(1, rows.count()).bit_length() + 1
+    at = rows
+    for _ in range(rounds):
+        if at.filter("tag like 'x-%'").isEmpty():
+            break
+        onward = at.select("project", F.concat(F.lit("x-"), "name").alias("tag"), F.col("tag").alias("then"))
+        new = at.join(onward, ["project", "tag"], "left").select("project", "name", F.coalesce("then", "tag").alias("tag")).persist()
+        new.count()
+        at.unpersist()
+        at = new
+    return at.filter("not tag like 'x-%'")
+
+
+def with_components(t: Tables) -> Tables:
+    """The tables with each use of a component as the native element it comes to, or that its
+    ``as`` names, so all rules see it. With ``asChild`` the child stands for itself; the use
+    stays a component."""
+    known = resolved_roots(t).select("project", F.concat(F.lit("x-"), "name").alias("tag"), F.col("tag").alias("native"))
+    given = F.lower(F.regexp_extract(F.coalesce(F.col("attrs")["as"], F.lit("")), r"^\s*([a-zA-Z][\w-]*)\s*$", 1))
+    used = F.col("tag").startswith("x-") & ~F.map_contains_key("attrs", F.lit("aschild"))
+    rows = of_project(t, t.nodes).join(known, ["project", "tag"], "left")
+    tag = F.when(used & (given != ""), given).when(used, F.coalesce("native", "tag")).otherwise(F.col("tag"))
+    return Tables(t.files, rows.withColumn("tag", tag).select(*t.nodes.columns), t.css)

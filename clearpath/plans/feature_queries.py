@@ -14,6 +14,7 @@ from ..operators.processes import changed_along, of_processes
 from ..operators.registry import run_rules
 from ..operators.scripts import dom_actions
 from ..operators.findings import pragmas
+from ..operators.wrappers import with_components
 from ..sources.html import read_errors
 from .audit import pages_as_files, tables
 from .switches import Case, counted, files, one, oracle, two, when
@@ -92,3 +93,10 @@ switched(
     "pragma_carriers", one("js", "{a} a11y-disable-line media/alt-text-missing {z}\n", when("a IN ('//', 'x(); //', '/*', '`${x}` /*')"), a=["//", "x(); //", "/*", "`${x}` /*", "'//", "`/*", "/[/*]/.test('"], z=["*/ `'"]),
     lambda f: pragmas(f),
 )
+
+# ---- components through several files ---------------------------------------------------
+_PARTS = Case(
+    (("Base.tsx", "const B = () => <{r}>x</{r}>;"), ("Button.tsx", "const B = () => <Base />;"), ("Loop.tsx", "const L = () => <Loop />;"), ("tsx", "const P = () => <main><Button{a}></Button><Loop /><Nowhere /></main>;")),
+    dict(r=["button", "div", "button"], a=["", ' as="a"', ' title="x"', " asChild"]), "SELECT k * 4 + 3 AS file_id, 1::BIGINT AS findings FROM v WHERE r = 'button' AND a = ''",
+)
+switched("component_roots", _PARTS, lambda f: run_rules(with_components(tables(alone(f))), ["semantics/button-name"]))

@@ -1,6 +1,6 @@
 """Queries by name, and the same in DuckDB SQL. Rules run over markup made from the
-``part`` table, with a defect in every so-many-th row, so the SQL knows the truth
-without a parser; the page queries run over ``pages`` itself."""
+``part`` table: by switches, so that SQL counts by the predicate (``rule_cases``), or
+with a defect in every so-many-th row; the page queries run over ``pages`` itself."""
 
 from __future__ import annotations
 
@@ -20,6 +20,7 @@ from ..streaming.watch import counts_by_window
 from . import standards
 from .audit import audit, pages_as_files, tables
 from .cases import CASES
+from .rule_cases import RULE_CASES
 from . import feature_queries, scope_queries
 from .switches import FINDER_CASES, counted, oracle
 
@@ -34,6 +35,8 @@ def every(rule_id: str) -> int:
 
 
 def rule_query(rule_id: str) -> Callable[[SparkSession, str], DataFrame]:
+    if rule_id in RULE_CASES:
+        return counted(lambda files: run_rules(tables(files), [rule_id]), RULE_CASES[rule_id])
     ext, bad, _, good = CASES[rule_id]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,6 +212,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT standard_id, count(*) AS criteria, count(*) FILTER (how = 'm') AS manual FROM a GROUP BY standard_id""",
 } | {"rule_" + r.replace("/", "_").replace("-", "_"): f"SELECT p_partkey AS file_id, {c[2]}::BIGINT AS findings FROM part WHERE p_partkey % {every(r)} = 0" for r, c in sorted(CASES.items())}
 
+# What pages fail, from the findings that their text gives away, and the criteria of one standard.
+_PAGE_STANDARD = f"""WITH failing AS (SELECT DISTINCT unnest(CASE rule_id WHEN 'semantics/landmark-main' THEN ['1.3.1'] WHEN 'navigation/skip-link' THEN ['2.4.1'] ELSE ['2.4.4', '4.1.2', '2.4.9'] END) AS number FROM ({ORACLE_SQL["page_totals"]})),
+    c AS (SELECT string_split(unnest(string_split('{standards.SHARED} {standards.ADDED_22}', ' ')), '/') AS x),
+    rows_ AS (SELECT x[2] AS level, x[3] AS how, f.number IS NOT NULL AS failed FROM c LEFT JOIN failing f ON f.number = x[1] WHERE x[1] <> '4.1.1')"""
+ORACLE_SQL["page_coverage"] = f"""{_PAGE_STANDARD} SELECT 'wcag22' AS standard_id, count(*) AS criteria, count(*) FILTER (how <> 'm' OR failed) AS testable, count(*) FILTER (failed) AS failing, count(*) FILTER (how <> 'm' AND NOT failed) AS passing,
+    round(100.0 * count(*) FILTER (how <> 'm' AND NOT failed) / count(*) FILTER (how <> 'm' OR failed))::BIGINT AS pass_rate FROM rows_"""
+ORACLE_SQL["page_vpat"] = f"""{_PAGE_STANDARD} SELECT CASE WHEN failed THEN 'Partially Supports' WHEN level = 'AAA' THEN 'Not Applicable' WHEN how IN ('m', 'p') THEN 'Not Evaluated' ELSE 'Supports' END AS term, count(*) AS criteria FROM rows_ GROUP BY 1"""
+ORACLE_SQL |= {"rule_" + r.replace("/", "_").replace("-", "_"): oracle(c) for r, c in RULE_CASES.items()}
 ORACLE_SQL |= {"finder_" + r.replace("/", "_").replace("-", "_"): oracle(c) for r, c in sorted(FINDER_CASES.items())}
 QUERIES |= scope_queries.QUERIES
 ORACLE_SQL |= scope_queries.ORACLE_SQL
