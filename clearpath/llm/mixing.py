@@ -14,7 +14,7 @@ and every block is a permutation of its own.
 
 Scale: positions in a stream are prefix sums over hash buckets, then within a bucket,
 so a source with a third of all rows is dealt over all tasks; the number of buckets
-follows the number of rows. The table of sources is never gathered: a bisection pass
+follows the number of rows, and a bucket in which one id has many rows is cut further. The table of sources is never gathered: a bisection pass
 is one aggregate over it that yields the sums for the fifteen midpoints of four steps.
 
 Tokens: words (runs without white space) and one end mark, so at least 1, also for
@@ -34,6 +34,8 @@ from .common import materialize, table, unused
 
 SEED, BLOCK_TOKENS, ENTROPY_SHARE, MAX_REPETITION = "mix-1", 1_000_000, 0.95, 4.0
 BUCKET_ROWS, PASSES, STEPS = 4096, 10, 4
+#: First letters of buckets that are summed first.
+HEAD = 3
 
 
 def tokens(text: str | Column) -> Column:
@@ -87,22 +89,41 @@ def mix(documents: DataFrame, source: str = "source", id_column: str = "doc_id",
     own = rows.join(sources.select("_mix_source", "_mix_t", "_mix_q"), "_mix_source").filter("_mix_q > 0")
     own = own.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_mix_q") - 1) / F.col("_mix_t")).cast("long"))))
     own = own.withColumn("_mix_h", F.md5(F.concat_ws("|", F.lit(seed), "_mix_epoch", "_mix_id"))).withColumn("_mix_bucket", F.substring("_mix_h", 1, digits))
-    key = ["_mix_source", "_mix_epoch", "_mix_bucket"]
-    sums = own.groupBy(key).agg(F.sum("_mix_n").alias("_mix_sum"))
-    before = Window.partitionBy("_mix_source", "_mix_epoch").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*key, F.coalesce(F.sum("_mix_sum").over(before), F.lit(0)).alias("_mix_before"))
+    own = _split(own, digits)
+    stream, key = ["_mix_source", "_mix_epoch"], ["_mix_source", "_mix_epoch", "_mix_bucket"]
+    # Sums before a bucket: of the heads before its head, and of the buckets before it in its head.
+    head = F.substring("_mix_bucket", 1, HEAD).alias("_mix_head")
+    sums = own.groupBy(key).agg(F.sum("_mix_n").alias("_mix_sum")).select("*", head)
+    earlier = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = sums.groupBy(*stream, "_mix_head").agg(F.sum("_mix_sum").alias("_mix_sum")).select(*stream, "_mix_head", earlier("_mix_sum", *stream, "_mix_head").alias("_mix_heads"))
+    sums = sums.join(heads, [*stream, "_mix_head"]).select(*key, (F.col("_mix_heads") + earlier("_mix_sum", *stream, "_mix_head", "_mix_bucket")).alias("_mix_before"))
     inside = Window.partitionBy(key).orderBy("_mix_h", F.col(id_column), "_mix_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = own.withColumn("_mix_cum", F.sum("_mix_n").over(inside)).join(sums, key)
     x = F.col("_mix_epoch") * F.col("_mix_t") + F.col("_mix_before") + F.col("_mix_cum") - F.col("_mix_n")
     placed = placed.withColumn("_mix_x", x).filter("_mix_x < _mix_q")
     placed = placed.withColumn("_mix_block", F.floor(F.col("_mix_x").cast("double") * F.lit(float(blocks)) / F.col("_mix_q").cast("double")).cast("long"))
     order = Window.partitionBy("_mix_block").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.lit("block"), "_mix_epoch", "_mix_id")), F.col(id_column), "_mix_epoch", "_mix_n")
-    return placed.withColumn("_mix_position", F.row_number().over(order).cast("long") - 1).drop("_mix_source", "_mix_id", "_mix_t", "_mix_q", "_mix_h", "_mix_bucket", "_mix_cum", "_mix_before", "_mix_x")
+    return placed.withColumn("_mix_position", F.row_number().over(order).cast("long") - 1).drop("_mix_source", "_mix_id", "_mix_t", "_mix_q", "_mix_h", "_mix_bucket", "_mix_cum", "_mix_before", "_mix_x", "_mix_row")
+
+
+def _split(own: DataFrame, digits: int) -> DataFrame:
+    """Buckets in which one id has many rows (null ids are one), cut along the order within:
+    the other ids of the bucket are buckets of their own, and the id's rows go by length and,
+    as rows of one id and length may change places, by a number of the row."""
+    if not digits:
+        return own
+    stream = ["_mix_source", "_mix_epoch"]
+    many = own.groupBy(*stream, "_mix_h").agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("_mix_parts")).filter("_mix_parts > 8")
+    cut = many.select(*stream, F.substring("_mix_h", 1, digits).alias("_mix_bucket"), F.lit(True).alias("_mix_cut")).distinct()
+    row = F.col("_mix_row") if "_mix_row" in own.columns else F.xxhash64(*own.columns)
+    rows = own.join(cut, [*stream, "_mix_bucket"], "left").join(many, [*stream, "_mix_h"], "left")
+    fine = F.concat_ws("|", "_mix_h", F.lpad(F.col("_mix_n").cast("string"), 19, "0"), F.lpad(F.pmod(row, F.col("_mix_parts").cast("long")).cast("string"), 9, "0"))
+    return rows.withColumn("_mix_bucket", F.when(F.col("_mix_parts").isNotNull(), fine).when(F.col("_mix_cut"), F.col("_mix_h")).otherwise(F.col("_mix_bucket"))).drop("_mix_cut", "_mix_parts")
 
 
 def mixture(documents: DataFrame, **options) -> DataFrame:
     """block, position, doc_id, source, epoch and n_tokens of the mixed stream."""
-    slim = materialize(documents.select("doc_id", "source", tokens("text").alias("n_tokens")), "mix-rows")
+    slim = materialize(documents.select("doc_id", "source", tokens("text").alias("n_tokens"), F.monotonically_increasing_id().alias("_mix_row")), "mix-rows")
     return mix(slim, n_tokens="n_tokens", **options).select(F.col("_mix_block").alias("block"), F.col("_mix_position").alias("position"), "doc_id", "source", F.col("_mix_epoch").alias("epoch"), "n_tokens")
 
 
@@ -117,7 +138,7 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     made = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("source", F.lit("-")), tokens("text").cast("string"))
     keyed = documents.withColumn(key, made)
     ranked = lambda d, *order: d.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    slim = materialize(ranked(keyed.select("doc_id", "source", tokens("text").alias("_mix_length"), key), "doc_id"), "mix-rows")
+    slim = materialize(ranked(keyed.select("doc_id", "source", tokens("text").alias("_mix_length"), key), "doc_id").withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows")
     plan = mix(slim, n_tokens="_mix_length", **options).select(F.col(key).alias(plan_key), F.col(rank).alias(plan_rank), F.col("_mix_block").alias(block), F.col("_mix_position").alias(position))
     rows = ranked(keyed, "text")
     # The rank is compared besides the key, not as a part of it: texts keep the partitioning that ranked them.

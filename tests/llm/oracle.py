@@ -1,5 +1,7 @@
 """Compare a query with its SQL, as multisets of rows."""
 
+import os
+
 import duckdb
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -8,7 +10,10 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def run_sql(sql, sf_dir):
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+        if os.path.isdir(path := f"{sf_dir}/{t}.parquet"):
+            path += "/*.parquet"
+        if os.path.exists(f"{sf_dir}/{t}.parquet"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}'")
     rel = con.execute(sql)
     return [d[0] for d in rel.description], rel.fetchall()
 

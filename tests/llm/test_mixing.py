@@ -1,5 +1,6 @@
 import math
 
+from clearpath.llm import mixing
 from clearpath.llm.mixing import ORACLE, mixed_documents, mixture, op1_mixing
 
 from .oracle import same
@@ -15,6 +16,16 @@ def corpus(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, position int, epoch int").repartition(5)
 
 
+def test_many_rows_of_one_id(spark, tmp_path, monkeypatch):
+    """Rows without an id, and of one id, are cut into many buckets; the stream is the same."""
+    rows = [(None, "w " * (i % 3), "a") for i in range(600)] + [(7, "x y", "a") for _ in range(300)] + [(i, "x " * (i % 9), "ab"[i % 2]) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 16)
+    same(op1_mixing(spark, str(tmp_path)), ORACLE, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(str, mixed_documents(docs, max_repetition=1.0).collect())) == sorted(map(str, docs.collect()))
+
+
 def test_weights_and_repetition(spark):
     df = corpus(spark)
     got = mixture(df, max_repetition=3.0, entropy_share=1.0, block_tokens=200).collect()
