@@ -136,10 +136,11 @@ def rules_by_criterion(rules: DataFrame) -> DataFrame:
     return rules.select("rule_id", F.explode("criteria").alias("criterion")).groupBy("criterion").agg(F.array_sort(F.collect_set("rule_id")).alias("rules"))
 
 
-def unique_sources(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Byte-identical files: the representatives (smallest id), and (file_id, path, first)
-    of every file with its representative's id."""
-    keyed = files.withColumn("_print", F.sha2(F.coalesce("source", F.lit("")), 256))
+def unique_sources(files: DataFrame, *same: Column) -> tuple[DataFrame, DataFrame]:
+    """Byte-identical files (that are alike in ``same`` too): the representatives (smallest
+    id), and (file_id, path, first) of every file with its representative's id."""
+    kind = F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in same), F.lit(""))
+    keyed = files.withColumn("_print", F.sha2(F.concat(kind, F.coalesce("source", F.lit(""))), 256))
     first = keyed.groupBy("_print").agg(F.min("file_id").alias("first"))
     members = keyed.select("file_id", "path", "_print").join(first, "_print").select("file_id", "path", "first")
     return files.join(first.select(F.col("first").alias("file_id")), "file_id", "left_semi"), members

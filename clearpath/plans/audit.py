@@ -12,7 +12,7 @@ from ..operators.findings import identified, merge_co_firing, suppress
 from ..operators.registry import Tables, run_rules
 from ..sources.css import read_css
 from ..sources.dialects import MARKUP, SHEETS
-from ..sources.html import read_elements
+from ..sources.html import DEPTH, read_elements
 
 
 def pages_as_files(pages: DataFrame) -> DataFrame:
@@ -29,12 +29,12 @@ def dialect(files: DataFrame, known: dict[str, str]) -> DataFrame:
     return files.withColumn("dialect", table[extension()]).filter("dialect is not null")
 
 
-def tables(files: DataFrame) -> Tables:
+def tables(files: DataFrame, depth: int | None = DEPTH) -> Tables:
     """Elements and declarations of all files (file_id, path, source); style elements are
     sheets of their file. Many rules read them, so both are persisted (on disk beyond
     memory): each file is parsed once, and what an executor loses is parsed again from its
     own files."""
-    nodes = read_elements(dialect(files, MARKUP)).persist(StorageLevel.MEMORY_AND_DISK)
+    nodes = read_elements(dialect(files, MARKUP), depth).persist(StorageLevel.MEMORY_AND_DISK)
     # A style element's rules are numbered from its own node on, above those of any sheet.
     inner = nodes.filter("tag = 'style' and text <> ''").select("file_id", F.col("text").alias("source"), F.col("line").alias("first_line"), F.shiftleft(F.col("node_id").cast("long") + 1, 24).alias("first_rule"))
     sheets = read_css(dialect(files, SHEETS)).unionByName(read_css(inner))

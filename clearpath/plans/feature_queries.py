@@ -17,6 +17,7 @@ from ..operators.findings import pragmas
 from ..operators.wrappers import with_components
 from ..sources.html import read_errors
 from .audit import pages_as_files, tables
+from .project import audit_project, groups
 from .switches import Case, counted, files, one, oracle, two, when
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +101,15 @@ _PARTS = Case(
     dict(r=["button", "div", "button"], a=["", ' as="a"', ' title="x"', " asChild"]), "SELECT k * 4 + 3 AS file_id, 1::BIGINT AS findings FROM v WHERE r = 'button' AND a = ''",
 )
 switched("component_roots", _PARTS, lambda f: run_rules(with_components(tables(alone(f))), ["semantics/button-name"]))
+
+# ---- a whole project: copies once, groups of findings on elements of one shape ----------
+_SHAPED = one("html", "<{t} {a}{b}>", "", t=["img", "input type=image"], a=["src=x", "class=y"], b=["", " id=q", " role=none"])
+
+
+def project_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups(audit_project(files(spark, sf_dir, _SHAPED), None, ["media/alt-text-missing"])).select("group_key", "occurrences", "paths")
+
+
+QUERIES["project_groups"] = project_groups
+ORACLE_SQL["project_groups"] = oracle(Case(_SHAPED.templates, _SHAPED.switches, """SELECT substr(sha256('media/alt-text-missing' || chr(0) || CASE WHEN t = 'img' THEN 'img' ELSE 'input' END || '[' || array_to_string(list_sort([x for x in [CASE WHEN t <> 'img' THEN 'type' END, string_split(a, '=')[1], CASE WHEN b <> '' THEN 'id' END] if x IS NOT NULL]), ',') || ']'), 1, 12) AS group_key,
+    count(*) AS occurrences, count(*) AS paths FROM v WHERE b <> ' role=none' GROUP BY 1"""))

@@ -7,7 +7,8 @@ innermost open element (elements whose end may be left out give way) and is igno
 that has another name; raw-text elements hide their content from the reader, and what
 stands in code and pre elements is text, tags and all, as pages show examples there. A second
 output of the reader is what it had to get over (``read_errors``). Elements
-nest ``DEPTH`` deep, so a page's rows grow with its size, not with its square.
+nest ``DEPTH`` deep, as in browsers, so a page's rows grow with its size, not with its square;
+``depth=None`` keeps every level, at the price of long lists of ancestors.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def opaque_end(source: str, at: int, tag: str) -> tuple[int, int] | None:
     return None
 
 
-def parse(source: str, opaque: bool = True, errors: list | None = None) -> tuple[list[dict], str]:
+def parse(source: str, opaque: bool = True, errors: list | None = None, depth: int | None = DEPTH) -> tuple[list[dict], str]:
     """Elements in document order, and the text of the whole source; an element's text is
     a span of it, or a string of its own. ``errors`` gets (code, place, whether reading
     went on after it)."""
@@ -122,7 +123,7 @@ def parse(source: str, opaque: bool = True, errors: list | None = None) -> tuple
                     break
             elif open_[i]["tag"] in STOPS.get(tag, {"button", "td", "th", "li"}):
                 break
-        close(min(len(open_), DEPTH))
+        close(len(open_) if depth is None else min(len(open_), depth))
         values, names = attributes(m[3])
         if len(values) < len(names):
             told.append(("duplicate-attribute", m.start(), True))
@@ -179,7 +180,7 @@ def elements(source: str) -> list[dict]:
     return nodes
 
 
-def _parse(batches):
+def _parse(batches, depth: int | None = DEPTH):
     """Rows of some thousand elements at a time: texts are cut from the page's text, and
     columns made, only as they leave."""
     names, columns, size = _NODE.names, [[] for _ in _NODE.names], 0
@@ -192,7 +193,7 @@ def _parse(batches):
 
     for batch in batches:
         for file_id, source, dialect in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            nodes, whole = parse(markup(source or "", dialect), dialect not in ("jsx", "mdx"))
+            nodes, whole = parse(markup(source or "", dialect), dialect not in ("jsx", "mdx"), None, depth)
             for n in nodes:
                 n["text"], n["file_id"], n["attrs"] = own_text(n, whole), file_id, list(n["attrs"].items())
                 for column, name in zip(columns, names, strict=True):
@@ -204,12 +205,12 @@ def _parse(batches):
         yield flush()
 
 
-def read_elements(files: DataFrame) -> DataFrame:
+def read_elements(files: DataFrame, depth: int | None = DEPTH) -> DataFrame:
     """``files`` (file_id, source, and maybe dialect) -> elements with what most rules ask
     for: lower-case role, class tokens, id, and the name given by attributes. Null source:
     no element."""
     dialect = F.col("dialect") if "dialect" in files.columns else F.lit("")
-    nodes = files.select("file_id", "source", dialect.alias("dialect")).mapInArrow(_parse, NODE_SCHEMA)
+    nodes = files.select("file_id", "source", dialect.alias("dialect")).mapInArrow(lambda batches: _parse(batches, depth), NODE_SCHEMA)
     attr = lambda name: F.col("attrs")[name]
     tokens = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: x != "")
     return nodes.withColumns({

@@ -79,3 +79,19 @@ def test_processes_do_not_disturb_each_other(spark):
         assert isinstance(t, Tables)
         asked = run_finders(t, ["review/consistent-navigation"]).join(t.files.select("file_id", "project"), "file_id")
         assert {r.project for r in asked.collect()} == {"two"}
+
+
+def test_project_audit(spark):
+    from clearpath.plans.project import audit_project, groups
+
+    rows = [(1, "a/x.html", "<img src=a>\n<img src=b>"), (2, "b/x.html", "<img src=a>\n<img src=b>"), (3, "_layouts/x.html", "<img src=a>\n<img src=b>"), (4, "c.html", "\n <img src=a>"), (5, "d.html", None)]
+    found = audit_project(spark.createDataFrame(rows, SHAPE), None, ["media/alt-text-missing"])
+    got = found.collect()
+    assert sorted((r.file_id, r.path, r.line) for r in got) == [(1, "a/x.html", 1), (1, "a/x.html", 2), (2, "b/x.html", 1), (2, "b/x.html", 2), (3, "_layouts/x.html", 1), (3, "_layouts/x.html", 2), (4, "c.html", 2)]
+    assert len({r.group_key for r in got}) == 1 and len({r.finding_id for r in got}) == 7 and len({r.line_key for r in got}) == 7
+    assert [(r.occurrences, r.paths, r.path) for r in groups(found).collect()] == [(7, 4, "_layouts/x.html")]
+    parts = [(1, "Card.tsx", "const C = () => <div><img src='a' /></div>;"), (2, "p.tsx", "const P = () => <main><Card /><Card /></main>;")]
+    wrappers = spark.createDataFrame([("Card", "section")], "name string, element string")
+    told = audit_project(spark.createDataFrame(parts, SHAPE), wrappers, ["media/alt-text-missing"]).collect()
+    assert sorted((r.file_id, r.rule_id) for r in told) == [(1, "media/alt-text-missing"), (1, "wrapper/drift"), (2, "media/alt-text-missing"), (2, "media/alt-text-missing")]
+    assert {r.criteria[0] for r in told if r.rule_id == "wrapper/drift"} == {"4.1.2"}
