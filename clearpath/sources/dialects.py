@@ -9,7 +9,8 @@ blocks. ``svg``, ``xhtml``: nothing. ``jsx``: everything but JSX elements; ``cla
 and ``htmlFor`` become the attributes they stand for, literal values stay, other
 expressions become a value in braces, and components (names with a capital or a dot) get
 the prefix ``x-`` so they are no native elements. ``scss`` and ``less``: line comments
-go, variables are replaced, nested rules get their whole selector; mixins are left out.
+go, variables are replaced, nested rules get their whole selector, and a mixin's declarations
+stand in the line that includes it, with its arguments; mixins that take a block are left out.
 """
 
 from __future__ import annotations
@@ -171,6 +172,47 @@ def markup(source: str, dialect: str) -> str:
     return {"": lambda s: s, "markdown": markdown, "mdx": mdx, "astro": astro, "php": php, "erb": erb, "jsx": jsx}[dialect](source)
 
 
+_MIXINS = {
+    "scss": (r"@mixin\s+([\w-]+)\s*(?:\(([^)]*)\))?\s*\{", r"@include\s+([\w-]+)\s*(?:\(((?:[^;{}()]|\([^()]*\))*)\))?\s*;", "$"),
+    "less": (r"(?<![\w-])[.#]([\w-]+)\s*\(([^){}]*)\)\s*\{", r"(?<![\w-])[.#]([\w-]+)\s*\(((?:[^;{}()]|\([^()]*\))*)\)\s*;"),
+}
+
+
+def _arguments(text: str | None) -> list[str]:
+    return [x.strip() for x in re.split(r"[,;](?![^(]*\))", text or "") if x.strip()]
+
+
+def included(source: str, dialect: str) -> str:
+    """Calls of mixins replaced, in their line, by the declarations of the mixin. A mixin that
+    includes others is followed eight deep, so one that includes itself ends."""
+    definition, call = _MIXINS[dialect]
+    known: dict[str, tuple[list[str], str]] = {}
+    for m in re.finditer(definition, source):
+        body = source[m.end() : braces(source, m.end() - 1) - 1]
+        if "@content" not in body:
+            known[m[1]] = (_arguments(m[2]), " ".join(body.split()))
+
+    def filled(m: re.Match) -> str:
+        if m[1] not in known:
+            return m[0]
+        names, body = known[m[1]]
+        values, given = {}, _arguments(m[2])
+        for i, name in enumerate(names):
+            own, _, default = (x.strip() for x in name.partition(":"))
+            named = next((g.partition(":")[2].strip() for g in given if re.match(re.escape(own) + r"\s*:", g)), None)
+            values[own] = named or (given[i] if i < len(given) and not re.match(r"[$@][\w-]+\s*:", given[i]) else default)
+        for own, value in sorted(values.items(), key=lambda x: -len(x[0])):
+            body = re.sub(re.escape(own) + r"(?![\w-])", lambda _, v=value: v, body)
+        return body.rstrip("; ") + "; "
+
+    for _ in range(8):
+        new = re.sub(call, filled, source)
+        if new == source or len(new) > 4 * len(source) + 100_000:
+            break
+        source = new
+    return source
+
+
 _PART = re.compile(r"((?:[^{};\"']|\"[^\"\n]*\"|'[^'\n]*'|#\{[^}]*\})*)([{};]|\Z)", re.S)
 
 
@@ -180,6 +222,7 @@ def sheet(source: str, dialect: str) -> str:
         return source
     source = without(r"/\*.*?(\*/|\Z)", source, re.S)
     source = without(r"(?<![:\w])//[^\n]*", source)
+    source = included(source, dialect)
     mark = "$" if dialect == "scss" else "@"
     known = {name: value.strip() for name, value in re.findall(rf"^\s*\{mark}([\w-]+)\s*:\s*([^;{{}}]+);", source, re.M) if not (mark == "@" and name in ("media", "import", "charset", "supports"))}
 

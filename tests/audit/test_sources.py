@@ -97,3 +97,15 @@ def test_marks_in_strings_switch_nothing_off():
     assert pragma_lines(f"<p>{{/* {mark} */}}</p>\n<p>{mark}</p>", "tsx") == [(1, "r/x")]
     assert pragma_lines(f"<!-- {mark} -->\n<p title='{mark}'>{mark}</p>\n{{# {mark} #}}") == [(1, "r/x"), (3, "r/x")]
     assert pragma_lines(f"/* {mark} */\na {{ content: '{mark}' }}\n// {mark}", "scss") == [(1, "r/x"), (3, "r/x")]
+
+
+def test_mixins():
+    from clearpath.sources.css import declarations
+    from clearpath.sources.dialects import sheet
+
+    scss = "$c: #777;\n@mixin ink($front, $back: #fff) { color: $front;\n background: $back }\n@mixin all { @include ink(red); outline: none }\na { @include ink($c);\n margin: 0; @include gone; }\nb { @include all; i { @include ink($back: #000, $front: blue); } }\n@mixin loop { @include loop; top: 0 }\nu { @include loop; }"
+    got = [(d[1], d[4], d[5], d[3]) for d in declarations(sheet(scss, "scss"))]
+    assert got[:3] == [("a", "color", "#777", 5), ("a", "background", "#fff", 5), ("a", "margin", "0", 6)]
+    assert [g[:3] for g in got[3:8]] == [("b", "color", "red"), ("b", "background", "#fff"), ("b", "outline", "none"), ("b i", "color", "blue"), ("b i", "background", "#000")]
+    less = ".ink(@f; @b: #fff) { color: @f; background: @b }\n.x { .ink(#888); width: 2px }\n.y { .none(); }"
+    assert [(d[1], d[4], d[5], d[3]) for d in declarations(sheet(less, "less"))] == [(".x", "color", "#888", 2), (".x", "background", "#fff", 2), (".x", "width", "2px", 2)]
