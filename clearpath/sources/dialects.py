@@ -173,7 +173,7 @@ def markup(source: str, dialect: str) -> str:
 
 
 _MIXINS = {
-    "scss": (r"@mixin\s+([\w-]+)\s*(?:\(([^)]*)\))?\s*\{", r"@include\s+([\w-]+)\s*(?:\(((?:[^;{}()]|\([^()]*\))*)\))?\s*;", "$"),
+    "scss": (r"@mixin\s+([\w-]+)\s*(?:\(([^)]*)\))?\s*\{", r"@include\s+([\w-]+)\s*(?:\(((?:[^;{}()]|\([^()]*\))*)\))?\s*;"),
     "less": (r"(?<![\w-])[.#]([\w-]+)\s*\(([^){}]*)\)\s*\{", r"(?<![\w-])[.#]([\w-]+)\s*\(((?:[^;{}()]|\([^()]*\))*)\)\s*;"),
 }
 
