@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -117,6 +119,16 @@ def joined_bytes(texts: list[str], pad: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(end.join(parts) + end, np.uint8), starts
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system. Workers live on between stages, and
+    allocators would keep it for them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(texts: list[str], limit: int = 4_000_000):
     """Cut a batch into runs of rows whose texts have about ``limit`` characters, so
     that array work on a batch of very long texts stays within memory."""

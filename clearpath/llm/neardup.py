@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_tables, slices, table, text_key, unused
+from .common import give_back, materialize, scratch_tables, slices, table, text_key, unused
 from .components import connected_components
 from .shingles import SKETCH_LONGS, band_rows, bands, intersections, minhash, odd_sketch, set_key, shingle_sets, sketch_limit
 
@@ -69,6 +69,7 @@ def signatures(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -
                     [ids.slice(a, z - a), batch.column(2).slice(a, z - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
                     names=["doc_id", "text_key", "n_shingles", "node", "bands", "sketch"],
                 )
+        give_back()
 
     return documents.select("doc_id", "text", text_key("text")).mapInArrow(run, "doc_id long, text_key string, n_shingles long, node binary, bands array<long>, sketch array<long>")
 
@@ -89,6 +90,7 @@ def _shingles(size: int):
                 sets = shingle_sets(texts[a:z], size)
                 keep = [(n, s.tobytes()) for n, s in zip(node[a:z], sets, strict=True) if len(s) and set_key(s) == n]
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.binary()), pa.array([k[1] for k in keep], pa.binary())], names=["node", "shingles"])
+        give_back()
 
     return run
 

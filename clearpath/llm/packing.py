@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import give_back, table
 from .tokens import MAX_CHUNKS, encoder, vocabulary
 
 SEQUENCE, END_ID, CHUNK_SEQUENCES = 2048, 1, 512
@@ -113,6 +113,7 @@ def pack(documents: DataFrame, vocabulary_path: str, end_id: int = END_ID, capac
             yield flush(tokens < capacity * chunk_sequences)
         if remember < MAX_CHUNKS:
             words.known = {}
+        give_back()
 
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA + (", ids binary" if with_ids else ""))
 
