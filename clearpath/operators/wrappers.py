@@ -51,13 +51,13 @@ def resolved_roots(t: Tables) -> DataFrame:
     rounds = max(1, rows.count()).bit_length() + 1
     at = rows
     for _ in range(rounds):
-        if at.filter("tag like 'x-%'").isEmpty():
-            break
         onward = at.select("project", F.concat(F.lit("x-"), "name").alias("tag"), F.col("tag").alias("then"))
-        new = at.join(onward, ["project", "tag"], "left").select("project", "name", F.coalesce("then", "tag").alias("tag")).persist()
-        new.count()
+        new = at.join(onward, ["project", "tag"], "left").select("project", "name", F.coalesce("then", "tag").alias("tag"), (F.col("then") != F.col("tag")).alias("changed")).persist()
+        moved = new.filter("changed").count()
         at.unpersist()
-        at = new
+        at = new.drop("changed")
+        if not moved:
+            break
     return at.filter("not tag like 'x-%'")
 
 

@@ -97,7 +97,7 @@ switched(
 
 # ---- components through several files ---------------------------------------------------
 _PARTS = Case(
-    (("Base.tsx", "const B = () => <{r}>x</{r}>;"), ("Button.tsx", "const B = () => <Base />;"), ("Loop.tsx", "const L = () => <Loop />;"), ("tsx", "const P = () => <main><Button{a}></Button><Loop /><Nowhere /></main>;")),
+    (("Base.tsx", "const B = () => <{r}>x</{r}>;"), ("Button.tsx", "const B = () => <Base>y</Base>;"), ("Loop.tsx", "const L = () => <Loop />;"), ("tsx", "const P = () => <main><Button{a}></Button><Loop /><Nowhere /></main>;")),
     dict(r=["button", "div", "button"], a=["", ' as="a"', ' title="x"', " asChild"]), "SELECT k * 4 + 3 AS file_id, 1::BIGINT AS findings FROM v WHERE r = 'button' AND a = ''",
 )
 switched("component_roots", _PARTS, lambda f: run_rules(with_components(tables(alone(f))), ["semantics/button-name"]))
