@@ -129,6 +129,8 @@ class Place:
 
     def mentioned(self, name: str, kind: str, condition: Column | None = None) -> Column:
         """Whether a mention of this kind, and so, has the same token as this one."""
+        if kind == "self" and condition is None:  # any element with an id may be what is meant
+            self.is_("identified", F.col("id") != "")
         return self._want("mentioned", name, (kind, condition))
 
     def rank(self) -> Column:

@@ -43,3 +43,10 @@ def test_rules_by_switch(spark):
         if not want or got.get(r, set()) != want:
             wrong[r] = (len(want), sorted(got.get(r, set()) ^ want)[:4])
     assert not wrong
+
+
+@pytest.mark.parametrize("rule_id", ["aria/labelledby-target-exists", "forms/label-for-id-mismatch", "forms/multiple-label-for-same-id", "navigation/in-page-link-fragment-missing", "navigation/skip-link"])
+def test_rules_on_ids_run_alone(spark, rule_id):
+    """The elements that an id names are there though no other rule of the run keeps them."""
+    name = "rule_" + rule_id.replace("/", "_").replace("-", "_")
+    same(QUERIES[name](spark, SF), ORACLE_SQL[name], SF)
