@@ -261,7 +261,8 @@ def described(t: Tables, parts: list[DataFrame], rules: list[Rule]) -> DataFrame
         out = out.unionByName(p.select(SHAPE))
     quoted = lambda x: "'" + x.replace("'", "\\'") + "'"
     kinds = ", ".join(f"{quoted(r.id)}, named_struct('criteria', cast(array({', '.join(map(quoted, r.criteria))}) as array<string>), 'fix_class', {quoted(r.fix_class)})" for r in rules)
-    out = out.withColumn("_r", F.expr(f"map({kinds})[rule_id]")).join(t.files.select("file_id", "path"), "file_id")
+    # Findings of many files look small where they are packed, and are not: neither side is for the driver.
+    out = out.withColumn("_r", F.expr(f"map({kinds})[rule_id]")).join(t.files.select("file_id", "path").hint("merge"), "file_id")
     return out.selectExpr("file_id", "path", "line", "col", "rule_id", "coalesce(_r.criteria, cast(array() as array<string>)) as criteria", "severity", "coalesce(_r.fix_class, 'verify-in-source') as fix_class", "message")
 
 

@@ -22,7 +22,7 @@ from .audit import audit, pages_as_files, tables
 from .cases import CASES
 from .rule_cases import RULE_CASES
 from . import feature_queries, scope_queries
-from .switches import FINDER_CASES, counted, oracle
+from .switches import FINDER_CASES, counted, oracle, parts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,7 @@ def rule_query(rule_id: str) -> Callable[[SparkSession, str], DataFrame]:
     ext, bad, _, good = CASES[rule_id]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        part = table(spark, sf_dir, "part")
+        part = parts(spark, sf_dir)
         source = F.when(F.col("p_partkey") % every(rule_id) == 0, bad).otherwise(good)
         files = part.select(F.col("p_partkey").alias("file_id"), F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(f".{ext}")).alias("path"), source.alias("source"))
         return run_rules(tables(files), [rule_id]).groupBy("file_id").agg(F.count("*").alias("findings"))
@@ -162,7 +162,7 @@ def page_vpat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
+    part = parts(spark, sf_dir)
     comment = F.when(F.col("p_partkey") % 3 == 0, "<!-- a11y-disable-next-line media/alt-text-missing -- known -->\n").when(F.col("p_partkey") % 3 == 1, "<!-- a11y-disable-next-line other/rule -->\n").otherwise("\n")
     files = part.select(F.col("p_partkey").alias("file_id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".html")).alias("path"), F.concat(comment, F.lit('<img src="x">')).alias("source"))
     return f.suppress(run_rules(tables(files), ["media/alt-text-missing"]), files).groupBy("file_id").agg(F.count("*").alias("findings"))

@@ -32,3 +32,11 @@ def test_inherited_counts_are_the_rows_of_inherited(spark):
     out = inherited_counts(t, found, wrappers).agg(F.count("*").alias("n"), F.sum("findings").alias("sum")).first()
     assert tuple(out) == (2000, 4_000_000)
     t.__exit__()
+
+
+def test_rows_of_part_are_dealt_by_number(spark):
+    """Markup is many times its row: a small file is not left to one task."""
+    from clearpath.plans.switches import ROWS_A_TASK, parts
+
+    rows = parts(spark, "/root/testdata/sf0.1")
+    assert rows.rdd.getNumPartitions() == -(-rows.count() // ROWS_A_TASK) > 1
