@@ -2,15 +2,15 @@
 
 Byte n-grams of every whole text are hashed into ``buckets`` counters. Two
 multinomials are estimated: *raw* over all documents, and *target* over trusted
-documents (``labels.quality = 1``; at most ``max_target_docs`` ids, those with the
-smallest md5). A document's score is the mean of ``log p_target(g) - log p_raw(g)`` over
+documents (``labels.quality = 1``, all of them). A document's score is the mean of ``log p_target(g) - log p_raw(g)`` over
 its n-grams; it passes at ``threshold``. Unless that is given, it lies below the median
 score of the trusted documents by ``SPREADS`` times the median's distance from their
 lowest hundredth.
 
-Scale: three scans of the documents (one of them scores trusted ones only) and no
-shuffle of text. What is shuffled is one row per bucket and scan task; the driver holds
-the two tables of ``buckets`` numbers.
+Scale: three scans of the documents (one of them scores trusted ones only). Trusted
+ids meet documents in a join whose kind is Spark's choice: few ids go to every task, many
+cost a shuffle of text in two of the scans. Else one row per bucket and scan task is
+shuffled; the driver holds the two tables of ``buckets`` numbers.
 
 Null or empty text: no word, so the text rules fail it (score 0). Null or repeated
 doc_id: each row is scored by itself. An empty table gives an empty result. Extra
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, hash_sample, joined_bytes, slices, table
+from .common import WORD, joined_bytes, slices, table
 
 GRAM, BUCKETS = 4, 1 << 16
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -36,7 +36,6 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SPREADS = 8.0
 #: Pseudo-count with which the raw multinomial smooths the target.
 SMOOTHING = 2000.0
-MAX_TARGET_DOCS = 20_000
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean"
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>")
@@ -113,16 +112,19 @@ def ratio_table(raw: np.ndarray, target: np.ndarray, smoothing: float = SMOOTHIN
     return np.log(p_target / p_raw)
 
 
-def marked_documents(documents: DataFrame, labels: DataFrame, max_target_docs: int = MAX_TARGET_DOCS) -> DataFrame:
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    return labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
+
+
+def marked_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """text and trusted of all documents."""
-    ids = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct().select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("key"), F.lit(True).alias("trusted"))
-    trusted = hash_sample(ids, "key", "trusted", max_target_docs).drop("key")  # at most max_target_docs ids: bounded, so it may be broadcast
-    return documents.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    trusted = trusted_ids(labels).withColumn("trusted", F.lit(True))
+    return documents.select("doc_id", "text").join(trusted, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
 
 
-def fit_ratio(documents: DataFrame, labels: DataFrame, max_target_docs: int = MAX_TARGET_DOCS) -> np.ndarray:
+def fit_ratio(documents: DataFrame, labels: DataFrame) -> np.ndarray:
     """Count n-grams of all documents, and of the trusted ones among them."""
-    seen = marked_documents(documents, labels, max_target_docs)
+    seen = marked_documents(documents, labels)
     counts = seen.mapInPandas(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     got = counts.toPandas()  # one row a bucket: fixed size
@@ -130,7 +132,7 @@ def fit_ratio(documents: DataFrame, labels: DataFrame, max_target_docs: int = MA
     return ratio_table(raw, target)
 
 
-def fit_threshold(documents: DataFrame, labels: DataFrame, ratios: np.ndarray, max_target_docs: int = MAX_TARGET_DOCS, spreads: float = SPREADS) -> float:
+def fit_threshold(documents: DataFrame, labels: DataFrame, ratios: np.ndarray, spreads: float = SPREADS) -> float:
     """The threshold that the trusted documents' scores give; without any, all pass."""
     shared = documents.sparkSession.sparkContext.broadcast(ratios)
 
@@ -138,7 +140,7 @@ def fit_threshold(documents: DataFrame, labels: DataFrame, ratios: np.ndarray, m
         for batch in batches:
             yield pd.DataFrame({"llr": np.round(mean_ratio(batch["text"].fillna("").tolist(), shared.value), 9)})
 
-    own = marked_documents(documents, labels, max_target_docs).filter("trusted and text <> ''").mapInPandas(score, "llr double")
+    own = documents.select("doc_id", "text").filter("text <> ''").join(trusted_ids(labels), "doc_id", "left_semi").select("text").mapInPandas(score, "llr double")
     low, middle = own.agg(F.percentile_approx("llr", [0.01, 0.5], 1_000_000)).first()[0] or (-np.inf, -np.inf)
     return float(middle - spreads * (middle - low)) if np.isfinite(middle) else -np.inf
 
@@ -164,10 +166,10 @@ def verdicts(texts: list[str], ratios: np.ndarray, threshold: float) -> tuple[np
     return rules, failed, llr, ~failed & (llr >= threshold)
 
 
-def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float | None = None, max_target_docs: int = MAX_TARGET_DOCS) -> DataFrame:
+def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
     """Rules, score and verdict for every document."""
-    ratios = fit_ratio(documents, labels, max_target_docs)
-    limit = fit_threshold(documents, labels, ratios, max_target_docs) if threshold is None else threshold
+    ratios = fit_ratio(documents, labels)
+    limit = fit_threshold(documents, labels, ratios) if threshold is None else threshold
     shared = documents.sparkSession.sparkContext.broadcast(ratios)
 
     def score(batches):

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from clearpath.llm.quality import BUCKETS, SMOOTHING, SPREADS, filter_quality, op6_quality_rules, quality_rules
+from clearpath.llm.quality import BUCKETS, SMOOTHING, SPREADS, _count, filter_quality, fit_ratio, op6_quality_rules, quality_rules, ratio_table
 
 from .oracle import run_sql
 
@@ -104,3 +104,14 @@ def test_without_rows_or_trust(spark):
     got = quality_rules(df, labels.limit(0)).collect()
     assert all(r.kept == (not r.base_failed) for r in got) and any(r.kept for r in got)
 
+
+
+def test_all_trusted_documents_count(spark):
+    """However many documents are trusted, each one's n-grams are in the target."""
+    n = 20_500  # more than were once sampled
+    df = spark.range(n).selectExpr("id as doc_id", "concat('abcd', lpad(cast(id as string), 6, '0')) as text")
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality")
+    (counts,) = _count([df.toPandas().assign(trusted=True)])
+    every = np.zeros(BUCKETS)
+    every[counts["bucket"]] = counts["raw"]
+    assert np.allclose(fit_ratio(df, labels), ratio_table(every, every))
