@@ -15,6 +15,10 @@
    elements with their ancestors' winners.
 
 Elements without any declaration above them have no row. Files without sheets give none.
+
+Both sides of each join grow with the files. Persisted tables of like rows are packed to a
+few bytes a row, and by that size Spark would send them to the driver and to every task;
+so the joins ask for a shuffle and merge.
 """
 
 from __future__ import annotations
@@ -55,11 +59,11 @@ def sheets_of(t: Tables) -> DataFrame:
     """(file_id, sheet): the sheets of each page, its own style elements among them."""
     own = t.nodes.filter("tag = 'style'").select("file_id", F.col("file_id").alias("sheet"))
     links = t.nodes.filter((F.col("tag") == "link") & F.coalesce(F.lower(F.col("attrs")["rel"]).contains("stylesheet"), F.lit(False)) & F.col("attrs")["href"].isNotNull()).select("file_id", F.col("attrs")["href"].alias("href"))
-    named = links.join(t.files.select("file_id", F.regexp_extract("path", r"^(.*/)?[^/]*$", 1).alias("folder")), "file_id")
+    named = links.join(t.files.select("file_id", F.regexp_extract("path", r"^(.*/)?[^/]*$", 1).alias("folder")).hint("merge"), "file_id")
     path = F.regexp_replace(F.when(F.col("href").startswith("/"), F.substring("href", 2, 1_000_000)).otherwise(F.concat("folder", F.regexp_replace("href", r"^(\./)+", ""))), r"[?#].*$", "")
     for _ in range(8):  # folders that a path leaves again
         path = F.regexp_replace(path, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    linked = named.select("file_id", path.alias("path")).join(t.files.select(F.col("file_id").alias("sheet"), "path"), "path").select("file_id", "sheet")
+    linked = named.select("file_id", path.alias("path")).join(t.files.select(F.col("file_id").alias("sheet"), "path").hint("merge"), "path").select("file_id", "sheet")
     return own.unionByName(linked).distinct()
 
 
@@ -75,16 +79,16 @@ def matches(t: Tables, longest: int | None = None) -> DataFrame:
     compounds = t.once("selectors", lambda: selectors(t))
     longest = longest or compounds.agg(F.max("length")).first()[0] or 0
     keys = F.concat(F.array(F.col("tag"), F.lit("*")), F.when(F.col("id") != "", F.array(F.concat(F.lit("#"), "id"))).otherwise(F.array().cast("array<string>")), F.transform("classes", lambda c: F.concat(F.lit("."), c)))
-    elements = t.nodes.join(sheets_of(t), "file_id").select("file_id", "sheet", "node_id", "parent_id", "ancestors", "tag", "id", "classes", "attrs", F.explode(F.array_distinct(keys)).alias("key"))
+    elements = t.nodes.join(sheets_of(t).hint("merge"), "file_id").select("file_id", "sheet", "node_id", "parent_id", "ancestors", "tag", "id", "classes", "attrs", F.explode(F.array_distinct(keys)).alias("key"))
     name = ["sheet", "rule_id", "alternative"]
-    held = elements.join(compounds.withColumnRenamed("file_id", "sheet"), ["sheet", "key"]).filter(_fits())
+    held = elements.join(compounds.withColumnRenamed("file_id", "sheet").hint("merge"), ["sheet", "key"]).filter(_fits())
     held = t.once("compounds", lambda: held.select("file_id", "node_id", "parent_id", "ancestors", *name, "weight", "length", "at", "child"))
     so_far = held.filter("at = 1").select("file_id", "node_id", *name, "length", "weight")
     done = [so_far.filter("length = 1")]
     for at in range(2, longest + 1):
         here = held.filter(F.col("at") == at)
         above = F.explode(F.when(F.col("child"), F.array("parent_id")).otherwise(F.col("ancestors")))
-        pairs = here.withColumn("above", above).join(so_far.select("file_id", F.col("node_id").alias("above"), *name), ["file_id", "above", *name], "left_semi")
+        pairs = here.withColumn("above", above).join(so_far.select("file_id", F.col("node_id").alias("above"), *name).hint("merge"), ["file_id", "above", *name], "left_semi")
         so_far = pairs.select("file_id", "node_id", *name, "length", "weight").distinct()
         done.append(so_far.filter(F.col("length") == at))
     out = done[0]
@@ -97,7 +101,7 @@ def cascaded(t: Tables, properties: list[str], longest: int | None = None) -> Da
     """file_id, node_id, property, value and rule_id (null: inline) of the winning declarations."""
     declared = t.css.filter(F.col("property").isin(*properties)).select(F.col("file_id").alias("sheet"), "rule_id", "property", "value", "important", "ord")
     zero = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"))
-    by_rule = matches(t, longest).join(declared, ["sheet", "rule_id"]).select("file_id", "node_id", "property", "value", "important", F.lit(False).alias("inline"), "weight", "ord", "rule_id")
+    by_rule = matches(t, longest).join(declared.hint("merge"), ["sheet", "rule_id"]).select("file_id", "node_id", "property", "value", "important", F.lit(False).alias("inline"), "weight", "ord", "rule_id")
     own = t.nodes.filter(F.map_contains_key("attrs", F.lit("style"))).select("file_id", "node_id", F.posexplode(F.split(F.col("attrs")["style"], ";")).alias("ord", "d"))
     own = own.select("file_id", "node_id", F.lower(F.trim(F.regexp_extract("d", r"^([^:]*):", 1))).alias("property"), F.trim(F.regexp_extract("d", r":(.*)$", 1)).alias("value"), F.col("ord").cast("long"))
     own = own.filter(F.col("property").isin(*properties)).select("file_id", "node_id", "property", F.regexp_replace("value", r"(?i)\s*!\s*important\s*$", "").alias("value"), F.col("value").rlike(r"(?i)!\s*important\s*$").alias("important"), F.lit(True).alias("inline"), zero.alias("weight"), "ord", F.lit(None).cast("long").alias("rule_id"))
@@ -112,7 +116,7 @@ def computed(t: Tables, properties: list[str], longest: int | None = None, skip=
     won = cascaded(t, properties, longest).filter(~F.lower("value").isin("inherit", "unset"))
     won = won if skip is None else won.filter(~skip)
     family = t.nodes.select("file_id", "node_id", F.explode(F.concat("ancestors", F.array("node_id"))).alias("at"))
-    pairs = family.join(won.select("file_id", F.col("node_id").alias("at"), "property", "value"), ["file_id", "at"])
+    pairs = family.join(won.select("file_id", F.col("node_id").alias("at"), "property", "value").hint("merge"), ["file_id", "at"])
     return pairs.groupBy("file_id", "node_id", "property").agg(F.max(F.struct("at", "value")).alias("w")).select("file_id", "node_id", "property", "w.value", "w.at")
 
 
@@ -125,8 +129,8 @@ def text_contrast(t: Tables, longest: int | None = None) -> DataFrame:
         *(F.max(F.when(F.col("property") == p, F.col("value"))).alias(p) for p in ("color", "font-size", "font-weight")), F.max(F.when(F.col("property").startswith("background"), F.struct("at", "value")))["value"].alias("back"),
     )
     inner = t.nodes.filter("parent_id is not null").groupBy("file_id", F.col("parent_id").alias("node_id")).agg(F.sum(F.length("text")).alias("inner"))
-    spoken = t.nodes.filter(~F.col("tag").isin("script", "style", "title", "head", "html")).join(inner, ["file_id", "node_id"], "left").filter(F.length("text") > F.coalesce("inner", F.lit(0)))
+    spoken = t.nodes.filter(~F.col("tag").isin("script", "style", "title", "head", "html")).join(inner.hint("merge"), ["file_id", "node_id"], "left").filter(F.length("text") > F.coalesce("inner", F.lit(0)))
     size, weight = points(F.col("font-size")), F.col("font-weight")
     large = F.coalesce((size >= 18) | ((size >= 14) & (weight.isin("bold", "bolder") | (weight.try_cast("int") >= 700))), F.lit(False))
-    out = spoken.join(rows, ["file_id", "node_id"]).select("file_id", "node_id", "line", "col", F.col("color").alias("front"), "back", contrast(F.col("color"), F.col("back")).alias("ratio"), large.alias("large"))
+    out = spoken.join(rows.hint("merge"), ["file_id", "node_id"]).select("file_id", "node_id", "line", "col", F.col("color").alias("front"), "back", contrast(F.col("color"), F.col("back")).alias("ratio"), large.alias("large"))
     return out.filter("ratio is not null")

@@ -39,3 +39,13 @@ def test_inheritance_and_contrast(spark):
     assert got == {(1, "#777", "#fff", 4.48, False), (1, "#777", "#fff", 4.48, True), (1, "#777", "#000", 4.69, False)}
     assert {r.at for r in computed(t, ["color"]).filter("property = 'color'").collect()} == {1}
     t.__exit__()
+
+
+def test_no_side_of_a_join_goes_through_the_driver(spark):
+    """However small the persisted tables are when packed, both sides are shuffled."""
+    rows = [(i, f"{i}.html", "<style>p { color: #111 } div p { color: #222 }</style><body><div><p>a</p></div></body>") for i in range(50)]
+    t = tables(spark.createDataFrame(rows, "file_id long, path string, source string"))
+    out = text_contrast(t, 2)
+    out.collect()
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    t.__exit__()
