@@ -51,4 +51,4 @@ def page_kinds(t: Tables) -> DataFrame:
     first = p.is_("first", F.col("node_id") == 0)
     names = ("fragment", "partial", "full_page")
     columns = [c.alias(n) for c, n in zip(kind(p), names, strict=True)]
-    return placed(t.nodes, t.files, p).filter(first).select("file_id", *columns)
+    return placed(t.nodes, t.files, p, t.elements()).filter(first).select("file_id", *columns)

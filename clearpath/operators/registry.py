@@ -23,6 +23,13 @@ class Tables:
     nodes: DataFrame
     css: DataFrame | None = None
     made: dict[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
+    counts: dict[str, int] = field(default_factory=dict, compare=False, repr=False)
+
+    def elements(self) -> int:
+        """How many elements there are; the first who asks has them parsed."""
+        if "nodes" not in self.counts:
+            self.counts["nodes"] = self.nodes.count()
+        return self.counts["nodes"]
 
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A table that several rules derive from these: made and persisted by the first."""
@@ -178,7 +185,7 @@ def _element_hits(rules: list[Rule]) -> Hits:
 
 def _of_places(t: Tables, rules: list[Rule]) -> DataFrame:
     place, hits = _once(t, "place", rules, lambda: _place_hits(rules))
-    return hits.found(placed(t.nodes, t.files, place))
+    return hits.found(placed(t.nodes, t.files, place, t.elements()))
 
 
 def _place_hits(rules: list[Rule]) -> tuple[Place, Hits]:

@@ -156,8 +156,14 @@ def none() -> Column:
     return F.expr("cast(array() as array<struct<token:string,name:string>>)")
 
 
-def placed(nodes: DataFrame, files: DataFrame, place: Place) -> DataFrame:
-    """Rows of elements (and their mentions) with all columns that ``place`` was asked for."""
+#: Elements of a task. Rows with all facts are wide, and a task holds those of several sorts.
+ELEMENTS_A_TASK = 20_000
+
+
+def placed(nodes: DataFrame, files: DataFrame, place: Place, elements: int) -> DataFrame:
+    """Rows of elements (and their mentions) with all columns that ``place`` was asked for.
+    ``elements``: how many there are; as many tasks as they need do the windows, so a task's
+    memory does not grow with the input (but by a page larger than that)."""
     w = place.wanted
     names = [f"is_{n}" for n in place.flags]
     valued = [n for n in place.values if n in w.get("previous", {}) or n in w.get("earlier", {})]
@@ -170,7 +176,7 @@ def placed(nodes: DataFrame, files: DataFrame, place: Place) -> DataFrame:
     if "about" in w:
         about = files.select("file_id", *(F.coalesce(c, F.lit(False)).alias(f"about_{n}") for n, c in w["about"].items()))
         rows = rows.join(about, "file_id")
-    rows = _with(rows.repartition("file_id"), [f"_flags[{i}] as `{n}`" for i, n in enumerate(names)]).drop("_flags")
+    rows = _with(rows.repartition(-(-elements // ELEMENTS_A_TASK) or 1, "file_id"), [f"_flags[{i}] as `{n}`" for i, n in enumerate(names)]).drop("_flags")
     if "above" in w or "below" in w:
         rows = _swept(rows, list(w.get("above", {})), list(w.get("below", {})))
     if "child" in w:

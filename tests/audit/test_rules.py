@@ -100,3 +100,17 @@ def test_crashing_rules_stand_beside_sound_ones(spark):
     finally:
         RULES.clear()
         RULES.update(before)
+
+
+def test_tasks_of_places_grow_with_elements(spark, monkeypatch):
+    """A task's memory is that of so many elements, however many pages there are."""
+    from clearpath.operators import tree
+
+    monkeypatch.setattr(tree, "ELEMENTS_A_TASK", 10)
+    for n in (5, 50):
+        with tables(spark.range(n).selectExpr("id as file_id", "concat(id, '.html') as path", "'<p id=a></p><p id=a></p>' as source")) as t:
+            place = tree.Place()
+            place.rank()
+            place.is_("any", F.col("id") != "")
+            assert tree.placed(t.nodes, t.files, place, t.elements()).rdd.getNumPartitions() == 2 * n // 10
+            assert run_rules(t, ["parsing/duplicate-id"]).select("file_id").distinct().count() == n
