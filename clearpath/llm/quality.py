@@ -7,10 +7,10 @@ its n-grams; it passes at ``threshold``. Unless that is given, it lies below the
 score of the trusted documents by ``SPREADS`` times the median's distance from their
 lowest hundredth.
 
-Scale: three scans of the documents (one of them scores trusted ones only). Trusted
-ids meet documents in a join whose kind is Spark's choice: few ids go to every task, many
-cost a shuffle of text in two of the scans. Else one row per bucket and scan task is
-shuffled; the driver holds the two tables of ``buckets`` numbers.
+Scale: three scans of the documents. Trusted ids meet texts in a shuffle of one scan, and
+scores (an id and a number) in another, whatever their number, so shuffles grow with the
+input. Else one row per bucket and scan task is shuffled; the driver holds the two tables
+of ``buckets`` numbers.
 
 Null or empty text: no word, so the text rules fail it (score 0). Null or repeated
 doc_id: each row is scored by itself. An empty table gives an empty result. Extra
@@ -117,9 +117,10 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def marked_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and trusted of all documents."""
-    trusted = trusted_ids(labels).withColumn("trusted", F.lit(True))
-    return documents.select("doc_id", "text").join(trusted, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    """text and trusted of all documents. Rows without an id are dealt by their texts."""
+    trusted = trusted_ids(labels).select("doc_id", F.lit(0).cast("long").alias("deal"), F.lit(True).alias("trusted"))
+    rows = documents.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0).alias("deal"))
+    return rows.join(trusted.hint("merge"), ["doc_id", "deal"], "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
 
 
 def fit_ratio(documents: DataFrame, labels: DataFrame) -> np.ndarray:
@@ -132,15 +133,21 @@ def fit_ratio(documents: DataFrame, labels: DataFrame) -> np.ndarray:
     return ratio_table(raw, target)
 
 
-def fit_threshold(documents: DataFrame, labels: DataFrame, ratios: np.ndarray, spreads: float = SPREADS) -> float:
-    """The threshold that the trusted documents' scores give; without any, all pass."""
+def trusted_scores(documents: DataFrame, labels: DataFrame, ratios: np.ndarray) -> DataFrame:
+    """Scores of the trusted documents that have a text. Scores meet trusted ids, not texts."""
     shared = documents.sparkSession.sparkContext.broadcast(ratios)
 
     def score(batches):
         for batch in batches:
-            yield pd.DataFrame({"llr": np.round(mean_ratio(batch["text"].fillna("").tolist(), shared.value), 9)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "llr": np.round(mean_ratio(batch["text"].tolist(), shared.value), 9)})
+
+    scores = documents.select("doc_id", "text").filter("doc_id is not null and text <> ''").mapInPandas(score, "doc_id long, llr double")
+    return scores.join(trusted_ids(labels).hint("merge"), "doc_id", "left_semi").select("llr")
 
-    own = documents.select("doc_id", "text").filter("text <> ''").join(trusted_ids(labels), "doc_id", "left_semi").select("text").mapInPandas(score, "llr double")
+
+def fit_threshold(documents: DataFrame, labels: DataFrame, ratios: np.ndarray, spreads: float = SPREADS) -> float:
+    """The threshold that the trusted documents' scores give; without any, all pass."""
+    own = trusted_scores(documents, labels, ratios)
     low, middle = own.agg(F.percentile_approx("llr", [0.01, 0.5], 1_000_000)).first()[0] or (-np.inf, -np.inf)
     return float(middle - spreads * (middle - low)) if np.isfinite(middle) else -np.inf
 

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from clearpath.llm.quality import BUCKETS, SMOOTHING, SPREADS, _count, filter_quality, fit_ratio, op6_quality_rules, quality_rules, ratio_table
+from clearpath.llm.quality import BUCKETS, SMOOTHING, SPREADS, _count, filter_quality, fit_ratio, marked_documents, op6_quality_rules, quality_rules, ratio_table, trusted_scores
 
 from .oracle import run_sql
 
@@ -115,3 +115,18 @@ def test_all_trusted_documents_count(spark):
     every = np.zeros(BUCKETS)
     every[counts["bucket"]] = counts["raw"]
     assert np.allclose(fit_ratio(df, labels), ratio_table(every, every))
+
+
+def test_one_shuffle_of_text(spark):
+    """At any size: texts are shuffled for the counts only, and scores without them."""
+    rows, df, labels = edges(spark)
+    marked = marked_documents(df, labels)
+    plan = lambda d: d._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan(marked) and "Broadcast" not in plan(marked)
+    assert sorted(((r.text, r.trusted) for r in marked.collect()), key=str) == sorted(((t, d is not None and d < 60) for d, t in rows), key=str)
+    own = plan(trusted_scores(df, labels, np.zeros(BUCKETS)))
+    assert -1 < own.index("SortMergeJoin") < own.index("MapInPandas") and "Broadcast" not in own
+    # Rows without an id do not meet in one task.
+    alone = spark.range(500).selectExpr("cast(null as long) as doc_id", "concat('text ', id) as text")
+    sizes = marked_documents(alone, labels).rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    assert sum(sizes) == 500 and (len(sizes) == 1 or max(sizes) < 500)
