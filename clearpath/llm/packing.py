@@ -112,7 +112,7 @@ def pack(documents: DataFrame, vocabulary_path: str, end_id: int = END_ID, capac
         while tokens:
             yield flush(tokens < capacity * chunk_sequences)
         if remember < MAX_CHUNKS:
-            words.known = {}
+            words.forget()
         give_back()
 
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA + (", ids binary" if with_ids else ""))

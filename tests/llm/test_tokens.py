@@ -31,6 +31,27 @@ def test_pieces_random(texts):
         assert own.encode(texts) == [np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_a_piece_is_encoded_once():
+    """Punctuation, line feeds, contractions and runs of white space make no new words, in this batch or the next."""
+    own = Encoder(vocabulary("byte_bpe_50k.json"))
+    asked, new = [], own._new_pieces
+    own._new_pieces = lambda pieces: asked.extend(pieces) or new(pieces)
+    own._library = None
+    for texts in (["one two.\ntwo, it's  two", " two.\none!"], [" two;\n\none's", "it.\ntwo two"]):
+        want = [np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert own.encode(texts) == want
+    assert sorted(asked) == sorted(["one", " two", ".", "\n", "two", ",", " it", "'s", " ", "!", ";", "it"])
+
+
+def test_memory_of_pieces_is_bounded():
+    own = Encoder(vocabulary("byte_bpe_50k.json"))
+    own.limit = 50
+    for i in range(40):
+        texts = [f"w{chr(97 + i % 26)}{chr(97 + j)} {i}" for j in range(20)] + ["long" * 500]
+        assert own.encode(texts) == [np.array(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert len(own.pieces.texts) <= 100 and own.pieces.texts.nbytes < 10_000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=700), max_size=6))
 def test_segment_round_trip(docs):
