@@ -56,8 +56,11 @@ def exponent(sources: DataFrame, total: int, largest: int, smallest: int, count:
     parts = 1 << STEPS
     for k in range(PASSES):
         points = [low + (high - low) * i / parts for i in range(0 if k == 0 else 1, parts)]
-        sums = sources.agg(*(f for t in points for f in (F.sum(F.pow(p, F.lit(t))), F.sum(F.pow(p, F.lit(t)) * F.log(p))))).first()
-        ok = [fits(t, sums[2 * i], sums[2 * i + 1]) for i, t in enumerate(points)]
+        # The points are rows, not constants of an aggregate each: every pass is the same small plan.
+        power = F.pow(p, F.col("_mix_e"))
+        at = sources.withColumn("_mix_e", F.explode(F.lit(points)))
+        sums = {t: (z, a) for t, z, a in at.groupBy("_mix_e").agg(F.sum(power), F.sum(power * F.log(p))).collect()}  # a row a point
+        ok = [fits(t, *sums[t]) for t in points]
         first = next((i for i, x in enumerate(ok) if x), len(points))
         if k == 0 and first == 0:
             return 0.0

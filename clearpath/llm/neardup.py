@@ -208,12 +208,16 @@ def links(documents: DataFrame, nodes: DataFrame, percent: int = PERCENT, size:
     texts = documents.select("doc_id", "text", text_key("text").alias("key")).join(asked, F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("key") == F.col("rep.text_key"))).select("node", "text")
     sets = materialize(texts.mapInArrow(_shingles(size), "node binary, shingles binary").dropDuplicates(["node"]), "sets")
 
+    # Each kind of link is a plan of its own: Spark looks at a whole plan again after each of
+    # its shuffles, so one plan of all of them costs the driver several times their sum.
     exact = lambda pairs: compare(pairs, sets).withColumn("linked", 100 * F.col("both") >= percent * F.col("either")).select("a", "b", "linked")
     stars = materialize(exact(star), "stars")
     members = stars.select(F.col("b").alias("cluster"), F.col("a").alias("node"), "linked")
-    centres = members.groupBy("cluster").agg(F.bool_and("linked").alias("done")).filter("not done").select("cluster")
-    open_ = members.unionByName(centres.select("cluster", F.col("cluster").alias("node"), F.lit(True).alias("linked"))).join(centres, "cluster", "left_semi").join(nodes.select("node", "n_shingles"), "node")
-    return stars.filter("linked").select("a", "b").unionByName(exact(apart).filter("linked").select("a", "b")).unionByName(blocks(open_, sets, percent))
+    centres = materialize(members.groupBy("cluster").agg(F.bool_and("linked").alias("done")).filter("not done").select("cluster"), "centres")
+    open_ = members.unionByName(centres.select("cluster", F.col("cluster").alias("node"), F.lit(True).alias("linked"))).join(centres, "cluster", "left_semi")
+    open_ = materialize(open_.join(nodes.select("node", "n_shingles"), "node"), "open")
+    across, within = materialize(exact(apart).filter("linked").select("a", "b"), "across"), materialize(blocks(open_, sets, percent), "within")
+    return stars.filter("linked").select("a", "b").unionByName(across).unionByName(within)
 
 
 def without(rows: DataFrame, gone: DataFrame | None) -> DataFrame:
