@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # criterion/level/first letter of how far it can be automated.
@@ -50,14 +50,20 @@ def criteria(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(criterion_rows() + _defined, "criterion_id string, standard_id string, local_id string, level string, automatable string, equivalent array<string>")
 
 
+#: Pairs of a task; a round may make many more of them, and the next one deals those anew.
+PAIRS_A_TASK = 50_000
+
+
 def transitive(edges: DataFrame) -> DataFrame:
     """(a, reaches) for all nodes of ``edges`` (a, b), taken both ways, themselves included:
-    joined on until no row is new, each round with paths twice as long."""
+    joined on until no row is new, each round with paths twice as long. Pairs are dealt to
+    tasks by their number, as a persisted table keeps the tasks it is made in."""
+    distinct = lambda rows, n: rows.repartition(-(-n // PAIRS_A_TASK) or 1, "a", "b").distinct().persist()
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    walk = both.unionByName(both.select("a", F.col("a").alias("b"))).distinct().persist()
+    walk = distinct(both.unionByName(both.select("a", F.col("a").alias("b"))), 4 * edges.count())
     n = walk.count()
     while True:
-        longer = walk.join(walk.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct().persist()
+        longer = distinct(walk.join(walk.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")), n)
         m = longer.count()
         walk.unpersist()
         walk = longer
@@ -78,13 +84,18 @@ def closure(spark: SparkSession) -> DataFrame:
 
 def cited(spark: SparkSession, findings: DataFrame, standards: list[str], level: str) -> DataFrame:
     """Findings of rules that an enabled standard asks for at ``level``, with all the
-    criteria of enabled standards that they touch. Rules name numbers of either edition."""
+    criteria of enabled standards that they touch. Rules name numbers of either edition.
+    Findings are read once: criteria are a table of one row (at most an entry a criterion)
+    that they look into, and findings alike but for their criteria share a window."""
     rows = criteria(spark).filter(F.col("standard_id").isin(standards))
     ranks = F.create_map(*(F.lit(x) for kv in RANK.items() for x in kv))
     touched = closure(spark).join(rows.select(F.col("criterion_id").alias("reaches"), "level"), "reaches")
     by_number = touched.filter("criterion_id like 'wcag%'").select(F.split("criterion_id", ":")[1].alias("number"), "reaches", (F.coalesce(ranks[F.col("level")], F.lit(0)) <= RANK.get(level, 3)).alias("asked"))
-    known = F.broadcast(by_number.groupBy("number").agg(F.collect_set("reaches").alias("ids"), F.bool_or("asked").alias("asked")))  # at most a row a criterion
-    key = ["path", "line", "col", "rule_id", "message"]
-    spread = findings.withColumn("number", F.explode("criteria")).join(known, "number")
-    by = spread.groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("cited"), F.bool_or("asked").alias("asked")).filter("asked").drop("asked")
-    return findings.join(by, key)
+    known = by_number.groupBy("number").agg(F.collect_set("reaches").alias("ids"), F.bool_or("asked").alias("asked"))
+    entry = F.struct("number", F.struct("ids", "asked"))
+    table = F.broadcast(known.agg(F.map_from_entries(F.collect_list(entry)).alias("_known")))
+    met = F.array_compact(F.transform("criteria", lambda n: F.col("_known")[n]))
+    spread = findings.crossJoin(table).withColumn("_met", met).drop("_known")
+    alike = Window.partitionBy("path", "line", "col", "rule_id", "message")
+    spread = spread.select(*findings.columns, F.collect_set(F.flatten(F.col("_met.ids"))).over(alike).alias("cited"), F.max(F.exists("_met", lambda x: x["asked"])).over(alike).alias("_asked"))
+    return spread.filter("_asked").withColumn("cited", F.array_sort(F.array_distinct(F.flatten("cited")))).drop("_asked")

@@ -55,3 +55,23 @@ def test_sinks(spark):
     got = {n: [r.value for r in make(f).collect()] for n, make in FORMATS.items()}
     assert got["plain"] == ['p:1:2 error r/x a <b> | "c"'] and "&lt;b&gt;" in got["junit"][0] and "\\|" in got["markdown"][0]
     assert '"ruleId":"r/x"' in got["sarif"][0] and all(len(v) == 1 for v in got.values())
+
+
+def test_findings_are_read_once_for_their_criteria(spark):
+    """What findings cite joins nothing with the findings again; findings alike but for their criteria share these."""
+    from clearpath.plans.standards import cited
+
+    found = spark.range(6).selectExpr("id", "if(id = 4, 'b.html', 'a.html') as path", "1 as line", "1 as col", "'r' as rule_id", "'m' as message", "element_at(array(array('1.1.1'), array('1.4.6', '1.1.1'), array('1.4.6'), array('0.0.0'), array('1.4.6', '0.0.0'), null), int(id) + 1) as criteria")
+    got = cited(spark, found, ["wcag22"], "AA")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    both = ["wcag22:1.1.1", "wcag22:1.4.6"]
+    assert {r.id: r.cited for r in got.collect()} == {i: both for i in (0, 1, 2, 3, 5)}  # b.html touches a criterion of level AAA only
+    assert got.columns == [*found.columns, "cited"]
+
+
+def test_pairs_of_a_closure_are_dealt_by_number(spark):
+    from clearpath.plans.standards import transitive
+
+    reached = transitive(spark.createDataFrame([(1, 2), (2, 3), (7, 8), (3, 4)], "a int, b int"))
+    assert reached.rdd.getNumPartitions() == 1
+    assert {tuple(r) for r in reached.select("a", "reaches").collect()} == {(a, b) for g in ((1, 2, 3, 4), (7, 8)) for a in g for b in g}
