@@ -48,9 +48,19 @@ def rule_query(rule_id: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+#: Pages of a task: the splits of their file would leave its parsing to as many tasks as it has row groups.
+PAGES_A_TASK = 250
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as files, dealt to tasks by number of pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    return pages_as_files(pages.repartition(-(-pages.count() // PAGES_A_TASK) or 1, "page_id"))
+
+
 def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of all rules that read markup."""
-    return audit(pages_as_files(table(spark, sf_dir, "pages")), [r for r, c in CASES.items() if c[0] == "html"])
+    return audit(page_files(spark, sf_dir), [r for r, c in CASES.items() if c[0] == "html"])
 
 
 def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,12 +68,12 @@ def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_generic_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = pages_as_files(table(spark, sf_dir, "pages"))
+    files = page_files(spark, sf_dir)
     return run_rules(tables(files), ["navigation/link-descriptive-text"]).groupBy(F.col("file_id").alias("page_id")).agg(F.count("*").alias("findings"))
 
 
 def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tables(pages_as_files(table(spark, sf_dir, "pages")))
+    t = tables(page_files(spark, sf_dir))
     return t.nodes.filter("tag in ('a', 'li', 'p', 'h1', 'nav', 'footer')").groupBy("tag").agg(F.count("*").alias("elements"))
 
 

@@ -50,3 +50,14 @@ def test_rules_on_ids_run_alone(spark, rule_id):
     """The elements that an id names are there though no other rule of the run keeps them."""
     name = "rule_" + rule_id.replace("/", "_").replace("-", "_")
     same(QUERIES[name](spark, SF), ORACLE_SQL[name], SF)
+
+
+def test_pages_are_dealt_by_number(spark, monkeypatch):
+    """A table of pages is one row group, so its splits leave all parsing to one task."""
+    from clearpath.plans import queries
+
+    monkeypatch.setattr(queries, "PAGES_A_TASK", 10)
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    files = queries.page_files(spark, SF)
+    assert files.rdd.getNumPartitions() == -(-pages.count() // 10) > 1
+    assert files.select("file_id", "source").exceptAll(pages.select("page_id", "html")).count() == 0 and files.count() == pages.count()
