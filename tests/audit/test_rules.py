@@ -114,3 +114,36 @@ def test_tasks_of_places_grow_with_elements(spark, monkeypatch):
             place.is_("any", F.col("id") != "")
             assert tree.placed(t.nodes, t.files, place, t.elements()).rdd.getNumPartitions() == 2 * n // 10
             assert run_rules(t, ["parsing/duplicate-id"]).select("file_id").distinct().count() == n
+
+
+def test_rows_of_places_stay_narrow(spark):
+    """Facts that hold or not are bits and counts are pairs, so windows copy a few columns however many facts there are."""
+    from clearpath.operators import tree
+
+    names = [f"x{i}" for i in range(130)]
+    # Each element stands in the one before; every third has a sibling of its kind after it, which has nothing inside.
+    source = "".join(f"<{n}>" for n in names) + "".join(f"</{n}>" + (f"<{n}></{n}>" if i % 3 == 0 else "") for i, n in reversed(list(enumerate(names))))
+    with tables(spark.createDataFrame([(1, "a.html", source), (2, "b.html", "<x7><x8></x8><x8></x8></x7>")], "file_id long, path string, source string")) as t:
+        place, facts = tree.Place(), {}
+        for n in names:
+            is_ = F.col("tag") == n
+            facts |= {f"is {n}": place.is_(n, is_), f"above {n}": place.above(n, is_), f"below {n}": place.below(n, is_), f"child {n}": place.child(n, is_), f"beside {n}": place.beside(n, is_), f"cousin {n}": place.cousin(n, is_)}
+        rows = tree.placed(t.nodes, t.files, place, t.elements())
+        assert len(rows.columns) < 100
+        values = list(facts.values())
+        got = {(r.file_id, r.node_id): r for r in rows.select("file_id", "node_id", "parent_id", "tag", *(c.cast("int").alias(n) for n, c in zip(facts, values))).collect()}
+    def chain(r):
+        while r.parent_id is not None:
+            r = got[r.file_id, r.parent_id]
+            yield r
+    around = {k: list(chain(r)) for k, r in got.items()}
+    assert len(got) == 130 + 44 + 3
+    for k, r in got.items():
+        mine = [s for j, s in got.items() if j[0] == k[0]]
+        up = r.parent_id
+        over = None if up is None else got[k[0], up].parent_id
+        for n in names:
+            alike = [s for s in mine if s.tag == n]
+            want = (r.tag == n, any(a.tag == n for a in around[k]), sum(r in around[s.file_id, s.node_id] for s in alike), any(s.parent_id == k[1] for s in alike), any(s.parent_id == up for s in alike))
+            want += (over is not None and any(s.parent_id is not None and got[k[0], s.parent_id].parent_id == over for s in alike),)
+            assert tuple(r[f"{f} {n}"] for f in ("is", "above", "below", "child", "beside", "cousin")) == tuple(map(int, want)), (k, n)
