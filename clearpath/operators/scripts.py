@@ -86,7 +86,8 @@ def _use() -> Column:
 
 def of_project(t: Tables, rows: DataFrame) -> DataFrame:
     """``rows`` with the project of their file: files of different projects never meet. Where
-    files have no such column, all are one project."""
+    files have no such column, all are one project. A table of all files is not for the driver,
+    however small it looks before their rows are made."""
     if "project" not in t.files.columns:
         return rows.withColumn("project", F.lit(""))
-    return rows.join(t.files.select("file_id", F.coalesce(F.col("project").cast("string"), F.lit("")).alias("project")), "file_id")
+    return rows.join(t.files.select("file_id", F.coalesce(F.col("project").cast("string"), F.lit("")).alias("project")).hint("merge"), "file_id")

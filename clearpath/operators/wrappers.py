@@ -22,7 +22,8 @@ def component_name() -> F.Column:
 def roots(t: Tables) -> DataFrame:
     """file_id, name, root tag, line and col of component files."""
     first = t.nodes.filter("parent_id is null").groupBy("file_id").agg(F.min(F.struct("node_id", "tag", "line", "col")).alias("r"))
-    return t.files.select("file_id", component_name().alias("name")).filter("name <> ''").join(first, "file_id").select("file_id", "name", "r.tag", "r.line", "r.col")
+    # Rows of many files look small where they are packed, or before they are made, and are not: neither side is for the driver.
+    return t.files.select("file_id", component_name().alias("name")).filter("name <> ''").join(first.hint("merge"), "file_id").select("file_id", "name", "r.tag", "r.line", "r.col")
 
 
 def drift(t: Tables, wrappers: DataFrame) -> DataFrame:
@@ -67,18 +68,27 @@ def resolved_roots(t: Tables) -> DataFrame:
     leads back to itself, or to one that is nowhere defined, has no row. Of several
     definitions of one name the first by file counts."""
     rows = of_project(t, roots(t)).withColumn("name", F.lower("name"))
-    rows = rows.groupBy("project", "name").agg(F.min(F.struct("file_id", "tag")).alias("r")).select("project", "name", "r.tag").persist()
-    rounds = max(1, rows.count()).bit_length() + 1
-    at = rows
-    for _ in range(rounds):
+    at = rows.groupBy("project", "name").agg(F.min(F.struct("file_id", "tag")).alias("r")).select("project", "name", "r.tag").persist()
+    n = at.count()
+    for _ in range(max(1, n).bit_length() + 1):
         onward = at.select("project", F.concat(F.lit("x-"), "name").alias("tag"), F.col("tag").alias("then"))
-        new = at.join(onward, ["project", "tag"], "left").select("project", "name", F.coalesce("then", "tag").alias("tag"), (F.col("then") != F.col("tag")).alias("changed")).persist()
+        new = at.join(met(onward, n), ["project", "tag"], "left").select("project", "name", F.coalesce("then", "tag").alias("tag"), (F.col("then") != F.col("tag")).alias("changed")).persist()
         moved = new.filter("changed").count()
         at.unpersist()
-        at = new.drop("changed")
+        at = new
         if not moved:
             break
-    return at.filter("not tag like 'x-%'")
+    return at.filter("not tag like 'x-%'").drop("changed")
+
+
+#: Rows that every task of a join may hold, and the driver on their way.
+SMALL = 100_000
+
+
+def met(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, of which there are ``n``, as a side of a join: for every task while they are
+    few, else shuffled. What a persisted table takes when packed says little of its rows."""
+    return F.broadcast(rows) if n <= SMALL else rows.hint("merge")
 
 
 def with_components(t: Tables) -> Tables:
@@ -87,7 +97,9 @@ def with_components(t: Tables) -> Tables:
     stays a component."""
     known = resolved_roots(t).select("project", F.concat(F.lit("x-"), "name").alias("tag"), F.col("tag").alias("native"))
     given = F.lower(F.regexp_extract(F.coalesce(F.col("attrs")["as"], F.lit("")), r"^\s*([a-zA-Z][\w-]*)\s*$", 1))
-    used = F.col("tag").startswith("x-") & ~F.map_contains_key("attrs", F.lit("aschild"))
-    rows = of_project(t, t.nodes).join(known, ["project", "tag"], "left")
-    tag = F.when(used & (given != ""), given).when(used, F.coalesce("native", "tag")).otherwise(F.col("tag"))
-    return Tables(t.files, rows.withColumn("tag", tag).select(*t.nodes.columns), t.css)
+    used = F.coalesce(F.col("tag").startswith("x-") & ~F.map_contains_key("attrs", F.lit("aschild")), F.lit(False))
+    # Only uses meet the definitions: all other elements stay where they are.
+    uses = of_project(t, t.nodes.filter(used)).join(met(known, known.count()), ["project", "tag"], "left")
+    tag = F.when(given != "", given).otherwise(F.coalesce("native", "tag"))
+    rows = t.nodes.filter(~used).unionByName(uses.withColumn("tag", tag).select(*t.nodes.columns))
+    return Tables(t.files, rows, t.css, counts={"nodes": t.elements()})  # as many: a component comes to one element at most

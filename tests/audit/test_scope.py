@@ -40,3 +40,20 @@ def test_rows_of_part_are_dealt_by_number(spark):
 
     rows = parts(spark, "/root/testdata/sf0.1")
     assert rows.rdd.getNumPartitions() == -(-rows.count() // ROWS_A_TASK) > 1
+
+
+def test_components_of_many_files_do_not_pass_the_driver(spark, monkeypatch):
+    """No join sends a table that grows with the files to the driver, whatever it looks like when packed."""
+    from clearpath.operators import wrappers
+    from clearpath.plans.audit import tables
+
+    monkeypatch.setattr(wrappers, "SMALL", 0, raising=False)
+    sources = [("Base.tsx", "const B = () => <button>x</button>;"), ("Button.tsx", "const B = () => <Base>y</Base>;"), ("Loop.tsx", "const L = () => <Loop />;"), ("4.tsx", "const P = () => <main><Button></Button><Button asChild></Button><Button as='a'></Button><Loop /><Nowhere /></main>;")]
+    rows = [(10 * p + i, f"src/{p}/{name}", text if p else text.replace("button", "div"), str(p)) for p in (0, 1) for i, (name, text) in enumerate(sources)]
+    t = tables(spark.createDataFrame(rows, "file_id long, path string, source string, project string"))
+    made = wrappers.with_components(t)
+    assert "Broadcast" not in made.nodes._jdf.queryExecution().executedPlan().toString()
+    for p, native in ((0, "div"), (1, "button")):
+        got = [r.tag for r in made.nodes.filter(f"file_id = {10 * p + 3}").orderBy("node_id").collect()]
+        assert got == ["main", native, "x-button", "a", "x-loop", "x-nowhere"]
+    assert made.elements() == made.nodes.count() == t.nodes.count()
