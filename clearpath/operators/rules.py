@@ -483,7 +483,7 @@ def svg_titles(p: Place) -> list[Hit]:
 def cells(p: Place, name: str, condition: Column) -> Column:
     """How many elements that are so have this as their innermost table."""
     own = p.is_(name, condition)
-    return p.within("table", tag("table"), name, lambda by: F.count_if(own).over(Window.partitionBy(*by)))
+    return p.within("table", tag("table"), name, lambda by: F.count_if(own).over(Window.partitionBy(*by)), together=True)
 
 
 def grid(p: Place) -> tuple[Column, dict[str, Column]]:
@@ -515,8 +515,8 @@ def layout_tables(p: Place) -> list[Hit]:
 def header_scopes(p: Place) -> list[Hit]:
     cell = p.is_("cell", tag("th", "td"))
     in_row = lambda by: Window.partitionBy(*by, "parent_id")
-    columns = p.within("table", tag("table"), "in-row", lambda by: F.count_if(cell).over(in_row(by)))
-    first = p.within("table", tag("table"), "first", lambda by: F.min(F.when(cell, F.col("node_id"))).over(in_row(by)))
+    columns = p.within("table", tag("table"), "in-row", lambda by: F.count_if(cell).over(in_row(by)), together=True)
+    first = p.within("table", tag("table"), "first", lambda by: F.min(F.when(cell, F.col("node_id"))).over(in_row(by)), together=True)
     widest = p.within("table", tag("table"), "widest", lambda by: F.max(F.when(cell, columns)).over(Window.partitionBy(*by)))
     rows = p.within("table", tag("table"), "rows", lambda by: F.count_if(cell & (F.col("node_id") == first)).over(Window.partitionBy(*by)))
     bare = p.is_("bare-header", tag("th") & ~lower("scope").isin("row", "col", "rowgroup", "colgroup"))

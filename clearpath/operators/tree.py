@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,11 +143,12 @@ class Place:
         self.above(name, condition)
         return self._want("nearest", name)
 
-    def within(self, kind: str, condition: Column, name: str, made: Callable[[list], Column]) -> Column:
+    def within(self, kind: str, condition: Column, name: str, made: Callable[[list], Column], together: bool = False) -> Column:
         """An aggregate (of a window over them) of the elements whose innermost ``kind`` (those that
-        ``condition`` names) is this element's, or this element."""
+        ``condition`` names) is this element's, or this element. ``together``: it rests on no
+        other such aggregate, so it may share a window with those asked for just before."""
         self.nearest(kind, condition)
-        return self._want("within", f"{kind}_{name}", (kind, made))
+        return self._want("within", f"{kind}_{name}", (kind, made, together))
 
     def file(self, name: str, aggregate: Column) -> Column:
         """An aggregate over all rows of the file; it may use facts of the tree."""
@@ -193,8 +195,8 @@ def none() -> Column:
     return F.expr("cast(array() as array<struct<token:string,name:string>>)")
 
 
-#: Elements of a task. Rows with all facts are wide, and a task holds those of several sorts.
-ELEMENTS_A_TASK = 20_000
+#: Elements of a task, which holds the rows of several sorts of them.
+ELEMENTS_A_TASK = 60_000
 
 
 def placed(nodes: DataFrame, files: DataFrame, place: Place, elements: int) -> DataFrame:
@@ -208,10 +210,9 @@ def placed(nodes: DataFrame, files: DataFrame, place: Place, elements: int) -> D
     # once: the optimizer would put a filter of a plain column beneath it, with all flags in it.
     known = F.array(*place.flags.values(), *(place.values[n].isNotNull() for n in valued))
     base = "file_id node_id parent_id last_id ord line col tag parent_tag id".split()
-    made = F.explode(F.array(F.transform(known, lambda f: F.coalesce(f, F.lit(False))))).alias("_flags")
-    rows = nodes.select(*base, F.expr("get(ancestors, size(ancestors) - 2) as grand_id"), made, *(c.alias(f"v_{n}") for n, c in place.values.items()))
-    rows = rows.filter("array_contains(_flags, true)")
-    packed = "aggregate(reverse(slice(_flags, {0}, {1})), 0L, (bits, f) -> shiftleft(bits, 1) | bigint(f)) as _is{2}"
+    rows = nodes.select("*", F.explode(F.array(known)).alias("_flags")).filter("array_contains(_flags, true)")
+    rows = rows.select(*base, F.expr("get(ancestors, size(ancestors) - 2) as grand_id"), "_flags", *(c.alias(f"v_{n}") for n, c in place.values.items()))
+    packed = "aggregate(reverse(slice(_flags, {0}, {1})), 0L, (bits, f) -> shiftleft(bits, 1) | if(f, 1L, 0L)) as _is{2}"
     rows = _with(rows, [packed.format(i + 1, BITS, i // BITS) for i in range(0, len(place.flags), BITS)]).drop("_flags")
     if "about" in w:
         about = files.select("file_id", *(F.coalesce(c, F.lit(False)).alias(f"about_{n}") for n, c in w["about"].items()))
@@ -229,11 +230,11 @@ def placed(nodes: DataFrame, files: DataFrame, place: Place, elements: int) -> D
     rows = _with(rows, [f"if(grand_id is null, 0L, bit_or({bits}) over (partition by file_id, grand_id)) as _cousin{i}" for i, bits in of("cousin")])
     for n in w.get("nearest", {}):
         rows = _nearest(rows, n, place.flag(n))
-        inner = {f"within_{k}": made for k, (kind, made) in w.get("within", {}).items() if kind == n}
+        inner = [(f"within_{k}", made, together) for k, (kind, made, together) in w.get("within", {}).items() if kind == n]
         if inner:
             rows = _with(rows, [f"if({place.flag(n)}, node_id, `nearest_{n}`) as _key"])
-            for k, made in inner.items():  # one may rest on those before
-                rows = rows.withColumn(k, made(["file_id", "_key"]))
+            for _, shared in groupby(enumerate(inner), lambda x: -1 if x[1][2] else x[0]):  # one may rest on those before
+                rows = rows.select("*", *(made(["file_id", "_key"]).alias(k) for _, (k, made, _) in shared))
             rows = rows.drop("_key")
     if "file" in w:
         whole = Window.partitionBy("file_id")
@@ -253,14 +254,14 @@ def _swept(rows: DataFrame, place: Place) -> DataFrame:
     ``nearest`` asks. An element without any inside needs no end: nothing is around by it."""
     above, below = list(place.wanted.get("above", {})), list(place.wanted.get("below", {}))
     rows = rows.selectExpr("*", "explode(if(last_id > node_id, array(false, true), array(false))) as _end")
-    sweep = "over (partition by file_id order by if(_end, last_id, node_id), _end rows between unbounded preceding and current row)"
+    sweep = "over (partition by file_id order by if(_end, last_id, node_id), _end rows between unbounded preceding and {})"
+    upto, before = sweep.format("current row"), sweep.format("1 preceding")
     opened = _pairs([f"bigint(not _end and {place.flag(n)})" for n in below])
     around = _pairs([f"if(last_id > node_id and {place.flag(n)}, if(_end, -1L, 1L), 0L)" for n in above])
-    rows = _with(rows, [f"sum({c}) {sweep} as _opened{i}" for i, c in enumerate(opened)] + [f"sum({c}) {sweep} as _around{i}" for i, c in enumerate(around)])
+    rows = _with(rows, [f"sum({c}) {upto} as _opened{i}" for i, c in enumerate(opened)] + [f"coalesce(sum({c}) {before}, 0L) as _around{i}" for i, c in enumerate(around)])
     rows = _with(rows, [f"coalesce(lead(_opened{i}) over (partition by file_id, node_id order by _end), _opened{i}) - _opened{i} as _below{i}" for i in range(len(opened))]).filter("not _end")
-    own = lambda n: f"{_half(above, n, '_around')} - int(last_id > node_id and {place.flag(n)})"
-    levels = [f"{own(n)} as `_level_{n}`" for n in place.wanted.get("nearest", {})]
-    rows = _with(rows, [f"{c} as _above{i}" for i, c in enumerate(_bits([f"{own(n)} > 0" for n in above]))] + levels)
+    levels = [f"{_half(above, n, '_around')} as `_level_{n}`" for n in place.wanted.get("nearest", {})]
+    rows = _with(rows, [f"{c} as _above{i}" for i, c in enumerate(_bits([f"{_half(above, n, '_around')} > 0" for n in above]))] + levels)
     return rows.drop("_end", *(f"_opened{i}" for i in range(len(opened))), *(f"_around{i}" for i in range(len(around))))
 
 
